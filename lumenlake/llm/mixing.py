@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import SPACE, cut
 
 WEIGHTS, BUDGET, MOST_EPOCHS = (3, 1, 2), Fraction(3, 2), 2
-SLOT_ROWS, SEED = 20_000, 17
+SLOT_ROWS, SEED = 1_000, 17
 
 
 def words(text: Column) -> Column:
