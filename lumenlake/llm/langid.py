@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 
 from lumenlake.llm.common import filter_texts, map_texts
 
-SAMPLE_CHARS, ROW_CHARS, SAMPLE_ROWS = 48_000, 4_000, 400
+SAMPLE_CHARS, ROW_CHARS, SAMPLE_ROWS, SALTS = 48_000, 4_000, 400, 64
 ALPHABET, BLOCK = 64, 1_024
 BLANK, OTHER, PAD = 0, ALPHABET - 2, ALPHABET - 1
 #: How fast the score falls with the distance, in bits a symbol, to other languages.
@@ -39,6 +39,9 @@ def learn_sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
     rows = docs.where(learn & text.isNotNull() & lang.isNotNull() & (F.length(text) <= ROW_CHARS) & (F.length(text) > 0))
     rows = rows.select(lang.alias("lang"), text.alias("text"), F.xxhash64(id_col).alias("h"))
     by = Window.partitionBy("lang").orderBy("h", "text")
+    # The first of each salt, then of all: a common language's rows are narrowed down by many tasks.
+    salted = Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "text")
+    rows = rows.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= -(-2 * SAMPLE_ROWS // SALTS))
     rows = rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= SAMPLE_ROWS)
     rows = rows.withColumn("upto", F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
     picked = rows.where(F.col("upto") <= SAMPLE_CHARS).select("lang", "n", "text").collect()
