@@ -88,8 +88,11 @@ def find_secrets(docs: DataFrame, keys: list[str], text_col: str = "text") -> Da
     weak = F.concat(_spans(F.col("whole"), "key40", KEY40), _spans(F.col("whole"), "endpoint", ENDPOINT))
     candidates = parts(docs.where(scoped)).select("key", "base", weak.alias("weak"))
     candidates = candidates.select("key", "base", _clear(F.col("weak"), F.col("base")).alias("weak")).where("size(weak) > 0")
-    joined = parts(docs).join(_links(candidates).withColumnRenamed("key", "link_key"), F.col("key") == F.col("link_key"), "left")
-    return joined.select(*keys, "base", F.coalesce("linked", F.array().cast("array<struct<start:int,kind:string,end:int>>")).alias("linked"))
+    none = F.array().cast("array<struct<start:int,kind:string,end:int>>").alias("linked")
+    # Texts without an access identifier have nothing to link and need no join.
+    others = parts(docs.where(~F.coalesce(scoped, F.lit(False)))).select(*keys, "base", none)
+    joined = parts(docs.where(scoped)).join(_links(candidates).withColumnRenamed("key", "link_key"), F.col("key") == F.col("link_key"), "left")
+    return others.unionByName(joined.select(*keys, "base", F.coalesce("linked", none).alias("linked")))
 
 
 def span_order(spans: Column, kinds: tuple[str, ...]) -> Column:
