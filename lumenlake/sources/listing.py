@@ -9,19 +9,36 @@ import time
 import uuid
 import zipfile
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.functions.exprs import extension_of, media_type, under
+from lumenlake.functions.exprs import extension_of, media_type, slashed, under
 
 TEXT_CHARS = 6_000
 TEXT_EXTENSIONS = ("txt", "md", "csv", "log", "json")
-# Folders and files that a listing leaves out, with the reason.
-SYSTEM_DIRS = ("$recycle.bin", "system volume information", "node_modules", ".git", "@eadir", "lost+found")
-SYSTEM_FILES = ("thumbs.db", "desktop.ini", ".ds_store")
-TEMPORARY = ("tmp", "temp", "part", "crdownload")
+# Folders and files that a listing leaves out.
+SYSTEM_DIRS = ("$RECYCLE.BIN", "System Volume Information", "RECYCLER", "Recycle Bin", "@eaDir", "@Recycle", "@SynoEAStream", "@SynoThumbs", "#recycle", "#snapshot", ".Spotlight-V100", ".Trashes", ".fseventsd", "lost+found", "__pycache__")
+SYSTEM_FILES = ("thumbs.db", "thumbs.db:encryptable", "ehthumbs.db", "ehthumbs_vista.db", "desktop.ini", "autorun.inf", ".ds_store", ".localized", ".appledouble", ".appledesktop")
+SIDECARS = ("thm", "xmp", "aae")
+TEMPORARY = ("tmp", "temp")
+SKIP_REASONS = ("system_file", "hidden_file", "user_ignored_folder", "user_ignored_extension", "system_directory", "other_type_excluded")
+
+
+@dataclass(frozen=True)
+class ScanSettings:
+    """What a listing leaves out besides its own folders."""
+
+    hidden: bool = True
+    system: bool = True
+    sidecars: bool = True
+    temporary: bool = True
+    others: bool = False
+    ignored_folders: tuple[str, ...] = ()
+    ignored_extensions: tuple[str, ...] = ()
+    own_folders: tuple[str, ...] = (".lumenlake",)
 
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
@@ -34,14 +51,32 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     return found.select(plain.alias("full_path"), relative.alias("relative_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified_at")).withColumns({"name": name, "extension": extension_of(name), "media_type": media_type(extension_of(name))})
 
 
-def skip_reason(name: str = "name", path: str = "relative_path", hidden: bool = True, ignored: tuple[str, ...] = ()):  # noqa: ANN201
-    """Why a listing leaves a file out, by the first rule that fits; null to keep it."""
-    low, parts = F.lower(F.col(name)), F.split(F.lower(F.col(path)), "/")
-    out = F.when(F.exists(parts, lambda p: p.isin(*SYSTEM_DIRS)), "system_dir").when(low.isin(*SYSTEM_FILES), "system_file")
-    out = out.when(extension_of(low).isin(*TEMPORARY) | low.startswith("~$"), "temporary")
-    for folder in ignored:
-        out = out.when(under(F.col(path), folder), "ignored_folder")
-    return out.when(low.startswith("."), "hidden") if hidden else out
+def skip_reason(settings: ScanSettings = ScanSettings(), name: str = "name", path: str = "relative_path") -> Column:
+    """Why a listing leaves a file out; null to keep it.
+
+    Folders are judged before files. Of the rules for files the first that fits a name decides: if its setting is
+    off the file stays, whatever later rules say. Excluding a type of its own comes last.
+    """
+    plain, n = slashed(F.col(path)), F.col(name)
+    low, ext = F.lower(n), extension_of(n)
+    above = F.filter(F.slice(F.split(plain, "/"), 1, F.greatest(F.size(F.split(plain, "/")) - 1, F.lit(0))), lambda d: d != "")
+    system_dir = F.exists(above, lambda d: d.isin(*settings.own_folders))
+    if settings.hidden:
+        system_dir |= F.exists(above, lambda d: d.startswith("."))
+    if settings.system:
+        system_dir |= F.exists(above, lambda d: d.startswith("@") | d.startswith("#") | d.isin(*SYSTEM_DIRS))
+    out = F.when(system_dir, "system_directory")
+    for folder in settings.ignored_folders:
+        out = out.when(under(plain, folder.replace("\\", "/").removesuffix("/")), "user_ignored_folder")
+    said = lambda on, reason: F.lit(reason if on else None).cast("string")
+    other = F.when(media_type(ext) == "other", said(not settings.others, "other_type_excluded"))
+    out = out.when(n.startswith("._") | ext.isin(*SIDECARS), F.coalesce(said(settings.sidecars, "system_file"), other))
+    out = out.when(low.isin(*SYSTEM_FILES), F.coalesce(said(settings.system, "system_file"), other))
+    out = out.when(n.startswith("."), F.coalesce(said(settings.hidden, "hidden_file"), other))
+    out = out.when(n.startswith("~$") | ext.isin(*TEMPORARY), F.coalesce(said(settings.temporary, "system_file"), other))
+    if settings.ignored_extensions:
+        out = out.when(ext.isin(*[e.lower().removeprefix(".") for e in settings.ignored_extensions]), "user_ignored_extension")
+    return out.otherwise(other)
 
 
 ENTRY = "archive string, name string, path string, size_bytes long, is_directory boolean, status string"
@@ -121,7 +156,7 @@ def peek_counts(entries: DataFrame) -> DataFrame:
     return rows.groupBy("archive").agg(n("photo").alias("photos"), n("video").alias("videos"), n("document").alias("documents"), F.sum("size_bytes").alias("size"), F.bool_or(extension_of(F.col("name")).isin("zip", "tar", "7z", "rar", "gz")).alias("nested"))
 
 
-def parse_props(column: str, schema: str):  # noqa: ANN201
+def parse_props(column: str, schema: str) -> Column:
     """A JSON column by schema; what cannot be read is null."""
     return F.from_json(column, schema)
 
