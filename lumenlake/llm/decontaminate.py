@@ -74,4 +74,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, unchanged, whose id holds no item."""
     leaks = cut(find_leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
-    return docs.join(_bounded(leaks), docs[id_col].eqNullSafe(F.col("leaked")), "left_anti")
+    return docs.join(_bounded(leaks), docs[id_col].eqNullSafe(leaks["leaked"]), "left_anti")

@@ -26,6 +26,7 @@ from lumenlake.llm.common import SPACE, cut
 
 WEIGHTS, BUDGET, MOST_EPOCHS = (3, 1, 2), Fraction(3, 2), 2
 SLOT_ROWS, SEED = 1_000, 17
+RESULTS = ("size", "source_size", "target", "taken")
 
 
 def words(text: Column) -> Column:
@@ -53,10 +54,11 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, budget: Fracti
 def mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None) -> DataFrame:
     """keep, size, source_size, target, taken of every row. quality: id_col and weight, above 0, once per id; others weigh 1.
 
-    The targets are worked out on the driver from one row per source.
+    A kept column with the name of a result gives way to it. The targets are worked out on the driver from one row per source.
     """
     spark = docs.sparkSession
-    sized = docs.select(*keep, docs[id_col].alias("__id"), docs[source_col].alias("__source"), words(docs[text_col]).alias("size"))
+    named = {f"__kept{i}": c for i, c in enumerate(c for c in keep if c not in RESULTS)}
+    sized = docs.select(*[docs[c].alias(k) for k, c in named.items()], docs[id_col].alias("__id"), docs[source_col].alias("__source"), words(docs[text_col]).alias("size"))
     if quality is not None:
         weigh = quality.select(F.col(id_col).alias("__of"), F.col("weight").cast("double").alias("__w"))
         sized = sized.join(weigh, F.col("__id") == F.col("__of"), "left").drop("__of")
@@ -84,7 +86,7 @@ def mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str
     order = Window.partitionBy("__s", "__slot").orderBy("__key", F.col("__id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     upto = F.col("__before") + F.sum("size").over(order)
     drawn = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (upto - F.col("size"))))
-    return rows.select(*keep, "size", "source_size", "target", (F.col("epochs") * F.col("size") + drawn).cast("long").alias("taken"))
+    return rows.select(*[F.col(k).alias(c) for k, c in named.items()], "size", "source_size", "target", (F.col("epochs") * F.col("size") + drawn).cast("long").alias("taken"))
 
 
 def quality_weights(labels: DataFrame, id_col: str = "doc_id", good: float = 2.0, bad: float = 0.5) -> DataFrame:
