@@ -11,7 +11,7 @@
 4. Queries of the same cells form groups of about GROUP_QUERIES. Each block goes to those groups of which a query needs it,
    and only there; each pair of block and group is solved on its own, and each query's best k of all pairs are kept.
 
-Scores are exact integers; ties go to the smaller id. Vectors that are null, or hold null or non-finite components, take
+Scores are exact integers, those beyond 64 bits the nearest long; ties go to the smaller id. Vectors that are null, or hold null or non-finite components, take
 no part; shorter ones count as padded with zeros. Repeated ids are rows of their own, and a query's own rows
 (all of its id) are never among its candidates; an id that repeats among the queries is asked once, by its first
 vector in order. Extra columns are harmless.
@@ -30,8 +30,7 @@ from lumenlake.llm.common import cut, map_units
 
 SCALE, PIVOTS, RINGS = 64, 128, 4
 BLOCK_ROWS, GROUP_QUERIES = 4_096, 512
-#: Larger components than this are multiplied as 64-bit integers, smaller ones exactly as doubles.
-EXACT = 1 << 20
+LARGEST = (1 << 63) - 1
 
 
 def quantised(df: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
@@ -49,9 +48,13 @@ def _matrix(vectors: pd.Series, dim: int) -> np.ndarray:
 
 
 def _scores(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    if max(np.abs(a).max(initial=0), np.abs(b).max(initial=0)) < EXACT:
+    """Inner products, exactly: as doubles or longs where they hold all sums, else as Python's integers, clipped."""
+    most = np.abs(a.astype(np.float64)).max(initial=0) * np.abs(b.astype(np.float64)).max(initial=0) * max(1, a.shape[1])
+    if most < 2.0**53:
         return (a.astype(np.float64) @ b.T.astype(np.float64)).astype(np.int64)
-    return a @ b.T
+    if most < 2.0**62:
+        return a @ b.T
+    return np.clip(a.astype(object) @ b.T.astype(object), -LARGEST, LARGEST).astype(np.int64)
 
 
 def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
@@ -94,7 +97,7 @@ class Summaries:
         # One of the k + 1 surest rows may be the query itself.
         bound = np.partition(sure, -(self.k + 1), axis=1)[:, -(self.k + 1)] if sure.shape[1] > self.k else np.full(len(q), -np.inf)
         best = to_pivot[:, self.cell] + norm * self.far
-        return np.nonzero(best >= bound[:, None] - slack)
+        return np.nonzero(np.clip(best, -LARGEST, LARGEST) >= np.clip(bound[:, None] - slack, -LARGEST, LARGEST))
 
 
 def _solve(unit: pd.DataFrame, k: int) -> pd.DataFrame:

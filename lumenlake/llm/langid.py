@@ -89,7 +89,10 @@ def encode(text: str, table: np.ndarray) -> np.ndarray:
 
 
 def automaton(symbols: np.ndarray) -> np.ndarray:
-    """Flat table of the suffix automaton's steps: 2 * ALPHABET * (next state) + (1 if a new phrase begins)."""
+    """Flat table of the suffix automaton's steps: 2 * ALPHABET * (next state) + (1 if a new phrase begins).
+
+    A last state follows a symbol that occurs nowhere: that symbol is a phrase, and whatever comes next begins one.
+    """
     step, link, length, last = [[-1] * ALPHABET], [-1], [0], 0
     for c in symbols.tolist():
         new = len(step)
@@ -114,10 +117,12 @@ def automaton(symbols: np.ndarray) -> np.ndarray:
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    table = np.array(step, np.int32)
-    root = np.maximum(table[0], 0)
+    nowhere = len(step)
+    table = np.array([*step, [-1] * ALPHABET], np.int32)
+    root = np.where(table[0] < 0, nowhere, table[0])
     ends = table < 0
-    table = (np.where(ends, root, table) * ALPHABET << 1 | ends).astype(np.int32)
+    ends[0] = False  # the first phrase is the first symbol's
+    table = (np.where(table < 0, root, table) * ALPHABET << 1 | ends).astype(np.int32)
     table[:, PAD] = np.arange(len(table), dtype=np.int32) * ALPHABET << 1
     return table.ravel()
 

@@ -18,7 +18,8 @@ def brute(rows: list[tuple], k: int, wanted) -> set[tuple]:
             first[i] = min(first.get(i, v), v)
     out = set()
     for q, v in first.items():
-        scores = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in whole if i != q))[:k]
+        near = lambda x: max(-knn.LARGEST, min(knn.LARGEST, x))
+        scores = sorted((-near(sum(a * b for a, b in zip(v, w))), i) for i, w in whole if i != q)[:k]
         out |= {(q, n, i, -s) for n, (s, i) in enumerate(scores, 1)}
     return out
 
