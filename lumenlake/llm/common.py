@@ -15,6 +15,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 #: ASCII whitespace, as a class body for Java and Python regular expressions.
 SPACE = r"\x20\x09-\x0D"
+#: Rows of 64 bytes at most that are broadcast.
+BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -39,6 +41,11 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it has BROADCAST_ROWS rows at most; else joins shuffle it. Counts df, so it should be a table."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def remainder(id_col: str, mod: int) -> Column:
     """crc32 of the id as text, modulo mod; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % mod

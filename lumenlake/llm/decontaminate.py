@@ -9,7 +9,7 @@ is sketched by its floor((1 - THRESHOLD) u) + 1 smallest hashes. A document that
 shingles lacks too few to miss the whole sketch, so a document that shares a sketch hash is a candidate and no
 pair is lost. Candidates are then verified on whole shingle sets.
 
-Sketches and candidates are broadcast only while they number BROADCAST_ROWS rows of fixed width at most; beyond
+Sketches and candidates are broadcast only while they number a million rows of fixed width at most; beyond
 that the same joins are shuffled. Null and empty texts, and those of fewer than five words, match nothing.
 Repeated documents or items of one id count once. Other columns play no part.
 """
@@ -20,11 +20,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from lumenlake.llm.common import cut
+from lumenlake.llm.common import bounded, cut
 
 WORDS, THRESHOLD = 5, 0.8
-#: Rows of 24 bytes at most that are broadcast.
-BROADCAST_ROWS = 1_000_000
 
 
 def shingles(text: Column, k: int = WORDS) -> Column:
@@ -36,10 +34,6 @@ def shingles(text: Column, k: int = WORDS) -> Column:
     return F.element_at(F.transform(F.array(words), lambda w: F.when(F.size(w) >= k, run(w)).otherwise(none)), 1)
 
 
-def _bounded(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def index_items(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """item, size, hash, sketched: one row for each distinct shingle of each item."""
     rows = items.select(F.col(id_col).alias("item"), F.explode(shingles(F.col(text_col))).alias("hash")).distinct()
@@ -56,17 +50,17 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     text = docs[text_col]
     keyed = docs.select(docs[id_col].alias("doc"), F.xxhash64(text).alias("key"), shingles(text).alias("sh"))
     probes = keyed.select("doc", "key", F.size("sh").alias("n"), F.explode("sh").alias("hash"))
-    found = probes.join(_bounded(sketch), "hash").where(F.col("n") >= F.ceil(F.col("size") * THRESHOLD - 1e-9))
+    found = probes.join(bounded(sketch), "hash").where(F.col("n") >= F.ceil(F.col("size") * THRESHOLD - 1e-9))
     found = cut(found.select("doc", "key", "item").distinct(), "candidates")
     texts = found.select(F.col("doc").alias("d"), F.col("key").alias("k")).distinct()
     again = docs.select(docs[id_col].alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
-    again = again.join(_bounded(texts), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
+    again = again.join(bounded(texts), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
     held = again.select("doc", "key", F.explode(F.array_distinct(shingles(F.col("text")))).alias("hash")).distinct()
-    pairs = held.join(_bounded(index.select("hash", "item", "size")), "hash")
+    pairs = held.join(bounded(index.select("hash", "item", "size")), "hash")
     shared = pairs.groupBy("doc", "key", "item", "size").agg(F.count(F.lit(1)).alias("shared"))
     # Only candidates count; the threshold is what they had to reach.
     full = shared.where(F.col("shared") >= F.ceil(F.col("size") * THRESHOLD - 1e-9))
-    checked = full.join(_bounded(found.select(F.col("doc").alias("d"), F.col("key").alias("k"), F.col("item").alias("i"))), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("item") == F.col("i")), "left_semi")
+    checked = full.join(bounded(found.select(F.col("doc").alias("d"), F.col("key").alias("k"), F.col("item").alias("i"))), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("item") == F.col("i")), "left_semi")
     best = checked.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("shared").alias("shared"), F.max("size").alias("item_shingles"))
     return best.withColumn("containment", F.round(F.col("shared") / F.col("item_shingles"), 6))
 
@@ -74,4 +68,4 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
 def drop_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, unchanged, whose id holds no item."""
     leaks = cut(find_leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("leaked")).distinct(), "leaks")
-    return docs.join(_bounded(leaks), docs[id_col].eqNullSafe(leaks["leaked"]), "left_anti")
+    return docs.join(bounded(leaks), docs[id_col].eqNullSafe(leaks["leaked"]), "left_anti")

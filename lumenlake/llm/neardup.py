@@ -3,7 +3,7 @@
 1. Texts with equal bytes are one class; its representative (smallest row) stands for them from here on.
 2. Each text gets HASHES MinHash values of its shingles (words: runs of non-blanks, A-Z lower-cased; a text of
    fewer than five words is one shingle). Representatives that agree on all ROWS values of one of BANDS bands are
-   candidates; a pair at the threshold is missed with probability (1 - 0.8**5)**32 < 4e-6.
+   candidates; a pair at the threshold is missed with probability (1 - 0.8**4)**24 < 4e-6.
 3. In each bucket of a band, pairs are compared incrementally: after every few values the pair is dropped if the
    posterior probability (uniform prior) that its similarity reaches the threshold is below TOLERANCE.
    A pair is compared in the first band it agrees on only. What survives leaves a spanning forest.
@@ -11,6 +11,9 @@
    whole shingle sets. This gives each text its number of links, and a spanning forest of true links.
 5. The components of true links, copies included, are the classes.
 
+Between the steps only what takes part moves: rows of texts that repeat, of buckets of two or more, of components. Such
+sides are broadcast while they number a million rows at most, else joined in a shuffle.
+
 Buckets and components of any size are cut into blocks of at most UNIT rows (or UNIT_SHINGLES shingles); each pair of blocks is a
 unit of work of bounded size, so no link is capped or sampled away and no pair becomes a row.
 
@@ -31,15 +34,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlake.llm.common import cut, map_texts, map_units
+from lumenlake.llm.common import bounded, cut, map_texts, map_units
 from lumenlake.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
-BANDS, ROWS = 32, 5
+BANDS, ROWS = 24, 4
+#: The lowest bits of a bucket's key hold its band.
+BAND_BITS = 5
 HASHES = BANDS * ROWS
 TOLERANCE = 1e-7
 #: Values compared at a time.
-STEPS = (8, 16, 32, 64, 96, 128, HASHES)
+STEPS = (8, 16, 32, 64, HASHES)
 UNIT, UNIT_SHINGLES = 1_024, 1_500_000
 
 
@@ -95,7 +100,7 @@ def _bands(values: np.ndarray) -> np.ndarray:
         key = np.full(len(values), b, np.uint64)
         for r in range(ROWS):
             key = _mixed(key * np.uint64(0x9E3779B97F4A7C15) + values[:, b * ROWS + r])
-        keys[:, b] = (key >> np.uint64(6) << np.uint64(5)) | np.uint64(b)
+        keys[:, b] = (key >> np.uint64(BAND_BITS + 1) << np.uint64(BAND_BITS)) | np.uint64(b)
     return keys.astype(np.int64)
 
 
@@ -191,9 +196,9 @@ def _in_bucket(unit: pd.DataFrame) -> pd.DataFrame:
     """A forest of the pairs of a bucket's unit that survive."""
     values = np.frombuffer(b"".join(unit["values"]), np.uint8).reshape(len(unit), HASHES)
     bands = np.stack(unit["bands"].to_numpy())
-    band = int(unit["bucket"].iloc[0]) & (BANDS - 1)
+    band = int(unit["bucket"].iloc[0]) & ((1 << BAND_BITS) - 1)
     left, right, same = _halves(unit)
-    kept_a, kept_b = [], []
+    kept_a, kept_b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]  # a block may be empty
     for lo in range(0, len(left), 256):
         if same:
             some = left[lo : lo + 256]
@@ -257,57 +262,64 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     picked = docs.select(docs[id_col].alias("doc_id"), F.md5(text).alias("key"), text.alias("text"))
     signed = map_texts(picked, ["doc_id", "key"], "text", SIGNED, _sign)
     signed = cut(signed.withColumn("row_id", F.monotonically_increasing_id()), "signed")
-    classes = signed.where("size > 0").groupBy("key").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies"))
-    classes = cut(classes, "classes")
-    reps = signed.join(classes.select("rep", "copies"), F.col("row_id") == F.col("rep")).select("rep", "key", "copies", "size", "bands", "values")
+    copied = signed.where("size > 0").groupBy("key").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    copied = bounded(cut(copied, "copied"))
+    again = cut(signed.select("key", "row_id").join(copied, "key").where("row_id <> rep").select("row_id"), "again")
+    reps = signed.where("size > 0").join(bounded(again), "row_id", "left_anti").withColumnRenamed("row_id", "rep")
 
     # Buckets of two or more; of buckets with equal members the first band's stands for all.
     banded = reps.select("rep", F.explode("bands").alias("bucket"))
-    mark = F.xxhash64("rep")
-    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(mark).alias("x"), F.bit_xor(F.xxhash64(mark, F.lit(7))).alias("y"), F.min("rep").alias("least")).where("members > 1")
-    by_members = buckets.groupBy("members", "x", "y", "least").agg(F.min(F.struct(F.col("bucket") % BANDS, "bucket")).getField("bucket").alias("bucket"))
+    buckets = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("members"), F.bit_xor(F.xxhash64("rep")).alias("mark"), F.min("rep").alias("least")).where("members > 1")
+    band = F.col("bucket").bitwiseAND((1 << BAND_BITS) - 1)
+    by_members = buckets.groupBy("members", "mark", "least").agg(F.min(F.struct(band.alias("band"), "bucket")).getField("bucket").alias("bucket"))
     chosen = cut(by_members.select("bucket", "members"), "buckets")
-    placed = banded.join(chosen, "bucket")
+    placed = cut(banded.join(bounded(chosen), "bucket"), "placed")
+    some = bounded(cut(placed.select("rep").distinct(), "some"))
     unit_rows = _dealt(placed, f"ceil(members / {UNIT})", "bucket").select("unit", "i", "j", "part", "bucket", "rep")
-    unit_rows = unit_rows.join(reps.select("rep", "bands", "values"), "rep")
+    unit_rows = unit_rows.join(reps.select("rep", "bands", "values").join(some, "rep", "left_semi"), "rep")
     likely = cut(map_units(unit_rows, "unit", _in_bucket, "a long, b long"), "likely")
 
     # Verification, with each text's shingles where its component is.
-    groups = components(likely).withColumnRenamed("node", "rep")
-    members = cut(groups.join(reps.select("rep", "key", "copies", "size", "values"), "rep"), "members")
+    groups = bounded(components(likely).withColumnRenamed("node", "rep"))
+    members = reps.select("rep", "doc_id", "key", "size", "values").join(groups, "rep").join(copied.select("rep", "copies"), "rep", "left")
+    members = cut(members.withColumn("copies", F.coalesce("copies", F.lit(1))), "members")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("shingle_sum"))
     units = cut(_dealt(members.join(sizes, "comp"), f"greatest(ceil(texts / {UNIT}), ceil(shingle_sum / {UNIT_SHINGLES}))", "comp").select("unit", "i", "j", "part", "rep", "key", "copies", "values"), "units")
-    wanted = picked.join(members.select(F.col("key").alias("k")), F.col("key") == F.col("k"), "left_semi")
+    # One row of each text, that of its representative; equal rows are met by dropDuplicates.
+    of = bounded(members.select(F.col("doc_id").alias("d"), F.col("key").alias("k")))
+    wanted = picked.join(of, picked["doc_id"].eqNullSafe(of["d"]) & (picked["key"] == of["k"]), "left_semi")
     sets = map_texts(wanted, ["key"], "text", [T.StructField("shingles", T.BinaryType())], lambda texts: [[shingle_set(t).tobytes() for t in texts]])
     sets = sets.dropDuplicates(["key"])
     verified = cut(map_units(units.join(sets, "key"), "unit", _in_component, "a long, b long, links long"), "verified")
     links = verified.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    groups = components(verified.where("b is not null").select("a", "b"))
-
-    # Back to rows: a class's rows are those of its texts.
-    of_rep = classes.join(links, "rep", "left").join(groups.withColumnRenamed("node", "rep"), "rep", "left")
-    of_rep = of_rep.select(F.col("key").alias("k"), F.coalesce("comp", "rep").alias("comp"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    rows = signed.select("doc_id", "key", "row_id", "size").join(of_rep, (F.col("key") == F.col("k")) & (F.col("size") > 0), "left")
-    rows = cut(rows.select("doc_id", "key", "row_id", F.coalesce("comp", "row_id").alias("comp"), F.coalesce("n_links", F.lit(0)).alias("n_links")), "rows")
+    groups = components(verified.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
+
+    # Back to rows: a row's class is that of its text.
+    of_rep = bounded(cut(groups.join(links, "rep", "full_outer").select(F.col("rep").alias("r"), "comp", "links"), "links"))
+    rows = signed.select("doc_id", "key", "row_id", "size").join(copied.select(F.col("key").alias("k"), "rep", "copies"), F.col("key") == F.col("k"), "left")
+    rows = rows.withColumn("rep", F.coalesce("rep", "row_id")).join(of_rep, F.col("rep") == F.col("r"), "left")
+    n_links = F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
+    rows = cut(rows.select("doc_id", "key", "row_id", F.coalesce("comp", "rep").alias("comp"), n_links.alias("n_links")), "rows")
     ids = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("null_last"), "doc_id", "row_id")).getField("row_id").alias("class_row"))
     return rows.join(ids, "comp").select("doc_id", "class_id", "n_links", "key", "class_row", "row_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, unchanged, without all but one (the one of the smallest id) of each class."""
-    found = cut(near_duplicates(docs, id_col, text_col), "found")
-    gone = found.where("row_id <> class_row").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).distinct()
-    kept = found.where("row_id = class_row").select(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key"))
-    # Equal rows share id and text: some go and one stays.
-    equal = cut(gone.join(kept, ["gone_id", "gone_key"], "left_semi"), "equal")
-    gone = gone.join(kept, ["gone_id", "gone_key"], "left_anti")
-    key = F.md5(F.coalesce(docs[text_col], F.lit("")))
-    match = lambda side: docs[id_col].eqNullSafe(side["gone_id"]) & (key == side["gone_key"])
-    rest = docs.join(gone, match(gone), "left_anti")
+    found = cut(near_duplicates(docs, id_col, text_col), "found").select(F.col("doc_id").alias("id"), "key", (F.col("row_id") == F.col("class_row")).alias("kept"))
+    same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["key"] == b["key"])
+    gone, kept = cut(found.where("not kept").select("id", "key").distinct(), "gone"), found.where("kept")
+    # Rows that are equal share id and text: some go and one stays.
+    side = bounded(gone)
+    equal = cut(kept.join(side, same(kept, side), "left_semi").select("id", "key").distinct(), "equal")
+    keyed = docs.withColumn("__key", F.md5(F.coalesce(docs[text_col], F.lit(""))))
+    match = lambda x: keyed[id_col].eqNullSafe(x["id"]) & (keyed["__key"] == x["key"])
     if equal.isEmpty():
-        return rest
-    once = docs.join(equal, match(equal), "left_semi").dropDuplicates([id_col, text_col])
-    return rest.join(equal, match(equal), "left_anti").unionByName(once)
+        return keyed.join(side, match(side), "left_anti").drop("__key")
+    both = bounded(equal)
+    rest = keyed.join(side, match(side), "left_anti")
+    once = keyed.join(both, match(both), "left_semi").dropDuplicates([id_col, text_col])
+    return rest.unionByName(once).drop("__key")
 
 
 def expected_miss(similarity: float = THRESHOLD) -> float:

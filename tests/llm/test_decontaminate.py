@@ -6,7 +6,7 @@ import math
 import random
 import re
 
-from lumenlake.llm import decontaminate
+from lumenlake.llm import common, decontaminate
 
 
 def shingles(text: str | None) -> set[str]:
@@ -57,7 +57,7 @@ def test_no_pair_is_lost_or_made_up(spark):
 
 
 def test_shuffled_where_too_large_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
     docs, items = corpus(9)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"], r["shared"], r["item_shingles"]) for r in decontaminate.find_leaks(d, b).collect()} == leaks(docs, items)

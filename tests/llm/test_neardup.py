@@ -5,7 +5,7 @@ from __future__ import annotations
 import random
 
 import pytest
-from lumenlake.llm import neardup
+from lumenlake.llm import common, neardup
 from lumenlake.llm.components import components
 
 
@@ -100,6 +100,19 @@ def test_keep_one_of_each_class(spark):
     assert {9_000, 9_001, 9_002, 9_006} <= set(found)
 
 
+def test_equal_rows_without_ids_leave_one(spark):
+    rows = [(None, "a b c d e f g"), (None, "a b c d e f g"), (None, "other words of its own here"), (1, None), (1, None), (2, "x y z"), (2, "x y z"), (3, "x y z")]
+    kept = [tuple(r) for r in neardup.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[2], (1, None), (1, None), (2, "x y z")], key=str)
+
+
+def test_shuffled_where_too_large_to_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    rows = near_texts(8, bases=6)
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect()
+    assert sorted((tuple(r) for r in found), key=str) == brute(rows)
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert neardup.near_duplicates(docs).count() == neardup.keep_one(docs).count() == 0
