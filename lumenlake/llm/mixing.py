@@ -5,14 +5,16 @@ weights 3, 1, 2, repeating, and share BUDGET times all sizes; a target stops at
 size and the excess goes to the others by weight until none is above.
 
 A target's whole multiples of the source's size are complete epochs: every document is taken that often. The
-rest is drawn: each document has the key -ln(u) / w, with u a hash of its id and w its quality weight; documents are
-taken in the order of their keys until the rest is full, the last of them in part. So a source gives its target, cut to a word.
+rest is drawn: each document has the key -ln(u) / w, with u a hash of its id and text and w its quality weight; documents
+are taken in the order of their keys until the rest is full, the last of them in part. So a source gives its target, cut to a word.
 
-Keys are cut into slots, as many as a source needs for about SLOT_ROWS rows each; sums of slots give each slot its place,
-and rows are put in order within a slot only. So a source with most of the rows is spread over many tasks.
+The order is not laid out in full: all that has to be known of it is each source's cut, the key at which its prefix sum
+reaches the rest. It is found in rounds over narrow rows without texts: the keys between a source's bounds fall into BINS
+bins, whose sizes are summed up in order, and the bin that holds the cut gives the next bounds; once few rows are left they
+are sorted. Every row's share then follows from its own key, so texts are shuffled for the join of the weights only.
 
-Rows with equal ids have equal keys and take their turn by size. Null ids are hashed as such. A source
-without words has the target 0. Extra columns are harmless. The same data gives the same result.
+Rows of one key, that is of one id and text, share what is left at the cut by size, rounded down. Null ids and texts are
+hashed as such. A source without words has the target 0. Extra columns are harmless. The same data gives the same result.
 """
 
 from __future__ import annotations
@@ -25,7 +27,8 @@ from pyspark.sql import functions as F
 from lumenlake.llm.common import SPACE, cut
 
 WEIGHTS, BUDGET, MOST_EPOCHS = (3, 1, 2), Fraction(3, 2), 2
-SLOT_ROWS, SEED = 1_000, 17
+#: Bins of a round, rows of a source that are sorted, rounds at most, and the hash's seed.
+BINS, SORTED_ROWS, ROUNDS, SEED = 1_024, 1_000, 6, 17
 RESULTS = ("size", "source_size", "target", "taken")
 
 
@@ -51,42 +54,70 @@ def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, budget: Fracti
     return out
 
 
+def _keyed(docs: DataFrame, kept: dict[str, str], id_col: str, text_col: str, source_col: str, quality: DataFrame | None) -> DataFrame:
+    """The kept columns with __source, size and __key."""
+    text = docs[text_col]
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), docs[id_col], text), 11).cast("double") + 0.5) / float(1 << 53)
+    sized = docs.select(*[docs[c].alias(k) for k, c in kept.items()], docs[id_col].alias("__id"), docs[source_col].alias("__source"), words(text).alias("size"), (-F.log(u)).alias("__draw"))
+    if quality is None:
+        return sized.withColumn("__key", F.col("__draw"))
+    weigh = quality.select(F.col(id_col).alias("__of"), F.col("weight").cast("double").alias("__w"))
+    return sized.join(weigh, F.col("__id") == F.col("__of"), "left").withColumn("__key", F.col("__draw") / F.coalesce("__w", F.lit(1.0)))
+
+
+def _reaches(rows: DataFrame, order: str) -> DataFrame:
+    """Of rows with __s, rest, before and sum, in order, the one of each source in which before and the sums reach the rest."""
+    upto = F.col("before") + F.sum("sum").over(Window.partitionBy("__s").orderBy(order))
+    rows = rows.withColumn("upto", upto).where((F.col("upto") >= F.col("rest")) & (F.col("upto") - F.col("sum") < F.col("rest")))
+    return rows.withColumn("before", F.col("upto") - F.col("sum"))
+
+
+def cuts(keyed: DataFrame, rests: list[tuple]) -> dict[str | None, tuple[float, int, int]]:
+    """For each (source, rest above 0, least key, largest key, rows): the cut's key, the words left there, and the words of its key."""
+    spark = keyed.sparkSession
+    bounds = [(s, rest, 0, lo, hi, n) for s, rest, lo, hi, n in rests]
+    out = {}
+    for left in range(ROUNDS, -1, -1):
+        if not bounds:
+            break
+        plan = spark.createDataFrame(bounds, "__s string, rest long, before long, lo double, hi double, n long")
+        near = keyed.select("__source", "size", "__key").join(F.broadcast(plan), F.col("__source").eqNullSafe(F.col("__s")) & F.col("__key").between(F.col("lo"), F.col("hi")))  # a row for each source
+        few = (F.col("n") <= SORTED_ROWS) if left else F.lit(True)
+        if not left or any(b[5] <= SORTED_ROWS for b in bounds):
+            by_key = near.where(few).groupBy("__s", "rest", "before", "__key").agg(F.sum("size").alias("sum"))
+            for r in _reaches(by_key, "__key").collect():
+                out[r["__s"]] = (r["__key"], r["rest"] - r["before"], r["sum"])
+        # Exponential keys fall evenly into bins of exp(-key).
+        at = (F.exp(-F.col("lo")) - F.exp(-F.col("__key"))) / F.nullif(F.exp(-F.col("lo")) - F.exp(-F.col("hi")), F.lit(0.0))
+        binned = near.where(~few).withColumn("bin", F.least(F.floor(F.coalesce(at, F.lit(0.0)) * BINS), F.lit(BINS - 1)))
+        by_bin = binned.groupBy("__s", "rest", "before", "bin").agg(F.sum("size").alias("sum"), F.min("__key").alias("lo"), F.max("__key").alias("hi"), F.count(F.lit(1)).alias("n"))
+        wide = any(b[5] > SORTED_ROWS for b in bounds) and left
+        bounds = [(r["__s"], r["rest"], r["before"], r["lo"], r["hi"], r["n"]) for r in _reaches(by_bin, "bin").collect()] if wide else []
+    return out
+
+
 def mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", quality: DataFrame | None = None) -> DataFrame:
     """keep, size, source_size, target, taken of every row. quality: id_col and weight, above 0, once per id; others weigh 1.
 
-    A kept column with the name of a result gives way to it. The targets are worked out on the driver from one row per source.
+    A kept column with the name of a result gives way to it. The driver sees a row per source.
     """
     spark = docs.sparkSession
-    named = {f"__kept{i}": c for i, c in enumerate(c for c in keep if c not in RESULTS)}
-    sized = docs.select(*[docs[c].alias(k) for k, c in named.items()], docs[id_col].alias("__id"), docs[source_col].alias("__source"), words(docs[text_col]).alias("size"))
-    if quality is not None:
-        weigh = quality.select(F.col(id_col).alias("__of"), F.col("weight").cast("double").alias("__w"))
-        sized = sized.join(weigh, F.col("__id") == F.col("__of"), "left").drop("__of")
-    else:
-        sized = sized.withColumn("__w", F.lit(1.0))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(SEED), "__id"), 11).cast("double") + 0.5) / float(1 << 53)
-    # The slot follows the key: for keys of rate w, 1 - exp(-key) is u's complement to the power 1 / w.
-    keyed = sized.withColumn("__key", -F.log(u) / F.coalesce("__w", F.lit(1.0)))
-    keyed = cut(keyed, "sized")
-    totals = keyed.groupBy("__source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("rows")).collect()
+    kept = {f"__kept{i}": c for i, c in enumerate(c for c in keep if c not in RESULTS)}
+    keyed = cut(_keyed(docs, {}, id_col, text_col, source_col, quality).select("__source", "size", "__key"), "keys")
+    totals = keyed.groupBy("__source").agg(F.sum("size").alias("source_size"), F.min("__key").alias("lo"), F.max("__key").alias("hi"), F.count(F.lit(1)).alias("rows")).collect()
     totals.sort(key=lambda r: (r["__source"] is None, r["__source"] or ""))
-    wanted = targets([r["source_size"] for r in totals])
     plan = []
-    for r, goal in zip(totals, wanted, strict=True):
+    for r, goal in zip(totals, targets([r["source_size"] for r in totals]), strict=True):
         size = r["source_size"]
         epochs = int(goal // size) if size else 0
-        plan.append((r["__source"], size, float(goal), epochs, round(goal - epochs * size), max(1, -(-r["rows"] // SLOT_ROWS))))
-    goals = F.broadcast(spark.createDataFrame(plan, "__s string, source_size long, target double, epochs long, rest long, slots long"))
-    rows = keyed.join(goals, F.col("__source").eqNullSafe(F.col("__s")))
-    rows = rows.withColumn("__slot", F.least(F.floor((1 - F.exp(-F.col("__key"))) * F.col("slots")), F.col("slots") - 1))
-    slots = rows.groupBy("__s", "__slot").agg(F.sum("size").alias("__sum"))
-    slots = slots.withColumn("__before", F.sum("__sum").over(Window.partitionBy("__s").orderBy("__slot")) - F.col("__sum"))
-    slots = slots.select(F.col("__s").alias("__s2"), F.col("__slot").alias("__slot2"), "__before", "__sum")
-    rows = rows.join(slots, F.col("__s").eqNullSafe(F.col("__s2")) & (F.col("__slot") == F.col("__slot2")))
-    order = Window.partitionBy("__s", "__slot").orderBy("__key", F.col("__id").asc_nulls_last(), "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    upto = F.col("__before") + F.sum("size").over(order)
-    drawn = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - (upto - F.col("size"))))
-    return rows.select(*[F.col(k).alias(c) for k, c in named.items()], "size", "source_size", "target", (F.col("epochs") * F.col("size") + drawn).cast("long").alias("taken"))
+        plan.append((r["__source"], size, float(goal), epochs, round(goal - epochs * size), r["lo"], r["hi"], r["rows"]))
+    found = cuts(keyed, [(s, rest, lo, hi, n) for s, _, _, _, rest, lo, hi, n in plan if rest])
+    # Keys are 0 or more, so a cut of -1 draws nothing.
+    goals = spark.createDataFrame([(*p[:4], *found.get(p[0], (-1.0, 0, 1))) for p in plan], "__s string, source_size long, target double, epochs long, cut double, rest long, cut_size long")
+    rows = _keyed(docs, kept, id_col, text_col, source_col, quality).join(F.broadcast(goals), F.col("__source").eqNullSafe(F.col("__s")))  # a row for each source
+    share = F.floor(F.col("size") * F.col("rest") / F.col("cut_size"))
+    drawn = F.when(F.col("__key") < F.col("cut"), F.col("size")).when(F.col("__key") == F.col("cut"), share).otherwise(0)
+    return rows.select(*[F.col(k).alias(c) for k, c in kept.items()], "size", "source_size", "target", (F.col("epochs") * F.col("size") + drawn).cast("long").alias("taken"))
 
 
 def quality_weights(labels: DataFrame, id_col: str = "doc_id", good: float = 2.0, bad: float = 0.5) -> DataFrame:

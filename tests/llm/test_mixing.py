@@ -28,10 +28,11 @@ def corpus(seed: int, n: int = 400) -> list[tuple]:
     return [*rows, rows[3], (None, "null id", "b"), (None, None, None), (n, "", "empty source"), (n + 1, "z " * 50_000, "c")]
 
 
-@pytest.mark.parametrize("slot", [1_000, 7])
-def test_each_source_gives_its_target(spark, monkeypatch, slot):
-    monkeypatch.setattr(mixing, "SLOT_ROWS", slot)
-    rows = corpus(slot)
+@pytest.mark.parametrize(("few", "bins"), [(1_000, 1_024), (7, 4)])
+def test_each_source_gives_its_target(spark, monkeypatch, few, bins):
+    monkeypatch.setattr(mixing, "SORTED_ROWS", few)
+    monkeypatch.setattr(mixing, "BINS", bins)
+    rows = corpus(few)
     docs = spark.createDataFrame([(*r, 1, 2) for r in rows], "doc_id long, text string, source string, rest int, size int")
     quality = spark.createDataFrame([(i, 2.0 if i % 3 else 0.5) for i in range(0, 300, 2)], "doc_id long, weight double")
     found = mixing.mix(docs, ["doc_id", "source"], quality=quality).collect()
@@ -57,11 +58,12 @@ def test_each_source_gives_its_target(spark, monkeypatch, slot):
 
 
 def test_documents_are_drawn_in_the_order_of_their_keys(spark, monkeypatch):
-    monkeypatch.setattr(mixing, "SLOT_ROWS", 5)
+    monkeypatch.setattr(mixing, "SORTED_ROWS", 5)
+    monkeypatch.setattr(mixing, "BINS", 3)
     import math
 
     docs = spark.createDataFrame([(i, "a b c", "s" if i % 4 else "t") for i in range(200)], "doc_id long, text string, source string")
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id"), 11).cast("double") + 0.5) / float(1 << 53)
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", "text"), 11).cast("double") + 0.5) / float(1 << 53)
     keys = {r["doc_id"]: -math.log(r["u"]) for r in docs.select("doc_id", u.alias("u")).collect()}
     found = mixing.mix(docs, ["doc_id", "source"]).collect()
     for source in ("s", "t"):
@@ -71,6 +73,13 @@ def test_documents_are_drawn_in_the_order_of_their_keys(spark, monkeypatch):
         assert extra == sorted(extra, reverse=True)
 
 
+def test_equal_rows_share_the_cut(spark):
+    docs = spark.createDataFrame([(1, "a b c d e", "s")] * 7, "doc_id long, text string, source string")
+    found = mixing.mix(docs, ["doc_id"]).collect()
+    # 52.5 words are wanted of 35: an epoch, and 18 words that seven equal rows share.
+    assert {r["taken"] for r in found} == {5 + 18 // 7}
+
+
 def test_better_documents_are_taken_more_often(spark):
     docs = spark.createDataFrame([(i, "a b c d", "one") for i in range(4_000)], "doc_id long, text string, source string")
     quality = spark.createDataFrame([(i, 4.0 if i % 4 < 2 else 0.25) for i in range(4_000)], "doc_id long, weight double")
