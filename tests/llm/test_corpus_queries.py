@@ -21,7 +21,7 @@ COLUMNS = {
     "op4_ppm": ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
     "op5_decontaminate": ["doc_id", "item_id"],
     "op6_urls": ["page_id", "host", "path", "rule", "verdict"],
-    "op7_licenses": ["doc_id", "licenses"],
+    "op7_licenses": ["doc_id", "sentences", "licenses"],
     "op8_neardup": ["doc_id", "class_id", "n_links"],
     "op9_knn": ["query_id", "rank", "vec_id", "score"],
     "op10_mixing": ["doc_id", "size", "source_size", "target", "taken"],
