@@ -7,10 +7,12 @@ an escape of q / (C + q) leads to the context that is a byte shorter, in which t
 are excluded from counts and followers; below the empty context the rest of the 256 symbols are alike.
 The score of a text is the sum of log10 of these probabilities: minus its code length.
 
-Counts cover every training text and are gathered by a shuffle. The trie that scores is broadcast, so its size
-is bounded: strings that make up less than 1 / NODES of all are left out, at any size of corpus, which leaves NODES strings of each
-length at most. Their occurrences join their context's escape, so that all probabilities still add up to 1. Likewise for the base score: tokens that make up at least
-1 / HEAD of all (HEAD at most) are broadcast, and all others meet their counts in a shuffled join.
+Counts cover every training text and are gathered by a shuffle; nothing is left out of them. What is broadcast only saves
+lookups: the probabilities of strings that make up at least 1 / NODES of all (NODES at most), worked out from the whole counts,
+and likewise tokens that make up at least 1 / HEAD of all. Every other string or token of a text meets the whole counts in a shuffle.
+Strings are dealt by the last SHORT bytes of their context, so that a task holds all longer contexts with that end;
+counts of up to SHORT bytes, as many at any size of corpus, are broadcast. What a slice of texts asks of a bucket of strings
+or tokens travels as one row.
 
 Null texts count as empty and consist of their end only. Null ids are neither learned from nor held out.
 Repeated rows and ids give one result row each; without training texts all symbols and tokens are unseen.
@@ -19,20 +21,22 @@ Repeated rows and ids give one result row each; without training texts all symbo
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from lumenlake.llm.common import cut, slices
 
-ORDER, NODES, HEAD = 5, 1 << 21, 1 << 17
+ORDER, SHORT, NODES, HEAD = 5, 3, 1 << 21, 1 << 17
 START, END = 0xFE, 0xFF  # no byte of UTF-8
 ABSENT = np.uint64((1 << 64) - 1)
 #: The end's token; it holds a blank, as no word does.
@@ -40,6 +44,11 @@ END_TOKEN = b" end"
 #: Distinct tokens or strings that a task holds before it hands them on.
 HELD, HELD_STRINGS = 300_000, 1_000_000
 SLICE_CHARS = 2_000_000
+#: Strings or tokens that a task looks up in the whole counts at a time.
+ASKED = 500_000
+#: Buckets of strings and tokens for each partition of the shuffle.
+BUCKETS = 8
+COUNTED_STRING, COUNTED_TOKEN, TEXT, ASKED_STRINGS, ASKED_TOKENS = range(5)
 
 
 def _bytes(text: str | None) -> bytes:
@@ -105,32 +114,10 @@ def learn(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
     return cut(texts.mapInArrow(_count, COUNTS).groupBy("kind", "token").agg(F.sum("n").alias("n")), "counts")
 
 
-class Trie:
-    """Log10 probabilities of symbols in contexts, from the kept strings of each length and their counts."""
+class Logs:
+    """Logarithms by packed string, by open addressing."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
-        """levels[k]: strings of k + 1 bytes, packed, ascending, and their counts; a string's suffixes are in the levels below."""
-        self.levels = []
-        for k, (strings, counts) in enumerate(levels):
-            ctx, first = np.unique(strings >> np.uint64(8), return_index=True)
-            total = np.add.reduceat(counts, first).astype(np.float64) if len(ctx) else np.zeros(0)
-            pruned = np.zeros(len(ctx))
-            if k and len(ctx) and len(levels[k - 1][0]):  # a context occurs as often as it does as a string
-                shorter, below = levels[k - 1]
-                at = np.minimum(np.searchsorted(shorter, ctx), len(shorter) - 1)
-                pruned = np.where(shorter[at] == ctx, np.maximum(0, below[at] - total), 0.0)
-            kinds = np.diff(np.append(first, len(strings))).astype(np.float64)
-            # What a context's followers count in the context that is a byte shorter, where they are excluded.
-            excluded = np.zeros(len(ctx))
-            if k and len(ctx):
-                shorter, below = levels[k - 1]
-                excluded = np.add.reduceat(below[np.searchsorted(shorter, strings & self._mask(k))], first).astype(np.float64)
-            self.levels.append((strings, counts.astype(np.float64), ctx, total + pruned, kinds, excluded, pruned))
-        self.spare = 256 - len(levels[0][0])
-        # The longest strings by open addressing: most symbols are found there.
-        strings, counts, ctx, total, kinds, _, _ = self.levels[-1]
-        at = np.searchsorted(ctx, strings >> np.uint64(8))
-        logs = np.log10(counts / (total[at] + kinds[at])) if len(strings) else np.zeros(0)
+    def __init__(self, strings: np.ndarray, logs: np.ndarray) -> None:
         self.bits = max(4, int(4 * len(strings)).bit_length())
         self.keys = np.full(1 << self.bits, ABSENT, np.uint64)
         self.logs = np.zeros(1 << self.bits, np.float32)
@@ -142,27 +129,63 @@ class Trie:
             self.logs[slot[done]] = logs[left[done]]
             left, slot = left[~done], (slot[~done] + 1) & ((1 << self.bits) - 1)
 
-    @staticmethod
-    def _mask(n: int) -> np.uint64:
-        return np.uint64((1 << 8 * n) - 1)
-
     def _slot(self, strings: np.ndarray) -> np.ndarray:
         return ((strings * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
 
-    def score(self, strings: np.ndarray) -> np.ndarray:
-        """Log10 probability of each string's last byte after the others."""
-        out = np.empty(len(strings), np.float64)
+    def find(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each string's logarithm, 0 for those that are absent; the places of these."""
+        out = np.zeros(len(strings), np.float64)
         left, slot = np.arange(len(strings)), self._slot(strings)
-        rare = []
+        absent = []
         while len(left):
             found = self.keys[slot]
             hit = found == strings[left]
             out[left[hit]] = self.logs[slot[hit]]
             none = found == ABSENT
-            rare.append(left[none])
+            absent.append(left[none])
             go = ~(hit | none)
             left, slot = left[go], (slot[go] + 1) & ((1 << self.bits) - 1)
-        rare = np.concatenate(rare) if rare else left
+        return out, np.sort(np.concatenate(absent)) if absent else left
+
+
+def _mask(n: int) -> np.uint64:
+    return np.uint64((1 << 8 * n) - 1)
+
+
+def _suffixes(strings: np.ndarray, counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The last size bytes of the strings, ascending, and their counts."""
+    own, back = np.unique(strings & _mask(size), return_inverse=True)
+    return own, np.bincount(back, counts, len(own)).astype(np.int64)
+
+
+class Trie:
+    """Log10 probabilities of symbols in contexts, from the strings of each length and their counts.
+
+    Contexts of which it holds a string have to be whole, with all followers, and so has each of their suffixes.
+    """
+
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray]]) -> None:
+        """levels[k]: strings of k + 1 bytes, packed, ascending, and their counts; a string's suffixes are in the levels below."""
+        self.levels = []
+        for k, (strings, counts) in enumerate(levels):
+            ctx, first = np.unique(strings >> np.uint64(8), return_index=True)
+            total = np.add.reduceat(counts, first).astype(np.float64) if len(ctx) else np.zeros(0)
+            kinds = np.diff(np.append(first, len(strings))).astype(np.float64)
+            # What a context's followers count in the context that is a byte shorter, where they are excluded.
+            excluded = np.zeros(len(ctx))
+            if k and len(ctx):
+                shorter, below = levels[k - 1]
+                excluded = np.add.reduceat(below[np.searchsorted(shorter, strings & _mask(k))], first).astype(np.float64)
+            self.levels.append((strings, counts.astype(np.float64), ctx, total, kinds, excluded))
+        self.spare = 256 - len(levels[0][0])
+        # Most symbols are found in the longest strings.
+        strings, counts, ctx, total, kinds, _ = self.levels[-1]
+        at = np.searchsorted(ctx, strings >> np.uint64(8))
+        self.longest = Logs(strings, np.log10(counts / (total[at] + kinds[at])) if len(strings) else np.zeros(0))
+
+    def score(self, strings: np.ndarray) -> np.ndarray:
+        """Log10 probability of each string's last byte after the others."""
+        out, rare = self.longest.find(strings)
         distinct, back = np.unique(strings[rare], return_inverse=True)
         out[rare] = self.escaping(distinct)[back]
         return out
@@ -172,10 +195,10 @@ class Trie:
         out, open_ = np.zeros(len(strings)), np.arange(len(strings))
         lost = np.zeros(len(strings)), np.zeros(len(strings))  # counts and followers that are excluded
         for k in range(len(self.levels) - 1, -1, -1):
-            own, counts, ctx, total, kinds, excluded, pruned = self.levels[k]
+            own, counts, ctx, total, kinds, excluded = self.levels[k]
             if not len(own) or not len(open_):
                 continue
-            these = strings[open_] & self._mask(k + 1)
+            these = strings[open_] & _mask(k + 1)
             at = np.minimum(np.searchsorted(ctx, these >> np.uint64(8)), len(ctx) - 1)
             known = ctx[at] == these >> np.uint64(8)
             here, at, these = open_[known], at[known], these[known]
@@ -183,9 +206,8 @@ class Trie:
             place = np.minimum(np.searchsorted(own, these), len(own) - 1)
             seen = own[place] == these
             out[here[seen]] += np.log10(counts[place[seen]] / (c[seen] + q[seen]))
-            up = q + pruned[at]
-            escape = ~seen & (up > 0)
-            out[here[escape]] += np.log10(up[escape] / (c[escape] + q[escape]))
+            escape = ~seen & (q > 0)
+            out[here[escape]] += np.log10(q[escape] / (c[escape] + q[escape]))
             lost[0][here], lost[1][here] = excluded[at], kinds[at]
             open_ = np.setdiff1d(open_, here[seen], assume_unique=True)
         out[open_] -= np.log10(max(1, self.spare))
@@ -197,51 +219,101 @@ def build_trie(packed: list[tuple[bytes, bytes]]) -> Trie:
     return Trie([(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)) for a, b in packed])
 
 
-_tries: dict[int, Trie] = {}
+_heads: dict[int, Logs] = {}
+
+
+def _packed(strings: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(s.rjust(8, b"\0") for s in strings), ">u8").astype(np.uint64)
 
 
-def _levels(counts: DataFrame) -> list[tuple[bytes, bytes]]:
-    """For each length up to ORDER + 1 the strings that make up at least 1 / NODES of all, NODES at most, and their counts."""
+def _levels(counts: DataFrame, longest: int = ORDER + 1) -> list[tuple[bytes, bytes]]:
+    """All strings of each length up to longest, ascending, and their counts."""
+    by = counts.where("kind = 'string'").groupBy(F.substring("token", -longest, longest).alias("s")).agg(F.sum("n").alias("n")).toArrow()
+    strings, n = _packed(by["s"].to_pylist()), by["n"].to_numpy()
+    return [tuple(x.tobytes() for x in _suffixes(strings, n, k)) for k in range(1, longest + 1)]
+
+
+def _head(counts: DataFrame) -> tuple[bytes, bytes]:
+    """The strings of ORDER + 1 bytes that make up at least 1 / NODES of all, and their logarithms in the whole model."""
     strings = counts.where("kind = 'string'")
     total = strings.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    out = []
-    for k in range(1, ORDER + 2):
-        by = strings.select(F.substring("token", -k, k).alias("s"), "n").groupBy("s").agg(F.sum("n").alias("n")) if k <= ORDER else strings.select(F.col("token").alias("s"), "n")
-        kept = by.where(F.col("n") >= max(1, -(-total // NODES))).toArrow()
-        packed = np.frombuffer(b"".join(s.rjust(8, b"\0") for s in kept["s"].to_pylist()), ">u8").astype(np.uint64)
-        order = np.argsort(packed)
-        out.append((packed[order].tobytes(), kept["n"].to_numpy().astype(np.int64)[order].tobytes()))
-    return out
+    context = Window.partitionBy(F.substring("token", 1, ORDER))
+    log = F.log10(F.col("n") / (F.sum("n").over(context) + F.count(F.lit(1)).over(context)))
+    kept = strings.select("token", "n", log.alias("log")).where(F.col("n") >= max(1, -(-total // NODES))).toArrow()
+    return _packed(kept["token"].to_pylist()).tobytes(), kept["log"].to_numpy().astype(np.float64).tobytes()
+
+
+def _bucket(context, buckets: int):  # noqa: ANN001, ANN202
+    """The bucket of a packed context, a column or an array, by its last SHORT bytes."""
+    mask = (1 << 8 * SHORT) - 1
+    if isinstance(context, Column):
+        return F.shiftright(context.bitwiseAND(F.lit(mask)) * F.lit(2_654_435_761), 16) % buckets
+    return ((context & mask) * 2_654_435_761 >> 16) % buckets
+
+
+def _whole(learned: dict[int, list[pa.RecordBatch]], short: list[tuple[bytes, bytes]]) -> tuple[Trie, dict[bytes, float]]:
+    """From a task's counts, and the counts of up to SHORT bytes: the trie, and log10 of each token's count plus 1."""
+    strings, tokens = (pa.Table.from_batches(learned[k], pa.schema([("__key", pa.binary()), ("__n", pa.int64())])) for k in (COUNTED_STRING, COUNTED_TOKEN))
+    packed, n = _packed(strings["__key"].to_pylist()), strings["__n"].to_numpy()
+    below = [(np.frombuffer(a, np.uint64), np.frombuffer(b, np.int64)) for a, b in short]
+    logs = np.log10(tokens["__n"].to_numpy() + 1.0).tolist()
+    return Trie([*below, *[_suffixes(packed, n, k) for k in range(SHORT + 1, ORDER + 2)]]), dict(zip(tokens["__key"].to_pylist(), logs, strict=True))
 
 
 def score_texts(docs: DataFrame, counts: DataFrame, keep: list[str], text_col: str = "text") -> DataFrame:
-    """keep (of orderable types), n_tokens, n_known, train_tokens, base_score and score of every row."""
+    """keep, n_tokens, n_known, train_tokens, base_score and score of every row."""
     spark = docs.sparkSession
     tokens = counts.where("kind = 'token'").select("token", "n")
     total, distinct = tokens.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
     head_least = max(1, -(-total // HEAD))
     head = {bytes(r["token"]): math.log10(r["n"] + 1) for r in tokens.where(F.col("n") >= head_least).collect()}
-    model = spark.sparkContext.broadcast((_levels(counts), head))
+    model = spark.sparkContext.broadcast((_head(counts), head))
+    short = spark.sparkContext.broadcast(_levels(counts, SHORT))
     picked = docs.select(*keep, docs[text_col].alias("__text"))
     kept_fields = picked.select(*keep).schema.fields
-    fields = [T.StructField(n, t()) for n, t in (("__row", T.LongType), ("__token", T.BinaryType), ("__n", T.LongType), ("__tokens", T.LongType), ("__known", T.LongType), ("__log", T.DoubleType), ("__score", T.DoubleType))]
-    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in kept_fields], *fields])
+    kinds = {"__row": T.LongType, "__tokens": T.LongType, "__known": T.LongType, "__log": T.DoubleType, "__score": T.DoubleType, "__kind": T.IntegerType, "__bucket": T.LongType, "__key": T.BinaryType, "__n": T.LongType, "__times": T.BinaryType, "__slice": T.LongType, "__of": T.BinaryType, "__sums": T.BinaryType}
+    buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in kept_fields], *[T.StructField(n, t()) for n, t in kinds.items()]])
     arrow = to_arrow_schema(schema)
+    told = T.StructType([*schema.fields[: len(keep) + 5], *schema.fields[-3:]])
+    told_arrow = to_arrow_schema(told)
+    scored = T.StructType([*kept_fields, T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()), T.StructField("__logs", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    scored_arrow = to_arrow_schema(scored)
+
+    def filled(size: int, into: pa.Schema, **columns: object) -> pa.RecordBatch:
+        """A batch with the columns given, all others null."""
+        return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) if f.name in columns else pa.nulls(size, f.type) for f in into], schema=into)
+
+    def asking(kind: int, row: int, bucket: np.ndarray, of: np.ndarray, times: np.ndarray, joined: Callable[[np.ndarray], bytes]) -> Iterator[pa.RecordBatch]:
+        """A row for each bucket: the texts that ask, counted from row on, how often, and what joined gives of the places."""
+        order = np.argsort(bucket, kind="stable")
+        if len(order):
+            own, first = np.unique(bucket[order], return_index=True)
+            parts = np.split(order, first[1:])
+            columns = {"__key": [joined(x) for x in parts], "__of": [of[x].astype(np.uint32).tobytes() for x in parts], "__times": [times[x].astype(np.uint32).tobytes() for x in parts]}
+            yield filled(len(own), arrow, __row=np.full(len(own), row), __kind=np.full(len(own), kind), __bucket=own, **columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """For each text a row with what the head gives, its __token no word; and a row for each other token."""
+        """For each text a row with what the heads give; and rows with each other string and token, by bucket."""
         packed, known = model.value
-        if id(packed) not in _tries:  # a worker reads a broadcast once, and keeps it
-            _tries.clear()
-            _tries[id(packed)] = build_trie(packed)
-        trie = _tries[id(packed)]
+        if id(packed) not in _heads:  # a worker reads a broadcast once, and keeps it
+            _heads.clear()
+            _heads[id(packed)] = Logs(np.frombuffer(packed[0], np.uint64), np.frombuffer(packed[1], np.float64))
+        heads = _heads[id(packed)]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
             texts = batch.column(len(keep)).to_pylist()
             for lo, hi in slices(texts, SLICE_CHARS):
                 raw = [_bytes(t) for t in texts[lo:hi]]
                 symbols, lengths = _strings(raw)
-                bits = np.add.reduceat(trie.score(symbols), np.cumsum([0, *lengths[:-1]]))
+                found, rare = heads.find(symbols)
+                bits = np.add.reduceat(found, np.cumsum([0, *lengths[:-1]]))
+                of, asked = np.repeat(np.arange(len(raw)), lengths)[rare], symbols[rare]
+                order = np.lexsort((asked, of))
+                of, asked = of[order], asked[order]
+                first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (asked[1:] != asked[:-1]))[: len(of)])
+                times, of, asked = np.diff(np.append(first, len(of))), of[first], asked[first].astype(np.int64)
+                yield from asking(ASKED_STRINGS, row, _bucket(asked >> 8, buckets), of, times, lambda x, asked=asked: asked[x].tobytes())
                 at, sizes, certain, logs = [], [], [], []
                 rare_at, rare_token, rare_n = [], [], []
                 for i, t in enumerate(raw):
@@ -251,7 +323,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, keep: list[str], text_col: s
                     for token, n in own.items():
                         gain = known.get(token)
                         if gain is None:
-                            rare_at.append(row + i)
+                            rare_at.append(i)
                             rare_token.append(token)
                             rare_n.append(n)
                         else:
@@ -260,18 +332,97 @@ def score_texts(docs: DataFrame, counts: DataFrame, keep: list[str], text_col: s
                     sizes.append(own.total())
                     certain.append(seen)
                     logs.append(log)
-                at = list(range(row, row + len(raw)))
+                at = np.arange(row, row + len(raw))
+                bucket = np.fromiter(map(zlib.crc32, rare_token), np.int64, len(rare_token)) % buckets
+                yield from asking(ASKED_TOKENS, row, bucket, np.array(rare_at, np.int64), np.array(rare_n, np.int64), lambda x, rare=rare_token: b"\n".join([rare[i] for i in x.tolist()]))
                 row += len(raw)
-                lead = batch.slice(lo, hi - lo).columns[: len(keep)]
-                yield pa.RecordBatch.from_arrays([*lead, pa.array(at, pa.int64()), pa.array([b" %d" % x for x in at], pa.binary()), pa.nulls(len(at), pa.int64()), *[pa.array(x, t) for x, t in ((sizes, pa.int64()), (certain, pa.int64()), (logs, pa.float64()), (bits, pa.float64()))]], schema=arrow)
-                if rare_at:
-                    n = len(rare_at)
-                    yield pa.RecordBatch.from_arrays([*[pa.nulls(n, c.type) for c in lead], pa.array(rare_at, pa.int64()), pa.array(rare_token, pa.binary()), pa.array(rare_n, pa.int64()), *[pa.nulls(n, t) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64())]], schema=arrow)
-
-    tail = tokens.where(F.col("n") < head_least).select(F.col("token").alias("__t"), F.col("n").alias("__c"))
-    rows = picked.mapInArrow(run, schema).join(tail, F.col("__token") == F.col("__t"), "left")
-    log = F.sum(F.coalesce("__log", F.col("__n") * F.log10(F.coalesce("__c", F.lit(0)) + 1)))
-    known = F.sum(F.coalesce("__known", F.when(F.col("__c").isNotNull(), F.col("__n")), F.lit(0)))
-    by_row = rows.groupBy("__row").agg(*[F.max(k).alias(k) for k in keep], F.max("__tokens").alias("n_tokens"), known.cast("long").alias("n_known"), log.alias("__logs"), F.max("__score").alias("score"))
+                lead = dict(zip(keep, batch.slice(lo, hi - lo).columns[: len(keep)], strict=True))
+                yield filled(len(at), arrow, **lead, __row=at, __tokens=sizes, __known=certain, __log=logs, __score=bits, __kind=np.full(len(at), TEXT), __bucket=at % buckets, __slice=np.full(len(at), at[0]))
+
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts' rows, and for what the others ask the answers of the whole counts, added up by text. Counts come first."""
+        learned: dict[int, list[pa.RecordBatch]] = {COUNTED_STRING: [], COUNTED_TOKEN: []}
+        asked: dict[int, list[tuple]] = {ASKED_STRINGS: [], ASKED_TOKENS: []}
+        found, held = None, 0
+
+        def answers() -> Iterator[pa.RecordBatch]:
+            """For each slice of texts a row: which of them, and their sums (known tokens, their logarithms, logarithms of symbols)."""
+            trie, tokens = found
+            parts = []
+            for kind, rows in asked.items():
+                if not rows:
+                    continue
+                of = np.concatenate([at + np.frombuffer(of, np.uint32).astype(np.int64) for at, _, of, _ in rows])
+                times = np.concatenate([np.frombuffer(n, np.uint32) for _, _, _, n in rows]).astype(np.float64)
+                own, back = np.unique(of, return_inverse=True)
+                sums = np.zeros((len(own), 3))
+                if kind == ASKED_STRINGS:
+                    logs = trie.score(np.concatenate([np.frombuffer(key, np.uint64) for _, key, _, _ in rows]))
+                    sums[:, 2] = np.bincount(back, times * logs, len(own))
+                else:
+                    logs = np.array([tokens.get(x, 0.0) for _, key, _, _ in rows for x in key.split(b"\n")])
+                    sums[:, 0] = np.bincount(back, times * (logs > 0), len(own))  # log10 of a count and 1
+                    sums[:, 1] = np.bincount(back, times * logs, len(own))
+                bases = np.unique([at for at, _, _, _ in rows])
+                parts.append((bases, np.split(own, cuts := np.searchsorted(own, bases[1:])), np.split(sums, cuts)))
+                rows.clear()
+            for bases, owns, sums in parts:
+                yield filled(len(bases), told_arrow, __slice=bases, __of=[x.tobytes() for x in owns], __sums=[x.tobytes() for x in sums])
+
+        for batch in batches:
+            kind = batch.column("__kind").to_numpy()
+            for k, parts in learned.items():
+                if (kind == k).any():
+                    parts.append(batch.select(["__key", "__n"]).filter(pa.array(kind == k)))
+            if (kind == TEXT).any():
+                yield batch.select(told_arrow.names).filter(pa.array(kind == TEXT))
+            asks = batch.select(["__kind", "__row", "__key", "__of", "__times"]).filter(pa.array(kind >= ASKED_STRINGS))
+            for i in range(asks.num_rows):
+                if found is None:
+                    found = _whole(learned, short.value)
+                    learned.clear()
+                k, *ask = (c[i].as_py() for c in asks.columns)
+                asked[k].append(ask)
+                held += len(ask[-1]) // 4
+                if held >= ASKED:
+                    yield from answers()
+                    held = 0
+        if held:
+            yield from answers()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The texts of a task's slices with all of their sums."""
+        texts, ofs, sums = [], [], []
+        for batch in batches:
+            text = pc.is_valid(batch.column("__row"))
+            texts.append(batch.filter(text))
+            rest = batch.filter(pc.invert(text))
+            ofs += [np.frombuffer(x, np.int64) for x in rest.column("__of").to_pylist()]
+            sums += [np.frombuffer(x, np.float64).reshape(-1, 3) for x in rest.column("__sums").to_pylist()]
+        if not texts:
+            return
+        whole = pa.Table.from_batches(texts).combine_chunks()
+        rows = whole["__row"].to_numpy()
+        total = np.column_stack([whole["__known"].to_numpy(), whole["__log"].to_numpy(), whole["__score"].to_numpy()]).astype(np.float64)
+        if ofs:
+            order = np.argsort(rows)
+            at = order[np.searchsorted(rows, np.concatenate(ofs), sorter=order)]
+            every = np.concatenate(sums)
+            for i in range(3):
+                total[:, i] += np.bincount(at, every[:, i], len(rows))
+        columns = [*[whole[k] for k in keep], whole["__tokens"], pa.array(total[:, 0].astype(np.int64)), pa.array(total[:, 1]), pa.array(total[:, 2])]
+        yield from pa.Table.from_arrays(columns, schema=scored_arrow).to_batches(10_000)
+
+    string = F.col("kind") == "string"
+    context = F.conv(F.hex(F.substring("token", 1, ORDER)), 16, 10).cast("long")
+    given = {
+        "__kind": F.when(string, COUNTED_STRING).otherwise(COUNTED_TOKEN),
+        "__bucket": F.when(string, _bucket(context, buckets)).otherwise(F.crc32("token") % buckets),
+        "__key": F.col("token"),
+        "__n": F.col("n"),
+    }
+    whole = counts.where(string | (F.col("n") < head_least)).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
+    rows = picked.mapInArrow(run, schema).unionByName(whole).repartition("__bucket").sortWithinPartitions("__kind").mapInArrow(solve, told)
+    by_row = rows.repartition("__slice").mapInArrow(add, scored)
     base = F.col("__logs") - F.col("n_tokens") * float(np.log10(total + distinct + 1))
     return by_row.select(*keep, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -69,6 +69,22 @@ def test_scores_equal_the_definition(spark):
         assert r["score"] == pytest.approx(log_probability(ppm._bytes(text), trained), rel=1e-4)
 
 
+def test_scores_equal_the_definition_beyond_the_head(spark, monkeypatch):
+    monkeypatch.setattr(ppm, "NODES", 400)
+    monkeypatch.setattr(ppm, "HEAD", 2)
+    monkeypatch.setattr(ppm, "ASKED", 100)
+    texts = random_texts(200, 6)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    counts = ppm.learn(docs, F.col("doc_id") % 3 != 0)
+    strings = counts.where("kind = 'string'").count()
+    assert 0 < len(ppm._head(counts)[0]) // 8 < strings / 2
+    trained = model([ppm._bytes(t) for i, t in enumerate(texts) if i % 3])
+    found = ppm.score_texts(docs, counts, ["doc_id"]).collect()
+    assert len(found) == len(texts)
+    for r in found:
+        assert r["score"] == pytest.approx(log_probability(ppm._bytes(texts[r["doc_id"]]), trained), rel=1e-4)
+
+
 @pytest.mark.parametrize("nodes", [1 << 21, 40])
 def test_probabilities_add_up_to_one(nodes, spark, monkeypatch):
     monkeypatch.setattr(ppm, "NODES", nodes)
