@@ -4,9 +4,9 @@
    PIVOTS at most, of distinct vectors in the order of a hash.
 2. A cell is cut into rings of about BLOCK_ROWS rows: by distance to the pivot, in RINGS steps up to the cell's radius, and by a hash
    where a ring holds more. A block's summary has its largest distance, its row count, and the k + 1
-   smallest distances.
+   smallest distances of different ids; an id that repeats counts once, by one of its rows.
 3. For a query q and a row x of a cell with pivot p, |q.x - q.p| <= |q| |x - p|. From the smallest distances follow
-   scores that some k rows other than the query are sure to reach, hence a bound for the k-th best; blocks whose
+   scores that some k rows of other ids than the query's are sure to reach, hence a bound for the k-th best; blocks whose
    best possible score is below it are not needed by the query.
 4. Queries of the same cells form groups of about GROUP_QUERIES. Each block goes to those groups of which a query needs it,
    and only there; each pair of block and group is solved on its own, and each query's best k of all pairs are kept.
@@ -83,7 +83,7 @@ class Summaries:
         self.cell = np.array([r["cell"] for r in cells], np.int64)
         self.ring = np.array([r["ring"] for r in cells], np.int64)
         self.far = np.array([r["far"] for r in cells], np.float64)
-        near = [(r["cell"], d) for r in cells for d in r["near"]]
+        near = [(r["cell"], d) for r in cells for d in r["near"] or []]
         self.near_cell = np.array([c for c, _ in near], np.int64)
         self.near = np.array([d for _, d in near], np.float64)
 
@@ -94,7 +94,7 @@ class Summaries:
         norm = np.sqrt((q**2).sum(1))[:, None]
         slack = 1e-9 * (1 + np.abs(to_pivot).max(initial=0) + norm.max(initial=0) * self.far.max(initial=0))
         sure = to_pivot[:, self.near_cell] - norm * self.near
-        # One of the k + 1 surest rows may be the query itself.
+        # One of the k + 1 surest ids may be the query's own.
         bound = np.partition(sure, -(self.k + 1), axis=1)[:, -(self.k + 1)] if sure.shape[1] > self.k else np.full(len(q), -np.inf)
         best = to_pivot[:, self.cell] + norm * self.far
         return np.nonzero(np.clip(best, -LARGEST, LARGEST) >= np.clip(bound[:, None] - slack, -LARGEST, LARGEST))
@@ -140,9 +140,10 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", v
     ring = F.least(F.floor(F.col("dist") / F.greatest("radius", F.lit(1e-12)) * RINGS), F.lit(RINGS - 1)).cast("int")
     ringed = placed.join(F.broadcast(radius), "cell").withColumn("ring", ring).drop("radius")  # a row for each pivot
     smallest = Window.partitionBy("cell", "ring").orderBy("dist")
-    near = ringed.select("cell", "ring", "dist", F.row_number().over(smallest).alias("n")).where(F.col("n") <= k + 1).groupBy("cell", "ring").agg(F.collect_list("dist").alias("near"))
+    once = ringed.groupBy("vec_id").agg(F.min(F.struct("cell", "ring", "dist")).alias("at")).select("at.*")
+    near = once.select("cell", "ring", "dist", F.row_number().over(smallest).alias("n")).where(F.col("n") <= k + 1).groupBy("cell", "ring").agg(F.collect_list("dist").alias("near"))
     sizes = ringed.groupBy("cell", "ring").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("rows"))
-    cells = sizes.join(near, ["cell", "ring"]).collect()  # PIVOTS * RINGS rows at most
+    cells = sizes.join(near, ["cell", "ring"], "left").collect()  # PIVOTS * RINGS rows at most
     spark = df.sparkSession
     blocks = {(r["cell"], r["ring"]): max(1, -(-r["rows"] // BLOCK_ROWS)) for r in cells}
 
@@ -168,7 +169,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", v
     split = spark.createDataFrame([(*c, n) for c, n in blocks.items()] or [(-1, 0, 1)], "cell int, ring int, splits long")
     split = F.broadcast(split)  # PIVOTS * RINGS rows at most
     pairs = needed.select("cell", "ring", "grp").distinct()
-    data = ringed.join(split, ["cell", "ring"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "dist"), "splits"))
+    data = ringed.join(split, ["cell", "ring"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "dist", F.monotonically_increasing_id()), "splits"))
     data = data.join(pairs, ["cell", "ring"]).select(F.xxhash64("cell", "ring", "block", "grp").alias("unit"), F.lit(False).alias("is_query"), "vec_id", "v")
     ask = needed.join(split, ["cell", "ring"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("splits") - 1)))
     ask = ask.select(F.xxhash64("cell", "ring", "block", "grp").alias("unit"), F.lit(True).alias("is_query"), "vec_id", "v")

@@ -55,6 +55,15 @@ def test_repeated_ids(spark):
     assert [(q, n, s) for q, n, _, s in found] == [(0, 1, 32 * 64 + 32 * 64), (0, 2, 32 * 64 + 32 * 64), (0, 3, 32 * 64)]
 
 
+@pytest.mark.parametrize("block", [4_096, 8])
+def test_ids_that_repeat_more_than_k_times(spark, monkeypatch, block):
+    monkeypatch.setattr(knn, "BLOCK_ROWS", block)
+    rows = [(0, [2.0, 0.0])] * 25 + [(i, [1.0 + i / 1_000, 0.1]) for i in range(1, 201)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = [tuple(r) for r in knn.top_k(df, F.col("vec_id") == 0).collect()]
+    assert len(found) == 20 and set(found) == brute(rows, 20, lambda i: i == 0)
+
+
 def test_empty_tables_and_no_queries(spark):
     df = spark.createDataFrame([(1, [1.0])], "vec_id long, embedding array<float>")
     assert knn.top_k(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
