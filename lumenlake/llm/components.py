@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,8 +13,8 @@ from lumenlake.llm.common import cut
 MOST_ROUNDS = 60
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """node and comp, the smallest node of its component, of every node with a link.
+def components(edges: DataFrame, a: str = "a", b: str = "b", cut: Callable[[DataFrame, str], DataFrame] = cut) -> DataFrame:
+    """node and comp, the smallest node of its component, of every node with a link. cut: writes the tables of the rounds.
 
     Alternating large-star and small-star steps (Kiveris and others, 2014): nodes link to the smallest
     neighbour, edges at most stay as many, and the number of rounds grows with the logarithm of the nodes.

@@ -2,14 +2,17 @@
 
 For each language a suffix automaton of a sample of labelled text is built. A text is parsed against it into
 phrases, each the longest string from its start that occurs in the sample; a symbol that the sample lacks
-is a phrase of its own. The language with the fewest phrases, times log2 of the sample's length, per symbol
-wins; equal ones go to the smaller name.
+is a phrase of its own. A phrase costs log2 of the sample's length, LEAST_SAMPLE at least, and a symbol that the sample lacks
+UNSEEN_BITS whatever the sample, so that a small sample gains nothing by what it doesn't know. The language whose
+phrases cost least per symbol wins; equal ones go to the smaller name.
 
-Texts are lower-cased, runs of non-letters count as one blank, and whole texts are parsed in blocks of BLOCK
-symbols that no phrase crosses, so that all blocks advance together, a symbol at a time.
+Texts are lower-cased, runs of non-letters count as one blank, marks stay with their letters, and symbols are the bytes of
+what remains, so that all scripts count alike. Whole texts are parsed: pieces of BLOCK symbols advance together, a symbol at
+a time, each after WARM symbols of the one before it; a piece that doesn't begin as the one before it ended is parsed again from there.
 
-The sample is the only thing learned and is bounded: SAMPLE_CHARS characters of each language, whole rows in the
-order of a hash of their id among rows of at most ROW_CHARS characters. Predictions see the text alone.
+The sample is the only thing learned and is bounded: SAMPLE_CHARS characters of each language (SAMPLE_BYTES symbols;
+MODEL_BYTES shared evenly where the languages are many), in the order of a hash of the rows' ids; a row over ROW_CHARS characters lends
+a stretch of that length, at a place given by the hash. Predictions see the text alone.
 Null texts and texts without a letter are "und" with score 0, and so is every text if nothing could be
 learned. Null ids are not learned from and not held out. Repeated rows and extra columns are harmless.
 """
@@ -17,6 +20,9 @@ learned. Null ids are not learned from and not held out. Repeated rows and extra
 from __future__ import annotations
 
 import functools
+import unicodedata
+from array import array
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,19 +31,22 @@ from pyspark.sql import types as T
 from lumenlake.llm.common import filter_texts, map_texts
 
 SAMPLE_CHARS, ROW_CHARS, SAMPLE_ROWS, SALTS = 48_000, 4_000, 400, 64
-ALPHABET, BLOCK = 64, 1_024
-BLANK, OTHER, PAD = 0, ALPHABET - 2, ALPHABET - 1
+SAMPLE_BYTES, MODEL_BYTES = 48_000, 400_000
+LEAST_SAMPLE, UNSEEN_BITS = 1_024, 24.0
+BLOCK, WARM = 1_024, 128
 #: How fast the score falls with the distance, in bits a symbol, to other languages.
 SHARPNESS = 8.0
 #: Below this score a text counts as in none of the languages.
 REJECT_BELOW = 0.35
+SPACE = 32
 
 
 def learn_sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
     """The bounded sample of each language: SAMPLE_ROWS rows and SAMPLE_CHARS characters at most."""
     text, lang = docs[text_col], docs[lang_col]
-    rows = docs.where(learn & text.isNotNull() & lang.isNotNull() & (F.length(text) <= ROW_CHARS) & (F.length(text) > 0))
-    rows = rows.select(lang.alias("lang"), text.alias("text"), F.xxhash64(id_col).alias("h"))
+    rows = docs.where(learn & docs[id_col].isNotNull() & text.isNotNull() & lang.isNotNull() & (F.length(text) > 0))
+    place = 1 + F.pmod(F.xxhash64(id_col), F.greatest(F.length(text) - ROW_CHARS, F.lit(0)) + 1).cast("int")
+    rows = rows.select(lang.alias("lang"), F.substring(text, place, F.lit(ROW_CHARS)).alias("text"), F.xxhash64(id_col).alias("h"))
     by = Window.partitionBy("lang").orderBy("h", "text")
     # The first of each salt, then of all: a common language's rows are narrowed down by many tasks.
     salted = Window.partitionBy("lang", F.pmod("h", F.lit(SALTS))).orderBy("h", "text")
@@ -51,92 +60,70 @@ def learn_sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
     return {k: "\n".join(t for _, t in sorted(v)) for k, v in sorted(sample.items())}
 
 
-def _codes(text: str) -> np.ndarray:
-    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-
-
-@functools.cache
-def _is_letter() -> np.ndarray:
-    """Whether each code point is a letter; those beyond the basic plane never are."""
-    flags = np.zeros(65_537, bool)
-    flags[:65_536] = [chr(i).isalpha() for i in range(65_536)]
-    return flags
-
-
 @functools.cache
-def _symbols(sample: tuple[tuple[str, str], ...]) -> np.ndarray:
-    """The symbol of each code point: blank, one of the sample's commonest letters, or other."""
-    letters = np.concatenate([_codes(t.lower()) for _, t in sample] or [np.zeros(0, np.uint32)])
-    letters = letters[_is_letter()[np.minimum(letters, 65_536)]]
-    common, counts = np.unique(letters, return_counts=True)
-    common = common[np.lexsort((common, -counts))][: OTHER - 1]
-    table = np.where(_is_letter(), OTHER, BLANK).astype(np.uint8)
-    for symbol, code in enumerate(common, 1):
-        table[code] = symbol
-        upper = chr(code).upper()
-        if len(upper) == 1 and ord(upper) < 65_536:
-            table[ord(upper)] = symbol
-    return table
-
-
-def encode(text: str, table: np.ndarray) -> np.ndarray:
-    """The text's symbols, with one blank for a run of non-letters."""
-    symbols = table[np.minimum(_codes(text), 65_536)]
-    blank = symbols == BLANK
-    keep = ~blank
-    keep[1:] |= blank[1:] & ~blank[:-1]
-    return symbols[keep]
-
-
-def automaton(symbols: np.ndarray) -> np.ndarray:
-    """Flat table of the suffix automaton's steps: 2 * ALPHABET * (next state) + (1 if a new phrase begins).
-
-    A last state follows a symbol that occurs nowhere: that symbol is a phrase, and whatever comes next begins one.
+def _letters() -> tuple[np.ndarray, np.ndarray]:
+    """Of each code point, whether it is a letter, and whether it is a letter or a mark."""
+    letter = np.fromiter((chr(i).isalpha() for i in range(0x110000)), bool, 0x110000)
+    mark = np.fromiter((unicodedata.category(chr(i))[0] == "M" for i in range(0x110000)), bool, 0x110000)
+    return letter, letter | mark
+
+
+def encode(text: str | None) -> np.ndarray:
+    """The bytes of the text's letters in lower case, with one blank for a run of anything else; none for a text without letters."""
+    codes = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+    letter, kept = _letters()
+    if not letter[codes].any():
+        return np.zeros(0, np.uint8)
+    gap = ~kept[codes]
+    keep = ~gap
+    keep[1:] |= gap[1:] & ~gap[:-1]
+    return np.frombuffer(np.where(gap, np.uint32(SPACE), codes)[keep].tobytes().decode("utf-32-le").encode(), np.uint8)
+
+
+def automaton(symbols: np.ndarray, width: int) -> np.ndarray:
+    """Flat table of the suffix automaton's steps: 2 * width * (next state) + (1 if a new phrase begins).
+
+    Symbols are below width - 2. The symbol width - 2 occurs nowhere: a last state follows it, so that it is a phrase and whatever
+    comes next begins one. The symbol width - 1 pads: it changes nothing.
     """
-    step, link, length, last = [[-1] * ALPHABET], [-1], [0], 0
+    step = array("i", [-1]) * (width * (2 * len(symbols) + 2))
+    link, length, last, states = [-1], [0], 0, 1
     for c in symbols.tolist():
-        new = len(step)
-        step.append([-1] * ALPHABET)
+        new, states = states, states + 1
         length.append(length[last] + 1)
         link.append(0)
         p = last
-        while p >= 0 and step[p][c] < 0:
-            step[p][c] = new
+        while p >= 0 and step[p * width + c] < 0:
+            step[p * width + c] = new
             p = link[p]
         if p >= 0:
-            q = step[p][c]
+            q = step[p * width + c]
             if length[q] == length[p] + 1:
                 link[new] = q
             else:
-                copy = len(step)
-                step.append(step[q][:])
+                copy, states = states, states + 1
+                step[copy * width : (copy + 1) * width] = step[q * width : (q + 1) * width]
                 length.append(length[p] + 1)
                 link.append(link[q])
-                while p >= 0 and step[p][c] == q:
-                    step[p][c] = copy
+                while p >= 0 and step[p * width + c] == q:
+                    step[p * width + c] = copy
                     p = link[p]
                 link[q] = link[new] = copy
         last = new
-    nowhere = len(step)
-    table = np.array([*step, [-1] * ALPHABET], np.int32)
-    root = np.where(table[0] < 0, nowhere, table[0])
+    table = np.frombuffer(step, np.int32)[: (states + 1) * width].reshape(states + 1, width).copy()
     ends = table < 0
     ends[0] = False  # the first phrase is the first symbol's
-    table = (np.where(table < 0, root, table) * ALPHABET << 1 | ends).astype(np.int32)
-    table[:, PAD] = np.arange(len(table), dtype=np.int32) * ALPHABET << 1
+    table[0][table[0] < 0] = states
+    table = np.where(ends, table[0], table)
+    table *= 2 * width
+    table += ends
+    table[:, width - 1] = np.arange(states + 1, dtype=np.int32) * (2 * width)
     return table.ravel()
 
 
-@functools.lru_cache(2)
-def _model(sample: tuple[tuple[str, str], ...]) -> tuple[np.ndarray, list[tuple[np.ndarray, float]]]:
-    table = _symbols(sample)
-    coded = [encode(t, table) for _, t in sample]
-    return table, [(automaton(c), float(np.log2(len(c) + 2))) for c in coded]
-
-
-def phrases(blocks: np.ndarray, steps: np.ndarray) -> np.ndarray:
-    """Phrases in each column of blocks, PAD after its end."""
-    at = np.zeros(blocks.shape[1], np.int32)
+def phrases(blocks: np.ndarray, steps: np.ndarray, at: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """How many phrases begin in each column of blocks, after the first symbol of a text, and the state at its end; at: where they start."""
+    at = np.zeros(blocks.shape[1], np.int32) if at is None else at.copy()
     count = np.zeros(blocks.shape[1], np.int32)
     entry = np.empty_like(at)
     for row in blocks:
@@ -145,54 +132,112 @@ def phrases(blocks: np.ndarray, steps: np.ndarray) -> np.ndarray:
         np.bitwise_and(entry, 1, out=at)
         count += at
         np.right_shift(entry, 1, out=at)
-    return count
-
-
-def predict(texts: list[str | None], sample: tuple[tuple[str, str], ...]) -> tuple[list[str], list[float]]:
-    """The language and the score, from 0 to 1, of each text."""
-    table, models = _model(sample)
-    coded = [encode(t, table) if t else np.zeros(0, np.uint8) for t in texts]
-    real = [i for i, c in enumerate(coded) if (c != BLANK).any()]
-    langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-    if not real or not models:
+    return count, at
+
+
+class Language:
+    """A language's automaton, over the bytes of its own sample."""
+
+    def __init__(self, name: str, symbols: np.ndarray) -> None:
+        seen = np.unique(symbols)
+        self.name, self.unseen, self.pad = name, len(seen), len(seen) + 1
+        self.symbol = np.full(256, self.unseen, np.uint8)
+        self.symbol[seen] = np.arange(len(seen))
+        self.steps = automaton(self.symbol[symbols], len(seen) + 2)
+        self.bits = float(np.log2(max(len(symbols), LEAST_SAMPLE)))
+
+    def rates(self, joined: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: list[np.ndarray]) -> np.ndarray:
+        """Cost in bits per symbol of each text; texts stand one after another in joined."""
+        own = self.symbol[joined]
+        parts = -(-sizes // BLOCK)
+        first = np.cumsum([0, *parts[:-1]])
+        inner = np.ones(int(parts.sum()), bool)
+        inner[first] = False
+        of = np.repeat(np.arange(len(sizes)), parts)
+        begin = starts[of] + BLOCK * (np.arange(len(of)) - first[of])
+        end = np.minimum(begin + BLOCK, starts[of] + sizes[of])
+        padded = np.append(own, np.uint8(self.pad))
+        count, state, entered = (np.zeros(len(of), np.int32) for _ in range(3))
+        for some in order:
+            at = None
+            if inner[some].any():
+                warm = np.where(inner[some][None, :], begin[some][None, :] - WARM + np.arange(WARM)[:, None], len(own))
+                at = phrases(padded[warm], self.steps)[1]
+                entered[some] = at
+            longest = int((end[some] - begin[some]).max())
+            place = begin[some][None, :] + np.arange(longest)[:, None]
+            block = padded[np.where(place < end[some][None, :], place, len(own))]
+            count[some], state[some] = phrases(block, self.steps, at)
+        # A piece that was entered in another state than the one before it ended in is parsed from there.
+        for b in np.flatnonzero(inner & (entered != np.append(0, state[:-1]))).tolist():
+            self._again(own, b, begin, end, count, state, entered, inner)
+        unseen = np.add.reduceat(own == self.unseen, starts, dtype=np.int64)
+        begun = np.add.reduceat(count, first, dtype=np.int64) + 1
+        return ((begun - unseen) * self.bits + unseen * UNSEEN_BITS) / sizes
+
+    def _again(self, own: np.ndarray, b: int, begin: np.ndarray, end: np.ndarray, count: np.ndarray, state: np.ndarray, entered: np.ndarray, inner: np.ndarray) -> None:
+        steps = self.steps
+        while b < len(inner) and inner[b] and entered[b] != state[b - 1]:
+            entered[b] = state[b - 1]
+            at, n = int(state[b - 1]), 0
+            for c in own[begin[b] : end[b]].tolist():
+                entry = int(steps[at + c])
+                n += entry & 1
+                at = entry >> 1
+            count[b], state[b] = n, at
+            b += 1
+
+
+class Parser:
+    """The languages of a sample. Automata are built where they are first needed and go with the task that built them."""
+
+    def __init__(self, sample: dict[str, str]) -> None:
+        self.sample, self.languages = sorted(sample.items()), None
+
+    def __getstate__(self) -> dict:
+        return {"sample": self.sample, "languages": None}
+
+    def _learned(self) -> list[Language]:
+        if self.languages is None:
+            most = min(SAMPLE_BYTES, MODEL_BYTES // max(1, len(self.sample)))
+            coded = [(name, encode(text)[:most]) for name, text in self.sample]
+            self.languages = [Language(name, c) for name, c in coded if len(c)]
+        return self.languages
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language and the score, from 0 to 1, of each text."""
+        languages = self._learned()
+        coded = [encode(t) for t in texts]
+        real = [i for i, c in enumerate(coded) if len(c)]
+        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
+        if not real or not languages:
+            return langs, scores
+        sizes = np.array([len(coded[i]) for i in real])
+        starts = np.cumsum([0, *sizes[:-1]])
+        joined = np.concatenate([coded[i] for i in real])
+        # Pieces of like length advance together; those that need warming up, apart.
+        parts = -(-sizes // BLOCK)
+        lengths = np.full(int(parts.sum()), BLOCK)
+        lengths[np.cumsum(parts) - 1] = sizes - BLOCK * (parts - 1)
+        first = np.zeros(len(lengths), bool)
+        first[np.cumsum([0, *parts[:-1]])] = True
+        order = [some for kind in (np.flatnonzero(first), np.flatnonzero(~first)) if len(kind) for some in np.array_split(kind[np.argsort(lengths[kind], kind="stable")], -(-len(kind) // 2_048))]
+        rates = np.array([x.rates(joined, starts, sizes, order) for x in languages])
+        best = rates.argmin(0)
+        score = 1 / np.exp(-SHARPNESS * (rates - rates.min(0))).sum(0)
+        for i, b, s in zip(real, best.tolist(), score.tolist(), strict=True):
+            langs[i], scores[i] = languages[b].name, s
         return langs, scores
-    parts = [-(-len(coded[i]) // BLOCK) for i in real]
-    blocks = np.full((sum(parts), BLOCK), PAD, np.uint8)
-    at = 0
-    for i, n in zip(real, parts, strict=True):
-        blocks[at : at + n].reshape(-1)[: len(coded[i])] = coded[i]
-        at += n
-    order = np.argsort((blocks != PAD).sum(1), kind="stable")
-    starts = np.cumsum([0, *parts[:-1]])
-    sizes = np.array([len(coded[i]) for i in real], float)
-    rates = []
-    for steps, bits in models:
-        count = np.empty(len(blocks), np.int64)
-        for some in np.array_split(order, -(-len(order) // 2_048)):
-            block = blocks[some]
-            used = int((block != PAD).sum(1).max())
-            count[some] = phrases(np.ascontiguousarray(block[:, :used].T), steps) + 1
-        rates.append(np.add.reduceat(count, starts) * bits / sizes)
-    rates = np.array(rates)
-    best = rates.argmin(0)
-    score = 1 / np.exp(-SHARPNESS * (rates - rates.min(0))).sum(0)
-    for i, b, s in zip(real, best.tolist(), score.tolist(), strict=True):
-        langs[i], scores[i] = sample[b][0], s
-    return langs, scores
 
 
 def identify(docs: DataFrame, sample: dict[str, str], keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, lang_pred and score of every row."""
-    model = tuple(sorted(sample.items()))
+    parser = Parser(sample)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return map_texts(docs, keys, text_col, fields, lambda texts: list(predict(texts, model)))
+    return map_texts(docs, keys, text_col, fields, lambda texts: list(parser.predict(texts)))
 
 
 def keep_identified(docs: DataFrame, sample: dict[str, str], text_col: str = "text") -> DataFrame:
     """The rows, unchanged, whose text is in one of the sample's languages with at least REJECT_BELOW as score."""
-    model = tuple(sorted(sample.items()))
-
-    def wanted(texts: list[str | None]) -> list[bool]:
-        return [a != "und" and s >= REJECT_BELOW for a, s in zip(*predict(texts, model), strict=True)]
-
-    return filter_texts(docs, text_col, wanted)
+    parser = Parser(sample)
+    return filter_texts(docs, text_col, lambda texts: [a != "und" and s >= REJECT_BELOW for a, s in zip(*parser.predict(texts), strict=True)])

@@ -11,7 +11,7 @@ are taken in the order of their keys until the rest is full, the last of them in
 The order is not laid out in full: all that has to be known of it is each source's cut, the key at which its prefix sum
 reaches the rest. It is found in rounds over narrow rows without texts: the keys between a source's bounds fall into BINS
 bins, whose sizes are summed up in order, and the bin that holds the cut gives the next bounds; once few rows are left they
-are sorted. Every row's share then follows from its own key, so texts are shuffled for the join of the weights only.
+are sorted. Every row's share then follows from its own key, so texts move only where the weights are too many to be broadcast.
 
 Rows of one key, that is of one id and text, share what is left at the cut by size, rounded down. Null ids and texts are
 hashed as such. A source without words has the target 0. Extra columns are harmless. The same data gives the same result.
@@ -24,11 +24,13 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import SPACE, cut
+from lumenlake.llm.common import SPACE, Scratch, bounded, cut
 
 WEIGHTS, BUDGET, MOST_EPOCHS = (3, 1, 2), Fraction(3, 2), 2
 #: Bins of a round, rows of a source that are sorted, rounds at most, and the hash's seed.
 BINS, SORTED_ROWS, ROUNDS, SEED = 1_024, 1_000, 6, 17
+#: Over how many keys null ids spread for one unit of their draw.
+SPREAD = 100_000
 RESULTS = ("size", "source_size", "target", "taken")
 
 
@@ -61,8 +63,10 @@ def _keyed(docs: DataFrame, kept: dict[str, str], id_col: str, text_col: str, so
     sized = docs.select(*[docs[c].alias(k) for k, c in kept.items()], docs[id_col].alias("__id"), docs[source_col].alias("__source"), words(text).alias("size"), (-F.log(u)).alias("__draw"))
     if quality is None:
         return sized.withColumn("__key", F.col("__draw"))
-    weigh = quality.select(F.col(id_col).alias("__of"), F.col("weight").cast("double").alias("__w"))
-    return sized.join(weigh, F.col("__id") == F.col("__of"), "left").withColumn("__key", F.col("__draw") / F.coalesce("__w", F.lit(1.0)))
+    # Null ids have no weight; where the join is a shuffle, a second key spreads them.
+    sized = sized.withColumn("__spread", F.when(F.col("__id").isNull(), F.floor(F.col("__draw") * SPREAD)).otherwise(F.lit(0)).cast("long"))
+    met = sized.join(quality, (F.col("__id") == F.col("__of")) & (F.col("__spread") == F.col("__at")), "left")
+    return met.withColumn("__key", F.col("__draw") / F.coalesce("__w", F.lit(1.0)))
 
 
 def _reaches(rows: DataFrame, order: str) -> DataFrame:
@@ -103,7 +107,20 @@ def mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str
     """
     spark = docs.sparkSession
     kept = {f"__kept{i}": c for i, c in enumerate(c for c in keep if c not in RESULTS)}
-    keyed = cut(_keyed(docs, {}, id_col, text_col, source_col, quality).select("__source", "size", "__key"), "keys")
+    if quality is not None:
+        quality = bounded(cut(quality.select(F.col(id_col).alias("__of"), F.col("weight").cast("double").alias("__w"), F.lit(0).cast("long").alias("__at")), "weights"))
+    with Scratch(spark, "keys") as scratch:
+        plan, found = _plan(scratch(_keyed(docs, {}, id_col, text_col, source_col, quality).select("__source", "size", "__key"), "keys"))
+    # Keys are 0 or more, so a cut of -1 draws nothing.
+    goals = spark.createDataFrame([(*p[:4], *found.get(p[0], (-1.0, 0, 1))) for p in plan], "__s string, source_size long, target double, epochs long, cut double, rest long, cut_size long")
+    rows = _keyed(docs, kept, id_col, text_col, source_col, quality).join(F.broadcast(goals), F.col("__source").eqNullSafe(F.col("__s")))  # a row for each source
+    share = F.floor(F.col("size") * F.col("rest") / F.col("cut_size"))
+    drawn = F.when(F.col("__key") < F.col("cut"), F.col("size")).when(F.col("__key") == F.col("cut"), share).otherwise(0)
+    return rows.select(*[F.col(k).alias(c) for k, c in kept.items()], "size", "source_size", "target", (F.col("epochs") * F.col("size") + drawn).cast("long").alias("taken"))
+
+
+def _plan(keyed: DataFrame) -> tuple[list[tuple], dict]:
+    """(source, size, target, epochs, rest, least key, largest key, rows) of each source, and the cuts of the rests."""
     totals = keyed.groupBy("__source").agg(F.sum("size").alias("source_size"), F.min("__key").alias("lo"), F.max("__key").alias("hi"), F.count(F.lit(1)).alias("rows")).collect()
     totals.sort(key=lambda r: (r["__source"] is None, r["__source"] or ""))
     plan = []
@@ -111,13 +128,7 @@ def mix(docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str
         size = r["source_size"]
         epochs = int(goal // size) if size else 0
         plan.append((r["__source"], size, float(goal), epochs, round(goal - epochs * size), r["lo"], r["hi"], r["rows"]))
-    found = cuts(keyed, [(s, rest, lo, hi, n) for s, _, _, _, rest, lo, hi, n in plan if rest])
-    # Keys are 0 or more, so a cut of -1 draws nothing.
-    goals = spark.createDataFrame([(*p[:4], *found.get(p[0], (-1.0, 0, 1))) for p in plan], "__s string, source_size long, target double, epochs long, cut double, rest long, cut_size long")
-    rows = _keyed(docs, kept, id_col, text_col, source_col, quality).join(F.broadcast(goals), F.col("__source").eqNullSafe(F.col("__s")))  # a row for each source
-    share = F.floor(F.col("size") * F.col("rest") / F.col("cut_size"))
-    drawn = F.when(F.col("__key") < F.col("cut"), F.col("size")).when(F.col("__key") == F.col("cut"), share).otherwise(0)
-    return rows.select(*[F.col(k).alias(c) for k, c in kept.items()], "size", "source_size", "target", (F.col("epochs") * F.col("size") + drawn).cast("long").alias("taken"))
+    return plan, cuts(keyed, [(s, rest, lo, hi, n) for s, _, _, _, rest, lo, hi, n in plan if rest])
 
 
 def quality_weights(labels: DataFrame, id_col: str = "doc_id", good: float = 2.0, bad: float = 0.5) -> DataFrame:

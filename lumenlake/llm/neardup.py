@@ -12,7 +12,7 @@
 5. The components of true links, copies included, are the classes.
 
 Between the steps only what takes part moves: rows of texts that repeat, of buckets of two or more, of components. Such
-sides are broadcast while they number a million rows at most, else joined in a shuffle.
+sides are broadcast while they are small in bytes, else joined in a shuffle.
 
 Buckets and components of any size are cut into blocks of at most UNIT rows (or UNIT_SHINGLES shingles); each pair of blocks is a
 unit of work of bounded size, so no link is capped or sampled away and no pair becomes a row.
@@ -26,15 +26,16 @@ from __future__ import annotations
 import functools
 import hashlib
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lumenlake.llm.common import bounded, cut, map_texts, map_units
+from lumenlake.llm.common import Scratch, bounded, cut, map_texts, map_units
 from lumenlake.llm.components import components
 
 WORDS, THRESHOLD = 5, 0.8
@@ -58,11 +59,6 @@ def _seeds() -> tuple[np.ndarray, np.ndarray]:
     return random.integers(1, 1 << 63, HASHES, np.uint64) << np.uint64(1) | np.uint64(1), random.integers(0, 1 << 63, HASHES, np.uint64)
 
 
-@functools.lru_cache(1 << 17)
-def _word(word: bytes) -> int:
-    return _hash(word)
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     """A bijection that spreads 64-bit values (the finaliser of splitmix64)."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -70,12 +66,25 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def shingle_set(text: str | None) -> np.ndarray:
+class Shingler:
+    """Shingle sets, with the hashes of words that were met at hand, as long as the task lasts."""
+
+    def __init__(self) -> None:
+        self.word = functools.lru_cache(1 << 17)(_hash)
+
+    def __reduce__(self) -> tuple:
+        return Shingler, ()
+
+    def __call__(self, text: str | None) -> np.ndarray:
+        return shingle_set(text, self.word)
+
+
+def shingle_set(text: str | None, word: Callable[[bytes], int] = _hash) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the text's shingles."""
     words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return np.zeros(0, np.uint64)
-    ids = np.fromiter(map(_word, words), np.uint64, len(words))
+    ids = np.fromiter(map(word, words), np.uint64, len(words))
     k = min(WORDS, len(ids))
     out = np.full(len(ids) - k + 1, k, np.uint64)
     for i in range(k):
@@ -107,8 +116,8 @@ def _bands(values: np.ndarray) -> np.ndarray:
 SIGNED = [T.StructField("size", T.IntegerType()), T.StructField("bands", T.ArrayType(T.LongType())), T.StructField("values", T.BinaryType())]
 
 
-def _sign(texts: list[str | None]) -> list:
-    sets = [shingle_set(t) for t in texts]
+def _sign(texts: list[str | None], shingles: Callable[[str | None], np.ndarray] = shingle_set) -> list:
+    sets = [shingles(t) for t in texts]
     bands: list = [None] * len(texts)
     low: list = [None] * len(texts)
     full = [i for i, s in enumerate(sets) if len(s)]
@@ -256,11 +265,12 @@ def _dealt(rows: DataFrame, blocks: str, key: str) -> DataFrame:
     return rows.withColumn("unit", F.xxhash64(key, "i", "j"))
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id, n_links (other rows at THRESHOLD or more), key (md5 of the text), class_row, row_id: one row per row."""
+def _classes(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """doc_id, key, row_id, comp and n_links of every row; cut writes the tables on the way."""
+    shingler = Shingler()
     text = F.coalesce(docs[text_col], F.lit(""))
     picked = docs.select(docs[id_col].alias("doc_id"), F.md5(text).alias("key"), text.alias("text"))
-    signed = map_texts(picked, ["doc_id", "key"], "text", SIGNED, _sign)
+    signed = map_texts(picked, ["doc_id", "key"], "text", SIGNED, lambda texts: _sign(texts, shingler))
     signed = cut(signed.withColumn("row_id", F.monotonically_increasing_id()), "signed")
     copied = signed.where("size > 0").groupBy("key").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copied = bounded(cut(copied, "copied"))
@@ -280,7 +290,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     likely = cut(map_units(unit_rows, "unit", _in_bucket, "a long, b long"), "likely")
 
     # Verification, with each text's shingles where its component is.
-    groups = bounded(components(likely).withColumnRenamed("node", "rep"))
+    groups = bounded(components(likely, cut=cut).withColumnRenamed("node", "rep"))
     members = reps.select("rep", "doc_id", "key", "size", "values").join(groups, "rep").join(copied.select("rep", "copies"), "rep", "left")
     members = cut(members.withColumn("copies", F.coalesce("copies", F.lit(1))), "members")
     sizes = members.groupBy("comp").agg(F.count(F.lit(1)).alias("texts"), F.sum("size").alias("shingle_sum"))
@@ -288,38 +298,50 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # One row of each text, that of its representative; equal rows are met by dropDuplicates.
     of = bounded(members.select(F.col("doc_id").alias("d"), F.col("key").alias("k")))
     wanted = picked.join(of, picked["doc_id"].eqNullSafe(of["d"]) & (picked["key"] == of["k"]), "left_semi")
-    sets = map_texts(wanted, ["key"], "text", [T.StructField("shingles", T.BinaryType())], lambda texts: [[shingle_set(t).tobytes() for t in texts]])
+    sets = map_texts(wanted, ["key"], "text", [T.StructField("shingles", T.BinaryType())], lambda texts: [[shingler(t).tobytes() for t in texts]])
     sets = sets.dropDuplicates(["key"])
     verified = cut(map_units(units.join(sets, "key"), "unit", _in_component, "a long, b long, links long"), "verified")
     links = verified.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))
-    groups = components(verified.where("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
+    groups = components(verified.where("b is not null").select("a", "b"), cut=cut).withColumnRenamed("node", "rep")
 
     # Back to rows: a row's class is that of its text.
     of_rep = bounded(cut(groups.join(links, "rep", "full_outer").select(F.col("rep").alias("r"), "comp", "links"), "links"))
     rows = signed.select("doc_id", "key", "row_id", "size").join(copied.select(F.col("key").alias("k"), "rep", "copies"), F.col("key") == F.col("k"), "left")
     rows = rows.withColumn("rep", F.coalesce("rep", "row_id")).join(of_rep, F.col("rep") == F.col("r"), "left")
     n_links = F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1
-    rows = cut(rows.select("doc_id", "key", "row_id", F.coalesce("comp", "rep").alias("comp"), n_links.alias("n_links")), "rows")
+    return rows.select("doc_id", "key", "row_id", F.coalesce("comp", "rep").alias("comp"), n_links.alias("n_links"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, class_id, n_links (other rows at THRESHOLD or more), key (md5 of the text), class_row, row_id: one row per row."""
+    with Scratch(docs.sparkSession, "neardup") as scratch:
+        rows = cut(_classes(docs, id_col, text_col, scratch), "rows")
     ids = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.col("doc_id").isNull().alias("null_last"), "doc_id", "row_id")).getField("row_id").alias("class_row"))
     return rows.join(ids, "comp").select("doc_id", "class_id", "n_links", "key", "class_row", "row_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, unchanged, without all but one (the one of the smallest id) of each class."""
-    found = cut(near_duplicates(docs, id_col, text_col), "found").select(F.col("doc_id").alias("id"), "key", (F.col("row_id") == F.col("class_row")).alias("kept"))
+    """The documents, unchanged, without all but one of each class: the one of the smallest id.
+
+    Of rows equal in id and text that differ elsewhere the one whose other columns have the smallest hash stays.
+    """
     same = lambda a, b: a["id"].eqNullSafe(b["id"]) & (a["key"] == b["key"])
-    gone, kept = cut(found.where("not kept").select("id", "key").distinct(), "gone"), found.where("kept")
-    # Rows that are equal share id and text: some go and one stays.
-    side = bounded(gone)
-    equal = cut(kept.join(side, same(kept, side), "left_semi").select("id", "key").distinct(), "equal")
+    with Scratch(docs.sparkSession, "kept") as scratch:
+        found = scratch(near_duplicates(docs, id_col, text_col), "found").select(F.col("doc_id").alias("id"), "key", (F.col("row_id") == F.col("class_row")).alias("kept"))
+        gone, kept = cut(found.where("not kept").select("id", "key").distinct(), "gone"), found.where("kept")
+        # Rows that are equal share id and text: some go and one stays.
+        side = bounded(gone)
+        equal = cut(kept.join(side, same(kept, side), "left_semi").select("id", "key").distinct(), "equal")
     keyed = docs.withColumn("__key", F.md5(F.coalesce(docs[text_col], F.lit(""))))
     match = lambda x: keyed[id_col].eqNullSafe(x["id"]) & (keyed["__key"] == x["key"])
+    rest = keyed.join(side, match(side), "left_anti").drop("__key")
     if equal.isEmpty():
-        return keyed.join(side, match(side), "left_anti").drop("__key")
+        return rest
     both = bounded(equal)
-    rest = keyed.join(side, match(side), "left_anti")
-    once = keyed.join(both, match(both), "left_semi").dropDuplicates([id_col, text_col])
-    return rest.unionByName(once).drop("__key")
+    others = F.xxhash64(F.to_json(F.struct(*[c for c in docs.columns if c != text_col])))
+    first = F.row_number().over(Window.partitionBy(id_col, "__key").orderBy("__others"))
+    once = keyed.join(both, match(both), "left_semi").withColumn("__others", others).withColumn("__first", first).where("__first = 1")
+    return rest.unionByName(once.select(*docs.columns))
 
 
 def expected_miss(similarity: float = THRESHOLD) -> float:

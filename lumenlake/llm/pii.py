@@ -1,7 +1,7 @@
 """Personal data in text: patterns propose, checksums confirm, words nearby adjust the score.
 
 Base kinds (always reported): email, ip, card (Luhn), phone. Kinds that the method adds, reported at
-MIN_SCORE or more: iban (mod-97), and national_phone and national_id, which need a context word.
+MIN_SCORE or more: iban (length by country, mod-97), and national_phone and national_id (number ranges), which need a context word.
 
 Null and empty texts have no spans. Repeated rows and ids give one result row each. Other columns of the
 input play no part, whatever their names. Every text is read whole in one pass; patterns take linear time,
@@ -11,13 +11,13 @@ since each run of characters is entered once (possessive quantifiers, or a scan
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from lumenlake.llm.common import map_texts
+from lumenlake.llm.common import map_texts, replace_texts
 
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "national_phone", "national_id")
@@ -38,12 +38,20 @@ CONTEXT = {
 PRIOR = {"email": 0.8, "ip": 0.6, "card": 0.5, "phone": 0.5, "iban": 0.5, "national_phone": 0.4, "national_id": 0.3}
 CHECKED, NEAR = 0.4, 0.3
 
+# Characters of an IBAN by country.
+IBAN_SIZES = dict(
+    AD=24, AE=23, AL=28, AT=20, AZ=28, BA=20, BE=16, BG=22, BH=22, BR=29, CH=21, CR=22, CY=28, CZ=24, DE=22, DK=18, DO=28, EE=20, ES=24, FI=18, FO=18,
+    FR=27, GB=22, GE=22, GI=23, GL=18, GR=27, GT=28, HR=21, HU=28, IE=22, IL=23, IS=26, IT=27, JO=30, KW=30, KZ=20, LB=28, LI=21, LT=20, LU=20, LV=21,
+    MC=27, MD=24, ME=22, MK=19, MR=27, MT=31, MU=30, NL=18, NO=15, PK=24, PL=28, PS=29, PT=25, QA=29, RO=24, RS=22, SA=24, SE=24, SI=19, SK=24, SM=27,
+    TN=24, TR=26, VG=24, XK=20,
+)
+
 LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
 NATIONAL_PHONE = re.compile(r"(?<![0-9+(])\(?[0-9]{3}\)?[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9])")
 NATIONAL_ID = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 DIGIT = re.compile(r"[0-9]")
@@ -101,8 +109,24 @@ def _phones(text: str) -> Iterator[tuple[int, int]]:
 
 
 def _ibans(text: str) -> Iterator[tuple[int, int]]:
-    for m in IBAN.finditer(text):
-        if mod97(m.group().replace(" ", "")):
+    m = IBAN.search(text)
+    while m:
+        start, end = m.span()
+        size = IBAN_SIZES.get(text[start : start + 2])
+        if size:  # what follows in capitals may be other words
+            places = [i for i in range(start, end) if text[i] != " "]
+            end = places[size - 1] + 1 if len(places) >= size else end
+        whole = text[start:end].replace(" ", "")
+        good = len(whole) == (size or len(whole)) and not text[end : end + 1].isalnum() and mod97(whole)
+        if good:
+            yield start, end
+        m = IBAN.search(text, end if good else start + 4)
+
+
+def _national_ids(text: str) -> Iterator[tuple[int, int]]:
+    for m in NATIONAL_ID.finditer(text):
+        area, group, serial = m.group().split("-")
+        if area not in ("000", "666") and area < "900" and group != "00" and serial != "0000":
             yield m.span()
 
 
@@ -111,6 +135,18 @@ def _near(text: str, kind: str, start: int, end: int) -> bool:
     return not set(CONTEXT[kind]).isdisjoint(WORD.findall(around))
 
 
+def _free(found: list[tuple]) -> Callable[[int, int], bool]:
+    """Whether a span overlaps none of those found: they are merged into runs, of which a search meets one."""
+    starts, ends = [], []
+    for s, e in sorted((s, e) for _, s, e, _ in found):
+        if ends and s <= ends[-1]:
+            ends[-1] = max(ends[-1], e)
+        else:
+            starts.append(s)
+            ends.append(e)
+    return lambda a, b: (i := bisect_left(starts, b)) == 0 or ends[i - 1] <= a
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, float, bool]]:
     """(kind, start, end, score, checked) of all spans: base kinds as listed, then added ones; by start within a kind."""
     if not text:
@@ -120,11 +156,10 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float, bool]]:
         found += [("ip", *s, True) for s in _ips(text)]
         found += [("card", *s, True) for s in _cards(text)]
         found += [("phone", *s, False) for s in _phones(text)] if "+" in text else []
-        taken = [(s, e) for _, s, e, _ in found]
-        clear = lambda a, b: all(b <= s or e <= a for s, e in taken)
+        clear = _free(found)
         more = [("iban", *s, True) for s in _ibans(text)]
         more += [("national_phone", *m.span(), False) for m in NATIONAL_PHONE.finditer(text)]
-        more += [("national_id", *m.span(), False) for m in NATIONAL_ID.finditer(text)]
+        more += [("national_id", *s, False) for s in _national_ids(text)]
         found += [x for x in more if clear(x[1], x[2])]
     out = []
     for kind, start, end, checked in found:
@@ -158,17 +193,4 @@ def detect_pii(docs: DataFrame, keys: list[str], text_col: str = "text") -> Data
 
 def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:
     """The same rows and columns with redacted texts; length_col, if there, follows the length of a text that changed."""
-    places = [docs.columns.index(c) for c in (text_col, length_col) if c in docs.columns]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = batch.columns
-            old = columns[places[0]].to_pylist()
-            new = [redact(t) for t in old]
-            columns[places[0]] = pa.array(new, columns[places[0]].type)
-            for at in places[1:]:
-                sizes = [n if a is b else len(b) for n, a, b in zip(columns[at].to_pylist(), old, new, strict=True)]
-                columns[at] = pa.array(sizes, columns[at].type)
-            yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-    return docs.mapInArrow(run, docs.schema)
+    return replace_texts(docs, text_col, lambda texts: [redact(t) for t in texts], length_col)

@@ -57,7 +57,7 @@ def test_no_pair_is_lost_or_made_up(spark):
 
 
 def test_shuffled_where_too_large_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     docs, items = corpus(9)
     d, b = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
     assert {(r["doc_id"], r["item_id"], r["shared"], r["item_shingles"]) for r in decontaminate.find_leaks(d, b).collect()} == leaks(docs, items)

@@ -107,7 +107,7 @@ def test_equal_rows_without_ids_leave_one(spark):
 
 
 def test_shuffled_where_too_large_to_broadcast(spark, monkeypatch):
-    monkeypatch.setattr(common, "BROADCAST_ROWS", 0)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
     rows = near_texts(8, bases=6)
     found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "class_id", "n_links").collect()
     assert sorted((tuple(r) for r in found), key=str) == brute(rows)

@@ -19,9 +19,9 @@ def documents(spark):
 def by_hand(spark, docs, sf_dir: str) -> tuple[dict, dict]:
     """Texts that reach the mix, by id; and how many rows each stage left."""
     rows = {r["doc_id"]: r for r in docs.collect()}
-    sample = tuple(sorted(langid.learn_sample(docs, F.lit(True)).items()))
+    parser = langid.Parser(langid.learn_sample(docs, F.lit(True)))
     ids = sorted(rows)
-    pred = langid.predict([rows[i]["text"] for i in ids], sample)
+    pred = parser.predict([rows[i]["text"] for i in ids])
     left = [i for i, a, s in zip(ids, *pred) if a != "und" and s >= langid.REJECT_BELOW]
     steps = {"language": len(left)}
     classes = {}
