@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.llm import decontaminate, langid, mixing, neardup, pii
-from lumenlake.llm.common import cut
+from lumenlake.llm.common import Scratch, cut
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,6 +52,9 @@ ORACLE_SQL: str | None = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, applied to documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    with Scratch(spark, "pipeline") as scratch:
+        for name, stage in STAGES[:-2]:
+            docs = scratch(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        name, stage = STAGES[-2]
+        docs = cut(stage(spark, docs, sf_dir), name.replace(" ", "-"))  # the result reads this one
     return STAGES[-1][1](spark, docs, sf_dir)
