@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -102,7 +103,22 @@ def slices(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[tup
             start, total = stop, 0
 
 
-def pieces(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """run, which gives what it no longer needs back to the system at its end: Python workers outlive tasks, and stand idle beside others."""
+
+    def tidy(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return tidy
+
+
+def pieces(column: pa.Array, most_bytes: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of consecutive runs of a text column with about most_bytes bytes each; a longer text stands alone."""
     upto = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
@@ -113,10 +129,11 @@ def pieces(column: pa.Array, most_bytes: int = 4_000_000) -> Iterator[tuple[int,
         start = stop
 
 
-def map_texts(df: DataFrame, keep: list[str], text_col: str, fields: list[T.StructField], work: Callable[[list[str | None]], list]) -> DataFrame:
-    """The keep columns of every row, untouched, and work(texts)'s columns, typed as fields.
+def map_texts(df: DataFrame, keep: list[str], text_col: str, fields: list[T.StructField], begin: Callable[[], Callable[[list[str | None]], list]]) -> DataFrame:
+    """The keep columns of every row, untouched, and the columns of begin()(texts), typed as fields.
 
-    A kept column with the name of a field gives way to it. Texts become Python strings a few megabytes at a time.
+    A kept column with the name of a field gives way to it. Each task begins anew, so that what it builds ends with it; texts become
+    Python strings a few megabytes at a time.
     """
     keep = [c for c in keep if c not in {f.name for f in fields}]
     picked = df.select(*keep, df[text_col].alias("__text"))
@@ -124,13 +141,14 @@ def map_texts(df: DataFrame, keep: list[str], text_col: str, fields: list[T.Stru
     types = [to_arrow_type(f.dataType) for f in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = begin()
         for batch in batches:
             column = batch.column(len(keep))
             for lo, hi in pieces(column):
                 new = [pa.array(c, t) for c, t in zip(work(column.slice(lo, hi - lo).to_pylist()), types, strict=True)]
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(keep)], *new], schema.names)
 
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tidied(run), schema)
 
 
 def replace_texts(df: DataFrame, text_col: str, work: Callable[[list[str | None]], list[str | None]], length_col: str | None = None) -> DataFrame:
@@ -150,20 +168,21 @@ def replace_texts(df: DataFrame, text_col: str, work: Callable[[list[str | None]
                     columns[sized] = pa.array(sizes, columns[sized].type)
                 yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)
 
 
-def filter_texts(df: DataFrame, text_col: str, work: Callable[[list[str | None]], list[bool]]) -> DataFrame:
-    """The rows, unchanged, for which work(texts) is true."""
+def filter_texts(df: DataFrame, text_col: str, begin: Callable[[], Callable[[list[str | None]], list[bool]]]) -> DataFrame:
+    """The rows, unchanged, for which begin()(texts) is true; each task begins anew."""
     place = df.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        work = begin()
         for batch in batches:
             for lo, hi in pieces(batch.column(place)):
                 some = batch.slice(lo, hi - lo)
                 yield some.filter(pa.array(work(some.column(place).to_pylist()), pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(tidied(run), df.schema)
 
 
 def map_units(df: DataFrame, key: str, solve: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
@@ -194,4 +213,4 @@ def map_units(df: DataFrame, key: str, solve: Callable[[pd.DataFrame], pd.DataFr
                 yield pd.concat(out)
 
     dealt = df.repartition(F.col(key)).sortWithinPartitions(key)
-    return dealt.mapInPandas(stream, schema)
+    return dealt.mapInPandas(tidied(stream), schema)

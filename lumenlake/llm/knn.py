@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import cut, map_units
+from lumenlake.llm.common import cut, map_units, tidied
 
 SCALE, PIVOTS, RINGS = 64, 128, 4
 BLOCK_ROWS, GROUP_QUERIES = 4_096, 512
@@ -71,7 +71,7 @@ def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
                 dist = np.sqrt(((x - p[cell]) ** 2).sum(1))
                 yield part.assign(cell=cell.astype(np.int32), dist=dist)
 
-    return rows.mapInPandas(run, "vec_id long, v array<long>, cell int, dist double")
+    return rows.mapInPandas(tidied(run), "vec_id long, v array<long>, cell int, dist double")
 
 
 class Summaries:
@@ -165,7 +165,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", v
                     i, at = summaries.needed(_matrix(part["v"], pivots.shape[1]))
                     yield part.iloc[i].assign(cell=summaries.cell[at].astype(np.int32), ring=summaries.ring[at].astype(np.int32))
 
-    needed = cut(grouped.mapInPandas(needs, "vec_id long, v array<long>, grp long, cell int, ring int"), "needed")
+    needed = cut(grouped.mapInPandas(tidied(needs), "vec_id long, v array<long>, grp long, cell int, ring int"), "needed")
     split = spark.createDataFrame([(*c, n) for c, n in blocks.items()] or [(-1, 0, 1)], "cell int, ring int, splits long")
     split = F.broadcast(split)  # PIVOTS * RINGS rows at most
     pairs = needed.select("cell", "ring", "grp").distinct()

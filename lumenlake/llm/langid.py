@@ -22,6 +22,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 from array import array
+from collections.abc import Callable
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -33,7 +34,7 @@ from lumenlake.llm.common import filter_texts, map_texts
 SAMPLE_CHARS, ROW_CHARS, SAMPLE_ROWS, SALTS = 48_000, 4_000, 400, 64
 SAMPLE_BYTES, MODEL_BYTES = 48_000, 400_000
 LEAST_SAMPLE, UNSEEN_BITS = 1_024, 24.0
-BLOCK, WARM = 1_024, 128
+BLOCK, WARM, COLUMNS = 1_024, 128, 1_024
 #: How fast the score falls with the distance, in bits a symbol, to other languages.
 SHARPNESS = 8.0
 #: Below this score a text counts as in none of the languages.
@@ -154,19 +155,19 @@ class Language:
         inner = np.ones(int(parts.sum()), bool)
         inner[first] = False
         of = np.repeat(np.arange(len(sizes)), parts)
-        begin = starts[of] + BLOCK * (np.arange(len(of)) - first[of])
-        end = np.minimum(begin + BLOCK, starts[of] + sizes[of])
+        begin = (starts[of] + BLOCK * (np.arange(len(of)) - first[of])).astype(np.int32)
+        end = np.minimum(begin + BLOCK, starts[of] + sizes[of]).astype(np.int32)
         padded = np.append(own, np.uint8(self.pad))
         count, state, entered = (np.zeros(len(of), np.int32) for _ in range(3))
         for some in order:
             at = None
             if inner[some].any():
-                warm = np.where(inner[some][None, :], begin[some][None, :] - WARM + np.arange(WARM)[:, None], len(own))
+                warm = np.where(inner[some][None, :], begin[some][None, :] - WARM + np.arange(WARM, dtype=np.int32)[:, None], np.int32(len(own)))
                 at = phrases(padded[warm], self.steps)[1]
                 entered[some] = at
             longest = int((end[some] - begin[some]).max())
-            place = begin[some][None, :] + np.arange(longest)[:, None]
-            block = padded[np.where(place < end[some][None, :], place, len(own))]
+            place = begin[some][None, :] + np.arange(longest, dtype=np.int32)[:, None]
+            block = padded[np.where(place < end[some][None, :], place, np.int32(len(own)))]
             count[some], state[some] = phrases(block, self.steps, at)
         # A piece that was entered in another state than the one before it ended in is parsed from there.
         for b in np.flatnonzero(inner & (entered != np.append(0, state[:-1]))).tolist():
@@ -189,24 +190,16 @@ class Language:
 
 
 class Parser:
-    """The languages of a sample. Automata are built where they are first needed and go with the task that built them."""
+    """The languages of a sample."""
 
     def __init__(self, sample: dict[str, str]) -> None:
-        self.sample, self.languages = sorted(sample.items()), None
-
-    def __getstate__(self) -> dict:
-        return {"sample": self.sample, "languages": None}
-
-    def _learned(self) -> list[Language]:
-        if self.languages is None:
-            most = min(SAMPLE_BYTES, MODEL_BYTES // max(1, len(self.sample)))
-            coded = [(name, encode(text)[:most]) for name, text in self.sample]
-            self.languages = [Language(name, c) for name, c in coded if len(c)]
-        return self.languages
+        most = min(SAMPLE_BYTES, MODEL_BYTES // max(1, len(sample)))
+        coded = [(name, encode(text)[:most]) for name, text in sorted(sample.items())]
+        self.languages = [Language(name, c) for name, c in coded if len(c)]
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The language and the score, from 0 to 1, of each text."""
-        languages = self._learned()
+        languages = self.languages
         coded = [encode(t) for t in texts]
         real = [i for i, c in enumerate(coded) if len(c)]
         langs, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -221,7 +214,7 @@ class Parser:
         lengths[np.cumsum(parts) - 1] = sizes - BLOCK * (parts - 1)
         first = np.zeros(len(lengths), bool)
         first[np.cumsum([0, *parts[:-1]])] = True
-        order = [some for kind in (np.flatnonzero(first), np.flatnonzero(~first)) if len(kind) for some in np.array_split(kind[np.argsort(lengths[kind], kind="stable")], -(-len(kind) // 2_048))]
+        order = [some for kind in (np.flatnonzero(first), np.flatnonzero(~first)) if len(kind) for some in np.array_split(kind[np.argsort(lengths[kind], kind="stable")], -(-len(kind) // COLUMNS))]
         rates = np.array([x.rates(joined, starts, sizes, order) for x in languages])
         best = rates.argmin(0)
         score = 1 / np.exp(-SHARPNESS * (rates - rates.min(0))).sum(0)
@@ -232,12 +225,15 @@ class Parser:
 
 def identify(docs: DataFrame, sample: dict[str, str], keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, lang_pred and score of every row."""
-    parser = Parser(sample)
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return map_texts(docs, keys, text_col, fields, lambda texts: list(parser.predict(texts)))
+    return map_texts(docs, keys, text_col, fields, lambda: Parser(sample).predict)
 
 
 def keep_identified(docs: DataFrame, sample: dict[str, str], text_col: str = "text") -> DataFrame:
     """The rows, unchanged, whose text is in one of the sample's languages with at least REJECT_BELOW as score."""
-    parser = Parser(sample)
-    return filter_texts(docs, text_col, lambda texts: [a != "und" and s >= REJECT_BELOW for a, s in zip(*parser.predict(texts), strict=True)])
+
+    def begin() -> Callable[[list[str | None]], list[bool]]:
+        parser = Parser(sample)
+        return lambda texts: [a != "und" and s >= REJECT_BELOW for a, s in zip(*parser.predict(texts), strict=True)]
+
+    return filter_texts(docs, text_col, begin)

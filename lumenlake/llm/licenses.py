@@ -127,4 +127,4 @@ def scan_licenses(docs: DataFrame, keys: list[str], text_col: str = "text") -> D
         return [[",".join(x[0] for x in f) for f in found], [",".join(x[0] for x in r) for r in ruled], [len(r) for r in ruled], [",".join(str(x[1]) for x in r) for r in ruled]]
 
     fields = [T.StructField("sentences", T.StringType()), T.StructField("licenses", T.StringType()), T.StructField("n_licenses", T.LongType()), T.StructField("places", T.StringType())]
-    return map_texts(docs, keys, text_col, fields, work)
+    return map_texts(docs, keys, text_col, fields, lambda: work)

@@ -72,9 +72,6 @@ class Shingler:
     def __init__(self) -> None:
         self.word = functools.lru_cache(1 << 17)(_hash)
 
-    def __reduce__(self) -> tuple:
-        return Shingler, ()
-
     def __call__(self, text: str | None) -> np.ndarray:
         return shingle_set(text, self.word)
 
@@ -135,6 +132,16 @@ def _sign(texts: list[str | None], shingles: Callable[[str | None], np.ndarray]
     return [[len(s) for s in sets], pa.array(bands, pa.list_(pa.int64())), low]
 
 
+def _signer() -> Callable[[list[str | None]], list]:
+    shingles = Shingler()
+    return lambda texts: _sign(texts, shingles)
+
+
+def _shingler() -> Callable[[list[str | None]], list]:
+    shingles = Shingler()
+    return lambda texts: [[shingles(t).tobytes() for t in texts]]
+
+
 @functools.lru_cache(1)
 def least_matches(threshold: float = THRESHOLD, tolerance: float = TOLERANCE) -> tuple[tuple[int, int], ...]:
     """For each number of values compared, the fewest matches with which a pair is kept.
@@ -267,10 +274,9 @@ def _dealt(rows: DataFrame, blocks: str, key: str) -> DataFrame:
 
 def _classes(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
     """doc_id, key, row_id, comp and n_links of every row; cut writes the tables on the way."""
-    shingler = Shingler()
     text = F.coalesce(docs[text_col], F.lit(""))
     picked = docs.select(docs[id_col].alias("doc_id"), F.md5(text).alias("key"), text.alias("text"))
-    signed = map_texts(picked, ["doc_id", "key"], "text", SIGNED, lambda texts: _sign(texts, shingler))
+    signed = map_texts(picked, ["doc_id", "key"], "text", SIGNED, _signer)
     signed = cut(signed.withColumn("row_id", F.monotonically_increasing_id()), "signed")
     copied = signed.where("size > 0").groupBy("key").agg(F.min("row_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
     copied = bounded(cut(copied, "copied"))
@@ -298,7 +304,7 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, cut: Callable[[DataFra
     # One row of each text, that of its representative; equal rows are met by dropDuplicates.
     of = bounded(members.select(F.col("doc_id").alias("d"), F.col("key").alias("k")))
     wanted = picked.join(of, picked["doc_id"].eqNullSafe(of["d"]) & (picked["key"] == of["k"]), "left_semi")
-    sets = map_texts(wanted, ["key"], "text", [T.StructField("shingles", T.BinaryType())], lambda texts: [[shingler(t).tobytes() for t in texts]])
+    sets = map_texts(wanted, ["key"], "text", [T.StructField("shingles", T.BinaryType())], _shingler)
     sets = sets.dropDuplicates(["key"])
     verified = cut(map_units(units.join(sets, "key"), "unit", _in_component, "a long, b long, links long"), "verified")
     links = verified.where("links is not null").groupBy(F.col("a").alias("rep")).agg(F.sum("links").alias("links"))

@@ -188,7 +188,7 @@ def detect_pii(docs: DataFrame, keys: list[str], text_col: str = "text") -> Data
     """keys and pii, an array of (kind, start, end, score, checked), of every row; positions are code points, end exclusive."""
     names = SPANS.elementType.names
     one = lambda text: [dict(zip(names, s, strict=True)) for s in find_spans(text)]
-    return map_texts(docs, keys, text_col, [T.StructField("pii", SPANS)], lambda texts: [[one(t) for t in texts]])
+    return map_texts(docs, keys, text_col, [T.StructField("pii", SPANS)], lambda: lambda texts: [[one(t) for t in texts]])
 
 
 def redact_pii(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars") -> DataFrame:

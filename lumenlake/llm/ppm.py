@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenlake.llm.common import cut, slices
+from lumenlake.llm.common import cut, slices, tidied
 
 ORDER, SHORT, NODES, HEAD = 5, 3, 1 << 21, 1 << 17
 START, END = 0xFE, 0xFF  # no byte of UTF-8
@@ -111,7 +111,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def learn(docs: DataFrame, train: Column, text_col: str = "text") -> DataFrame:
     """kind (token or string), token, n: counts over all training texts, written to the shared folder."""
     texts = docs.where(train).select(docs[text_col])
-    return cut(texts.mapInArrow(_count, COUNTS).groupBy("kind", "token").agg(F.sum("n").alias("n")), "counts")
+    return cut(texts.mapInArrow(tidied(_count), COUNTS).groupBy("kind", "token").agg(F.sum("n").alias("n")), "counts")
 
 
 class Logs:
@@ -422,7 +422,7 @@ def score_texts(docs: DataFrame, counts: DataFrame, keep: list[str], text_col: s
         "__n": F.col("n"),
     }
     whole = counts.where(string | (F.col("n") < head_least)).select(*[given.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in schema])
-    rows = picked.mapInArrow(run, schema).unionByName(whole).repartition("__bucket").sortWithinPartitions("__kind").mapInArrow(solve, told)
-    by_row = rows.repartition("__slice").mapInArrow(add, scored)
+    rows = picked.mapInArrow(tidied(run), schema).unionByName(whole).repartition("__bucket").sortWithinPartitions("__kind").mapInArrow(tidied(solve), told)
+    by_row = rows.repartition("__slice").mapInArrow(tidied(add), scored)
     base = F.col("__logs") - F.col("n_tokens") * float(np.log10(total + distinct + 1))
     return by_row.select(*keep, "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
