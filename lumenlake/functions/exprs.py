@@ -10,11 +10,13 @@ from pyspark.sql import functions as F
 
 # Media types by extension.
 MEDIA_TYPES = {
-    "photo": ("jpg", "jpeg", "png", "gif", "webp", "heic", "heif", "tif", "tiff", "bmp", "raw", "cr2", "nef", "arw", "dng"),
-    "video": ("mp4", "mov", "avi", "mkv", "wmv", "m4v", "webm", "mpg", "mpeg", "3gp"),
-    "audio": ("mp3", "wav", "flac", "aac", "ogg", "m4a", "wma"),
-    "document": ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "md", "csv", "rtf", "odt"),
+    "photo": ("jpg", "jpeg", "png", "webp", "heic", "heif", "avif", "tiff", "tif", "bmp", "gif", "raw", "arw", "cr2", "cr3", "nef", "orf", "rw2", "dng", "raf", "psd", "svg", "ico"),
+    "video": ("mp4", "mov", "avi", "mkv", "webm", "m4v", "wmv", "flv", "3gp", "ts", "mts", "m2ts", "mpeg", "mpg", "mxf", "vob"),
+    "audio": ("mp3", "flac", "wav", "aac", "ogg", "m4a", "wma", "opus", "aiff"),
+    "document": ("pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "txt", "csv", "md", "rtf", "odt", "ods", "odp", "pages", "numbers", "key"),
 }
+# Fixed value: how much of either end a fingerprint reads.
+FINGERPRINT_EDGE = 64 * 1024
 
 
 def live(action: Column) -> Column:
@@ -85,9 +87,10 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(norms > 0, dot(a, b) / norms)
 
 
-def fingerprint(size: Column, text: Column, edge: int = 64) -> Column:
-    """Digest of a text's size, its first and its last characters."""
-    return F.sha2(F.concat(size.cast("string"), F.left(text, F.lit(edge)), F.right(text, F.lit(edge))), 256)
+def fingerprint(size: Column, text: Column, edge: int = FINGERPRINT_EDGE) -> Column:
+    """Digest of a text's size, its first characters, and, where it is longer than these, its last ones."""
+    tail = F.when(F.length(text) > edge, F.right(text, F.lit(edge))).otherwise("")
+    return F.sha2(F.concat(size.cast("string"), F.left(text, F.lit(edge)), tail), 256)
 
 
 def human_bytes(size: Column) -> Column:

@@ -93,13 +93,74 @@ def retention(feed: DataFrame, n: int, newest: list[Column], key: str | None = N
     return feed.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(*newest))).where(F.col("rank") <= n)
 
 
-def archive_mix(entries: DataFrame, key: str, kind: str, size: str) -> DataFrame:
-    """Per archive: counts by kind, bytes, and a category by the kinds' shares, tested in this order."""
-    count = lambda k: F.count_if(F.col(kind) == k)
-    by = entries.groupBy(key).agg(F.count(F.lit(1)).alias("n"), count("photo").alias("photos"), count("video").alias("videos"), count("document").alias("documents"), count("code").alias("codes"), F.sum(size).cast("long").alias("size"))
-    share = lambda c: F.col(c) / F.col("n")
-    category = F.when(share("codes") > 0.25, "code").when(share("photos") > 0.55, "photos").when(share("videos") > 0.45, "videos").when(share("documents") > 0.45, "documents").when(share("photos") + share("videos") > 0.35, "media").when(share("documents") > 0.4, "papers").otherwise("mixed")
-    return by.withColumn("category", category)
+ARCHIVE_KINDS = ("image", "video", "document", "archive", "software", "other")
+# Categories by the share of one kind, tested in this order; the least share of the commonest kind for a general archive.
+ARCHIVE_SHARES = (("archive", 0.25, "Nested Archives"), ("image", 0.55, "Photo Archive"), ("video", 0.45, "Video Archive"), ("document", 0.45, "Document Backup"), ("software", 0.35, "Software"))
+LEAST_COMMONEST = 0.4
+
+
+def archive_category(locked: Column, counts: dict[str, Column]) -> Column:
+    """An archive's category: locked, empty, by the first share that is exceeded, else mixed or general by the commonest kind."""
+    n = sum(counts.values(), F.lit(0))
+    out = F.when(locked, "Password Protected").when(n == 0, "Unknown")
+    for kind, share, name in ARCHIVE_SHARES:
+        out = out.when(counts[kind] / n > share, name)
+    return out.when(F.greatest(*counts.values()) / n < LEAST_COMMONEST, "Mixed").otherwise("General")
+
+
+def archive_mix(entries: DataFrame, key: str, kind: str, size: str, folder: str | None = None, locked: str | None = None) -> DataFrame:
+    """Per archive: files, counts by kind, bytes of all entries, whether an archive is nested, and its category.
+
+    Kinds beyond ARCHIVE_KINDS count as other; entries that are folders count in the bytes only.
+    """
+    file = ~F.col(folder) if folder else F.lit(True)
+    of = F.when(F.col(kind).isin(*ARCHIVE_KINDS), F.col(kind)).otherwise("other")
+    counts = [F.count_if(file & (of == k)).alias(k) for k in ARCHIVE_KINDS]
+    shut = F.coalesce(F.bool_or(F.col(locked)), F.lit(False)) if locked else F.lit(False)
+    by = entries.groupBy(key).agg(F.count_if(file).alias("n"), *counts, F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("size"), shut.alias("locked"))
+    by = by.withColumn("nested", F.col("archive") > 0)
+    return by.withColumn("category", archive_category(F.col("locked"), {k: F.col(k) for k in ARCHIVE_KINDS})).drop("locked")
+
+
+def archive_clusters(archives: DataFrame, samples: int = 5) -> DataFrame:
+    """Archives by category (general where it is missing): number, bytes, and the first few, largest first."""
+    known = archives.withColumn("category", F.coalesce("category", F.lit("general")))
+    by = known.groupBy("category").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("size"))
+    rank = F.row_number().over(Window.partitionBy("category").orderBy(F.desc_nulls_last("size"), "id"))
+    top = known.select("category", "id", "size", rank.alias("r")).where(F.col("r") <= samples)
+    top = top.groupBy("category").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda x: x["id"].cast("string")), ",").alias("samples"))
+    return by.join(top, "category")
+
+
+SORT_COLUMNS = {"name": "name", "size": "size_bytes", "modified": "modified_at"}
+
+
+def sort_order(sort: str | None, id_col: str = "id") -> list[Column]:
+    """The order for a sort key (name, size or modified, with _asc or _desc); any other means the latest indexed first."""
+    name, _, direction = (sort or "").rpartition("_")
+    if name not in SORT_COLUMNS or direction not in ("asc", "desc"):
+        return [F.desc_nulls_first("indexed_at"), F.col(id_col)]
+    c = F.col(SORT_COLUMNS[name])
+    return [c.asc_nulls_last() if direction == "asc" else c.desc_nulls_first(), F.col(id_col)]
+
+
+def eligible(types: tuple[str, ...] = ("photo", "video"), extensions: tuple[str, ...] = ("pdf",)) -> Column:
+    """Files of one of the types, or with one of the extensions: those that can have a thumbnail."""
+    return F.col("media_type").isin(*types) | F.col("extension").isin(*extensions)
+
+
+def folder_sizes(files: DataFrame, inside: str = "", path: str = "relative_path", size: str = "size_bytes") -> DataFrame:
+    """The listing of a folder: its entries with whether they are folders, bytes (all below), and number of direct children.
+
+    One aggregate over the files below the folder; a folder's children are the distinct next parts of its paths.
+    """
+    rest = F.col(path) if not inside else F.substr(F.col(path), F.lit(len(inside) + 2))
+    below = files if not inside else files.where(F.col(path).startswith(f"{inside}/"))
+    parts = F.split(rest, "/")
+    rows = below.select(parts[0].alias("name"), F.when(F.size(parts) > 1, parts[1]).alias("child"), F.col(size).alias("size"))
+    by = rows.groupBy("name", "child").agg(F.sum("size").alias("size"))
+    by = by.groupBy("name").agg(F.coalesce(F.sum("size"), F.lit(0)).cast("long").alias("size"), F.count("child").alias("children"))
+    return by.select("name", (F.col("children") > 0).alias("is_folder"), "size", F.nullif("children", F.lit(0)).alias("children"))
 
 
 def empty_folders(folders: DataFrame, files: DataFrame, path: str = "relative_path") -> DataFrame:

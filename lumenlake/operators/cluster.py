@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.functions.exprs import cosine, dot
+from lumenlake.functions.exprs import cosine
 
 THRESHOLD = 0.42
-#: Centroids that are broadcast at most; more are joined in a shuffle by blocks.
-BROADCAST_CENTROIDS = 20_000
+#: Elements (clusters times dimensions) of the centroids that one pass broadcasts.
+BLOCK_ELEMENTS = 2_000_000
 
 
 def centroids(vectors: DataFrame, cluster: str, vector: str, digits: int = 6) -> DataFrame:
@@ -21,21 +24,48 @@ def centroids(vectors: DataFrame, cluster: str, vector: str, digits: int = 6) ->
     return back.select(cluster, "n", F.transform("c", lambda s: F.round(s["m"], digits)).alias("centroid"))
 
 
-def assign(vectors: DataFrame, centers: DataFrame, id_col: str, vector: str, cluster: str, threshold: float = THRESHOLD) -> DataFrame:
+def assign(vectors: DataFrame, centers: DataFrame, id_col: str, vector: str, cluster: str, threshold: float = THRESHOLD, block_elements: int = BLOCK_ELEMENTS) -> DataFrame:
     """The nearest cluster of each vector with its similarity; null below the threshold. Ties go to the smaller cluster.
 
-    Every vector meets every centroid, in one combined maximum per vector; the centroids are broadcast while they are
-    few, and their norms are worked out once.
+    One matrix product per batch of vectors and block of centroids, in Arrow batches: a row goes in and a row comes out for each vector and block.
+    Blocks have block_elements elements at most and go to the tasks with the code; more than one block means more passes, one for each,
+    and a maximum per vector. Vectors and centroids without a length take no part.
     """
-    c = centers.select(F.col(cluster).alias("c_id"), F.col("centroid").alias("c_v"), F.sqrt(dot(F.col("centroid"), F.col("centroid"))).alias("c_norm")).where("c_norm > 0")
-    if c.count() > BROADCAST_CENTROIDS:
-        raise ValueError("too many centroids for one pass; assign them by blocks")
-    v = vectors.withColumn("v_norm", F.sqrt(dot(F.col(vector), F.col(vector))))
-    sim = F.round(dot(F.col(vector), F.col("c_v")) / (F.col("v_norm") * F.col("c_norm")), 6)
-    pairs = v.join(F.broadcast(c), F.col("v_norm") > 0).select(id_col, sim.alias("sim"), "c_id")
-    best = pairs.groupBy(id_col).agg(F.max(F.struct("sim", (-F.col("c_id")).alias("neg"))).alias("best"))
-    out = best.select(id_col, F.col("best.sim").alias("sim"), (-F.col("best.neg")).alias("c_id"))
-    return out.select(id_col, F.when(F.col("sim") >= threshold, F.col("c_id")).alias(cluster), "sim")
+    known = centers.where(F.col(cluster).isNotNull()).select(F.col(cluster).cast("long").alias("c"), F.col("centroid").cast("array<double>").alias("v"))
+    shape = known.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("v")).alias("d")).first()
+    blocks = max(1, -(-shape["n"] * (shape["d"] or 1) // block_elements))
+    kinds = dict(vectors.dtypes)
+    schema = f"{id_col} {kinds[id_col]}, sim double, c_id long"
+    picked = vectors.select(id_col, F.col(vector).cast("array<double>").alias("v"))
+    parts = []
+    for n in range(blocks):
+        rows = known.where(F.pmod(F.xxhash64("c"), F.lit(blocks)) == n).orderBy("c").collect()  # a block
+        table = np.array([r["v"] for r in rows], float).reshape(len(rows), shape["d"] or 1)
+        norms = np.sqrt((table**2).sum(1))
+        names, unit = np.array([r["c"] for r in rows], np.int64)[norms > 0], table[norms > 0] / norms[norms > 0, None]
+        parts.append(picked.mapInPandas(_nearest(names, unit, id_col), schema))
+    best = reduce(lambda a, b: a.unionByName(b), parts)
+    if blocks > 1:
+        best = best.groupBy(id_col).agg(F.max(F.struct("sim", (-F.col("c_id")).alias("neg"))).alias("best")).select(id_col, F.col("best.sim").alias("sim"), (-F.col("best.neg")).alias("c_id"))
+    return best.select(id_col, F.when(F.col("sim") >= threshold, F.col("c_id")).cast(dict(centers.dtypes)[cluster]).alias(cluster), "sim")
+
+
+def _nearest(names: np.ndarray, unit: np.ndarray, id_col: str) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """The most similar of the unit vectors for each row of a batch; similarities are rounded before they are compared."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            pdf = pdf[pdf["v"].notna()]
+            for lo in range(0, len(pdf) if len(names) else 0, 512):
+                some = pdf.iloc[lo : lo + 512]
+                rows = np.stack(some["v"].to_numpy()).astype(float)
+                norms = np.sqrt((rows**2).sum(1))
+                good = norms > 0
+                sims = np.round(rows[good] @ unit.T / norms[good, None], 6)
+                at = sims.argmax(1)
+                yield pd.DataFrame({id_col: some[id_col].to_numpy()[good], "sim": sims[np.arange(len(at)), at] + 0.0, "c_id": names[at]})
+
+    return run
 
 
 def merge(vectors: DataFrame, cluster: str, from_id: int, to_id: int) -> DataFrame:
@@ -103,4 +133,7 @@ def suppressed(boxes: DataFrame, key: str, overlap: float = 0.4) -> DataFrame:
 def sizes(vectors: DataFrame, cluster: str) -> DataFrame:
     """Rows per cluster with the rank by size."""
     by = vectors.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"))
-    return by.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), cluster)))
+    # Clusters of one size share a rank's beginning; a window of sizes, which are few, instead of one of all clusters.
+    sizes_ = by.groupBy("n").agg(F.count(F.lit(1)).alias("same"))
+    before = sizes_.select("n", (F.sum("same").over(Window.orderBy(F.desc("n"))) - F.col("same")).alias("before"))
+    return by.join(before, "n").withColumn("rank", (F.col("before") + F.row_number().over(Window.partitionBy("n").orderBy(cluster))).cast("int")).select(cluster, "n", "rank")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lumenlake.functions.exprs import half_up
 
-KEEP = ("oldest", "newest", "largest", "shortest_path")
+KEEP = ("oldest", "newest", "highest_res", "shortest_path")
 
 
 def exact_groups(files: DataFrame, key: str = "content_hash") -> DataFrame:
@@ -53,20 +53,43 @@ def members(files: DataFrame) -> DataFrame:
     return files.join(exact_groups(files).select("content_hash"), "content_hash", "left_semi")
 
 
-def keep_order(preset: str, when: Column) -> list[Column]:
-    """The order in which a preset prefers files: unknown values last, then the smaller id."""
-    orders = {"oldest": when.asc_nulls_last(), "newest": when.desc_nulls_last(), "largest": F.col("size_bytes").desc_nulls_last(), "shortest_path": F.length("relative_path").asc_nulls_last()}
-    return [orders[preset], F.col("id")]
+def keep_rank(preset: str) -> Column:
+    """What a preset prefers least of: the earliest date taken, created or modified; the latest modified or created; the most pixels; the fewest parts of a path."""
+    micros = lambda c: F.unix_micros(c.cast("timestamp"))
+    if preset == "oldest":
+        return micros(F.coalesce("date_taken", "date_created", "modified_at"))
+    if preset == "newest":
+        return -micros(F.coalesce("modified_at", "date_created"))
+    if preset == "highest_res":
+        pixels = lambda c: F.coalesce(F.col(c), F.lit(0)).cast("long")
+        return -(pixels("width") * pixels("height"))
+    if preset == "shortest_path":
+        return F.size(F.split("relative_path", r"[/\\]")).cast("long")
+    raise ValueError(f"preset must be one of {', '.join(KEEP)}")
 
 
-def keep_one(files: DataFrame, preset: str, when: Column, key: str = "content_hash") -> DataFrame:
-    """Every file of a group of two or more, with the file to keep. The keeper is a minimum, so that it is combined before the shuffle."""
-    ranks = {"oldest": when, "newest": -F.unix_micros(when.cast("timestamp")), "largest": -F.col("size_bytes"), "shortest_path": F.length("relative_path")}
-    rank = ranks[preset]
+def keep_one(files: DataFrame, preset: str, key: str = "content_hash") -> DataFrame:
+    """Every file of a group of two or more, with the file to keep: unknown values last, ties to the smaller id.
+
+    The keeper is a minimum, so that it is combined before the shuffle.
+    """
+    rank = keep_rank(preset)
     best = files.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(rank.isNull().alias("unknown"), rank.alias("rank"), F.col("id").alias("keep_id"))).alias("best")).where("n > 1")
     return files.join(best.select(key, "n", F.col("best.keep_id").alias("keep_id")), key).withColumn("keep", F.col("id") == F.col("keep_id"))
 
 
+def grouped(files: DataFrame, most: int = 1_000) -> DataFrame:
+    """Exact groups as (content_hash, size, n, files): the group's files by path as an array of structs, at most most of them.
+
+    n counts them all; the rest of a larger group is what members() gives, as rows.
+    """
+    groups = exact_groups(files).select("content_hash", F.col("largest").alias("size"), "n")
+    by = Window.partitionBy("content_hash").orderBy("relative_path", "id")
+    held = files.join(groups.select("content_hash"), "content_hash", "left_semi").withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
+    lists = held.groupBy("content_hash").agg(F.array_sort(F.collect_list(F.struct("place", "id", "relative_path"))).alias("files"))
+    return groups.join(lists, "content_hash").select("content_hash", "size", "n", F.transform("files", lambda x: F.struct(x["id"].alias("id"), x["relative_path"].alias("relative_path"))).alias("files"))
+
+
 def two_stage(files: DataFrame, full_hash: Column) -> DataFrame:
     """Groups confirmed by a full hash; only files that share size and fingerprint are hashed."""
     suspects = files.groupBy("size_bytes", "quick_fingerprint").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("size_bytes", "quick_fingerprint")
@@ -82,11 +105,26 @@ def cleanup_summary(files: DataFrame, dated: DataFrame, cutoff: Column, large: i
     return dups.join(F.broadcast(big), F.lit(True)).join(F.broadcast(old), F.lit(True))
 
 
-def queue(entries: DataFrame, key: str = "group_hash", newest: str = "added_at") -> DataFrame:
-    """The cleanup queue: the latest entry for each group."""
-    return entries.withColumn("r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(newest)))).where("r = 1").drop("r")
+def queue(entries: DataFrame, removed: DataFrame | None = None, key: str = "group_hash", newest: str = "added_at") -> DataFrame:
+    """The cleanup queue: the latest entry of each group (of equal times, the one of the largest values), without the groups removed."""
+    values = F.struct(newest, *[c for c in entries.columns if c not in (key, newest)])
+    latest = entries.groupBy(key).agg(F.max(values).alias("last")).select(key, "last.*").select(*entries.columns)
+    return latest if removed is None else latest.join(removed.select(key), key, "left_anti")
+
+
+def queue_savings(entries: DataFrame, saved: str = "saved") -> DataFrame:
+    """Groups in the queue and what they save together."""
+    return entries.agg(F.count(F.lit(1)).alias("groups"), F.coalesce(F.sum(saved), F.lit(0)).cast("long").alias("saved"))
 
 
 def expired(trash: DataFrame, now: Column) -> DataFrame:
-    """Trash rows with the flag whether they are past their date."""
-    return trash.withColumn("expired", F.col("expires_at") < now)
+    """Trash rows, newest first, with the flag whether they are past their date; a row without a date never is."""
+    return trash.withColumn("expired", F.coalesce(F.col("expires_at") < now, F.lit(False)))
+
+
+def restorable(trash: DataFrame, wanted: DataFrame, present: DataFrame, now: Column, key: str = "trash_path") -> DataFrame:
+    """For each path to restore: ok, or why not (unknown, expired, occupied: a file stands at its old place)."""
+    known = expired(trash, now).select(key, "original_path", "expired")
+    there = present.select(F.col("path").alias("original_path"), F.lit(True).alias("there")).distinct()
+    both = wanted.select(key).distinct().join(known, key, "left").join(there, "original_path", "left")
+    return both.select(key, F.when(F.col("expired").isNull(), "unknown").when(F.col("expired"), "expired").when(F.col("there"), "occupied").otherwise("ok").alias("state"))

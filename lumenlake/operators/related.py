@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlake.functions.exprs import slashed
+
 
 def same_collection(bridge: DataFrame, item: int, collection: str, member: str, n: int = 12) -> DataFrame:
     """Other members of the item's collections, the first n of each, by member.
@@ -60,3 +62,31 @@ def people_counts(faces: DataFrame, person: str, item: str) -> DataFrame:
 def threads(messages: DataFrame, key: str = "conv_id", place: str = "turn") -> DataFrame:
     """Per conversation: messages, roles and the first and last turn."""
     return messages.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("role") == "user").alias("user_turns"), F.min(place).alias("first_turn"), F.max(place).alias("last_turn"), F.sum(F.length("text")).cast("long").alias("chars"))
+
+
+def ordered_messages(headers: DataFrame, messages: DataFrame, key: str, place: str) -> DataFrame:
+    """Each header's messages in their order: header columns, then the message's; nth counts from 1."""
+    nth = F.row_number().over(Window.partitionBy(key).orderBy(place))
+    return headers.join(messages.withColumn("nth", nth), key).orderBy(key, "nth")
+
+
+def with_people(files: DataFrame, people: list[str], but: int | None = None, column: str = "people") -> DataFrame:
+    """Files on which any of the people is tagged, ignoring case, the latest taken first; but: a file to leave out."""
+    wanted = [p.lower() for p in people]
+    tagged = F.exists(column, lambda p: F.lower(p).isin(*wanted))
+    return files.where(tagged & (F.col("id") != but if but is not None else F.lit(True))).orderBy(F.desc_nulls_last("date_taken"), "id")
+
+
+def named_faces(faces: DataFrame, people: DataFrame, person: str = "person_id") -> DataFrame:
+    """Every face with its person's name, if it has one."""
+    names = people.select(F.col("id").alias(person), F.col("name").alias("person_name"))
+    return faces.join(names, person, "left")
+
+
+def by_path(media: DataFrame, indexed: DataFrame, own: Column, path: Column, how: str = "inner") -> DataFrame:
+    """The join of two tables of files by their full paths, whichever slashes either side has.
+
+    Both keys are worked out first, so that the join is an equi-join that Spark may sort or broadcast.
+    """
+    left, right = media.withColumn("__path", slashed(own)), indexed.withColumn("__path", slashed(path))
+    return left.join(right, "__path", how).drop("__path")

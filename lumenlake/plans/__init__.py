@@ -1,0 +1 @@
+from lumenlake.plans import catalogue, media  # noqa: F401  both register their queries

@@ -5,32 +5,14 @@ Parameters are fixed, so that results are; every order before a limit is total.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.functions.exprs import all_of, extension_of, geo_cell, live, percentage, under
+from lumenlake.functions.exprs import all_of, geo_cell, live, percentage, under
 from lumenlake.operators import analytics, cluster, collections, dedupe, planning, reconcile, related, search
+from lumenlake.plans.registry import QUERIES, SQL, query
 from lumenlake.sources.adapters import FILES_SQL, PLACES_SQL, SNAPSHOT_SQL, files, listed, places, stored, table
 from lumenlake.streaming import events as streams
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None) -> Callable:
-    """Registers a query under its function's name, with its SQL."""
-
-    def register(f: Callable[[SparkSession, str], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = f
-        if sql:
-            SQL[f.__name__] = sql
-        return f
-
-    return register
-
-
 WITH = f"WITH {FILES_SQL} "
 EXACT_SQL = "exact AS (SELECT content_hash, count(*) AS n, max(size_bytes) AS largest, sum(size_bytes) AS total FROM files GROUP BY 1 HAVING count(*) > 1)"
 
@@ -69,26 +51,6 @@ def dup_fingerprint_groups(spark, d):
     return dedupe.fingerprint_groups(files(spark, d).withColumn("h", h), content="h")
 
 
-DATED = "dated AS (SELECT *, CASE WHEN id % 6 <> 0 THEN make_timestamp(2020, 1, 1, 0, 0, 0) + to_days((id * 37 % 900)::INTEGER) END AS taken FROM files)"
-PREFER = {"oldest": "taken ASC NULLS LAST", "newest": "taken DESC NULLS LAST", "largest": "size_bytes DESC NULLS LAST", "shortest_path": "length(relative_path) ASC NULLS LAST"}
-
-
-def _dated(spark, d):
-    days = F.make_dt_interval(F.col("id") * 37 % 900)
-    return files(spark, d).withColumn("taken", F.when(F.col("id") % 6 != 0, F.lit("2020-01-01").cast("timestamp_ntz") + days))
-
-
-for preset in dedupe.KEEP:
-
-    def keeper(spark, d, preset=preset):
-        return dedupe.keep_one(_dated(spark, d), preset, F.col("taken")).select("content_hash", "id", "keep_id", "keep", "n")
-
-    keeper.__name__ = f"dup_keep_{preset}"
-    query(f"""WITH {FILES_SQL}, {DATED},
-r AS (SELECT content_hash, id, count(*) OVER (PARTITION BY content_hash) AS n, first_value(id) OVER (PARTITION BY content_hash ORDER BY {PREFER[preset]}, id) AS keep_id FROM dated)
-SELECT content_hash, id, keep_id, id = keep_id AS keep, n FROM r WHERE n > 1""")(keeper)
-
-
 @query(f"""WITH {FILES_SQL}, s AS (SELECT size_bytes, quick_fingerprint FROM files GROUP BY ALL HAVING count(*) > 1)
 SELECT sha256(ocr_text) AS full_hash, count(*) AS n, min(id) AS first_id FROM files JOIN s USING (size_bytes, quick_fingerprint) GROUP BY 1 HAVING count(*) > 1""")
 def dup_two_stage(spark, d):
@@ -209,23 +171,40 @@ def live_rows(spark, d):
     return files(spark, d).withColumn("action", action).where(live(F.col("action"))).groupBy("action").agg(F.count(F.lit(1)).alias("n"), F.sum("size_bytes").cast("long").alias("size"))
 
 
-@query("SELECT CASE WHEN l_quantity > 40 THEN 'photo' WHEN l_quantity > 25 THEN 'video' WHEN l_quantity > 10 THEN 'document' ELSE 'code' END AS kind, count(*) AS n, sum(l_extendedprice::BIGINT)::BIGINT AS size FROM lineitem GROUP BY 1")
-def category_totals(spark, d):
-    rows = _entries(spark, d)
-    return rows.groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("size"))
+KIND = "CASE WHEN l_quantity > 40 THEN 'image' WHEN l_quantity > 28 THEN 'video' WHEN l_quantity > 16 THEN 'document' WHEN l_quantity > 9 THEN 'archive' WHEN l_quantity > 5 THEN 'software' WHEN l_quantity > 2 THEN 'other' ELSE 'odd' END"
+ENTRIES_SQL = f"""e AS (SELECT l_orderkey AS archive, {KIND} AS kind, l_extendedprice::BIGINT AS size, l_linenumber = 7 AS folder, l_orderkey % 20 = 0 AS locked FROM lineitem)"""
+MIX_SQL = ENTRIES_SQL + """, c AS (SELECT archive, count(*) FILTER (WHERE NOT folder) AS n, count(*) FILTER (WHERE NOT folder AND kind = 'image') AS image, count(*) FILTER (WHERE NOT folder AND kind = 'video') AS video,
+    count(*) FILTER (WHERE NOT folder AND kind = 'document') AS document, count(*) FILTER (WHERE NOT folder AND kind = 'archive') AS archive_n, count(*) FILTER (WHERE NOT folder AND kind = 'software') AS software,
+    count(*) FILTER (WHERE NOT folder AND kind IN ('other', 'odd')) AS other, sum(size)::BIGINT AS size, bool_or(locked) AS locked FROM e GROUP BY 1),
+mix AS (SELECT *, CASE WHEN locked THEN 'Password Protected' WHEN n = 0 THEN 'Unknown' WHEN archive_n / n > 0.25 THEN 'Nested Archives' WHEN image / n > 0.55 THEN 'Photo Archive' WHEN video / n > 0.45 THEN 'Video Archive'
+    WHEN document / n > 0.45 THEN 'Document Backup' WHEN software / n > 0.35 THEN 'Software' WHEN greatest(image, video, document, archive_n, software, other) / n < 0.4 THEN 'Mixed' ELSE 'General' END AS category FROM c)"""
 
 
 def _entries(spark, d):
     q = F.col("l_quantity")
-    kind = F.when(q > 40, "photo").when(q > 25, "video").when(q > 10, "document").otherwise("code")
-    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("archive"), kind.alias("kind"), F.rint("l_extendedprice").cast("long").alias("size"))
+    kind = F.when(q > 40, "image").when(q > 28, "video").when(q > 16, "document").when(q > 9, "archive").when(q > 5, "software").when(q > 2, "other").otherwise("odd")
+    return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("key"), kind.alias("kind"), F.rint("l_extendedprice").cast("long").alias("size"), (F.col("l_linenumber") == 7).alias("folder"), (F.col("l_orderkey") % 20 == 0).alias("locked"))
+
 
+@query(f"WITH {ENTRIES_SQL} SELECT kind, count(*) AS n, sum(size)::BIGINT AS size FROM e GROUP BY 1")
+def category_totals(spark, d):
+    return _entries(spark, d).groupBy("kind").agg(F.count(F.lit(1)).alias("n"), F.sum("size").cast("long").alias("size"))
 
-@query("""WITH e AS (SELECT l_orderkey AS archive, CASE WHEN l_quantity > 40 THEN 'photo' WHEN l_quantity > 25 THEN 'video' WHEN l_quantity > 10 THEN 'document' ELSE 'code' END AS kind, l_extendedprice::BIGINT AS size FROM lineitem),
-c AS (SELECT archive, count(*) AS n, count(*) FILTER (WHERE kind = 'photo') AS photos, count(*) FILTER (WHERE kind = 'video') AS videos, count(*) FILTER (WHERE kind = 'document') AS documents, count(*) FILTER (WHERE kind = 'code') AS codes, sum(size)::BIGINT AS size FROM e GROUP BY 1)
-SELECT *, CASE WHEN codes / n > 0.25 THEN 'code' WHEN photos / n > 0.55 THEN 'photos' WHEN videos / n > 0.45 THEN 'videos' WHEN documents / n > 0.45 THEN 'documents' WHEN photos / n + videos / n > 0.35 THEN 'media' WHEN documents / n > 0.4 THEN 'papers' ELSE 'mixed' END AS category FROM c""")
+
+def _mix(spark, d):
+    return analytics.archive_mix(_entries(spark, d), "key", "kind", "size", "folder", "locked")
+
+
+@query(f"WITH {MIX_SQL} SELECT archive AS key, n, image, video, document, archive_n AS archive, software, other, size, archive_n > 0 AS nested, category FROM mix")
 def archive_mix(spark, d):
-    return analytics.archive_mix(_entries(spark, d), "archive", "kind", "size")
+    return _mix(spark, d)
+
+
+@query(f"""WITH {MIX_SQL}, k AS (SELECT CASE WHEN archive % 30 <> 0 THEN category ELSE 'general' END AS category, archive AS id, size FROM mix),
+r AS (SELECT *, row_number() OVER (PARTITION BY category ORDER BY size DESC, id) AS r FROM k)
+SELECT category, count(*) AS n, sum(size)::BIGINT AS size, string_agg(CASE WHEN r <= 5 THEN id::VARCHAR END, ',' ORDER BY r) AS samples FROM r GROUP BY 1""")
+def archive_clusters(spark, d):
+    return analytics.archive_clusters(_mix(spark, d).select(F.col("key").alias("id"), "size", F.when(F.col("key") % 30 != 0, F.col("category")).alias("category")))
 
 
 # Joins and related items
@@ -304,9 +283,9 @@ def chat_threads(spark, d):
     return related.threads(table(spark, d, "conversations"))
 
 
-@query("SELECT c_mktsegment AS segment, c_custkey, o_orderkey, l_linenumber FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE c_custkey % 50 = 1 AND l_quantity > 25")
+@query("SELECT c_mktsegment AS segment, c_custkey, o_orderkey, l_linenumber FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 25")
 def bridge_join(spark, d):
-    c = table(spark, d, "customer").where("c_custkey % 50 = 1").select(F.col("c_mktsegment").alias("segment"), "c_custkey")
+    c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_custkey")
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     li = table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
     return c.join(o, "c_custkey").join(li, "o_orderkey").select("segment", "c_custkey", "o_orderkey", "l_linenumber")
@@ -325,12 +304,13 @@ def centroids(spark, d):
 COS = "list_cosine_similarity({a}, {b})"
 
 
-@query(WITH + f""", q AS (SELECT embedding::DOUBLE[] AS qv, media_type AS qt, content_hash AS qh FROM embeddings JOIN files ON vec_id = id WHERE id = 3)
-SELECT vec_id AS id, round({COS.format(a="embedding::DOUBLE[]", b="qv")}, 6) AS sim FROM embeddings JOIN files ON vec_id = id, q
-WHERE vec_id <> 3 AND media_type = qt AND content_hash <> qh AND round({COS.format(a="embedding::DOUBLE[]", b="qv")}, 6) >= 0.1 ORDER BY sim DESC, id LIMIT 24""")
+@query(WITH + f""", q AS (SELECT embedding::DOUBLE[] AS qv, media_type AS qt, content_hash AS qh FROM embeddings JOIN files ON vec_id = id WHERE id = 3),
+s AS (SELECT vec_id AS id, round({COS.format(a="embedding::DOUBLE[]", b="qv")}, 6) AS sim FROM embeddings JOIN files ON vec_id = id, q
+    WHERE vec_id <> 3 AND media_type = qt AND content_hash <> qh ORDER BY sim DESC, id LIMIT 24)
+SELECT id, sim, floor(sim * 100 + 0.5) / 100 AS score, CASE WHEN sim >= 0.6 THEN 'very_likely' WHEN sim >= 0.45 THEN 'likely' ELSE 'possible' END AS confidence, floor(sim * 100 + 0.5)::BIGINT || '% similar content' AS reason FROM s""")
 def knn_similar(spark, d):
     v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return search.similar(files(spark, d), v, 3, 0.1, 24)
+    return search.similar(files(spark, d), v, 3, 24)
 
 
 @query(f"""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, round(avg(x), 6) AS m FROM e GROUP BY ALL),
@@ -354,11 +334,11 @@ def cluster_merge(spark, d):
 # Search
 
 
-@query("""SELECT term FROM (SELECT lower(p_name) AS term FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT lower(p_type) FROM part UNION SELECT lower(c_mktsegment) FROM customer)
+@query("""SELECT term FROM (SELECT lower(unnest(string_split(p_name, ' '))) AS term FROM part UNION SELECT lower(p_brand) FROM part UNION SELECT lower(p_type) FROM part UNION SELECT lower(c_mktsegment) FROM customer)
 WHERE term LIKE '%br%' ORDER BY term LIMIT 8""")
 def suggest_terms(spark, d):
     part = table(spark, d, "part")
-    return search.suggest([F.col("p_name"), F.col("p_brand"), F.col("p_type"), F.col("c_mktsegment")], [part, part, part, table(spark, d, "customer")], "br")
+    return search.suggest([F.split("p_name", " "), F.col("p_brand"), F.col("p_type"), F.col("c_mktsegment")], [part, part, part, table(spark, d, "customer")], " Br ")
 
 
 QUERY_VECTOR = [round(((i * 37) % 11 - 5) / 10, 1) for i in range(64)]
@@ -376,27 +356,6 @@ def hybrid_candidates(spark, d):
     return _candidates(spark, d).select("id", "media_type", "sim")
 
 
-INTENT = search.Intent(keywords=("thing", "src1", "good"), objects=("the",), exclude=("licensed",), location="zu", doc_types=("good",), semantic=True)
-
-
-@query(f"""WITH {CANDIDATES_SQL},
-t AS (SELECT c.*, lower(c.ocr_text) AS tx, lower(c.source) AS g, lower(c.name) AS n, CASE WHEN quality = 1 THEN 'good' WHEN quality = 0 THEN 'poor' ELSE '' END AS dt FROM cand c LEFT JOIN labels l ON l.doc_id = c.id),
-p AS (SELECT *, greatest(0, coalesce(sim, 0)) * 3 AS p0, CASE WHEN contains(g, 'the') THEN 1.5 WHEN contains(tx, 'the') THEN 0.7 ELSE 0 END AS p1,
-    CASE WHEN contains(g, 'thing') THEN 1.0 WHEN contains(n, 'thing') THEN 1.0 WHEN contains(dt, 'thing') THEN 0.9 WHEN contains(tx, 'thing') THEN 0.4 ELSE 0 END AS p2,
-    CASE WHEN contains(g, 'src1') THEN 1.0 WHEN contains(n, 'src1') THEN 1.0 WHEN contains(dt, 'src1') THEN 0.9 WHEN contains(tx, 'src1') THEN 0.4 ELSE 0 END AS p3,
-    CASE WHEN contains(g, 'good') THEN 1.0 WHEN contains(n, 'good') THEN 1.0 WHEN contains(dt, 'good') THEN 0.9 WHEN contains(tx, 'good') THEN 0.4 ELSE 0 END AS p4,
-    CASE WHEN contains(g, 'zu') THEN 1.0 WHEN contains(tx, 'zu') THEN 0.1 ELSE 0 END AS p5, CASE WHEN dt = 'good' THEN 1.5 ELSE 0 END AS p6 FROM t WHERE NOT contains(tx, 'licensed') AND NOT contains(g, 'licensed')),
-s AS (SELECT *, p0 + p1::DOUBLE + p2::DOUBLE + p3::DOUBLE + p4::DOUBLE + p5::DOUBLE + p6::DOUBLE AS raw FROM p)
-SELECT id, floor(raw * 100 + 0.5) / 100 AS score, CASE WHEN raw >= 2.2 THEN 'high' WHEN raw >= 1.1 THEN 'medium' ELSE 'low' END AS confidence,
-    array_to_string(list_slice(list_filter([CASE WHEN p0 > 0 THEN 'meaning' END, CASE WHEN p1 > 0 THEN 'shows the' END, CASE WHEN p2 > 0 THEN 'has thing' END, CASE WHEN p3 > 0 THEN 'has src1' END, CASE WHEN p4 > 0 THEN 'has good' END, CASE WHEN p5 > 0 THEN 'at zu' END, CASE WHEN p6 > 0 THEN 'document type' END], lambda x: x IS NOT NULL), 1, 5), '; ') AS reasons
-FROM s WHERE raw > 0.05 AND NOT (coalesce(sim, 0) < 0.15 AND raw < 1) ORDER BY score DESC, id LIMIT 60""")
-def hybrid_scored(spark, d):
-    labels = table(spark, d, "labels").select(F.col("doc_id").alias("id"), "quality")
-    kind = F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "poor").otherwise("")
-    rows = _candidates(spark, d).join(labels, "id", "left").withColumn("doc_type", kind).withColumn("tags", F.col("source"))
-    return search.scored(rows, INTENT).select("id", "score", "confidence", "reasons")
-
-
 @query("""WITH t AS (SELECT p_partkey, string_split(p_name, ' ') AS ai, [upper(split_part(p_name, ' ', 2))] AS hidden, [p_brand] AS u FROM part)
 SELECT p_partkey, array_to_string(list_concat(list_filter(ai, lambda x: NOT list_contains(list_transform(hidden, lambda h: lower(h)), lower(x))), u), ',') AS tags FROM t""")
 def effective_tags(spark, d):
@@ -405,55 +364,8 @@ def effective_tags(spark, d):
     return table(spark, d, "part").select("p_partkey", F.array_join(tags, ",").alias("tags"))
 
 
-@query(WITH + ", t AS (SELECT id, array_to_string(list_filter([trim(name)[1:2000], trim(media_type)[1:2000], trim(ocr_text)[1:2000]], lambda x: x <> ''), chr(10)) AS body FROM files) SELECT id, length(body)::INTEGER AS n, sha256(body) AS digest FROM t")
-def embedding_text(spark, d):
-    body = search.embedding_text(F.col("name"), F.col("media_type"), F.col("ocr_text"))
-    return files(spark, d).select("id", F.length(body).alias("n"), F.sha2(body, 256).alias("digest"))
-
-
 # Collections
 
-RULE = collections.SmartRule(media_types=("en", "es"), extensions=(".TXT",), name_contains="1", min_size=800, max_size=20_000)
-
-
-@query(WITH + "SELECT id, size_bytes FROM files WHERE media_type IN ('en', 'es') AND name ILIKE '%1%' AND size_bytes >= 800 AND size_bytes <= 20000")
-def smart_rule(spark, d):
-    return files(spark, d).withColumn("extension", extension_of(F.col("name"))).where(RULE.predicate()).select("id", "size_bytes")
-
-
-AUTO_SQL = f"""keyed AS (SELECT o_orderkey AS id, 'event:' || strftime({ORDER_DATE}, '%Y-%m') AS auto_key FROM orders
-    UNION ALL SELECT id, concat('place:', floor(lat * 10 + 0.5)::INTEGER, ',', floor(lon * 10 + 0.5)::INTEGER) FROM places
-    UNION ALL SELECT doc_id, CASE WHEN regexp_matches(lower(text), 'receipt|invoice|rechnung|quittung') THEN 'doc:receipts' WHEN regexp_matches(lower(text), 'contract|agreement|vertrag') THEN 'doc:contracts' WHEN regexp_matches(lower(text), 'passport|licen[cs]e|ausweis') THEN 'doc:identity' END FROM documents),
-groups AS (SELECT auto_key, count(*) AS n, max(id) AS cover_id FROM keyed WHERE auto_key IS NOT NULL GROUP BY 1 HAVING count(*) >= CASE WHEN auto_key LIKE 'doc:%' THEN 1 ELSE 3 END)"""
-
-
-def _groups(spark, d):
-    months = _orders(spark, d).select(F.col("o_orderkey").alias("id"), collections.month_key(F.col("dated")).alias("auto_key"))
-    spots = places(spark, d).select("id", collections.place_key(F.col("lat"), F.col("lon")).alias("auto_key"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("id"), collections.doc_key(F.col("text")).alias("auto_key"))
-    return collections.auto_groups(months.unionByName(spots).unionByName(docs), {"event": 3, "place": 3, "doc": 1})
-
-
-@query(f"WITH {PLACES_SQL}, {AUTO_SQL} SELECT auto_key, n, cover_id FROM groups")
-def auto_groups(spark, d):
-    return _groups(spark, d)
-
-
-@query(f"""WITH {PLACES_SQL}, {AUTO_SQL},
-g AS (SELECT auto_key, CASE WHEN n % 3 = 0 THEN 'Around here' ELSE 'Group ' || auto_key END AS name, cover_id FROM groups),
-e AS (SELECT auto_key, CASE WHEN n % 2 = 0 THEN 'Around there' ELSE 'Mine' END AS name, n % 5 = 0 AS removed, CASE WHEN n % 7 <> 0 THEN cover_id - 1 END AS cover_id FROM groups WHERE n % 4 <> 0
-    UNION ALL SELECT 'event:1900-01', 'Old', false, 1),
-b AS (SELECT auto_key, e.name AS old_name, g.name AS new_name, coalesce(e.cover_id, g.cover_id) AS cover_id,
-    CASE WHEN e.removed THEN 'skip' WHEN e.auto_key IS NULL THEN 'create' WHEN g.auto_key IS NULL THEN 'delete' WHEN starts_with(e.name, 'Around ') AND NOT starts_with(g.name, 'Around ') THEN 'rename' ELSE 'keep' END AS action FROM e FULL JOIN g USING (auto_key))
-SELECT auto_key, action, CASE WHEN action IN ('create', 'rename') THEN new_name ELSE old_name END AS name, cover_id FROM b""")
-def collection_diff(spark, d):
-    g = _groups(spark, d)
-    new = g.select("auto_key", F.when(F.col("n") % 3 == 0, "Around here").otherwise(F.concat(F.lit("Group "), "auto_key")).alias("name"), "cover_id")
-    old = g.where("n % 4 <> 0").select("auto_key", F.when(F.col("n") % 2 == 0, "Around there").otherwise("Mine").alias("name"), (F.col("n") % 5 == 0).alias("removed"), F.when(F.col("n") % 7 != 0, F.col("cover_id") - 1).alias("cover_id"))
-    gone = spark.createDataFrame([("event:1900-01", "Old", False, 1)], "auto_key string, name string, removed boolean, cover_id long")
-    return collections.difference(old.unionByName(gone), new)
-
-
 @query("SELECT l_orderkey, count(DISTINCT l_partkey) AS items, max(l_partkey) AS cover_id FROM lineitem GROUP BY 1")
 def collection_counts(spark, d):
     return collections.counts(table(spark, d, "lineitem"), "l_orderkey", "l_partkey")
@@ -468,14 +380,14 @@ def album_merge(spark, d):
 
 # Snapshots
 
-MOVES_SQL = SNAPSHOT_SQL + """, f AS (SELECT coalesce(l.relative_path, s.relative_path) AS relative_path, l.relative_path IS NOT NULL AS l, s.relative_path IS NOT NULL AS s, l.size_bytes AS ls, s.size_bytes AS ss, l.quick_fingerprint AS lf, s.quick_fingerprint AS sf
+MOVES_SQL = SNAPSHOT_SQL + """, f AS (SELECT coalesce(l.relative_path, s.relative_path) AS relative_path, l.relative_path IS NOT NULL AS l, s.relative_path IS NOT NULL AS s, l.size_bytes AS ls, s.size_bytes AS ss, l.quick_fingerprint AS lf, s.quick_fingerprint AS sf, l.modified_at AS lm, s.modified_at AS sm
     FROM listed l FULL JOIN stored s ON l.relative_path = s.relative_path),
 mv AS (SELECT a.relative_path AS from_path, b.relative_path AS to_path, fp AS quick_fingerprint
     FROM (SELECT relative_path, sf AS fp, row_number() OVER (PARTITION BY sf ORDER BY relative_path) AS nth FROM f WHERE NOT l) a
     JOIN (SELECT relative_path, lf AS fp, row_number() OVER (PARTITION BY lf ORDER BY relative_path) AS nth FROM f WHERE NOT s) b USING (fp, nth))"""
 
 
-@query(f"""WITH {MOVES_SQL} SELECT f.relative_path, mv.from_path, CASE WHEN l AND s THEN CASE WHEN ls = ss AND lf = sf THEN 'UNCHANGED' ELSE 'MODIFIED' END WHEN l THEN CASE WHEN mv.from_path IS NOT NULL THEN 'MOVED' ELSE 'NEW' END ELSE 'DELETED' END AS action
+@query(f"""WITH {MOVES_SQL} SELECT f.relative_path, mv.from_path, CASE WHEN l AND s THEN CASE WHEN ls = ss AND lm = sm THEN 'UNCHANGED' ELSE 'MODIFIED' END WHEN l THEN CASE WHEN mv.from_path IS NOT NULL THEN 'MOVED' ELSE 'NEW' END ELSE 'DELETED' END AS action
 FROM f LEFT JOIN mv ON mv.to_path = f.relative_path WHERE f.relative_path NOT IN (SELECT from_path FROM mv)""")
 def reconcile_actions(spark, d):
     return reconcile.reconcile(listed(spark, d), stored(spark, d))
@@ -490,7 +402,7 @@ def reconcile_moves(spark, d):
 @query(f"""WITH {SNAPSHOT_SQL} SELECT coalesce(l.relative_path, s.relative_path) AS relative_path, CASE WHEN l.relative_path IS NOT NULL THEN l.size_bytes ELSE s.size_bytes END AS size_bytes,
 CASE WHEN l.relative_path IS NOT NULL THEN l.quick_fingerprint ELSE s.quick_fingerprint END AS quick_fingerprint, coalesce(l.thumbnail, s.thumbnail) AS thumbnail FROM listed l FULL JOIN stored s ON l.relative_path = s.relative_path""")
 def merge_upsert(spark, d):
-    return reconcile.merge(listed(spark, d), stored(spark, d).drop("id"), ["relative_path"], ["size_bytes", "quick_fingerprint"], ["thumbnail"])
+    return reconcile.merge(listed(spark, d).drop("modified_at"), stored(spark, d).drop("id", "modified_at"), ["relative_path"], ["size_bytes", "quick_fingerprint"], ["thumbnail"])
 
 
 @query(f"WITH {SNAPSHOT_SQL} SELECT id, relative_path FROM stored s WHERE NOT EXISTS (SELECT 1 FROM listed l WHERE l.relative_path = s.relative_path)")
@@ -536,19 +448,6 @@ def dry_run(spark, d):
     return planning.dry_run(routes, routes.where("id % 17 = 0"), ["id"]).select("id", "dest_path", "conflict")
 
 
-RULE_ROWS = [("en", "convert", "text", 0.3, "zst"), ("fr", "optimal", "text", 0.0, None), ("de", "convert", "text", 0.62, "zst")]
-
-
-@query(WITH + """, r(extension, status, ratio) AS (VALUES ('en', 'convert', 0.3::DOUBLE), ('fr', 'optimal', 0.0), ('de', 'convert', 0.62)),
-k AS (SELECT media_type AS extension, coalesce(r.status, 'unknown') AS status, id, size_bytes, ratio FROM files LEFT JOIN r ON r.extension = media_type),
-t AS (SELECT extension, string_agg(id::VARCHAR, ',' ORDER BY n) AS samples FROM (SELECT extension, id, row_number() OVER (PARTITION BY extension ORDER BY size_bytes DESC, id) AS n FROM k) WHERE n <= 3 GROUP BY 1)
-SELECT extension, status, count(*) AS n, sum(size_bytes)::BIGINT AS size, sum(CASE WHEN status = 'convert' THEN floor(size_bytes * ratio + 0.5) ELSE 0 END)::BIGINT AS saving, any_value(samples) AS samples,
-CASE status WHEN 'convert' THEN 1 WHEN 'raw' THEN 2 WHEN 'optimal' THEN 3 WHEN 'protected' THEN 4 ELSE 5 END::INTEGER AS status_rank FROM k JOIN t USING (extension) GROUP BY extension, status""")
-def ext_savings(spark, d):
-    rules = spark.createDataFrame(RULE_ROWS, "extension string, status string, category string, ratio double, target string")
-    return planning.savings(files(spark, d).withColumn("extension", F.col("media_type")), rules)
-
-
 # Events
 
 

@@ -34,7 +34,7 @@ def test_geo_cells_at_their_borders(spark):
     assert values(spark, *cells) == [1, 0, -1, 473, 474]
 
 
-@pytest.mark.parametrize(("name", "ext", "kind"), [("a.JPG", "jpg", "photo"), ("b.tar.gz", "gz", "other"), ("c", "", "other"), ("d.mp4", "mp4", "video"), (".bashrc", "bashrc", "other"), ("x.pdf", "pdf", "document"), ("y.flac", "flac", "audio")])
+@pytest.mark.parametrize(("name", "ext", "kind"), [("a.JPG", "jpg", "photo"), ("b.tar.gz", "gz", "other"), ("c", "", "other"), ("d.mp4", "mp4", "video"), (".bashrc", "bashrc", "other"), ("x.pdf", "pdf", "document"), ("y.flac", "flac", "audio"), ("z.mts", "mts", "video"), ("k.key", "key", "document"), ("r.CR3", "cr3", "photo"), ("o.opus", "opus", "audio")])
 def test_extensions_and_types(spark, name, ext, kind):
     e = exprs.extension_of(F.lit(name))
     assert values(spark, e, exprs.media_type(e)) == [ext, kind]
@@ -96,11 +96,39 @@ def test_empty_folders(spark):
 
 
 def test_archive_categories_at_their_thresholds(spark):
-    mixes = {1: "p" * 11 + "v" * 9, 2: "p" * 12 + "v" * 8, 3: "c" * 5 + "p" * 15, 4: "c" * 6 + "p" * 14, 5: "d" * 9 + "o" * 11, 6: "d" * 10 + "o" * 10, 7: "o" * 20, 8: "p" * 8 + "o" * 12}
-    kinds = {"p": "photo", "v": "video", "d": "document", "c": "code", "o": "other"}
-    df = spark.createDataFrame([(k, kinds[c], 1) for k, m in mixes.items() for c in m], "a int, kind string, size long")
-    found = {r["a"]: r["category"] for r in analytics.archive_mix(df, "a", "kind", "size").collect()}
-    assert found == {1: "media", 2: "photos", 3: "photos", 4: "code", 5: "papers", 6: "documents", 7: "mixed", 8: "media"}
+    kinds = {"i": "image", "v": "video", "d": "document", "a": "archive", "s": "software", "o": "other", "x": "unheard of"}
+    mixes = {
+        1: ("i" * 11 + "v" * 9, "General"),  # .55 is not over .55, and the commonest has .4 or more
+        2: ("i" * 12 + "v" * 8, "Photo Archive"),
+        3: ("a" * 5 + "i" * 15, "Photo Archive"),
+        4: ("a" * 6 + "i" * 14, "Nested Archives"),
+        5: ("v" * 9 + "o" * 11, "General"),
+        6: ("v" * 10 + "o" * 10, "Video Archive"),
+        7: ("d" * 10 + "x" * 10, "Document Backup"),
+        8: ("s" * 7 + "o" * 13, "General"),
+        9: ("s" * 8 + "o" * 12, "Software"),
+        10: ("i" * 7 + "v" * 7 + "d" * 6, "Mixed"),
+        11: ("i" * 8 + "v" * 7 + "d" * 5, "General"),
+    }
+    rows = [(k, kinds[c], 1, False, False) for k, (m, _) in mixes.items() for c in m] + [(12, "image", 5, True, False), (13, "image", 5, False, True), (11, "archive", 4, True, False)]
+    df = spark.createDataFrame(rows, "a int, kind string, size long, folder boolean, locked boolean")
+    found = {r["a"]: r["category"] for r in analytics.archive_mix(df, "a", "kind", "size", "folder", "locked").collect()}
+    assert found == {k: c for k, (_, c) in mixes.items()} | {12: "Unknown", 13: "Password Protected"}
+
+
+def test_sort_keys_are_a_whitelist(spark):
+    rows = [(1, "b", 5, DAY, DAY), (2, "a", 9, None, DAY + dt.timedelta(1)), (3, "c", 1, DAY + dt.timedelta(2), None)]
+    df = spark.createDataFrame(rows, "id int, name string, size_bytes long, modified_at timestamp_ntz, indexed_at timestamp_ntz")
+    order = lambda k: [r["id"] for r in df.orderBy(*analytics.sort_order(k)).collect()]
+    assert [order(k) for k in ("name_asc", "name_desc", "size_asc", "size_desc", "modified_asc", "modified_desc")] == [[2, 1, 3], [3, 1, 2], [3, 1, 2], [2, 1, 3], [1, 3, 2], [2, 3, 1]]
+    assert order(None) == order("id; drop table_asc") == order("name") == [3, 2, 1]
+
+
+def test_folder_sizes(spark):
+    df = spark.createDataFrame([("a/x/1", 1), ("a/x/2", 2), ("a/x/y/3", 4), ("a/f", 8), ("ab/z", 16), ("r", 32)], "relative_path string, size_bytes long")
+    found = {r["name"]: (r["is_folder"], r["size"], r["children"]) for r in analytics.folder_sizes(df, "a").collect()}
+    assert found == {"x": (True, 7, 3), "f": (False, 8, None)}
+    assert {r["name"]: r["size"] for r in analytics.folder_sizes(df).collect()} == {"a": 15, "ab": 16, "r": 32}
 
 
 @pytest.mark.parametrize(("online", "reports"), [("1", 0), ("10", 0), ("101", 0), ("100", 1), ("1000", 1), ("1001001", 2), ("00", 1)])
@@ -126,23 +154,50 @@ def test_groups_and_waste(spark):
     assert report == [("EXACT", "1,2,3"), ("FINGERPRINT", "4,5"), ("FINGERPRINT", "8,9")]
 
 
-@pytest.mark.parametrize(("preset", "keeper"), [("oldest", 2), ("newest", 3), ("largest", 1), ("shortest_path", 4)])
+def test_fingerprints_read_64_kib_of_either_end(spark):
+    one = lambda t: values(spark, exprs.fingerprint(F.lit(len(t)), F.lit(t)))[0]
+    text = "a" * 150_000
+    assert one("ab" * 5_000) != one("ab" * 2_500 + "ba" + "ab" * 2_499)
+    assert one(text) == one(text[:70_000] + "b" + text[70_001:]) and one(text) != one(text[:-1] + "b") and one(text) != one("b" + text[1:])
+
+
+@pytest.mark.parametrize(("preset", "keeper"), [("oldest", 2), ("newest", 3), ("highest_res", 4), ("shortest_path", 5)])
 def test_keepers(spark, preset, keeper):
-    rows = [(1, "aaaa", 90, "h", None, None), (2, "bbbb", 5, "h", None, DAY), (3, "cccc", None, "h", None, DAY + dt.timedelta(1)), (4, "d", 90, "h", None, None), (5, "x", 1, "alone", None, DAY), (6, "y", 1, None, None, DAY), (7, "z", 1, None, None, DAY)]
-    df = spark.createDataFrame(rows, FILES + ", taken timestamp_ntz")
-    found = dedupe.keep_one(df, preset, F.col("taken")).collect()
-    assert {r["id"] for r in found} == {1, 2, 3, 4} and {r["keep_id"] for r in found} == {keeper}
+    day = lambda n: DAY + dt.timedelta(n)
+    rows = [
+        (1, "a/b/c", "h", None, day(3), day(9), 100, 10),
+        (2, "a/b/cc", "h", None, day(2), day(8), 100, 10),  # created before all others
+        (3, "a\\b/c", "h", day(5), None, day(10), None, 90),  # modified last
+        (4, "a/b/d", "h", day(4), day(1), None, 50, 30),  # taken on day 4, which counts before created on day 1
+        (5, "longer-than-all-others", "h", None, None, None, None, None),
+        (6, "x", "alone", None, day(0), None, 1, 1),
+        (7, "y", None, None, day(0), None, 1, 1),
+    ]
+    df = spark.createDataFrame(rows, "id int, relative_path string, content_hash string, date_taken timestamp_ntz, date_created timestamp_ntz, modified_at timestamp_ntz, width int, height int")
+    found = dedupe.keep_one(df, preset).collect()
+    assert {r["id"] for r in found} == {1, 2, 3, 4, 5} and {r["keep_id"] for r in found} == {keeper}
+    with pytest.raises(ValueError):
+        dedupe.keep_one(df, "largest")
 
 
 def test_queue_keeps_the_latest_entry(spark):
-    rows = [("g", 1, "2024-01-01"), ("g", 2, "2024-01-02"), ("k", 5, "2024-01-01")]
-    found = dedupe.queue(spark.createDataFrame(rows, "group_hash string, saved long, added_at string"))
-    assert found.agg(F.sum("saved")).first()[0] == 7
+    rows = [("g", 1, "2024-01-01"), ("g", 2, "2024-01-02"), ("k", 5, "2024-01-01"), ("k", 4, "2024-01-01"), ("z", 9, "2024-01-01")]
+    entries = spark.createDataFrame(rows, "group_hash string, saved long, added_at string")
+    assert tuple(dedupe.queue_savings(dedupe.queue(entries)).first()) == (3, 16)
+    left = dedupe.queue(entries, spark.createDataFrame([("z",), ("q",)], "group_hash string"))
+    assert left.columns == entries.columns and tuple(dedupe.queue_savings(left).first()) == (2, 7)
+    assert tuple(dedupe.queue_savings(entries.limit(0)).first()) == (0, 0)
+
+
+def test_restoring_from_the_trash(spark):
+    trash = spark.createDataFrame([("t1", "a", DAY), ("t2", "b", DAY - dt.timedelta(1)), ("t3", "c", None), ("t4", "d", DAY)], "trash_path string, original_path string, expires_at timestamp_ntz")
+    found = dedupe.restorable(trash, spark.createDataFrame([("t1",), ("t2",), ("t3",), ("t4",), ("t9",)], "trash_path string"), spark.createDataFrame([("d",)], "path string"), F.lit(DAY).cast("timestamp_ntz"))
+    assert {r["trash_path"]: r["state"] for r in found.collect()} == {"t1": "ok", "t2": "expired", "t3": "ok", "t4": "occupied", "t9": "unknown"}
 
 
 def test_trash_expires_strictly(spark):
     df = spark.createDataFrame([(DAY,), (DAY - dt.timedelta(seconds=1),), (None,)], "expires_at timestamp_ntz")
-    assert [r["expired"] for r in dedupe.expired(df, F.lit(DAY).cast("timestamp_ntz")).collect()] == [False, True, None]
+    assert [r["expired"] for r in dedupe.expired(df, F.lit(DAY).cast("timestamp_ntz")).collect()] == [False, True, False]
 
 
 # Snapshots
@@ -157,6 +212,9 @@ def test_reconciliation(spark):
     a, b = spark.createDataFrame(listed, SNAP), spark.createDataFrame(stored, SNAP)
     found = {r["relative_path"]: (r["action"], r["from_path"]) for r in reconcile.reconcile(a, b).collect()}
     assert found == {"same": ("UNCHANGED", None), "size": ("MODIFIED", None), "gone": ("DELETED", None), "new": ("NEW", None), "moved": ("MOVED", "old"), "w1": ("MOVED", "twin1"), "w2": ("MOVED", "twin2"), "w3": ("NEW", None), "copy": ("UNCHANGED", None), "copy2": ("NEW", None), "nofp": ("DELETED", None), "nofp2": ("NEW", None), "out/x": ("DELETED", None)}
+    assert {r["action"] for r in reconcile.reconcile(a, b.limit(0)).collect()} == {"NEW"}
+    kept = {r["relative_path"]: r["from_path"] for r in reconcile.reconcile(a, b, all_stored=True).where("action = 'MOVED'").collect()}
+    assert kept["copy2"] == "copy" and reconcile.reconcile(a, b, all_stored=True).where("relative_path = 'copy'").first()["action"] == "UNCHANGED"
     assert {r["action"] for r in reconcile.reconcile(a, b, full=True).where("relative_path = 'same'").collect()} == {"MODIFIED"}
     assert {r["relative_path"] for r in reconcile.reconcile(a.limit(0), b, root="out").collect()} == {"out/x"}
     assert {r["action"] for r in reconcile.reconcile(a, b.limit(0)).collect()} == {"NEW"}
@@ -226,35 +284,88 @@ def test_nearest_with_ties(spark):
 
 
 def test_words_and_loose_intents():
-    assert search.parse_words("Find my OLD cat a photo of one two three four five").keywords == ("find", "old", "cat", "photo", "one", "two", "three", "four")
-    raw = {"keywords": ["Cat", 5, " "], "mediaTypes": ["photo", "spaceship"], "dateFrom": "2024-01-01", "dateTo": "soon", "favoriteOnly": "yes", "location": " ", "semanticQuery": "cats"}
+    found = search.parse_words("Find my OLD cat a photo of one two three four five")
+    assert found.keywords == ("find", "old", "cat", "photo", "one", "two", "three", "four") and found.semantic_query.startswith("Find my OLD")
+    raw = {"keywords": ["Cat", 5, " "], "mediaTypes": ["image", "photo", "spaceship"], "dateFrom": "2024-01-01", "dateTo": "soon", "favoriteOnly": "yes", "location": " ", "semanticQuery": " cats "}
     found = search.validated(raw)
-    assert (found.keywords, found.media_types, found.date_from, found.date_to, found.favorite_only, found.location, found.semantic) == (("cat",), ("photo",), "2024-01-01", None, False, None, True)
+    assert (found.keywords, found.media_types, found.date_from, found.date_to, found.favorite_only, found.location, found.semantic_query) == (("cat", "5"), ("image",), "2024-01-01", None, False, None, "cats")
     assert len(search.validated({"keywords": ["w"] * 30}).keywords) == 10
-    assert search.hints(search.Intent()) and len(search.hints(search.Intent(date_from="2024-01-01", exclude=("x",)))) == 2
+    merged = search.with_filters(found, {"mediaTypes": ["photo"], "favoriteOnly": True, "dateFrom": "x", "dateTo": "2024-02-01"})
+    assert (merged.media_types, merged.favorite_only, merged.date_from, merged.date_to) == (("photo",), True, "2024-01-01", "2024-02-01")
+    assert search.with_filters(found, {"mediaTypes": []}) == found
+
+
+def test_hints():
+    assert len(search.hints(search.Intent())) == 2
+    asked = search.Intent(date_to="2024-01-01", exclude=("x",), media_types=("video",), objects=("a", "b"), location="Rome", favorite_only=True)
+    assert [h.split()[0] for h in search.hints(asked)] == ["Remove", "Search", "Stop", "Try"]
+    assert search.hints(search.Intent(media_types=("video", "image"), objects=("a",), location="Rome")) == ['Drop the location "Rome" — many files have no GPS data']
 
 
-ROWS = "id int, ocr_text string, tags string, name string, doc_type string, sim double"
+ROWS = "id int, name string, relative_path string, description string, user_description string, notes string, ocr_text string, doc_type string, scene string, place_name string, tags array<string>, hidden_tags array<string>, user_tags array<string>, objects array<string>, people array<string>, lat double, date_taken timestamp_ntz, favorite boolean, sim double"
+PLAIN = dict.fromkeys((c.split()[0] for c in ROWS.split(", ")))
+
+
+def media_rows(spark, *rows):
+    return spark.createDataFrame([tuple((PLAIN | {"name": "", "relative_path": "", "favorite": False, "id": i} | r).values()) for i, r in enumerate(rows, 1)], ROWS)
 
 
 def test_scores_confidence_and_reasons(spark):
-    rows = [(1, "a cat", "cat dog", "x.jpg", "", 0.5), (2, "cat", None, "x.jpg", None, 0.1), (3, "cat", "", "cat.jpg", "", None), (4, "zoo cat", "cat", "x", "", 0.9), (5, "nothing", "", "", "", 0.0)]
-    intent = search.Intent(keywords=("cat",), objects=("dog",), exclude=("zoo",), semantic=True)
-    found = {r["id"]: (r["score"], r["confidence"], r["reasons"]) for r in search.scored(spark.createDataFrame(rows, ROWS), intent).collect()}
-    assert found == {1: (4.0, "high", "meaning; shows dog; has cat"), 3: (1.0, "low", "has cat")}
-    assert search.scored(spark.createDataFrame(rows, ROWS), search.Intent()).count() == 5
+    cat = search.Intent(keywords=("cat",))
+    rows = media_rows(spark, {"name": "Cat.jpg", "notes": "cat"}, {"notes": "my Cat", "ocr_text": "cat"}, {"ocr_text": "CAT"}, {"scene": "cat"}, {"user_tags": ["Cat"]}, {"tags": ["Cat"], "hidden_tags": ["cAT"]}, {"description": "cat", "user_description": "dog"}, {"people": ["Catherine"]})
+    found = {r["id"]: (r["score"], r["confidence"], r["reasons"]) for r in search.scored(rows, cat).collect()}
+    assert found == {1: (1.0, "possible", 'Name contains "cat"'), 2: (1.0, "possible", 'Your note mentions "cat"'), 3: (0.9, "possible", 'Text mentions "cat"'), 4: (0.4, "possible", ""), 5: (0.4, "possible", ""), 8: (0.4, "possible", "")}
+    assert search.scored(rows, search.Intent()).count() == 8
+    assert {r["id"] for r in search.scored(rows, search.Intent(exclude=("cat",))).collect()} == {6, 7}
+
+
+def test_scores_of_objects_places_and_meaning(spark):
+    asked = search.Intent(objects=("dog",), location="Rome", doc_types=("bill",), favorite_only=True, date_from="2020-01-01", semantic_query="q")
+    rows = media_rows(
+        spark,
+        {"objects": ["Dogs"], "place_name": "Rome, Italy", "doc_type": "bill", "favorite": True, "date_taken": DAY, "sim": 0.45},
+        {"scene": "dog", "relative_path": "rome/x", "sim": 0.30},
+        {"lat": 1.0, "sim": 0.29},
+        {"lat": 1.0, "sim": 0.1},
+        {"lat": 1.0},
+        {"sim": -0.5},
+    )
+    found = {r["id"]: (r["score"], r["confidence"], r["reasons"]) for r in search.scored(rows, asked).collect()}
+    assert found == {
+        1: (5.85, "very_likely", f"Strong content match; Dog detected; Taken in Rome, Italy; Taken {DAY:%b %Y}; Classified as bill"),
+        2: (2.6, "very_likely", 'Related content; Mentions "dog"; Location matches Rome'),
+        3: (0.97, "possible", "Has GPS data"),
+        5: (0.1, "possible", "Has GPS data"),
+    }
 
 
 def test_similar_items_skip_copies(spark):
-    files = spark.createDataFrame([(1, "photo", "h"), (2, "photo", "h"), (3, "photo", "k"), (4, "video", "m"), (5, "photo", None)], "id int, media_type string, content_hash string")
-    vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in (1, 2, 3, 4, 5)], "id int, embedding array<double>")
-    assert [r["id"] for r in search.similar(files, vectors, 1).collect()] == [3, 5]
+    files = spark.createDataFrame([(1, "photo", "h"), (2, "photo", "h"), (3, "photo", "k"), (4, "video", "m"), (5, "photo", None), (6, "photo", "z")], "id int, media_type string, content_hash string")
+    vectors = spark.createDataFrame([(i, [1.0, 0.0]) for i in (1, 2, 3, 4)] + [(5, [1.0, 1.0]), (6, [-1.0, 0.0]), (7, None)], "id int, embedding array<double>")
+    assert [(r["id"], r["confidence"], r["reason"]) for r in search.similar(files, vectors, 1).collect()] == [(3, "very_likely", "100% similar content"), (5, "very_likely", "71% similar content"), (6, "possible", "-100% similar content")]
+
+
+def test_saved_searches_and_history(spark):
+    at = lambda n: F.lit(DAY + dt.timedelta(n)).cast("timestamp_ntz")
+    saved = spark.createDataFrame([], "id long, name string, query string, intent string, created_at timestamp_ntz, last_used_at timestamp_ntz")
+    saved = search.save_search(saved, " cats ", "old cats", None, at(0))
+    saved = search.save_search(saved, "dogs", "dogs", search.Intent(objects=("dog",), date_from="2020-01-01"), at(1))
+    assert [(r["id"], r["name"]) for r in saved.orderBy("id").collect()] == [(1, "cats"), (2, "dogs")]
+    assert search.rerun_search(saved, 1) == search.parse_words("old cats") and search.rerun_search(saved, 2) == search.Intent(objects=("dog",), date_from="2020-01-01")
+    with pytest.raises(LookupError):
+        search.rerun_search(saved, 9)
+    with pytest.raises(ValueError):
+        search.save_search(saved, " ", "x", None, at(2))
+    log = spark.createDataFrame([], "id long, query string, results long, created_at timestamp_ntz")
+    for n in range(4):
+        log = search.log_search(log, f"q{n}", n, at(n), keep=3)
+    assert [r["query"] for r in log.orderBy("id").collect()] == ["q1", "q2", "q3"]
 
 
 def test_suggestions_and_tags(spark):
-    df = spark.createDataFrame([("Brown fox",), ("brick",), (None,)], "t string")
-    assert [r[0] for r in search.suggest([F.col("t")], [df], "BR").collect()] == ["brick", "brown fox"]
-    assert [r[0] for r in search.suggest([F.col("t")], [df], "b", starters=("photos",)).collect()] == ["photos"]
+    df = spark.createDataFrame([("Brown fox", ["Bread", "x"]), ("brick", None), (None, ["abroad"])], "t string, a array<string>")
+    assert [r[0] for r in search.suggest([F.col("t"), F.col("a")], [df, df], " BR ").collect()] == ["abroad", "bread", "brick", "brown fox"]
+    assert [r[0] for r in search.suggest([F.col("t")], [df], " b ").collect()] == list(search.STARTERS) == [r[0] for r in search.suggest([F.col("t")], [df], None).collect()]
     arr = lambda *x: F.array(*[F.lit(v) for v in x]) if x else F.array().cast("array<string>")
     assert values(spark, search.effective_tags(arr("Cat", "dog"), arr("CAT"), arr("pet", "dog")), search.effective_tags(F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>"), arr("x"))) == [["dog", "pet", "dog"], ["x"]]
     assert values(spark, *search.edit_tags(arr("Cat"), arr(), arr("cat", "own"), remove="cat")) == [["cat"], ["own"]]
@@ -263,7 +374,7 @@ def test_suggestions_and_tags(spark):
 
 
 def test_embedding_text(spark):
-    assert values(spark, search.embedding_text(F.lit(" a "), F.lit(""), F.lit(None).cast("string"), F.lit("b" * 3_000))) == ["a\n" + "b" * 2_000]
+    assert values(spark, search.embedding_text([F.lit(" a "), F.lit(""), F.lit(None).cast("string"), F.lit("b" * 3_000), F.lit("c" * 3_000)], cut_at=(4,))) == [" a \n" + "b" * 3_000 + "\n" + "c" * 2_000]
 
 
 # Collections
@@ -272,28 +383,47 @@ def test_embedding_text(spark):
 def test_rules_are_salvaged_by_field(spark):
     rule = collections.SmartRule.salvage({"mediaTypes": ["photo", 3], "minSizeBytes": "many", "maxSizeBytes": 9, "nameContains": "", "favoritesOnly": 1, "dateTo": "2024-05-01"})
     assert rule == collections.SmartRule(media_types=("photo",), max_size=9, date_to="2024-05-01")
-    rows = [(1, "photo", "a.jpg", 9, DAY + dt.timedelta(hours=23)), (2, "photo", "b.jpg", 9, DAY + dt.timedelta(days=1)), (3, "photo", "c.jpg", None, DAY), (4, None, "d", 1, DAY)]
+    rows = [(1, "photo", "a.jpg", 9, DAY), (2, "photo", "b.jpg", 9, DAY + dt.timedelta(seconds=1)), (3, "photo", "c.jpg", None, DAY), (4, None, "d", 1, DAY)]
     df = spark.createDataFrame(rows, "id int, media_type string, name string, size_bytes long, taken timestamp_ntz")
     assert [r["id"] for r in df.where(rule.predicate(F.col("taken"))).collect()] == [1]
     assert df.where(collections.SmartRule().predicate()).count() == 4
 
 
 def test_document_categories_in_order(spark):
-    texts = ["Rechnung zum Vertrag", "a contract", "Ausweis", "nothing", None]
-    df = spark.createDataFrame([(t,) for t in texts], "t string")
-    assert [r[0] for r in df.select(collections.doc_key(F.col("t"))).collect()] == ["doc:receipts", "doc:contracts", "doc:identity", None, None]
+    names = {"Rechnung Bank.pdf": "receipts", "bill.txt": "receipts", "billboard.txt": "other", "User Guide.doc": "manuals", "W2.pdf": "finance", "w-2.xls": "finance", "x.PDF": "pdf", "x.ods": "spreadsheets", "x.key": "presentations", "contract.odt": "other"}
+    df = spark.createDataFrame([(n, n.rpartition(".")[2]) for n in names], "n string, e string")
+    assert [r[0] for r in df.select(collections.doc_category(F.col("n"), F.col("e"))).collect()] == list(names.values())
+    assert values(spark, collections.doc_category(F.lit("x.txt"), F.lit(None).cast("string"), F.lit("Steuer"), F.lit(None).cast("string")), collections.doc_category(F.lit("x"), F.lit("txt"), F.lit(None).cast("string"), F.lit("Handbuch"))) == ["finance", "manuals"]
+
+
+def test_groups_have_names(spark):
+    number = lambda x: F.lit(x).cast("decimal(9,4)")
+    none = F.lit(None).cast("string")
+    found = values(spark, collections.month_group(F.lit(DAY).cast("timestamp_ntz")), collections.place_group(number("46.94"), number("-7.05"), none), collections.place_group(number("47.02"), number("8.5"), F.lit("Zug")), collections.place_group(number("-0.04"), F.lit(None).cast("decimal(9,4)"), none), collections.doc_group(F.lit("pdf")))
+    assert [tuple(x) if x else None for x in found] == [
+        (f"event:{DAY:%Y-%m}", f"{DAY:%B %Y}", f"Photos & videos from {DAY:%B %Y}"),
+        ("place:46.9,-7", "Around 46.9°N, 7.0°W", "Media taken near this location"),
+        ("place:47,8.5", "Zug", "Media taken in and around Zug"),
+        None,
+        ("doc:pdf", "PDFs", "All PDF documents"),
+    ]
 
 
 def test_rebuild_differences(spark):
-    old = [("a", "Mine", False, 1), ("b", "Around 1,2", False, None), ("c", "Dead", True, 3), ("d", "Gone", False, 4), ("e", "Around x", False, 5)]
-    new = [("a", "Auto", 9), ("b", "Zurich", 8), ("c", "Back", 7), ("f", "Fresh", 6), ("e", "Around y", 5)]
-    found = {r["auto_key"]: tuple(r)[1:] for r in collections.difference(spark.createDataFrame(old, "auto_key string, name string, removed boolean, cover_id long"), spark.createDataFrame(new, "auto_key string, name string, cover_id long")).collect()}
-    assert found == {"a": ("keep", "Mine", 1), "b": ("rename", "Zurich", 8), "c": ("skip", "Dead", 3), "d": ("delete", "Gone", 4), "e": ("keep", "Around x", 5), "f": ("create", "Fresh", 6)}
+    old = [("a", "Mine", False, 1), ("b", "Around 1,2", False, None), ("c", "Dead", True, 3), ("d", "Gone", False, 4), ("e", "Around x", False, 5), ("g", "Around z", False, 6)]
+    new = [("a", "Auto", 9), ("b", "Zurich", 8), ("c", "Back", 7), ("f", "Fresh", 6), ("e", "Around y", 5), ("g", "Around z", 2)]
+    e, g = spark.createDataFrame(old, "auto_key string, name string, removed boolean, cover_id long"), spark.createDataFrame(new, "auto_key string, name string, cover_id long")
+    found = {r["auto_key"]: tuple(r)[1:] for r in collections.difference(e, g).collect()}
+    assert found == {"a": ("keep", "Mine", 1), "b": ("rename", "Zurich", 8), "c": ("skip", "Dead", 3), "d": ("delete", "Gone", 4), "e": ("rename", "Around y", 5), "f": ("create", "Fresh", 6), "g": ("keep", "Around z", 6)}
+    keyed = spark.createDataFrame([("a", 9), ("b", 8), ("c", 7), ("f", 6), ("e", 5), ("g", 2), ("g", 2), ("h", 1)], "auto_key string, id long")
+    covers = {r["auto_key"]: r["cover_id"] for r in collections.difference(e, g, keyed).collect()}
+    assert (covers["a"], covers["e"], covers["g"]) == (9, 5, 2)
+    assert sorted(map(tuple, collections.rebuilt_members(keyed, g, e).collect())) == [("a", 9), ("b", 8), ("e", 5), ("f", 6), ("g", 2)]
 
 
 def test_auto_groups_reach_their_least(spark):
-    keyed = spark.createDataFrame([("event:2024-01", i) for i in range(3)] + [("event:2024-02", i) for i in range(2)] + [("doc:receipts", 9), (None, 1)], "auto_key string, id long")
-    assert {r["auto_key"]: (r["n"], r["cover_id"]) for r in collections.auto_groups(keyed, {"event": 3, "doc": 1}).collect()} == {"event:2024-01": (3, 2), "doc:receipts": (1, 9)}
+    keyed = spark.createDataFrame([("event:2024-01", "J", "", i) for i in range(3)] + [("event:2024-02", "F", "", i) for i in range(2)] + [("doc:receipts", "R", "", 9), (None, None, None, 1)], "auto_key string, name string, description string, id long")
+    assert {r["auto_key"]: (r["name"], r["n"], r["cover_id"]) for r in collections.auto_groups(keyed).collect()} == {"event:2024-01": ("J", 3, 2), "doc:receipts": ("R", 1, 9)}
 
 
 def test_places(spark):
@@ -331,23 +461,37 @@ def test_routes_and_conflicts(spark):
     existing = spark.createDataFrame([("Photos/a.jpg",), ("Other/x.bin",)], "dest_path string")
     assert [r["conflict"] for r in planning.dry_run(routes, existing, ["id"]).orderBy("id").collect()] == ["disk", "intra_job", None, "disk"]
     renamed = [r["dest_path"] for r in planning.renamed(routes, existing, ["id"]).orderBy("id").collect()]
-    assert len(set(renamed)) == 4 and not {"Photos/a.jpg", "Other/x.bin"} & set(renamed) and renamed[2] == "Mine/a.jpg"
+    assert renamed == ["Photos/a_1.jpg", "Photos/a_2.jpg", "Mine/a.jpg", "Other/x_1.bin"]
     assert values(spark, planning.outcome("skip", F.lit(None).cast("string")), planning.outcome("skip", F.lit("disk"))) == ["move", "skip"]
+    left = planning.excluded(routes.withColumn("relative_path", F.col("id").cast("string")), ("zip",), spark.createDataFrame([("2",)], "relative_path string"))
+    assert {r["id"] for r in left.collect()} == {1, 3}
+    assert tuple(planning.same_plan(routes, left).first()) == (4, 2, False)
+
+
+def test_new_names_leave_out_those_in_use(spark):
+    paths = ["d/a.x"] * 4 + ["d/a_2.x", "d/a_2.x", "d/noext", "d/noext", "d.e/f", "d.e/f"]
+    routes = spark.createDataFrame(list(enumerate(paths)), "id int, dest_path string")
+    existing = spark.createDataFrame([("d/a_1.x",), ("d/a_4.x",), ("d/noext",)], "dest_path string")
+    found = [r["dest_path"] for r in planning.renamed(routes, existing, ["id"]).orderBy("id").collect()]
+    assert found == ["d/a.x", "d/a_3.x", "d/a_5.x", "d/a_6.x", "d/a_2.x", "d/a_2_1.x", "d/noext_1", "d/noext_2", "d.e/f", "d.e/f_1"]
 
 
 def test_savings_by_profile(spark):
     files = spark.createDataFrame([(1, "jpg", 1_000), (2, "jpg", 500), (3, "cr2", 100), (4, "odd", 7)], "id int, extension string, size_bytes long")
-    found = {r["extension"]: (r["status"], r["n"], r["saving"], r["samples"]) for r in planning.savings(files, planning.rules(spark)).collect()}
-    assert found == {"jpg": ("convert", 2, 450, "1,2"), "cr2": ("protected", 1, 0, "3"), "odd": ("unknown", 1, 0, "4")}
-    ratios = [{r["extension"]: r["ratio"] for r in planning.rules(spark, p).collect()}["jpg"] for p in ("ARCHIVE", "BALANCED", "MAXIMUM")]
-    assert ratios == sorted(ratios) and len(set(ratios)) == 3
-    assert {r["extension"]: r["status"] for r in planning.rules(spark, raw=True).collect()}["cr2"] == "convert"
+    found = {r["extension"]: (r["status"], r["n"], r["saving"], r["samples"], r["status_rank"]) for r in planning.savings(files, planning.rules(spark)).collect()}
+    assert found == {"jpg": ("convert", 2, 270, "1,2", 0), "cr2": ("protected", 1, 0, "3", 1), "odd": ("skip", 1, 0, "4", 3)}
+    told = {p: {r["extension"]: (r["status"], r["target"], r["ratio"]) for r in planning.rules(spark, p, raw=p == "MAXIMUM").collect()} for p in planning.PROFILES}
+    assert [told[p]["jpg"] for p in told] == [("protected", "jpg", 0.0), ("convert", "jpg", 0.18), ("convert", "webp", 0.27)]
+    assert told["BALANCED"]["cr2"] == ("protected", None, None) and told["MAXIMUM"]["cr2"] == ("convert", "jpg", 0.8) and told["MAXIMUM"]["3fr"][0] == "protected"
+    assert len(told["BALANCED"]) == 61
 
 
 def test_codecs_and_issues(spark):
-    kept = F.lit("unknown")
-    assert values(spark, *[planning.codec_override(F.lit(c), kept) for c in ("FFV1", "hevc", "mpeg4", "other")]) == ["protected", "optimal", "convert", "unknown"]
-    assert values(spark, planning.jpeg_issues(F.lit(False), F.lit(6), F.lit(100), F.lit("4:4:4")), planning.jpeg_issues(F.lit(True), F.lit(5), F.lit(100), F.lit("4:2:0"))) == [["not progressive", "large metadata", "full chroma"], []]
+    pairs = [planning.codec_override(F.lit(c), F.lit("skip"), F.lit(0.4)) for c in ("prores", "v210", "h264", "vp8", "mjpeg", "cinepak", "ffv1")]
+    assert values(spark, *[x for p in pairs for x in p]) == ["protected", 0.4, "protected", 0.4, "optimal", 0.4, "optimal", 0.4, "convert", 0.68, "convert", 0.68, "skip", 0.4]
+    issues = lambda *x: planning.jpeg_issues(*[F.lit(v) for v in x])
+    found = values(spark, issues(False, 6, 100, "4:4:4"), issues(True, 5, 100, "4:2:0"), issues(True, 5, 100, "4:1:1"))
+    assert [len(x) for x in found] == [3, 0, 1] and found[2] == ["suboptimal chroma subsampling (4:1:1)"]
 
 
 # Jobs and questions

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 from conftest import MIDDLE, SMALL
 from harness import TABLES, compare, oracle
-from lumenlake.plans import catalogue
+from lumenlake.plans import registry as catalogue
 
 import __spark_entry__ as entry_points
 
