@@ -79,15 +79,14 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_langid, op3_secrets, op4_ppm, op5_decontaminate, op6_urls, op7_licenses, op8_neardup, op9_knn, op10_mixing)}
 
-_SHINGLES = r"""
-    SELECT DISTINCT {id}, array_to_string(list_slice(w, i, i + 4), ' ') AS s FROM (
-        SELECT {id}, w, unnest(generate_series(1, len(w) - 4)) AS i FROM (
-            SELECT {id}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table} WHERE text IS NOT NULL
-        ) WHERE len(w) >= 5)"""
+_WORDS = r"SELECT {id}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table} WHERE text IS NOT NULL"
 
 SQL: dict[str, str] = {
     "op5_decontaminate": f"""
-WITH d AS ({_SHINGLES.format(id="doc_id", table="documents")}), b AS ({_SHINGLES.format(id="item_id", table="benchmark")}),
+WITH dw AS ({_WORDS.format(id="doc_id", table="documents")}), bw AS ({_WORDS.format(id="item_id", table="benchmark")}),
+k AS (SELECT 5 AS k UNION SELECT DISTINCT len(w) FROM bw WHERE len(w) BETWEEN 1 AND 4),
+d AS (SELECT DISTINCT doc_id, array_to_string(list_slice(w, i, i + k - 1), ' ') AS s FROM (SELECT doc_id, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM dw JOIN k ON len(w) >= k)),
+b AS (SELECT DISTINCT item_id, array_to_string(list_slice(w, i, i + n - 1), ' ') AS s FROM (SELECT item_id, w, least(len(w), 5) AS n, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM bw WHERE len(w) > 0)),
 n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
 c AS (SELECT d.doc_id, b.item_id, count(*) AS shared FROM d JOIN b USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, shared, item_shingles, round(shared / item_shingles, 6) AS containment
