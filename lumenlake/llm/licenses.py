@@ -1,116 +1,113 @@
 """Licence recognition by sentences and rules.
 
-A text is cut into sentences (at line ends, and after . ! ? ; before a blank). A sentence is normalised: lower
-case, version numbers set apart, everything else but letters and digits one blank. Known sentences have
-identifiers. The identifiers of a text, in order and without the sentences between them that are unknown, are
-matched against ordered rules from left to right: the first rule whose sequence stands at a place is
-reported and its sentences are used up; a sentence that begins no rule reports "unmatched:<identifier>".
+A text is normalised to words: lower case, runs of letters and digits; version numbers and years stand apart, and comment signs, quotes and
+line ends within a paragraph vanish, so that sentences may be wrapped as they are in files. Known sentences, normalised
+alike, have identifiers. One is recognised where its words stand within a paragraph (blank lines end it), beginning and ending at a line's
+edge or a sign of punctuation; of several the longest counts, from left to right.
 
-Null and empty texts have no sentences. Repeated rows give one result row each. Extra columns are harmless.
+The identifiers of a text, in order and without what stands between them, are matched against ordered rules from left to right: the first
+rule whose sequence stands at a place is reported and its sentences are used up; a sentence that begins no rule reports
+"unmatched:<identifier>".
+
+Null and empty texts have no sentences. Very long texts are read whole, in time that grows with their length. Equal lengths can't tie: two
+known sentences never have the same words. Repeated rows give one result row each. Extra columns are harmless.
 """
 
 from __future__ import annotations
 
 import re
+from collections import defaultdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lumenlake.llm.common import map_texts
+from lumenlake.llm.license_sentences import RULES, SENTENCES
+
+#: One of these occurs in each known sentence, whatever blanks and signs part its words; other texts need no reading.
+HINT = re.compile(r"licen[sc]e|permission|copyright|warrant|redistribut|merchantab|rights[\W_]+reserved|public[\W_]+domain|mozilla|liable|CC[\W_]*BY|CC0", re.I)
+WORD = re.compile(r"v?([0-9]+(?:\.[0-9]+)*)(?![^\W_])|[^\W_]+")
+# Spellings that count as one.
+SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
+ANYWHERE = "..."
+
+
+def _word(m: re.Match) -> str:
+    return "{v}" if m[1] else SPELLINGS.get(m[0], m[0])
+
+
+def normalised(sentence: str) -> tuple[str, ...]:
+    """A known sentence's words."""
+    return tuple(x for part in re.split(r"(\{v\})", sentence.lower().removeprefix(ANYWHERE)) for x in ((part,) if part == "{v}" else map(_word, WORD.finditer(part))))
+
+
+def _index() -> dict[tuple[str, str], list[tuple[tuple[str, ...], str, bool]]]:
+    """Words, identifier and whether it begins anywhere, of the known sentences by their first two words; the longest first."""
+    out = defaultdict(list)
+    for name, wordings in SENTENCES.items():
+        for w in wordings:
+            words = normalised(w)
+            out[words[:2]].append((words, name, w.startswith(ANYWHERE)))
+    for known in out.values():
+        known.sort(key=lambda k: (-len(k[0]), k[0]))
+    return dict(out)
+
 
-# Known sentences, normalised, {v} for a version number; the version, if any, joins the licence's name.
-SENTENCES = {
-    "apache-grant": "licensed under the apache license version {v}",
-    "apache-file": "you may not use this file except in compliance with the license",
-    "apache-copy": "you may obtain a copy of the license at http www apache org licenses license {v}",
-    "gpl-work": "this work is licensed under the gnu general public license version {v}",
-    "gpl-free": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version {v} of the license or at your option any later version",
-    "lgpl-work": "this work is licensed under the gnu lesser general public license version {v}",
-    "agpl-work": "this work is licensed under the gnu affero general public license version {v}",
-    "mit-release": "released under the mit license",
-    "mit-licensed": "licensed under the mit license",
-    "mit-grant": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions",
-    "mit-notice": "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software",
-    "as-is": "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement",
-    "bsd-grant": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "bsd-source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
-    "bsd-binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
-    "bsd-endorse": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
-    "cc-by-nc-sa": "licensed under cc by nc sa {v}",
-    "cc-by-nc-nd": "licensed under cc by nc nd {v}",
-    "cc-by-nc": "licensed under cc by nc {v}",
-    "cc-by-sa": "licensed under cc by sa {v}",
-    "cc-by": "licensed under cc by {v}",
-    "cc-zero": "licensed under cc0 {v}",
-    "mpl-form": "this source code form is subject to the terms of the mozilla public license v {v}",
-    "all-rights": "all rights reserved",
-}
-# Licences and the sequences of sentences that show them; earlier rules win.
-RULES = (
-    ("MIT", ("mit-grant", "mit-notice", "as-is")),
-    ("MIT", ("mit-grant", "mit-notice")),
-    ("MIT", ("mit-grant",)),
-    ("BSD-3-Clause", ("bsd-grant", "bsd-source", "bsd-binary", "bsd-endorse")),
-    ("BSD-2-Clause", ("bsd-grant", "bsd-source", "bsd-binary")),
-    ("Apache", ("apache-grant", "apache-file", "apache-copy")),
-    ("Apache", ("apache-grant",)),
-    ("GPL", ("gpl-free",)),
-    ("GPL", ("gpl-work",)),
-    ("LGPL", ("lgpl-work",)),
-    ("AGPL", ("agpl-work",)),
-    ("MIT", ("mit-release",)),
-    ("MIT", ("mit-licensed",)),
-    ("CC-BY-NC-SA", ("cc-by-nc-sa",)),
-    ("CC-BY-NC-ND", ("cc-by-nc-nd",)),
-    ("CC-BY-NC", ("cc-by-nc",)),
-    ("CC-BY-SA", ("cc-by-sa",)),
-    ("CC-BY", ("cc-by",)),
-    ("CC0", ("cc-zero",)),
-    ("MPL", ("mpl-form",)),
-    ("proprietary", ("all-rights",)),
-)
-#: One of these occurs in each known sentence; other texts need no cutting.
-HINT = re.compile("licens|permission|copyright|warrant|redistribut|rights reserved", re.I)
-CUT = re.compile(r"\n|(?<=[.!?;:])\s")
-VERSION = re.compile(r"(?<![A-Za-z0-9.])v?([0-9]+(?:\.[0-9]+)*)(?![A-Za-z0-9])")
-OTHERS = re.compile(r"[^a-z0-9{}]+")
-KNOWN = {pattern: name for name, pattern in SENTENCES.items()}
-LONGEST = max(map(len, KNOWN)) * 2
-
-
-def normalise(sentence: str) -> tuple[str, str]:
-    """The normalised sentence with {v} for its first version number, and that number or an empty text."""
-    low = sentence.lower().replace("{", " ").replace("}", " ")
-    m = VERSION.search(low)
-    if m:
-        low = f"{low[: m.start()]} {{v}} {low[m.end() :]}"
-    return OTHERS.sub(" ", low).strip(), m[1] if m else ""
+KNOWN = _index()
 
 
 def sentences(text: str | None) -> list[tuple[str, str, int]]:
-    """(identifier, version, start) of the known sentences, in order."""
-    out = []
+    """(identifier, version, start) of the known sentences, in order; the version is the first one in it."""
     if not text or not HINT.search(text):
-        return out
-    start = 0
-    for stop, after in [*((m.start(), m.end()) for m in CUT.finditer(text)), (len(text), len(text))]:
-        if 0 < stop - start <= LONGEST:
-            known, version = normalise(text[start:stop])
-            if known in KNOWN:
-                out.append((KNOWN[known], version, start))
-        start = after
+        return []
+    low = text.lower()
+    if len(low) != len(text):  # a few letters change their length; positions are those of the text
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
+    found = list(WORD.finditer(low))
+    words = [_word(m) for m in found]
+    gaps = [low[a.end() : b.start()] for a, b in zip(found, found[1:])]
+    edge = [True, *(not g.isspace() or "\n" in g for g in gaps), True]  # before each word, and after the last
+    paragraph = [0]
+    for g in gaps:
+        paragraph.append(paragraph[-1] + (g.count("\n") > 1))
+    out, at = [], 0
+    while at + 1 < len(words):
+        for known, name, anywhere in KNOWN.get((words[at], words[at + 1]), ()):
+            stop = at + len(known)
+            if stop <= len(words) and tuple(words[at:stop]) == known and edge[stop] and (anywhere or edge[at]) and paragraph[at] == paragraph[stop - 1]:
+                version = next((m[1] for m in found[at:stop] if m[1]), "")
+                out.append((name, version, found[at].start()))
+                at = stop
+                break
+        else:
+            at += 1
     return out
 
 
+def _fits(names: tuple[str, ...], wanted: tuple[str, ...]) -> int:
+    """How many of the first names a rule takes; 0 if it doesn't stand there."""
+    at = 0
+    for w in wanted:
+        if at < len(names) and names[at] == w.removesuffix("?"):
+            at += 1
+        elif not w.endswith("?"):
+            return 0
+    return at
+
+
+MOST_WANTED = max(len(wanted) for _, wanted in RULES)
+
+
 def match_rules(found: list[tuple[str, str, int]]) -> list[tuple[str, int]]:
     """(licence, start) of what the rules report, from left to right."""
     out, at, names = [], 0, tuple(x[0] for x in found)
     while at < len(found):
+        here = names[at : at + MOST_WANTED]
         for licence, wanted in RULES:
-            if names[at : at + len(wanted)] == wanted:
-                version = next((v for _, v, _ in found[at : at + len(wanted)] if v), "")
+            if n := _fits(here, wanted):
+                version = next((v for _, v, _ in found[at : at + n] if v), "")
                 out.append((f"{licence}-{version}" if version else licence, found[at][2]))
-                at += len(wanted)
+                at += n
                 break
         else:
             out.append((f"unmatched:{names[at]}", found[at][2]))
