@@ -53,7 +53,7 @@ SENTENCES: dict[str, tuple[str, ...]] = {
 for _id, _name in (("gpl", ""), ("lgpl", "Lesser "), ("agpl", "Affero ")):
     _public = f"GNU {_name}General Public License"
     SENTENCES |= {
-        f"{_id}-work": (f"This work is licensed under the {_public}, version {{v}}", f"Licensed under the {_public}, version {{v}}", f"Licensed under the {_public} v{{v}}"),
+        f"{_id}-work": (f"This work is licensed under the {_public}, version {{v}}", f"Licensed under the {_public}, version {{v}}", f"Licensed under the {_public} {{v}}"),
         f"{_id}-later": tuple(f"...is free software: you can redistribute it and/or modify it under the terms of the {_public} as published by the Free Software Foundation, either version {{v}} {x} License, or (at your option) any later version" for x in ("of the", "of this")),
         f"{_id}-only": (f"...is free software; you can redistribute it and/or modify it under the terms of the {_public} as published by the Free Software Foundation, version {{v}}", f"...is free software; you can redistribute it and/or modify it under the terms of the {_public} version {{v}} as published by the Free Software Foundation", f"...under the terms of the {_public} as published by the Free Software Foundation; version {{v}}"),
         f"{_id}-details": (f"See the {_public} for more details",),
