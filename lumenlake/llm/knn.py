@@ -1,7 +1,7 @@
 """Exact top-k inner-product search as a Voronoi kNN join.
 
-1. Vectors are quantised, floor(SCALE * x), and dealt to cells by their nearest pivot. Pivots are a bounded sample,
-   PIVOTS at most, of distinct vectors in the order of a hash.
+1. Vectors are quantised, floor(SCALE * x), and dealt to cells by their nearest pivot. Pivots are a bounded sample
+   of distinct vectors in the order of a hash: half the root of the number of vectors, MOST_PIVOTS at most.
 2. A cell is cut into rings of about BLOCK_ROWS rows: by distance to the pivot, in RINGS steps up to the cell's radius, and by a hash
    where a ring holds more. A block's summary has its largest distance, its row count, and the k + 1
    smallest distances of different ids; an id that repeats counts once, by one of its rows.
@@ -20,6 +20,7 @@ vector in order. Extra columns are harmless.
 from __future__ import annotations
 
 import functools
+import math
 
 import numpy as np
 import pandas as pd
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 
 from lumenlake.llm.common import cut, map_units, tidied
 
-SCALE, PIVOTS, RINGS = 64, 128, 4
-BLOCK_ROWS, GROUP_QUERIES = 4_096, 512
+SCALE, LEAST_PIVOTS, MOST_PIVOTS, RINGS = 64, 16, 4_096, 4
+BLOCK_ROWS, GROUP_QUERIES, ASKED = 4_096, 512, 64
 LARGEST = (1 << 63) - 1
 
 
@@ -64,8 +65,8 @@ def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
 
     def run(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
-            for lo in range(0, len(pdf), 4_096):
-                part = pdf.iloc[lo : lo + 4_096]
+            for lo in range(0, len(pdf), 1_024):
+                part = pdf.iloc[lo : lo + 1_024]
                 x = _matrix(part["v"], p.shape[1]).astype(np.float64)
                 cell = (norms - 2 * (x @ p.T)).argmin(1)
                 dist = np.sqrt(((x - p[cell]) ** 2).sum(1))
@@ -128,9 +129,10 @@ def _solve(unit: pd.DataFrame, k: int) -> pd.DataFrame:
 def top_k(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score of the k best other rows of each row that queries picks, by its id as vec_id."""
     rows = quantised(df, id_col, vector_col)
-    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * PIVOTS).select("v").collect()
-    distinct = list(dict.fromkeys(tuple(r["v"]) for r in sample))[:PIVOTS]
-    dim = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0))).first()[0]
+    n, dim = rows.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    most = min(MOST_PIVOTS, max(LEAST_PIVOTS, math.isqrt(n) // 2))
+    sample = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(4 * most).select("v").collect()
+    distinct = list(dict.fromkeys(tuple(r["v"]) for r in sample))[:most]
     pivots = np.zeros((max(1, len(distinct)), max(1, dim)), np.int64)
     for i, v in enumerate(distinct):
         pivots[i, : len(v)] = v
@@ -143,7 +145,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", v
     once = ringed.groupBy("vec_id").agg(F.min(F.struct("cell", "ring", "dist")).alias("at")).select("at.*")
     near = once.select("cell", "ring", "dist", F.row_number().over(smallest).alias("n")).where(F.col("n") <= k + 1).groupBy("cell", "ring").agg(F.collect_list("dist").alias("near"))
     sizes = ringed.groupBy("cell", "ring").agg(F.max("dist").alias("far"), F.count(F.lit(1)).alias("rows"))
-    cells = sizes.join(near, ["cell", "ring"], "left").collect()  # PIVOTS * RINGS rows at most
+    cells = sizes.join(near, ["cell", "ring"], "left").collect()  # MOST_PIVOTS * RINGS rows at most
     spark = df.sparkSession
     blocks = {(r["cell"], r["ring"]): max(1, -(-r["rows"] // BLOCK_ROWS)) for r in cells}
 
@@ -156,18 +158,21 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", v
     place = spark.createDataFrame([(c, *g) for c, g in group_of.items()] or [(-1, 0, 1)], "cell int, first_group long, splits long")
     grouped = asked.join(F.broadcast(place), "cell").withColumn("grp", F.col("first_group") + F.pmod(F.xxhash64("vec_id"), "splits")).select("vec_id", "v", "grp")
     summaries = Summaries(pivots, cells, k)
+    # Bounds are arithmetic, not rows: the few rows of the queries are dealt to as many tasks as their work is worth.
+    tasks = max(1, min(-(-before // ASKED), int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    grouped = grouped.repartition(tasks, "vec_id")
 
     def needs(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
-            for lo in range(0, len(pdf), 256):
-                part = pdf.iloc[lo : lo + 256]
+            for lo in range(0, len(pdf), ASKED):
+                part = pdf.iloc[lo : lo + ASKED]
                 if len(summaries.cell):
                     i, at = summaries.needed(_matrix(part["v"], pivots.shape[1]))
                     yield part.iloc[i].assign(cell=summaries.cell[at].astype(np.int32), ring=summaries.ring[at].astype(np.int32))
 
     needed = cut(grouped.mapInPandas(tidied(needs), "vec_id long, v array<long>, grp long, cell int, ring int"), "needed")
     split = spark.createDataFrame([(*c, n) for c, n in blocks.items()] or [(-1, 0, 1)], "cell int, ring int, splits long")
-    split = F.broadcast(split)  # PIVOTS * RINGS rows at most
+    split = F.broadcast(split)  # MOST_PIVOTS * RINGS rows at most
     pairs = needed.select("cell", "ring", "grp").distinct()
     data = ringed.join(split, ["cell", "ring"]).withColumn("block", F.pmod(F.xxhash64("vec_id", "dist", F.monotonically_increasing_id()), "splits"))
     data = data.join(pairs, ["cell", "ring"]).select(F.xxhash64("cell", "ring", "block", "grp").alias("unit"), F.lit(False).alias("is_query"), "vec_id", "v")
