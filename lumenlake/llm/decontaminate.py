@@ -79,8 +79,9 @@ def find_leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_c
     again = docs.select(docs[id_col].alias("doc"), F.xxhash64(text).alias("key"), text.alias("text"))
     again = again.join(bounded(texts), F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")), "left_semi")
     held = again.select("doc", "key", F.explode(F.array_distinct(shingles(F.col("text"), spelled, short))).alias("shingle"))
+    held = held.join(bounded(index.select("shingle").distinct()), "shingle", "left_semi")  # the items' shingles alone go on
     wanted = found.select(F.col("doc").alias("d"), F.col("key").alias("k"), "item").join(bounded(index.select("item", "size", "shingle")), "item")
-    wanted = bounded(cut(wanted.withColumnRenamed("shingle", "s"), "wanted"))
+    wanted = wanted.withColumnRenamed("shingle", "s")
     met = held.join(wanted, F.col("doc").eqNullSafe(F.col("d")) & (F.col("key") == F.col("k")) & (F.col("shingle") == F.col("s")))
     shared = met.groupBy("doc", "key", "item", "size").agg(F.count_distinct("shingle").alias("shared")).where(F.col("shared") >= least)
     best = shared.groupBy(F.col("doc").alias("doc_id"), F.col("item").alias("item_id")).agg(F.max("shared").alias("shared"), F.max("size").alias("item_shingles"))
