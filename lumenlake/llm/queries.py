@@ -91,6 +91,18 @@ n AS (SELECT item_id, count(*) AS item_shingles FROM b GROUP BY item_id),
 c AS (SELECT d.doc_id, b.item_id, count(*) AS shared FROM d JOIN b USING (s) GROUP BY ALL)
 SELECT doc_id, item_id, shared, item_shingles, round(shared / item_shingles, 6) AS containment
 FROM c JOIN n USING (item_id) WHERE shared >= ceil(item_shingles * 0.8 - 1e-9)""",
+    "op8_neardup": """
+WITH RECURSIVE t AS (SELECT doc_id, text, row_number() OVER () AS row_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \\t\\n\\x0b\\f\\r]+'), lambda x: x <> '') AS w FROM documents),
+u AS (SELECT text, any_value(w) AS w, count(*) AS copies, min(row_id) AS rep FROM t WHERE len(w) > 0 GROUP BY text),
+s AS (SELECT DISTINCT rep, array_to_string(list_slice(w, i, i + 4), ' ') AS s, len(w) < 5 AS short FROM (SELECT rep, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM u)),
+n AS (SELECT rep, count(*) AS n FROM s GROUP BY 1),
+c AS (SELECT a.rep AS a, b.rep AS b, count(*) AS common FROM s a JOIN s b ON a.s = b.s AND a.short = b.short AND a.rep <> b.rep GROUP BY ALL),
+e AS (SELECT a, b FROM c JOIN n x ON x.rep = a JOIN n y ON y.rep = b WHERE common >= 0.8 * (x.n + y.n - common) - 1e-9),
+walk(node, hop) AS (SELECT DISTINCT a, a FROM e UNION SELECT node, b FROM walk JOIN e ON hop = a),
+comp AS (SELECT node, min(hop) AS comp FROM walk GROUP BY 1),
+l AS (SELECT a AS rep, sum(copies)::BIGINT AS links FROM e JOIN u ON u.rep = b GROUP BY 1),
+r AS (SELECT t.doc_id, coalesce(comp.comp, u.rep, t.row_id) AS comp, coalesce(links, 0) + coalesce(copies, 1) - 1 AS n_links FROM t LEFT JOIN u ON t.text = u.text AND len(t.w) > 0 LEFT JOIN comp ON node = u.rep LEFT JOIN l ON l.rep = u.rep)
+SELECT doc_id, min(doc_id) OVER (PARTITION BY comp) AS class_id, n_links FROM r""",
     "op9_knn": """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
     WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),

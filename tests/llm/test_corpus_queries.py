@@ -8,7 +8,7 @@ import zlib
 import pytest
 from conftest import MIDDLE, SMALL
 from harness import compare, oracle
-from lumenlake.llm import queries
+from lumenlake.llm import queries, secrets
 from test_pii import plain as plain_pii
 from test_secrets import plain as plain_secrets
 
@@ -71,7 +71,7 @@ def test_personal_data_digests(spark, documents):
 
 
 def test_secret_digests(spark, documents):
-    kinds = ["assign", "access", "hex", "key40", "endpoint"]
+    kinds = [*secrets.BASE_KINDS, *secrets.WEAK_KINDS]
     for r in queries.op3_secrets(spark, SMALL).collect():
         base, linked = plain_secrets(documents[r["doc_id"]]["text"])
         order = lambda x: (x[0], kinds.index(x[1]))
