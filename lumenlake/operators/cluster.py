@@ -115,17 +115,14 @@ def suppressed(boxes: DataFrame, key: str, overlap: float = 0.4) -> DataFrame:
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["score", "x", "y"], ascending=[False, True, True])
-        kept: list[pd.Series] = []
-        for _, b in pdf.iterrows():
-            meets = False
-            for a in kept:
-                w = max(0.0, min(a.x + a.w, b.x + b.w) - max(a.x, b.x))
-                h = max(0.0, min(a.y + a.h, b.y + b.h) - max(a.y, b.y))
-                union = a.w * a.h + b.w * b.h - w * h
-                meets |= union > 0 and w * h / union > overlap
-            if not meets:
-                kept.append(b)
-        return pd.DataFrame(kept, columns=pdf.columns)
+        x, y, w, h = (pdf[c].to_numpy(float) for c in "xywh")
+        free = np.ones(len(pdf), bool)
+        for i in range(len(pdf)):
+            if free[i]:  # what a kept box overlaps goes
+                across = np.clip(np.minimum(x[i] + w[i], x + w) - np.maximum(x[i], x), 0, None) * np.clip(np.minimum(y[i] + h[i], y + h) - np.maximum(y[i], y), 0, None)
+                union = w[i] * h[i] + w * h - across
+                free[i + 1 :] &= ~((union > 0) & (across > overlap * union))[i + 1 :]
+        return pdf[free]
 
     return boxes.groupBy(key).applyInPandas(run, boxes.schema)
 

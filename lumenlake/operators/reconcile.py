@@ -106,6 +106,11 @@ def set_where(rows: DataFrame, ids: DataFrame, key: str, column: str, value: Col
     return rows.join(hit, F.col(key) == F.col("__k"), "left").withColumn(column, F.when(F.col("__hit"), value).otherwise(F.col(column))).drop("__k", "__hit")
 
 
+def with_fingerprints(listing: DataFrame, stored: DataFrame, fingerprint: Column, column: str = "quick_fingerprint") -> DataFrame:
+    """The listing with fingerprints, or with nulls if nothing is stored: a first scan has no moves to find, and need not read any file."""
+    return listing.withColumn(column, F.lit(None).cast("string") if stored.isEmpty() else fingerprint)
+
+
 def set_where_path(rows: DataFrame, paths: DataFrame, own: Column, column: str, value: Column, path: str = "path") -> DataFrame:
     """The rows with a column set where their path is listed, whichever slashes either side has."""
     hit = paths.select(slashed(F.col(path)).alias("__k")).distinct().withColumn("__hit", F.lit(True))

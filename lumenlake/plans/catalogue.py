@@ -479,3 +479,22 @@ def activity_kinds(spark, d):
     kinds = analytics.histogram(table(spark, d, "events"), "event_type")
     total = kinds.agg(F.sum("n").alias("total"))
     return kinds.join(F.broadcast(total), F.lit(True)).select("event_type", "n", percentage(F.col("n"), F.col("total")).alias("percentage"))
+
+
+SCANS_SQL = "s AS (SELECT user_id, ts AS began_at, ts + INTERVAL 6 HOUR AS ended_at FROM events WHERE event_type = 'signup'), c AS (SELECT user_id, event_id, ts FROM events WHERE event_type <> 'signup')"
+
+
+def _scans(spark, d):
+    events = table(spark, d, "events")
+    scans = events.where("event_type = 'signup'").select("user_id", F.col("ts").alias("began_at"), (F.col("ts") + F.expr("interval 6 hours")).alias("ended_at"))
+    return events.where("event_type <> 'signup'").select("user_id", "event_id", "ts"), scans
+
+
+@query(f"WITH {SCANS_SQL} SELECT user_id, began_at, ended_at AS due_at, count(*) AS n FROM c JOIN s USING (user_id) WHERE ts >= began_at AND ts < ended_at GROUP BY ALL")
+def scan_catch_ups(spark, d):
+    return streams.catch_ups(*_scans(spark, d), "user_id")
+
+
+@query(f"WITH {SCANS_SQL} SELECT event_id FROM c WHERE NOT EXISTS (SELECT 1 FROM s WHERE s.user_id = c.user_id AND c.ts >= began_at AND c.ts < ended_at)")
+def changes_at_once(spark, d):
+    return streams.at_once(*_scans(spark, d), "user_id").select("event_id")

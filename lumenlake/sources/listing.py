@@ -12,6 +12,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +80,9 @@ def skip_reason(settings: ScanSettings = ScanSettings(), name: str = "name", pat
     return out.otherwise(other)
 
 
+# Archives whose entries are listed, and those that need a program that is not at hand.
+LISTED_ARCHIVES = ("zip", "tar", "tgz", "gz", "bz2", "tbz2", "xz", "txz", "jar", "cbz")
+OTHER_ARCHIVES = ("7z", "rar", "iso", "cab")
 ENTRY = "archive string, name string, path string, size_bytes long, is_directory boolean, status string"
 
 
@@ -97,16 +101,30 @@ def _entries(path: str, content: bytes) -> Iterator[tuple]:
         yield path, None, None, None, None, "unreadable"
 
 
+def _glob(extensions: tuple[str, ...]) -> str:
+    """A path filter for extensions in either case."""
+    either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
+    return f"*.{{{','.join(map(either, extensions))}}}"
+
+
 def archive_entries(spark: SparkSession, root: str) -> DataFrame:
-    """A row for each entry of the ZIP and TAR files below root; one with a status for a file that cannot be read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "content")
+    """A row for each entry of the ZIP and TAR files below root; one with a status for a file that cannot be read, or is of another kind of archive.
+
+    Only archives are opened: the scan lists files by extension, and leaves the contents of other kinds unread. An archive is one row of the
+    scan, so it has to fit into a task's memory, as Spark's binary files do.
+    """
+
+    def found(extensions: tuple[str, ...]) -> DataFrame:
+        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(extensions)).load(root)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            rows = [e for p, c in zip(pdf["path"], pdf["content"], strict=True) for e in _entries(p, c)]
-            yield pd.DataFrame(rows, columns=["archive", "name", "path", "size_bytes", "is_directory", "status"])
+            for p, c in zip(pdf["path"], pdf["content"], strict=True):
+                yield pd.DataFrame(_entries(p, c), columns=["archive", "name", "path", "size_bytes", "is_directory", "status"])
 
-    return files.mapInPandas(run, ENTRY)
+    none = [F.lit(None).cast(t).alias(n) for n, t in (("name", "string"), ("path", "string"), ("size_bytes", "long"), ("is_directory", "boolean"))]
+    others = found(OTHER_ARCHIVES).select(F.col("path").alias("archive"), *none, F.lit("unsupported").alias("status"))
+    return found(LISTED_ARCHIVES).select("path", "content").mapInPandas(run, ENTRY).unionByName(others)
 
 
 def read_texts(spark: SparkSession, root: str, chars: int = TEXT_CHARS) -> DataFrame:
@@ -125,6 +143,13 @@ def append_lines(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def roll(df: DataFrame, folder: str, newest: str, keep: int) -> str:
+    """A rolling file: the rows of before and these, the newest keep of them, as the folder's next snapshot."""
+    before = read_snapshot(df.sparkSession, folder)
+    rows = df if before is None else before.unionByName(df)
+    return write_snapshot(rows.orderBy(F.desc(newest)).limit(keep), folder)
+
+
 def write_snapshot(df: DataFrame, folder: str, version: int = 1) -> str:
     """A snapshot in a folder of its own, and its row in the folder's index once it is complete."""
     name = uuid.uuid4().hex
@@ -136,7 +161,12 @@ def write_snapshot(df: DataFrame, folder: str, version: int = 1) -> str:
 
 def read_snapshot(spark: SparkSession, folder: str, version: int = 1, most_age: float | None = None) -> DataFrame | None:
     """The latest snapshot of the version, or None if there is none or it is older than most_age seconds."""
-    index = spark.read.parquet(f"{folder}/index").where(F.col("version") == version)
+    schema = "name string, version int, at double"
+    try:
+        index = spark.read.schema(schema).parquet(f"{folder}/index")
+    except AnalysisException:  # nothing was written there yet
+        return None
+    index = index.where(F.col("version") == version)
     last = index.orderBy(F.desc("at"), F.desc("name")).first()
     if last is None or (most_age is not None and last["at"] < time.time() - most_age):
         return None
@@ -153,7 +183,7 @@ def peek_counts(entries: DataFrame) -> DataFrame:
     kind = media_type(extension_of(F.col("name")))
     rows = entries.where(~F.col("is_directory")).withColumn("kind", kind)
     n = lambda k: F.count_if(F.col("kind") == k)
-    return rows.groupBy("archive").agg(n("photo").alias("photos"), n("video").alias("videos"), n("document").alias("documents"), F.sum("size_bytes").alias("size"), F.bool_or(extension_of(F.col("name")).isin("zip", "tar", "7z", "rar", "gz")).alias("nested"))
+    return rows.groupBy("archive").agg(n("photo").alias("photos"), n("video").alias("videos"), n("document").alias("documents"), F.sum("size_bytes").alias("size"), F.bool_or(extension_of(F.col("name")).isin(*LISTED_ARCHIVES, *OTHER_ARCHIVES)).alias("nested"))
 
 
 def parse_props(column: str, schema: str) -> Column:

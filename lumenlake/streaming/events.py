@@ -5,10 +5,10 @@ Event-time watermarks bound the state, which is an extension: a library that onl
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -88,6 +88,28 @@ def offline(checks: DataFrame, key: str, online: str, ts: str = "ts", failures:
     return keyed.groupBy("key").applyInPandasWithState(run, "key string, at double", "run int", "append", GroupStateTimeout.NoTimeout)
 
 
+def catch_ups(changes: DataFrame, scans: DataFrame, key: str, ts: str = "ts", begin: str = "began_at", end: str = "ended_at") -> DataFrame:
+    """For each full scan during which something changed: one catch-up, due at the scan's end, with the number of changes it stands for.
+
+    An equi-join on the library's key; its scans, which are few, meet its changes by time. In a stream, micro-batches do as much by themselves:
+    what arrives while one runs waits for the next.
+    """
+    during = (F.col(ts) >= F.col(begin)) & (F.col(ts) < F.col(end))
+    met = changes.select(key, ts).join(scans.select(key, begin, end), key).where(during)
+    return met.groupBy(key, begin, F.col(end).alias("due_at")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def at_once(changes: DataFrame, scans: DataFrame, key: str, ts: str = "ts", begin: str = "began_at", end: str = "ended_at") -> DataFrame:
+    """The changes that no full scan holds up."""
+    s = scans.select(F.col(key).alias("__k"), begin, end)
+    return changes.join(s, (F.col(key) == F.col("__k")) & (F.col(ts) >= F.col(begin)) & (F.col(ts) < F.col(end)), "left_anti")
+
+
+def sweep(stream: DataFrame, work: Callable[[DataFrame, int], None], checkpoint: str, every: str = "300 seconds"):  # noqa: ANN201
+    """work(rows, number) at fixed intervals, on what arrived since the last time; the checkpoint remembers what was done."""
+    return stream.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint).trigger(processingTime=every).start()
+
+
 def append_feed(events: DataFrame, folder: str, checkpoint: str):  # noqa: ANN201
     """All events at hand, appended to a Parquet feed; what was appended before is not read again."""
     return events.writeStream.format("parquet").option("path", folder).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
@@ -101,8 +123,6 @@ def to_table(stream: DataFrame, name: str, checkpoint: str | None = None):  # no
 
 def rolling_rate(events: DataFrame, key: str, order: list[str], ts: str = "ts", rows: int = 2_000) -> DataFrame:
     """Events a second over the last rows events of each key; null where they share one time."""
-    from pyspark.sql import Window
-
     by = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
     at = F.col(ts).cast("timestamp").cast("double")
     span = at - F.min(at).over(by)

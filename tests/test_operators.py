@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import random
 
 import pytest
 from lumenlake.functions import exprs
@@ -494,6 +495,40 @@ def test_codecs_and_issues(spark):
     assert [len(x) for x in found] == [3, 0, 1] and found[2] == ["suboptimal chroma subsampling (4:1:1)"]
 
 
+def test_more_centroids_than_one_pass_takes(spark):
+    rng = random.Random(3)
+    vectors = spark.createDataFrame([(i, [rng.gauss(0, 1) for _ in range(4)]) for i in range(60)] + [(60, [0.0] * 4), (61, None)], "id long, v array<double>")
+    centers = spark.createDataFrame([(c, [rng.gauss(0, 1) for _ in range(4)]) for c in range(30)] + [(30, [0.0] * 4)], "label int, centroid array<double>")
+    one, many = (cluster.assign(vectors, centers, "id", "v", "label", 0.5, block_elements=n) for n in (10_000, 20))
+    assert sorted(map(tuple, one.collect()), key=repr) == sorted(map(tuple, many.collect()), key=repr) and one.count() == 60
+    assert {f.name: f.dataType.simpleString() for f in one.schema} == {"id": "bigint", "label": "int", "sim": "double"}
+
+
+def test_first_scans_need_no_fingerprints(spark):
+    listing = spark.createDataFrame([("a", 1)], "relative_path string, size_bytes long")
+    none, some = (reconcile.with_fingerprints(listing, s, F.lit("f")).first()["quick_fingerprint"] for s in (listing.limit(0), listing))
+    assert (none, some) == (None, "f")
+
+
+def test_errors_leave_what_was_derived(spark):
+    rows = spark.createDataFrame([(1, "text", None), (2, "more", None)], "id int, ocr string, error string")
+    found = reconcile.record_error(rows, spark.createDataFrame([(2, "boom"), (3, "bad")], "id int, error string"), "id")
+    assert sorted(map(tuple, found.select("id", "ocr", "error").collect())) == [(1, "text", None), (2, "more", "boom"), (3, None, "bad")]
+
+
+def test_inserted_rows_get_the_next_ids(spark):
+    rows = spark.createDataFrame([(4, "x")], "id long, name string")
+    found = reconcile.inserted(rows, spark.createDataFrame([("b",), ("a",)], "name string"))
+    assert sorted(map(tuple, found.collect())) == [(5, "a"), (6, "b")]
+    assert [r["id"] for r in reconcile.inserted(rows.limit(0), spark.createDataFrame([("b",)], "name string")).collect()] == [1]
+
+
+def test_integrity_is_unknown_beyond_its_limit(spark):
+    indexed = spark.createDataFrame([("a", 1), ("b", 2)], "relative_path string, size_bytes long")
+    assert tuple(reconcile.integrity(indexed, indexed.limit(0), most=1).first()) == (None, None)
+    assert tuple(reconcile.integrity(indexed, indexed.limit(0), most=None).first()) == (2, 0)
+
+
 # Jobs and questions
 
 

@@ -65,10 +65,13 @@ def test_archives(spark, tmp_path):
         info = tarfile.TarInfo("d/n.pdf")
         info.size = 4
         t.addfile(info, io.BytesIO(b"1234"))
-    (tmp_path / "broken.zip").write_bytes(b"PK not a zip")
+    (tmp_path / "broken.ZIP").write_bytes(b"PK not a zip")
+    (tmp_path / "packed.7z").write_bytes(b"7z")
+    (tmp_path / "plain.txt").write_text("not an archive")
     entries = listing.archive_entries(spark, str(tmp_path))
     rows = {(r["archive"].rpartition("/")[2], r["path"]): r for r in entries.collect()}
-    assert rows["broken.zip", None]["status"] == "unreadable"
+    assert rows["broken.ZIP", None]["status"] == "unreadable" and rows["packed.7z", None]["status"] == "unsupported"
+    assert {a for a, _ in rows} == {"one.zip", "two.tar", "broken.ZIP", "packed.7z"}
     assert rows["two.tar", "d/n.pdf"]["size_bytes"] == 4 and rows["one.zip", "p/a.jpg"]["name"] == "a.jpg"
     counts = {r["archive"].rpartition("/")[2]: r for r in listing.peek_counts(entries.where("status = 'ok'")).collect()}
     one, two = counts["one.zip"], counts["two.tar"]
@@ -106,3 +109,11 @@ def test_props(spark):
     df = spark.createDataFrame([('{"k": 5}',), ("bad",), (None,)], "props string")
     assert [r[0] for r in df.select(listing.parse_props("props", "k int")["k"]).collect()] == [5, None, None]
     assert df.where(F.col("props").isNull()).count() == 1
+
+
+def test_rolling_files_keep_the_newest(spark, tmp_path):
+    folder = str(tmp_path / "log")
+    assert listing.read_snapshot(spark, folder) is None
+    for n in range(5):
+        listing.roll(spark.createDataFrame([(n, f"scan {n}")], "at int, what string"), folder, "at", 3)
+    assert sorted(r["at"] for r in listing.read_snapshot(spark, folder).collect()) == [2, 3, 4]

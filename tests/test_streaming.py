@@ -103,3 +103,15 @@ def test_rolling_rate(spark):
     df = spark.createDataFrame([("a", at(i), i) for i in range(5)], "path string, ts timestamp, n int")
     rows = events.rolling_rate(df, "path", ["ts", "n"], rows=3).orderBy("n").collect()
     assert [(r["in_window"], r["seconds"], r["rate"]) for r in rows] == [(1, 0.0, None), (2, 1.0, 2.0), (3, 2.0, 1.5), (3, 2.0, 1.5), (3, 2.0, 1.5)]
+
+
+def test_sweeps_do_what_arrived(spark, tmp_path):
+    folder, seen = str(tmp_path / "in"), []
+    spark.range(3).write.parquet(folder)
+    stream = spark.readStream.schema("id long").parquet(folder)
+    running = events.sweep(stream, lambda rows, n: seen.append(rows.count()), str(tmp_path / "c"), "1 second")
+    running.processAllAvailable()
+    spark.range(2).write.mode("append").parquet(folder)
+    running.processAllAvailable()
+    running.stop()
+    assert sum(seen) == 5 and len(seen) >= 2
