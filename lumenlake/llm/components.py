@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumenlake.llm.common import BROADCAST_BYTES, cut
+from lumenlake.llm import common
+from lumenlake.llm.common import cut
 
 #: More rounds than a graph of 2**60 nodes needs; each round at least halves the stars' number.
 MOST_ROUNDS = 60
@@ -28,7 +29,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", cut: Callable[[Data
     before = _mark(pairs)
     for _ in range(MOST_ROUNDS):
         # A minimum for each node, and at most two nodes for a link.
-        few = 2 * NODE_BYTES * before[0] <= BROADCAST_BYTES
+        few = 2 * NODE_BYTES * before[0] <= common.BROADCAST_BYTES
         back = F.broadcast if few else lambda df: df
         # Large star: neighbours above a node go to the smallest of its neighbours and itself.
         both = pairs.select(F.col("lo").alias("n"), F.col("hi").alias("m")).unionByName(pairs.select(F.col("hi").alias("n"), F.col("lo").alias("m")))
