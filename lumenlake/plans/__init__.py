@@ -1 +1 @@
-from lumenlake.plans import catalogue, media  # noqa: F401  both register their queries
+from lumenlake.plans import catalogue, media, upkeep  # noqa: F401  each registers its queries

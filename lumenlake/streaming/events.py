@@ -122,9 +122,12 @@ def to_table(stream: DataFrame, name: str, checkpoint: str | None = None):  # no
 
 
 def rolling_rate(events: DataFrame, key: str, order: list[str], ts: str = "ts", rows: int = 2_000) -> DataFrame:
-    """Events a second over the last rows events of each key; null where they share one time."""
-    by = Window.partitionBy(key).orderBy(*order).rowsBetween(-(rows - 1), 0)
+    """Events a second over the last rows events of each key; null where they share one time. The order begins with the time.
+
+    As times rise, a window's least is its first: a look back instead of a minimum over rows events for each event.
+    """
+    by = Window.partitionBy(key).orderBy(*order)
     at = F.col(ts).cast("timestamp").cast("double")
-    span = at - F.min(at).over(by)
-    n = F.count(F.lit(1)).over(by)
-    return events.withColumn("seconds", F.round(span, 3)).withColumn("in_window", n).withColumn("rate", F.when(F.col("seconds") > 0, F.round(F.col("in_window") / F.col("seconds"), 6)))
+    first = F.coalesce(F.lag(at, rows - 1).over(by), F.first(at).over(by.rowsBetween(Window.unboundedPreceding, 0)))
+    n = F.least(F.row_number().over(by), F.lit(rows)).cast("long")
+    return events.withColumn("seconds", F.round(at - first, 3)).withColumn("in_window", n).withColumn("rate", F.when(F.col("seconds") > 0, F.round(F.col("in_window") / F.col("seconds"), 6)))
