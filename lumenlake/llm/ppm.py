@@ -15,7 +15,8 @@ counts of up to SHORT bytes, as many at any size of corpus, are broadcast. What
 or tokens travels as one row.
 
 Null texts count as empty and consist of their end only. Null ids are neither learned from nor held out.
-Repeated rows and ids give one result row each; without training texts all symbols and tokens are unseen.
+Repeated rows and ids give one result row each; without training texts all symbols and tokens are unseen. Very long texts are read whole,
+in slices of their own. Extra columns, whatever their names, play no part.
 """
 
 from __future__ import annotations

@@ -100,3 +100,24 @@ def test_empty_table_and_null_quality(spark):
     assert mixing.mix(docs, ["doc_id"]).count() == 0
     labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, None), (None, 1)], "doc_id long, quality int")
     assert sorted(tuple(r) for r in mixing.quality_weights(labels).collect()) == [(1, 2.0), (2, 0.5)]
+
+
+def test_weights_move_keys_and_shuffles_change_nothing(spark, monkeypatch):
+    import math
+
+    from lumenlake.llm import common
+
+    rows = [(i if i % 5 else None, f"a b c {i}", "st"[i % 4 == 0]) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    weights = {i: 3.0 if i % 2 else 0.25 for i in range(0, 200, 3)}
+    quality = spark.createDataFrame(list(weights.items()), "doc_id long, weight double")
+    found = sorted(map(tuple, mixing.mix(docs, ["doc_id", "text", "source"], quality=quality).collect()), key=str)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", -1)
+    assert sorted(map(tuple, mixing.mix(docs, ["doc_id", "text", "source"], quality=quality).collect()), key=str) == found
+    u = (F.shiftrightunsigned(F.xxhash64(F.lit(mixing.SEED), "doc_id", "text"), 11).cast("double") + 0.5) / float(1 << 53)
+    keys = {r["text"]: -math.log(r["u"]) / weights.get(r["doc_id"], 1.0) for r in docs.select("doc_id", "text", u.alias("u")).collect()}
+    for source in "st":
+        own = sorted((r for r in found if r[2] == source), key=lambda r: keys[r[1]])
+        extra = [taken - taken // size * size if taken % size else taken // size for _, _, _, size, _, _, taken in own]
+        whole = [taken // size for _, _, _, size, _, _, taken in own]
+        assert whole == sorted(whole, reverse=True) and sum(0 < x < 4 and t % s > 0 for x, (_, _, _, s, _, _, t) in zip(extra, own)) <= 1

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import time
 
 import pytest
 from hypothesis import given, settings
@@ -62,6 +63,27 @@ def test_long_runs_take_linear_time():
         pii.find_spans(text)
 
 
+def test_ibans_end_where_their_country_says():
+    found = lambda t: [t[s[1] : s[2]] for s in pii.find_spans(t) if s[0] == "iban"]
+    assert found("IBAN DE89 3704 0044 0532 0130 00 AND BANK GB82 WEST 1234 5698 7654 32") == ["DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"]
+    assert found("bank DE89370400440532013000X") == found("bank DE8937040044053201300") == []
+
+
+def test_numbers_out_of_range_are_no_ids():
+    assert not [s for n in ("000-12-3456", "666-12-3456", "900-12-3456", "123-00-4567", "123-45-0000") for s in pii.find_spans(f"my social security number {n}") if s[0] == "national_id"]
+
+
+def test_very_many_spans_in_one_text():
+    text = "phone 555-010-9999 or +1 555 010 9999, " * 20_000
+    began = time.time()
+    found = pii.find_spans(text)
+    assert sum(s[0] == "phone" for s in found) == sum(s[0] == "national_phone" for s in found) == 20_000
+    assert time.time() - began < 20
+    taken = [("ip", s, s + 3, True) for s in (5, 7, 30, 8, 50)]
+    free = pii._free(taken)
+    assert all(free(a, a + n) == all(a + n <= s or e <= a for _, s, e, _ in taken) for a in range(60) for n in range(1, 30))
+
+
 def test_rows_of_any_kind(spark):
     long = "word " * 200_000 + "a@b.cc"
     rows = [(1, "a@b.cc", "x"), (1, "a@b.cc", "x"), (2, None, "y"), (None, "", None), (3, long, "z")]
