@@ -64,7 +64,7 @@ def test_very_many_parts_in_one_text(spark):
     began = time.time()
     found = {r["doc_id"]: (r["b"], r["l"]) for r in secrets.find_secrets(docs, ["doc_id"]).selectExpr("doc_id", "size(base) b", "size(linked) l").collect()}
     assert found == {1: (3_000, 6_000), 2: (30_000, 0)}
-    assert time.time() - began < 60
+    assert time.time() - began < 180
 
 
 def test_weak_parts_alone_mean_nothing(spark):
