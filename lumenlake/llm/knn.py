@@ -160,7 +160,7 @@ def top_k(df: DataFrame, queries: Column, k: int = 20, id_col: str = "vec_id", v
     summaries = Summaries(pivots, cells, k)
     # Bounds are arithmetic, not rows: the few rows of the queries are dealt to as many tasks as their work is worth.
     tasks = max(1, min(-(-before // ASKED), int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    grouped = grouped.repartition(tasks, "vec_id")
+    grouped = grouped.repartition(tasks)
 
     def needs(batches):  # noqa: ANN001, ANN202
         for pdf in batches:
