@@ -119,9 +119,9 @@ class Logs:
     """Logarithms by packed string, by open addressing."""
 
     def __init__(self, strings: np.ndarray, logs: np.ndarray) -> None:
-        self.bits = max(4, int(4 * len(strings)).bit_length())
+        self.bits = max(4, int(2 * len(strings)).bit_length())
         self.keys = np.full(1 << self.bits, ABSENT, np.uint64)
-        self.logs = np.zeros(1 << self.bits, np.float32)
+        self.logs = np.zeros(1 << self.bits, np.float64)
         left, slot = np.arange(len(strings)), self._slot(strings)
         while len(left):
             free = self.keys[slot] == ABSENT
