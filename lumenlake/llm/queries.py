@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import decontaminate, knn, langid, licenses, mixing, neardup, pii, ppm, secrets, urlrules
+from lumenlake.llm import decontaminate, knn, langid, licenses, mixing, neardup, packing, pii, ppm, secrets, urlrules
 from lumenlake.llm.common import joined_spans, remainder
 
 
@@ -77,7 +78,11 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(_table(spark, sf_dir, "documents"), ["doc_id"], quality=quality)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_langid, op3_secrets, op4_ppm, op5_decontaminate, op6_urls, op7_licenses, op8_neardup, op9_knn, op10_mixing)}
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), ["doc_id"], public_tokenizers.path("word_bpe_49k.json"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_langid, op3_secrets, op4_ppm, op5_decontaminate, op6_urls, op7_licenses, op8_neardup, op9_knn, op10_mixing, op11_packing)}
 
 _WORDS = r"SELECT {id}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table} WHERE text IS NOT NULL"
 
