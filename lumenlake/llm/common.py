@@ -93,16 +93,6 @@ def joined_spans(spans: Column) -> Column:
     return F.array_join(F.transform(spans, one), ",")
 
 
-def slices(texts: list[str | None], most_chars: int = 4_000_000) -> Iterator[tuple[int, int]]:
-    """Bounds of consecutive runs of texts with about most_chars characters each; a longer text stands alone."""
-    start, total = 0, 0
-    for stop, t in enumerate(texts, 1):
-        total += len(t or "")
-        if total >= most_chars or stop == len(texts):
-            yield start, stop
-            start, total = stop, 0
-
-
 def tidied(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """run, which gives what it no longer needs back to the system at its end: Python workers outlive tasks, and stand idle beside others."""
 

@@ -35,16 +35,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenlake.llm.common import cut, slices, tidied
+from lumenlake.llm.common import cut, pieces, tidied
 
-ORDER, SHORT, NODES, HEAD = 5, 3, 1 << 21, 1 << 17
+ORDER, SHORT, NODES, HEAD = 5, 3, 1 << 20, 1 << 17
 START, END = 0xFE, 0xFF  # no byte of UTF-8
 ABSENT = np.uint64((1 << 64) - 1)
 #: The end's token; it holds a blank, as no word does.
 END_TOKEN = b" end"
 #: Distinct tokens or strings that a task holds before it hands them on.
 HELD, HELD_STRINGS = 300_000, 1_000_000
-SLICE_CHARS = 2_000_000
+SLICE_BYTES = 2_000_000
 #: Strings or tokens that a task looks up in the whole counts at a time.
 ASKED = 500_000
 #: Buckets of strings and tokens for each partition of the shuffle.
@@ -52,8 +52,9 @@ BUCKETS = 8
 COUNTED_STRING, COUNTED_TOKEN, TEXT, ASKED_STRINGS, ASKED_TOKENS = range(5)
 
 
-def _bytes(text: str | None) -> bytes:
-    return (text or "").encode("utf-8", "replace").lower()
+def _raw(column: pa.Array) -> list[bytes]:
+    """The texts' bytes, A-Z lower-cased."""
+    return [t.lower() for t in pc.fill_null(column.cast(pa.binary()), b"").to_pylist()]
 
 
 def _strings(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
@@ -81,17 +82,18 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     tokens: Counter[bytes] = Counter()
     grams, sums = np.zeros(0, np.uint64), np.zeros(0, np.int64)
 
-    def told(kind: str, keys: list[bytes], ns: list[int]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([kind] * len(keys), pa.string()), pa.array(keys, pa.binary()), pa.array(ns, pa.int64())], schema=schema)
+    def told(kind: str, keys: pa.Array, ns: list[int] | np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.repeat(kind, len(keys)), keys, pa.array(ns, pa.int64())], schema=schema)
 
     def strings() -> pa.RecordBatch:
-        big = grams.astype(">u8").tobytes()
-        return told("string", [big[i - ORDER - 1 : i] for i in range(8, len(big) + 1, 8)], sums.tolist())
+        size = ORDER + 1
+        keys = np.ascontiguousarray(grams.astype(">u8").view(np.uint8).reshape(-1, 8)[:, -size:])
+        offsets = np.arange(len(grams) + 1, dtype=np.int32) * size
+        return told("string", pa.Array.from_buffers(pa.binary(), len(grams), [None, pa.py_buffer(offsets), pa.py_buffer(keys)]), sums)
 
     for batch in batches:
-        texts = batch.column(0).to_pylist()
-        for lo, hi in slices(texts, SLICE_CHARS):
-            raw = [_bytes(t) for t in texts[lo:hi]]
+        for lo, hi in pieces(batch.column(0), SLICE_BYTES):
+            raw = _raw(batch.column(0).slice(lo, hi - lo))
             for t in raw:
                 tokens.update(t.split())
             tokens[END_TOKEN] += len(raw)
@@ -100,12 +102,12 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             grams, back = np.unique(both, return_inverse=True)
             sums = np.bincount(back, np.concatenate([sums, counts]), len(grams)).astype(np.int64)
             if len(tokens) >= HELD:
-                yield told("token", list(tokens), list(tokens.values()))
+                yield told("token", pa.array(list(tokens), pa.binary()), list(tokens.values()))
                 tokens.clear()
             if len(grams) >= HELD_STRINGS:
                 yield strings()
                 grams, sums = grams[:0], sums[:0]
-    yield told("token", list(tokens), list(tokens.values()))
+    yield told("token", pa.array(list(tokens), pa.binary()), list(tokens.values()))
     yield strings()
 
 
@@ -303,9 +305,8 @@ def score_texts(docs: DataFrame, counts: DataFrame, keep: list[str], text_col: s
         heads = _heads[id(packed)]
         row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            texts = batch.column(len(keep)).to_pylist()
-            for lo, hi in slices(texts, SLICE_CHARS):
-                raw = [_bytes(t) for t in texts[lo:hi]]
+            for lo, hi in pieces(batch.column(len(keep)), SLICE_BYTES):
+                raw = _raw(batch.column(len(keep)).slice(lo, hi - lo))
                 symbols, lengths = _strings(raw)
                 found, rare = heads.find(symbols)
                 bits = np.add.reduceat(found, np.cumsum([0, *lengths[:-1]]))
