@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenlake.llm.common import cut, pieces, tidied
+from lumenlake.llm.common import cut, pieces, spread, tidied
 
 SPACES = " \t\n\x0b\x0c\r"
 #: Bytes of texts in a slice; distinct segments encoded at a time; buckets of segments for each partition of the shuffle.
@@ -185,12 +185,6 @@ def joined(parts: list[Aligned]) -> Aligned:
     return Aligned(np.concatenate([x.counts for x in parts]), [t for x in parts for t in x.texts], *(np.concatenate([getattr(x, k) for x in parts]) for k in ("sizes", "pairs", "times")))
 
 
-def spread(begin: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """begin, begin + 1, ..., size numbers from each begin on."""
-    ends = np.cumsum(size)
-    return np.repeat(begin - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
-
-
 FIELDS = "slice long, kind int, bucket long, row long, codes binary, segments binary, sizes binary, counts binary, pairs binary, times binary"
 DOCUMENT, SEGMENTS, PAIRS = 2, 0, 1  # in a slice, documents come last
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")

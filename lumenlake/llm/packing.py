@@ -16,8 +16,11 @@ own pieces. An empty table gives no rows. A very long text is tokenised whole, a
 
 from __future__ import annotations
 
+import itertools
 import os
+import re
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,17 +33,24 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from lumenlake.llm.common import bounded, cut, pieces, tidied
+from lumenlake.llm.common import bounded, cut, pieces, spread, tidied
 
 CAPACITY, END_ID = 4_096, 2
 #: Share of a sequence that a class may leave empty; else the piece is cut.
 SLACK = 1 / 128
-#: Distinct words, and characters of a word, that a task keeps with their ids.
-WORDS_KEPT, WORD_CHARS = 200_000, 64
+#: Distinct words that a task keeps with their ids.
+WORDS_KEPT = 250_000
+WORD_END = "</w>"
+#: Words of letters alone, in UTF-8; and signs that end a run of letters.
+LETTERS = re.compile(rb"(?:[a-z]|\xc3[\xa0-\xb6\xb8-\xbf])+")
+APART = re.compile(rb"(?<=[a-z])([.,;:!?|)])")
 
 
 class WordEncoder:
-    """Ids of texts by a tokenizer that never joins anything across ASCII white space; distinct words are encoded once."""
+    """Ids of texts by a tokenizer of lower-cased words that drops white space; distinct words are encoded once.
+
+    The tokenizer takes a run of letters, and what other signs follow it, for two words, so a blank between them changes nothing.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
@@ -49,41 +59,47 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         # The tokenizer takes its special tokens out of a text before it looks for words.
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith(WORD_END)]] = True
         self._forget()
 
     def _forget(self) -> None:
-        self.code: dict[bytes, int] = {}
+        self.code: defaultdict[bytes, int] = defaultdict(itertools.count().__next__)
         self.sizes, self.flat = np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _whole(self, texts: list[bytes]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+    def _each(self, texts: list[bytes]) -> list[np.ndarray]:
+        return [np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def _learn(self, new: list[bytes]) -> None:
+        """Add the ids of new words: those of letters alone, which have one word's end each, are encoded together."""
+        plain = np.array([LETTERS.fullmatch(w) is not None for w in new], bool)
+        together = self._each([b" ".join(itertools.compress(new, plain))])[0]
+        stops = np.flatnonzero(self.ends[together]) + 1
+        if len(stops) != plain.sum():
+            plain[:] = False
+            together, stops = together[:0], stops[:0]
+        others = self._each([w for w, p in zip(new, plain.tolist(), strict=True) if not p])
+        sizes, begin = np.zeros(len(new), np.int64), np.zeros(len(new), np.int64)
+        sizes[plain], sizes[~plain] = np.diff(stops, prepend=0), [len(x) for x in others]
+        begin[plain], begin[~plain] = np.append(0, stops)[:-1], len(together) + np.cumsum(sizes[~plain]) - sizes[~plain]
+        self.flat = np.concatenate([self.flat, np.concatenate([together, *others])[spread(begin, sizes)]])
+        self.sizes = np.concatenate([self.sizes, sizes])
 
     def __call__(self, texts: list[bytes]) -> list[np.ndarray]:
         """The ids of each text."""
         if len(self.sizes) >= WORDS_KEPT:
             self._forget()
-        apart = [any(s in t for s in self.special) for t in texts]
-        words = [[] if a else t.split() for t, a in zip(texts, apart, strict=True)]
-        new = sorted({w for own in words for w in own if w not in self.code})
-        if new:
-            ids = self._whole(new)
-            self.code |= {w: i for i, w in enumerate(new, len(self.sizes))}
-            self.sizes = np.concatenate([self.sizes, [len(x) for x in ids]]).astype(np.int64)
-            self.flat = np.concatenate([self.flat, *[np.array(x, np.uint32) for x in ids]])
-        begin = np.cumsum(self.sizes) - self.sizes
-        out = []
-        for text, own, a in zip(texts, words, apart, strict=True):
-            if a:
-                out.append(np.array(self._whole([text])[0], np.uint32))
-                continue
-            codes = np.fromiter(map(self.code.__getitem__, own), np.int64, len(own))
-            n = self.sizes[codes]
-            ends = np.cumsum(n)
-            at = np.repeat(begin[codes] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
-            out.append(self.flat[at])
-        for w in [w for w in new if len(w) > WORD_CHARS]:
-            del self.code[w]  # its ids stay until all are forgotten
-        return out
+        lowered = [t.lower() for t in texts]
+        apart = [any(s in t for s in self.special) for t in lowered]
+        words = [[] if a else APART.sub(rb" \1", t).split() for t, a in zip(lowered, apart, strict=True)]
+        codes = np.fromiter(map(self.code.__getitem__, itertools.chain.from_iterable(words)), np.int64)
+        if len(self.code) > len(self.sizes):
+            self._learn(list(itertools.islice(self.code, len(self.sizes), None)))
+        sizes = self.sizes[codes]
+        ids = self.flat[spread((np.cumsum(self.sizes) - self.sizes)[codes], sizes)]
+        upto = np.append(0, np.cumsum(sizes))[np.cumsum([0, *map(len, words)])].tolist()
+        return [self._each([t])[0] if a else ids[lo:hi] for t, a, lo, hi in zip(texts, apart, upto, upto[1:], strict=False)]
 
 
 def lengths_of(total: int, capacity: int = CAPACITY, slack: float = SLACK) -> list[tuple[int, int]]:

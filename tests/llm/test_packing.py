@@ -91,6 +91,6 @@ def test_words_are_forgotten(monkeypatch):
         assert encoder([t.encode()])[0].tolist() == ids[:-1]
 
 
-@pytest.mark.parametrize("text", ["abc def", "a  b"])
+@pytest.mark.parametrize("text", ["abc def", "a  b", "The, END.) <|ENDOFTEXT|> it's,'s é, E\u0301, e\u0301; 12,3 x.y 'll.'re ß; Ǆa,b", "a.\u0338b ,.a;;b|c ａ,b"])
 def test_a_task_encodes_as_the_whole(text):
     assert packing.WordEncoder(PATH)([text.encode()])[0].tolist() == plain([text])[0][:-1]
