@@ -1,7 +1,8 @@
 """Alignment of two tokenizers' tokens, by distinct segments.
 
-A text with a blank before it is split before a run of white space where no token of either vocabulary holds a character and
-white space after it: there neither tokenizer joins anything, so segments can be encoded on their own. The vocabularies say which white space that is.
+A text with a blank before it is split before a run of white space that follows a character which is none, where no token of either vocabulary
+holds such a character and that white space after it: there neither tokenizer joins anything, so segments can be encoded on their own.
+The vocabularies say which white space that is. Characters that share their first byte with white space count as such: there texts stay whole.
 
 Slices of documents name each of their distinct segments once, and documents become numbers of segments. The names of all slices meet by
 a hash of the segment; each distinct segment is encoded and aligned once there, and what is known of it goes back to the slices. Byte
@@ -24,7 +25,7 @@ import hashlib
 import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +39,11 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from lumenlake.llm.common import cut, pieces, spread, tidied
 
 SPACES = " \t\n\x0b\x0c\r"
+#: A character before white space, in UTF-8: none that is white space, or begins as such, or as a control sign.
+SOLID = rb"[!-~]", rb"[\xc3-\xdf][\x80-\xbf]", rb"[\xe4-\xed][\x80-\xbf]{2}", rb"[\xf0-\xf4][\x80-\xbf]{3}"
+SOLID_END = re.compile(rb"(?:%b)\Z" % b"|".join(SOLID))
+#: Bytes that a text without other white space, control signs or the like lacks.
+ODD = re.compile(rb"[\x00-\x08\x0d-\x1f\x7f\xc2\xe1-\xe3]")
 #: Bytes of texts in a slice; distinct segments encoded at a time; buckets of segments for each partition of the shuffle.
 SLICE_BYTES, SEGMENT_BYTES, BUCKETS = 8_000_000, 1_000_000, 4
 #: Distinct segments that a bucket keeps, in bytes, before it forgets them.
@@ -65,8 +71,8 @@ class Vocabulary:
         raise NotImplementedError
 
     def joins(self, space: str) -> bool:
-        """Whether a token holds the white space after something else than white space."""
-        inner = re.compile(rb"[^ \t\n\x0b\x0c\r]" + re.escape(space.encode()))
+        """Whether a token holds the white space after something else."""
+        inner = re.compile(rb"(?:%b)%b" % (b"|".join(SOLID), re.escape(space.encode())))
         return any(inner.search(t) for t in self.tokens)
 
 
@@ -102,6 +108,8 @@ class Pieces(Vocabulary):
         self.blank = p.piece_to_id("▁")
 
     def ids(self, text: str) -> np.ndarray:
+        if text == " ":  # at a text's end; the model adds no blank to nothing
+            return np.array([self.blank], np.int64)
         if text[0] == " ":
             return np.array(self.processor.encode(text[1:], num_threads=1), np.int64)
         found = np.array(self.processor.encode(text, num_threads=1), np.int64)
@@ -117,15 +125,33 @@ def split_spaces(a_path: str, b_path: str) -> str:
     return "".join(s for s in SPACES if not any(v.joins(s) for v in both) and (s == " " or not any(t.startswith(b" " + s.encode()) for t in both[1].tokens)))
 
 
+def splitter(spaces: str) -> Callable[[bytes], list[bytes]]:
+    """The segments of a text that begins with a blank."""
+    own = re.escape(spaces).encode()
+    plain = re.compile(rb"[%b]+[^%b]*" % (own, own))
+    odd = re.compile(rb"(?=[%b])(?:%b)" % (own, b"|".join(rb"(?<=%b)" % x for x in SOLID)))
+    return lambda text: odd.split(text) if ODD.search(text) or not set(SPACES[:-1]) <= set(spaces) else plain.findall(text)
+
+
 class Aligned:
     """What is known of some segments, in their order: numbers of tokens, groups and links, the groups' text, and the pairs of ids, with how often each is linked."""
 
     def __init__(self, counts: np.ndarray, texts: list[bytes], sizes: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
         self.counts, self.texts, self.sizes, self.pairs, self.times = counts, texts, sizes, pairs, times
 
+    def taken(self, order: np.ndarray) -> Aligned:
+        """The segments at these places."""
+        at = spread((np.cumsum(self.sizes) - self.sizes)[order], self.sizes[order])
+        return Aligned(self.counts[order], [self.texts[i] for i in order.tolist()], self.sizes[order], self.pairs[at], self.times[at])
+
 
 def align(segments: list[bytes], a: Vocabulary, b: Vocabulary) -> Aligned:
     """The alignment of each segment. All are encoded as one text; segments that one of the vocabularies does not give back have 0 A tokens and -1 groups."""
+    alone = np.array([SOLID_END.search(s) is None for s in segments], bool)
+    if alone.any() and len(segments) > 1:  # what ends a text may end otherwise, and is encoded on its own
+        order = np.argsort(alone, kind="stable").tolist()
+        rest = align([segments[i] for i in order[: len(order) - int(alone.sum())]], a, b)
+        return joined([rest, *[align([segments[i]], a, b) for i in order[len(order) - int(alone.sum()) :]]]).taken(np.argsort(order))
     lossy = np.array(["▁".encode() in s for s in segments], bool)
     good = [s for s, bad in zip(segments, lossy.tolist(), strict=True) if not bad]
     text = b"".join(good)
@@ -207,8 +233,6 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
     kept = picked.select(*keep).schema.fields
     buckets = BUCKETS * int(spark.conf.get("spark.sql.shuffle.partitions"))
     spaces = split_spaces(a_path, b_path)
-    # A segment: white space, and what follows up to white space before which texts are split.
-    segment = re.compile(rb"[%b]+(?:[^%b]|(?<=[ \t\n\x0b\x0c\r])[%b])*" % ((re.escape(spaces).encode(),) * 3))
     fields = [T.StructField(f"__{f.name}", f.dataType) for f in T._parse_datatype_string(FIELDS).fields]  # noqa: SLF001
     coded_type = T.StructType([*kept, *fields])
     coded_arrow = to_arrow_schema(coded_type)
@@ -219,7 +243,7 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """For each slice a row for each bucket of its segments, and its documents as numbers of these."""
-        at = TaskContext.get().partitionId() << 33
+        at, split = TaskContext.get().partitionId() << 33, splitter(spaces)
         rows: list[pa.RecordBatch] = []
         coded: list[np.ndarray] = []
         number: dict[bytes, int] = {}
@@ -248,7 +272,7 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
             column = pc.fill_null(batch.column(len(keep)), b"")
             for lo, hi in pieces(column):
                 for text in column.slice(lo, hi - lo).to_pylist():
-                    found = segment.findall(b" " + text) if text else []
+                    found = split(b" " + text) if text else []
                     coded.append(np.fromiter((number.setdefault(s, len(number)) for s in found), np.int64, len(found)))
                     held += len(text)
                 rows.append(batch.slice(lo, hi - lo).select(list(range(len(keep)))))
@@ -276,12 +300,10 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
                     kept_bytes += sum(map(len, new))
                     parts = [align(new[i:j], a, b) for i, j in pieces(pa.array(new, pa.binary()), SEGMENT_BYTES)]
                     whole = joined([*([whole] if whole else []), *parts])
-                    begin = np.cumsum(whole.sizes) - whole.sizes
-                codes = np.fromiter(map(number.__getitem__, names), np.int64, len(names))
-                inside = spread(begin[codes], whole.sizes[codes])
-                yield filled(1, answer_arrow, __slice=[r["__slice"]], __kind=[SEGMENTS], __bucket=[last], __counts=[whole.counts[codes].astype(np.int32).tobytes()],
-                             __segments=[bytes([SEPARATOR]).join([whole.texts[i] for i in codes.tolist()])], __sizes=[whole.sizes[codes].astype(np.uint32).tobytes()],
-                             __pairs=[whole.pairs[inside].tobytes()], __times=[whole.times[inside].astype(np.uint32).tobytes()])
+                own = whole.taken(np.fromiter(map(number.__getitem__, names), np.int64, len(names)))
+                columns = {"__counts": own.counts.astype(np.int32), "__sizes": own.sizes.astype(np.uint32), "__pairs": own.pairs, "__times": own.times.astype(np.uint32)}
+                texts = bytes([SEPARATOR]).join(own.texts)
+                yield filled(1, answer_arrow, __slice=[r["__slice"]], __kind=[SEGMENTS], __bucket=[last], __segments=[texts], **{k: [v.tobytes()] for k, v in columns.items()})
 
     answer_type = T.StructType([f for f in fields if f.name not in ("__row", "__codes")])
     answer_arrow = to_arrow_schema(answer_type)

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlake.llm import decontaminate, knn, langid, licenses, mixing, neardup, packing, pii, ppm, secrets, spelling, urlrules
+from lumenlake.llm import alignment, decontaminate, knn, langid, licenses, mixing, neardup, packing, pii, ppm, secrets, spelling, urlrules
 from lumenlake.llm.common import joined_spans, remainder
 
 
@@ -86,7 +86,12 @@ def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_langid, op3_secrets, op4_ppm, op5_decontaminate, op6_urls, op7_licenses, op8_neardup, op9_knn, op10_mixing, op11_packing, op12_spelling)}
+def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = map(public_tokenizers.path, ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return alignment.align_texts(_table(spark, sf_dir, "documents"), ["doc_id"], a, b)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_langid, op3_secrets, op4_ppm, op5_decontaminate, op6_urls, op7_licenses, op8_neardup, op9_knn, op10_mixing, op11_packing, op12_spelling, op13_alignment)}
 
 _WORDS = r"SELECT {id}, list_filter(regexp_split_to_array(lower(text), '[^\p{{L}}\p{{N}}]+'), lambda x: x <> '') AS w FROM {table} WHERE text IS NOT NULL"
 
