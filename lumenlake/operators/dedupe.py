@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlake.functions.exprs import half_up
+from lumenlake.functions.exprs import half_up, slashed
 
 KEEP = ("oldest", "newest", "highest_res", "shortest_path")
 
@@ -25,9 +25,10 @@ def summary(files: DataFrame) -> DataFrame:
 def fingerprint_groups(files: DataFrame, fingerprint: str = "quick_fingerprint", content: str = "content_hash") -> DataFrame:
     """Fingerprints of two or more files that are no single exact group: one hash and no other is left to exact_groups.
 
-    A missing hash counts for nothing, so a group of one hash and nulls is left out too.
+    A missing hash counts for nothing, so a group of one hash and nulls is left out too; empty fingerprints are none. files may be a join
+    in which a file stands more than once: n counts it once, total adds up every row.
     """
-    by = files.where(F.col(fingerprint).isNotNull()).groupBy(fingerprint).agg(F.count_distinct("id").alias("n"), F.count_distinct(content).alias("hashes"), F.min(content).alias("first_hash"), F.sum("size_bytes").cast("long").alias("total"))
+    by = files.where(F.col(fingerprint) != "").groupBy(fingerprint).agg(F.count_distinct("id").alias("n"), F.count_distinct(content).alias("hashes"), F.min(content).alias("first_hash"), F.sum("size_bytes").cast("long").alias("total"))
     one = (F.col("hashes") == 1) & F.col("first_hash").isNotNull()
     return by.where((F.col("n") > 1) & ~one).withColumn("mean_wasted", half_up((F.col("n") - 1) * (F.col("total") / F.col("n"))).cast("long")).drop("first_hash")
 
@@ -48,6 +49,26 @@ def report(files: DataFrame, number: int = 1, size: int = 20, members: int = 10)
     return by.withColumn("members", F.array_join(F.transform("m", lambda x: x["id"].cast("string")), ",")).drop("m")
 
 
+def report_joined(indexed: DataFrame, media: DataFrame, number: int = 1, size: int = 20, members: int = 10) -> DataFrame:
+    """A page of the groups of two tables, ranked by waste, as rows: a member each, with what either table knows of it.
+
+    Exact groups come from indexed alone and its members may lack media; fingerprint groups come from the join of both by path, in which an
+    indexed file may stand more than once. Both have the columns path; media has id and a fingerprint. Paths are joined once.
+    """
+    at = lambda df, name: df.withColumn(name, slashed(F.col("path"))).drop("path")
+    facts = ["width", "height", "date_taken", "date_created", "camera_make", "camera_model"]
+    known = at(media, "__at").select("__at", F.col("id").alias("media_id"), "quick_fingerprint", *facts)
+    both = at(indexed, "__at").select("__at", F.col("id").alias("file_id"), "size_bytes", "content_hash").join(known, "__at", "left").withColumnRenamed("__at", "path")
+    exact = exact_groups(indexed).select(F.lit("EXACT").alias("kind"), F.lit(5).alias("confidence"), F.col("content_hash").alias("group_key"), "n", F.col("mean_wasted").alias("wasted"))
+    joined = both.where(F.col("media_id").isNotNull()).select(F.col("media_id").alias("id"), "quick_fingerprint", "content_hash", "size_bytes")
+    alike = fingerprint_groups(joined).select(F.lit("FINGERPRINT").alias("kind"), F.lit(4).alias("confidence"), F.col("quick_fingerprint").alias("group_key"), "n", F.col("mean_wasted").alias("wasted"))
+    ranked = exact.unionByName(alike).orderBy(F.desc("wasted"), "kind", "group_key").offset((number - 1) * size).limit(size)
+    keys = F.array(F.struct(F.lit("EXACT").alias("kind"), F.col("content_hash").alias("group_key")), F.struct(F.lit("FINGERPRINT").alias("kind"), F.col("quick_fingerprint").alias("group_key")))
+    held = both.withColumn("of", F.explode(keys)).select("of.*", "file_id", "path", "size_bytes", "media_id", *facts).join(F.broadcast(ranked), ["kind", "group_key"])  # a page of rows
+    place = F.row_number().over(Window.partitionBy("kind", "group_key").orderBy("path", "file_id", "media_id"))
+    return held.withColumn("place", place).where(F.col("place") <= members)
+
+
 def members(files: DataFrame) -> DataFrame:
     """The files of exact groups, by a semi join."""
     return files.join(exact_groups(files).select("content_hash"), "content_hash", "left_semi")
@@ -78,16 +99,14 @@ def keep_one(files: DataFrame, preset: str, key: str = "content_hash") -> DataFr
     return files.join(best.select(key, "n", F.col("best.keep_id").alias("keep_id")), key).withColumn("keep", F.col("id") == F.col("keep_id"))
 
 
-def grouped(files: DataFrame, most: int = 1_000) -> DataFrame:
-    """Exact groups as (content_hash, size, n, files): the group's files by path as an array of structs, at most most of them.
+def grouped(files: DataFrame, where: Column | None = None) -> DataFrame:
+    """Exact groups as rows: each file of a group with the group's hash, largest size and number of files; where narrows both.
 
-    n counts them all; the rest of a larger group is what members() gives, as rows.
+    Rows instead of lists, so that a group of any number of files is whole and no task holds it.
     """
-    groups = exact_groups(files).select("content_hash", F.col("largest").alias("size"), "n")
-    by = Window.partitionBy("content_hash").orderBy("relative_path", "id")
-    held = files.join(groups.select("content_hash"), "content_hash", "left_semi").withColumn("place", F.row_number().over(by)).where(F.col("place") <= most)
-    lists = held.groupBy("content_hash").agg(F.array_sort(F.collect_list(F.struct("place", "id", "relative_path"))).alias("files"))
-    return groups.join(lists, "content_hash").select("content_hash", "size", "n", F.transform("files", lambda x: F.struct(x["id"].alias("id"), x["relative_path"].alias("relative_path"))).alias("files"))
+    some = files if where is None else files.where(where)
+    groups = exact_groups(some).select("content_hash", F.col("largest").alias("group_size"), "n")
+    return some.join(groups, "content_hash")
 
 
 def two_stage(files: DataFrame, full_hash: Column) -> DataFrame:

@@ -43,6 +43,8 @@ LOSSLESS_CODECS = ("prores", "prores_ks", "dnxhd", "dnxhr", "huffyuv", "utvideo"
 MODERN_CODECS = ("h264", "hevc", "av1", "vp9", "vp8")
 LEGACY_CODECS = ("mjpeg", "mpeg4", "msmpeg4v3", "wmv1", "wmv2", "wmv3", "rv30", "rv40", "h263", "svq3", "indeo3", "cinepak")
 LEGACY_RATIO, LEGACY_TARGET = 0.68, "mp4"
+#: Extensions of files whose codec is looked at.
+CONTAINERS = ("mov", "mkv", "mp4", "m4v")
 
 
 def routed(files: DataFrame, destinations: dict[str, str], default: str = "Other", override: Column | None = None) -> DataFrame:
@@ -97,7 +99,7 @@ def renamed(routes: DataFrame, existing: DataFrame, order: list[str]) -> DataFra
     """dest_path made unique by _n before the extension; the n-th file of a path takes its n-th free name.
 
     Names of one stem and extension are one family: its members are numbered, and the numbers that names on disk or first choices of other
-    files take are left out. One window per family, no rounds.
+    files take are left out: a running count of these in each family, no rounds.
     """
     stem, ext = F.regexp_replace("dest_path", r"(\.[^./]*)?$", ""), F.regexp_extract("dest_path", r"(\.[^./]*)$", 1)
     own = Window.partitionBy("dest_path").orderBy(*order)
@@ -109,11 +111,16 @@ def renamed(routes: DataFrame, existing: DataFrame, order: list[str]) -> DataFra
     number = F.regexp_extract(F.col("__stem"), r"_([1-9][0-9]{0,8})$", 1)
     taken = taken.withColumn("__stem", stem).withColumn("ext", ext).withColumn("number", number).where("number <> ''")
     family = F.concat(F.regexp_replace("__stem", r"_[1-9][0-9]{0,8}$", ""), "ext")
-    used = taken.select(family.alias("dest_path"), F.col("number").cast("int").alias("n")).groupBy("dest_path").agg(F.array_sort(F.collect_set("n")).alias("__used"))
-    # The n-th number that is not among the used ones: each used number up to it moves it on by one.
-    free = F.aggregate(F.coalesce("__used", F.array().cast("array<int>")), F.col("__nth").cast("int"), lambda n, u: F.when(u <= n, n + 1).otherwise(n))
+    used = taken.select(family.alias("dest_path"), F.col("number").cast("long").alias("n")).distinct()
+    # A used number n of rank r moves each number from n - r + 1 on by one: the free number is the wanted one and how many do so.
+    moving = used.select("dest_path", (F.col("n") - F.row_number().over(Window.partitionBy("dest_path").orderBy("n")) + 1).alias("__at"))
+    asked = wanted.where("__nth > 0").select("dest_path", F.col("__nth").cast("long").alias("__at")).distinct()
+    both = moving.withColumn("__asks", F.lit(False)).unionByName(asked.withColumn("__asks", F.lit(True)))
+    upto = Window.partitionBy("dest_path").orderBy("__at", "__asks").rowsBetween(Window.unboundedPreceding, 0)
+    moved = both.withColumn("__moved", F.count_if(~F.col("__asks")).over(upto)).where("__asks").select("dest_path", F.col("__at").alias("__nth"), "__moved")
+    free = F.col("__nth") + F.coalesce("__moved", F.lit(0))
     named = F.when(F.col("__nth") == 0, F.col("dest_path")).otherwise(F.concat(stem, F.lit("_"), free.cast("string"), ext))
-    out = wanted.join(used, "dest_path", "left").withColumn("__name", named).drop("dest_path").withColumnRenamed("__name", "dest_path")
+    out = wanted.withColumn("__nth", F.col("__nth").cast("long")).join(moved, ["dest_path", "__nth"], "left").withColumn("__name", named).drop("dest_path").withColumnRenamed("__name", "dest_path")
     return out.select(*routes.columns)
 
 
@@ -126,19 +133,27 @@ def rules(spark: SparkSession, profile: str = "BALANCED", raw: bool = False) ->
     return spark.createDataFrame(rows, "extension string, status string, category string, target string, ratio double")
 
 
-def savings(files: DataFrame, rule_rows: DataFrame, samples: int = 3) -> DataFrame:
-    """Per extension: count, bytes, expected saving, and the largest files, with the status's rank; unknown extensions are skipped.
+def savings(files: DataFrame, rule_rows: DataFrame, samples: int = 3, codec: str | None = None) -> DataFrame:
+    """Per extension: count, bytes, expected saving, and the largest files with their sizes after it, with the status's rank; unknown extensions are skipped.
 
-    Rules are broadcast: a row per extension. The samples are ranked in a window that Spark limits before its shuffle.
+    With codec, a column of files, the known codec of a container's largest file overrides its rule. Rules are broadcast: a row per extension.
+    The samples are ranked in a window that Spark limits before its shuffle.
     """
-    by = files.groupBy("extension").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("size"))
+    largest = F.struct(F.col("size_bytes").isNull(), -F.coalesce("size_bytes", F.lit(0)), "id")
+    found = F.min_by(codec, F.when(F.col(codec).isNotNull(), largest)) if codec else F.lit(None).cast("string")
+    by = files.groupBy("extension").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("size_bytes"), F.lit(0)).cast("long").alias("size"), found.alias("found"))
     by = by.join(F.broadcast(rule_rows), "extension", "left")
-    by = by.withColumn("status", F.coalesce("status", F.lit("skip"))).withColumn("category", F.coalesce("category", F.lit("other")))
+    by = by.withColumn("codec", F.when(F.col("extension").isin(*CONTAINERS), F.col("found"))).withColumn("status", F.coalesce("status", F.lit("skip")))
+    status, ratio = codec_override(F.col("codec"), F.col("status"), F.col("ratio"))
+    target = F.when(F.col("codec").isin(*LEGACY_CODECS), LEGACY_TARGET).otherwise(F.col("target"))
+    by = by.withColumns({"status": status, "ratio": ratio, "target": target, "category": F.coalesce("category", F.lit("other"))})
     by = by.withColumn("saving", half_up(F.col("size") * F.coalesce("ratio", F.lit(0.0))).cast("long"))
     rank = F.row_number().over(Window.partitionBy("extension").orderBy(F.desc_nulls_last("size_bytes"), "id"))
-    top = files.select("extension", "id", "size_bytes", rank.alias("r")).where(F.col("r") <= samples).groupBy("extension").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "id"))), lambda s: s["id"].cast("string")), ",").alias("samples"))
+    top = files.select("extension", "id", "size_bytes", rank.alias("r")).where(F.col("r") <= samples).groupBy("extension").agg(F.array_sort(F.collect_list(F.struct("r", "id", "size_bytes"))).alias("top"))
     place = (F.array_position(F.array(*[F.lit(s) for s in STATUS_RANK]), F.col("status")) - 1).cast("int")
-    return by.join(top, "extension").select("extension", "category", "status", "target", "n", "size", "saving", "samples", place.alias("status_rank"))
+    after = F.transform("top", lambda s: half_up(s["size_bytes"] * (1 - F.coalesce("ratio", F.lit(0.0)))).cast("long").cast("string"))
+    listed = {"samples": F.array_join(F.transform("top", lambda s: s["id"].cast("string")), ","), "samples_after": F.array_join(after, ",")}
+    return by.join(top, "extension").withColumns(listed).select("extension", "category", "status", "target", "n", "size", "saving", "samples", "samples_after", "codec", place.alias("status_rank"))
 
 
 def total_savings(by_extension: DataFrame) -> DataFrame:

@@ -180,15 +180,17 @@ def scored(rows: DataFrame, intent: Intent, limit: int = 60) -> DataFrame:
     return out.drop("__tags", "__objects", "__hay").orderBy(F.desc("score"), F.desc_nulls_last("sim"), "id").limit(limit)
 
 
-def similar(files: DataFrame, vectors: DataFrame, item: int, k: int = 24) -> DataFrame:
+def similar(files: DataFrame, vectors: DataFrame, item: int, k: int = 24, where: Column | None = None) -> DataFrame:
     """The k files of the item's type most like it, without itself and its copies, with score and confidence; an unknown hash is no copy.
 
+    where narrows the files that are offered, as to live ones; the item itself may be any.
     The item's row is broadcast: one row, whatever the table's size.
     """
     both = vectors.where(F.col("embedding").isNotNull()).join(files.select("id", "media_type", "content_hash"), "id")
     one = both.where(F.col("id") == item).limit(1).select(F.col("embedding").alias("q"), F.col("media_type").alias("q_type"), F.col("content_hash").alias("q_hash"))
     other = (F.col("id") != item) & (F.col("media_type") == F.col("q_type")) & (F.col("content_hash").isNull() | F.col("q_hash").isNull() | (F.col("content_hash") != F.col("q_hash")))
-    found = both.join(F.broadcast(one), other).withColumn("sim", F.round(cosine(F.col("embedding"), F.col("q")), 6))
+    offered = both if where is None else both.join(files.where(where).select("id"), "id", "left_semi")
+    found = offered.join(F.broadcast(one), other).withColumn("sim", F.round(cosine(F.col("embedding"), F.col("q")), 6))
     sim = F.coalesce("sim", F.lit(0.0))
     confidence = F.when(sim >= 0.6, "very_likely").when(sim >= 0.45, "likely").otherwise("possible")
     found = found.orderBy(F.desc_nulls_first("sim"), "id").limit(k)
@@ -221,8 +223,8 @@ def media_embedding_text() -> Column:
     """What a media file's vector is made of; texts read and notes count with their first 2,000 characters."""
     joined = lambda c: F.array_join(F.col(c), " ")
     folders = F.translate(F.regexp_extract("relative_path", "^(.*)/[^/]*$", 1), "/", " ")
-    parts = [F.col("name"), folders, F.col("description"), joined("tags"), joined("objects"), joined("people"), F.col("scene"), F.col("doc_type"), F.col("ocr_text"), F.date_format("date_taken", "yyyy-MM-dd"), F.col("user_description"), joined("user_tags"), F.col("notes")]
-    return embedding_text(parts, cut_at=(8, 12))
+    parts = [F.col("name"), folders, F.col("description"), joined("tags"), joined("objects"), joined("people"), F.col("scene"), F.col("doc_type"), F.col("ocr_text"), F.col("camera_make"), F.col("camera_model"), F.date_format("date_taken", "yyyy-MM-dd"), F.col("user_description"), joined("user_tags"), F.col("notes")]
+    return embedding_text(parts, cut_at=(8, 14))
 
 
 def save_search(saved: DataFrame, name: str, query: str, intent: Intent | None, at: Column) -> DataFrame:

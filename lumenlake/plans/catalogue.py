@@ -43,14 +43,6 @@ def dup_members(spark, d):
     return dedupe.members(files(spark, d)).select("content_hash", "id", "size_bytes")
 
 
-@query(f"""WITH {FILES_SQL}, h AS (SELECT quick_fingerprint, id, size_bytes, CASE WHEN id % 3 <> 0 THEN sha256(concat(ocr_text, id % 2)) END AS h FROM files)
-SELECT quick_fingerprint, count(DISTINCT id) AS n, count(DISTINCT h) AS hashes, sum(size_bytes)::BIGINT AS total, floor((count(DISTINCT id) - 1) * (sum(size_bytes) / count(DISTINCT id)) + 0.5)::BIGINT AS mean_wasted
-FROM h GROUP BY 1 HAVING count(DISTINCT id) > 1 AND NOT (count(DISTINCT h) = 1 AND min(h) IS NOT NULL)""")
-def dup_fingerprint_groups(spark, d):
-    h = F.when(F.col("id") % 3 != 0, F.sha2(F.concat("ocr_text", (F.col("id") % 2).cast("string")), 256))
-    return dedupe.fingerprint_groups(files(spark, d).withColumn("h", h), content="h")
-
-
 @query(f"""WITH {FILES_SQL}, s AS (SELECT size_bytes, quick_fingerprint FROM files GROUP BY ALL HAVING count(*) > 1)
 SELECT sha256(ocr_text) AS full_hash, count(*) AS n, min(id) AS first_id FROM files JOIN s USING (size_bytes, quick_fingerprint) GROUP BY 1 HAVING count(*) > 1""")
 def dup_two_stage(spark, d):
@@ -283,11 +275,11 @@ def chat_threads(spark, d):
     return related.threads(table(spark, d, "conversations"))
 
 
-@query("SELECT c_mktsegment AS segment, c_custkey, o_orderkey, l_linenumber FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey WHERE l_quantity > 25")
+@query("SELECT c_mktsegment AS segment, c_custkey, o_orderkey, l_linenumber FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON l_orderkey = o_orderkey")
 def bridge_join(spark, d):
     c = table(spark, d, "customer").select(F.col("c_mktsegment").alias("segment"), "c_custkey")
     o = table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
-    li = table(spark, d, "lineitem").where("l_quantity > 25").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
+    li = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber")
     return c.join(o, "c_custkey").join(li, "o_orderkey").select("segment", "c_custkey", "o_orderkey", "l_linenumber")
 
 
@@ -304,15 +296,6 @@ def centroids(spark, d):
 COS = "list_cosine_similarity({a}, {b})"
 
 
-@query(WITH + f""", q AS (SELECT embedding::DOUBLE[] AS qv, media_type AS qt, content_hash AS qh FROM embeddings JOIN files ON vec_id = id WHERE id = 3),
-s AS (SELECT vec_id AS id, round({COS.format(a="embedding::DOUBLE[]", b="qv")}, 6) AS sim FROM embeddings JOIN files ON vec_id = id, q
-    WHERE vec_id <> 3 AND media_type = qt AND content_hash <> qh ORDER BY sim DESC, id LIMIT 24)
-SELECT id, sim, floor(sim * 100 + 0.5) / 100 AS score, CASE WHEN sim >= 0.6 THEN 'very_likely' WHEN sim >= 0.45 THEN 'likely' ELSE 'possible' END AS confidence, floor(sim * 100 + 0.5)::BIGINT || '% similar content' AS reason FROM s""")
-def knn_similar(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
-    return search.similar(files(spark, d), v, 3, 24)
-
-
 @query(f"""WITH e AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS pos FROM embeddings), m AS (SELECT label, pos, round(avg(x), 6) AS m FROM e GROUP BY ALL),
 c AS (SELECT label AS c_id, list(m ORDER BY pos) AS c_v FROM m GROUP BY 1),
 s AS (SELECT vec_id, c_id, round({COS.format(a="embedding::DOUBLE[]", b="c_v")}, 6) AS sim FROM embeddings, c),

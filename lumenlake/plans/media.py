@@ -30,11 +30,11 @@ for preset in dedupe.KEEP:
 SELECT content_hash, id, keep_id, id = keep_id AS keep, n FROM r WHERE n > 1""")(keeper)
 
 
-@query(f"""{WITH}, g AS (SELECT content_hash, max(size_bytes) AS size, count(*) AS n FROM media GROUP BY 1 HAVING count(*) > 1)
-SELECT content_hash, any_value(g.size) AS size, any_value(g.n) AS n, string_agg(concat(id, ' ', relative_path), ',' ORDER BY relative_path, id) AS files FROM media JOIN g USING (content_hash) GROUP BY 1""")
+@query(f"""{WITH}, l AS (SELECT * FROM media WHERE last_scan_action IS DISTINCT FROM 'DELETED'), g AS (SELECT content_hash, max(size_bytes) AS group_size, count(*) AS n FROM l GROUP BY 1 HAVING count(*) > 1)
+SELECT content_hash, group_size, n, id, relative_path, name, media_type, size_bytes FROM l JOIN g USING (content_hash)""")
 def dup_grouped(spark, d):
-    found = dedupe.grouped(media(spark, d))
-    return found.withColumn("files", F.array_join(F.transform("files", lambda x: F.concat(x["id"].cast("string"), F.lit(" "), x["relative_path"])), ","))
+    found = dedupe.grouped(media(spark, d), live(F.col("last_scan_action")))
+    return found.select("content_hash", "group_size", "n", "id", "relative_path", "name", "media_type", "size_bytes")
 
 
 INDEXED_SQL = "indexed AS (SELECT doc_id AS id, replace('/nas/' || source || '/' || lang || '/' || CASE WHEN doc_id % 3 = 0 THEN 'deep/er/' ELSE '' END || doc_id, '/', chr(92)) AS path, n_chars + 1 AS indexed_size FROM documents WHERE doc_id % 5 <> 0)"
@@ -62,6 +62,46 @@ def recycle_paths(spark, d):
     return reconcile.set_where_path(media(spark, d), odd, _full_path(), "last_scan_action", F.lit("RECYCLED")).select("id", "last_scan_action")
 
 
+TWO_TABLES_SQL = r"""i AS (SELECT doc_id AS file_id, replace('/nas/' || source || '/' || lang || '/' || CASE WHEN doc_id % 3 = 0 THEN 'deep/er/' ELSE '' END || doc_id, '/', chr(92)) AS path, n_chars AS size_bytes, CASE WHEN doc_id % 4 <> 1 THEN sha256(concat(text, doc_id % 2)) END AS content_hash FROM documents WHERE doc_id % 5 <> 0
+    UNION ALL SELECT -1 - doc_id, '/nas/' || source || '/' || lang || '/' || CASE WHEN doc_id % 3 = 0 THEN 'deep/er/' ELSE '' END || doc_id, n_chars + 1, CASE WHEN doc_id % 4 <> 1 THEN sha256(concat(text, doc_id % 2)) END FROM documents WHERE doc_id % 6 = 1),
+m AS (SELECT id, replace('/nas/' || relative_path, chr(92), '/') AS path, CASE WHEN id % 17 <> 0 THEN quick_fingerprint ELSE '' END AS quick_fingerprint, width, height, date_taken, date_created, camera_make, camera_model FROM media),
+ij AS (SELECT i.*, replace(i.path, chr(92), '/') AS at FROM i), j AS (SELECT ij.*, m.* EXCLUDE (path) FROM ij JOIN m ON m.path = ij.at),
+alike AS (SELECT quick_fingerprint, count(DISTINCT id) AS n, count(DISTINCT content_hash) AS hashes, sum(size_bytes)::BIGINT AS total, floor((count(DISTINCT id) - 1) * (sum(size_bytes) / count(DISTINCT id)) + 0.5)::BIGINT AS mean_wasted FROM j
+    WHERE quick_fingerprint IS NOT NULL AND quick_fingerprint <> '' GROUP BY 1 HAVING count(DISTINCT id) > 1 AND NOT (count(DISTINCT content_hash) = 1 AND min(content_hash) IS NOT NULL))"""
+
+
+def _two_tables(spark, d):
+    """Indexed files, some of them twice with either slashes, and media with fingerprints, some of them empty; both with full paths."""
+    k = F.col("doc_id")
+    docs = table(spark, d, "documents")
+    path = F.concat(F.lit("/nas/"), "source", F.lit("/"), "lang", F.lit("/"), F.when(k % 3 == 0, "deep/er/").otherwise(""), k.cast("string"))
+    content = F.when(k % 4 != 1, F.sha2(F.concat("text", (k % 2).cast("string")), 256)).alias("content_hash")
+    once = docs.where(k % 5 != 0).select(k.alias("id"), F.translate(path, "/", "\\").alias("path"), F.col("n_chars").alias("size_bytes"), content)
+    again = docs.where(k % 6 == 1).select((-1 - k).alias("id"), path.alias("path"), (F.col("n_chars") + 1).alias("size_bytes"), content)
+    known = media(spark, d).withColumn("path", _full_path()).withColumn("quick_fingerprint", F.when(F.col("id") % 17 != 0, F.col("quick_fingerprint")).otherwise(""))
+    return once.unionByName(again), known
+
+
+@query(f"{WITH}, {TWO_TABLES_SQL} SELECT * FROM alike")
+def dup_fingerprint_groups(spark, d):
+    """Over the join of both tables by path, in which a file that is indexed twice counts once, and its bytes twice."""
+    indexed, known = _two_tables(spark, d)
+    both = related.by_path(known.select("id", "path", "quick_fingerprint"), indexed.select(F.col("path").alias("other"), "size_bytes", "content_hash"), F.col("path"), F.col("other"))
+    return dedupe.fingerprint_groups(both)
+
+
+@query(f"""{WITH}, {TWO_TABLES_SQL},
+exact AS (SELECT content_hash, count(*) AS n, sum(size_bytes) AS total FROM i WHERE content_hash IS NOT NULL GROUP BY 1 HAVING count(*) > 1),
+ranked AS (SELECT * FROM (SELECT 'EXACT' AS kind, 5 AS confidence, content_hash AS group_key, n, floor((n - 1) * (total / n) + 0.5)::BIGINT AS wasted FROM exact
+    UNION ALL SELECT 'FINGERPRINT', 4, quick_fingerprint, n, mean_wasted FROM alike) ORDER BY wasted DESC, kind, group_key LIMIT 20),
+held AS (SELECT r.*, ij.at AS path, ij.file_id, ij.size_bytes, m.* EXCLUDE (path) FROM ranked r JOIN ij ON r.group_key = ij.content_hash LEFT JOIN m ON m.path = ij.at WHERE kind = 'EXACT'
+    UNION ALL SELECT r.*, j.at, j.file_id, j.size_bytes, j.id, j.quick_fingerprint, j.width, j.height, j.date_taken, j.date_created, j.camera_make, j.camera_model FROM ranked r JOIN j ON r.group_key = j.quick_fingerprint WHERE kind = 'FINGERPRINT'),
+placed AS (SELECT *, row_number() OVER (PARTITION BY kind, group_key ORDER BY path, file_id, id) AS place FROM held)
+SELECT kind, confidence::INTEGER AS confidence, group_key, n, wasted, place::INTEGER AS place, file_id, path, size_bytes, id AS media_id, width, height, date_taken, date_created, camera_make, camera_model FROM placed WHERE place <= 10""")
+def dup_report_joined(spark, d):
+    return dedupe.report_joined(*_two_tables(spark, d))
+
+
 # Filters and orders
 
 
@@ -213,13 +253,22 @@ def hybrid_scored(spark, d):
 
 
 @query(f"""{WITH}, t AS (SELECT id, array_to_string(list_filter([name, replace(regexp_extract(relative_path, '^(.*)/[^/]*$', 1), '/', ' '), description, array_to_string(tags, ' '), array_to_string(objects, ' '), array_to_string(people, ' '), scene, doc_type,
-    left(ocr_text, 2000), strftime(date_taken, '%Y-%m-%d'), user_description, array_to_string(user_tags, ' '), left(notes, 2000)], lambda x: x IS NOT NULL AND x <> ''), chr(10)) AS body FROM media)
+    left(ocr_text, 2000), camera_make, camera_model, strftime(date_taken, '%Y-%m-%d'), user_description, array_to_string(user_tags, ' '), left(notes, 2000)], lambda x: x IS NOT NULL AND x <> ''), chr(10)) AS body FROM media)
 SELECT id, length(body)::INTEGER AS n, sha256(body) AS digest FROM t""")
 def embedding_text(spark, d):
     body = search.media_embedding_text()
     return media(spark, d).select("id", F.length(body).alias("n"), F.sha2(body, 256).alias("digest"))
 
 
+@query(f"""{WITH}, q AS (SELECT embedding::DOUBLE[] AS qv, media_type AS qt, content_hash AS qh FROM embeddings JOIN media ON vec_id = id WHERE id = 3),
+s AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], qv), 6) AS sim FROM embeddings JOIN media ON vec_id = id, q
+    WHERE vec_id <> 3 AND media_type = qt AND content_hash <> qh AND last_scan_action IS DISTINCT FROM 'DELETED' ORDER BY sim DESC, id LIMIT 24)
+SELECT id, sim, floor(sim * 100 + 0.5) / 100 AS score, CASE WHEN sim >= 0.6 THEN 'very_likely' WHEN sim >= 0.45 THEN 'likely' ELSE 'possible' END AS confidence, floor(sim * 100 + 0.5)::BIGINT || '% similar content' AS reason FROM s""")
+def knn_similar(spark, d):
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return search.similar(media(spark, d), v, 3, 24, live(F.col("last_scan_action")))
+
+
 # Collections
 
 RULE = collections.SmartRule(media_types=("document", "photo"), extensions=(".PDF", "jpg", "odt"), name_contains="a", date_from="2019-09-01", date_to="2021-06-01", min_size=300, max_size=20_000)
@@ -332,8 +381,8 @@ r AS (SELECT DISTINCT extension, CASE WHEN extension IN ('jpg', 'jpeg') THEN {jp
     WHEN extension = 'wav' THEN ['skip', 'audio', NULL, '0'] WHEN extension = 'doc' THEN ['skip', 'document', NULL, '0'] WHEN extension = 'bmp' THEN ['convert', 'image', 'png', '0.70'] WHEN extension = 'tiff' THEN ['convert', 'image', 'png', '0.55'] WHEN extension = 'gif' THEN ['convert', 'image', 'png', '0.25']
     WHEN extension = 'avi' THEN ['convert', 'video', 'mp4', '0.62'] WHEN extension = 'wmv' THEN ['convert', 'video', 'mp4', '0.65'] WHEN extension = 'flv' THEN ['convert', 'video', 'mp4', '0.60'] WHEN extension = 'mpg' THEN ['convert', 'video', 'mp4', '0.72'] WHEN extension = 'm2ts' THEN ['convert', 'video', 'mp4', '0.55']
     WHEN extension = 'ts' THEN ['convert', 'video', 'mp4', '0.52'] WHEN extension = 'mkv' THEN ['convert', 'video', 'mp4', '0.40'] ELSE ['skip', 'other', NULL, '0'] END AS r FROM k),
-t AS (SELECT extension, string_agg(id::VARCHAR, ',' ORDER BY n) AS samples FROM (SELECT extension, id, row_number() OVER (PARTITION BY extension ORDER BY size_bytes DESC, id) AS n FROM k) WHERE n <= 3 GROUP BY 1),
-sums AS (SELECT extension, any_value(r[2]) AS category, any_value(r[1]) AS status, any_value(r[3]) AS target, count(*) AS n, sum(size_bytes)::BIGINT AS size, floor(sum(size_bytes)::DOUBLE * any_value(r[4])::DOUBLE + 0.5)::BIGINT AS saving, any_value(samples) AS samples FROM k JOIN r USING (extension) JOIN t USING (extension) GROUP BY extension)"""
+t AS (SELECT extension, string_agg(id::VARCHAR, ',' ORDER BY n) AS samples, list(size_bytes ORDER BY n) AS sizes FROM (SELECT extension, id, size_bytes, row_number() OVER (PARTITION BY extension ORDER BY size_bytes DESC, id) AS n FROM k) WHERE n <= 3 GROUP BY 1),
+sums AS (SELECT extension, any_value(r[2]) AS category, any_value(r[1]) AS status, any_value(r[3]) AS target, count(*) AS n, sum(size_bytes)::BIGINT AS size, floor(sum(size_bytes)::DOUBLE * any_value(r[4])::DOUBLE + 0.5)::BIGINT AS saving, any_value(samples) AS samples, array_to_string(list_transform(any_value(sizes), lambda x: floor(x * (1 - coalesce(any_value(r[4])::DOUBLE, 0)) + 0.5)::BIGINT), ',') AS samples_after, NULL::VARCHAR AS codec FROM k JOIN r USING (extension) JOIN t USING (extension) GROUP BY extension)"""
 
 
 RANKED = "SELECT *, CASE status WHEN 'convert' THEN 0 WHEN 'protected' THEN 1 WHEN 'optimal' THEN 2 ELSE 3 END::INTEGER AS status_rank FROM sums"
@@ -360,6 +409,22 @@ for profile in PROFILE_SQL:
     query(f"{PROFILE_SQL[profile]} {RANKED}")(saver)
 
 
+CODEC_SQL = "list_extract([NULL, 'mjpeg', 'prores', 'h264', 'weird'], (id % 5 + 1)::INTEGER)"
+
+
+@query(f"""{PROFILE_SQL['BALANCED']}, c AS (SELECT extension, arg_min(codec, rank) AS codec FROM (SELECT extension, {CODEC_SQL} AS codec, row_number() OVER (ORDER BY size_bytes DESC, id) AS rank FROM k) WHERE codec IS NOT NULL AND extension IN ('mov', 'mkv', 'mp4', 'm4v') GROUP BY 1),
+o AS (SELECT sums.* EXCLUDE (codec, samples_after, saving), c.codec, CASE WHEN c.codec = 'mjpeg' THEN 0.68 ELSE r[4]::DOUBLE END AS ratio, sizes, saving FROM sums LEFT JOIN c USING (extension) JOIN r USING (extension) JOIN t USING (extension))
+SELECT extension, category, CASE codec WHEN 'mjpeg' THEN 'convert' WHEN 'prores' THEN 'protected' WHEN 'h264' THEN 'optimal' ELSE status END AS status, CASE WHEN codec = 'mjpeg' THEN 'mp4' ELSE target END AS target, n, size,
+    CASE WHEN codec = 'mjpeg' THEN floor(size * 0.68::DOUBLE + 0.5)::BIGINT ELSE saving END AS saving, samples, array_to_string(list_transform(sizes, lambda x: floor(x * (1 - coalesce(ratio, 0)) + 0.5)::BIGINT), ',') AS samples_after, codec,
+    CASE CASE codec WHEN 'mjpeg' THEN 'convert' WHEN 'prores' THEN 'protected' WHEN 'h264' THEN 'optimal' ELSE status END WHEN 'convert' THEN 0 WHEN 'protected' THEN 1 WHEN 'optimal' THEN 2 ELSE 3 END::INTEGER AS status_rank FROM o""")
+def ext_savings_detected(spark, d):
+    """Containers by the codec of their largest file."""
+    k = F.col("doc_id")
+    pick = lambda *values: F.get(F.array(*[F.lit(v) for v in values]), (k % len(values)).cast("int"))
+    rows = table(spark, d, "documents").select(k.alias("id"), pick(*EXTENSIONS).alias("extension"), F.col("n_chars").alias("size_bytes"), pick(None, "mjpeg", "prores", "h264", "weird").alias("video"))
+    return planning.savings(rows, planning.rules(spark, "BALANCED", raw=True), codec="video")
+
+
 @query(f"{PROFILE_SQL['MAXIMUM']} SELECT coalesce(sum(n), 0)::BIGINT AS files, coalesce(sum(size), 0)::BIGINT AS size, coalesce(sum(CASE WHEN status = 'convert' THEN saving ELSE 0 END), 0)::BIGINT AS saving FROM sums")
 def total_savings(spark, d):
     return planning.total_savings(_by_format(spark, d, "MAXIMUM"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlake.operators import analytics, dedupe, jobs, planning, reconcile, search
@@ -43,14 +46,15 @@ def jobs_resumable(spark, d):
     return jobs.resumable(_jobs(spark, d), newest="started_at").select("id", "status")
 
 
-SCAN_ORDERS = {"date": "epoch(started_at)", "files": "processed_files", "duration": "duration", "filesPerSec": "files_per_sec"}
+SCAN_ORDERS = {"date": "epoch(started_at)", "files": "processed_files", "duration": "duration", "filesPerSec": "files_per_sec", "mbPerSec": "mb_per_sec", "peakWorkers": "id * 11 % 64", "dirCache": "floor(CASE WHEN id % 90 > 0 THEN (id % 37)::DOUBLE / (id % 37 + id % 90) * 100 ELSE 100 * sign(id % 37) END + 0.5)"}
 
 
 @query(f"WITH {JOBS_SQL} " + " UNION ALL ".join(f"SELECT * FROM (SELECT '{k}' AS sort, id FROM r ORDER BY coalesce({c}::DOUBLE, 0) DESC, id LIMIT 15)" for k, c in SCAN_ORDERS.items()))
 def scans_sorted(spark, d):
-    rows = _jobs(spark, d).withColumn("peak_workers", F.lit(0)).withColumn("dir_cache", F.lit(0))
+    k = F.col("id")
+    rows = _jobs(spark, d).withColumns({"peak_workers": k * 11 % 64, "dir_cache": jobs.hit_rate(k % 37, k % 90)})
     pages = [jobs.sorted_scans(rows, k).limit(15).select(F.lit(k).alias("sort"), "id") for k in SCAN_ORDERS]
-    return pages[0].unionByName(pages[1]).unionByName(pages[2]).unionByName(pages[3])
+    return reduce(DataFrame.unionByName, pages)
 
 
 # Upserts and updates
@@ -118,9 +122,9 @@ def _listing(spark, d):
 
 
 @query(f"""{WITH}, {LISTING_SQL}, b AS (SELECT m.size_bytes AS known, l.size_bytes AS found FROM media m LEFT JOIN listing l USING (relative_path))
-SELECT CASE WHEN count(*) <= 20000 THEN count(*) FILTER (WHERE found IS NULL) END AS missing, CASE WHEN count(*) <= 20000 THEN count(*) FILTER (WHERE found = 0 AND known > 0) END AS corrupt FROM b""")
+SELECT count(*) FILTER (WHERE found IS NULL) AS missing, count(*) FILTER (WHERE found = 0 AND known > 0) AS corrupt FROM b""")
 def integrity_counts(spark, d):
-    return reconcile.integrity(media(spark, d).select("relative_path", "size_bytes"), _listing(spark, d))
+    return reconcile.integrity(media(spark, d).select("relative_path", "size_bytes"), _listing(spark, d), most=None)
 
 
 FOLDER = "CASE WHEN relative_path LIKE '%/%' THEN regexp_replace(relative_path, '/[^/]*$', '') ELSE '/' END"

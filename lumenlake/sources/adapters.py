@@ -89,6 +89,7 @@ MEDIA_SQL = """media AS (
         CASE WHEN doc_id % 6 <> 0 THEN TIMESTAMP '2020-01-01' + to_days((doc_id * 37 % 900)::INTEGER) END AS date_taken,
         CASE WHEN doc_id % 4 <> 0 THEN TIMESTAMP '2019-06-01' + to_days((doc_id * 41 % 900)::INTEGER) END AS date_created,
         CASE WHEN doc_id % 5 <> 0 THEN (doc_id * 13 % 4000)::INTEGER END AS width, CASE WHEN doc_id % 7 <> 0 THEN (doc_id * 7 % 3000)::INTEGER END AS height,
+        list_extract(['Canon', 'NIKON', NULL, ''], (doc_id % 4 + 1)::INTEGER) AS camera_make, CASE WHEN doc_id % 3 = 1 THEN 'EOS ' || doc_id % 7 END AS camera_model, sha256(concat(n_chars, left(text, 65536), CASE WHEN length(text) > 65536 THEN right(text, 65536) ELSE '' END)) AS quick_fingerprint,
         doc_id % 10 = 0 AS favorite, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 180) * 0.37 - 30 END AS lat, CASE WHEN doc_id % 3 = 0 THEN (doc_id % 360) * 0.53 - 90 END AS lon,
         CASE WHEN doc_id % 12 = 0 THEN 'Zurich' WHEN doc_id % 15 = 0 THEN 'Bern' END AS place_name,
         CASE WHEN doc_id % 8 = 0 THEN 'see invoice ' || doc_id END AS notes, CASE WHEN doc_id % 5 <> 1 THEN left(text, 60) END AS description,
@@ -126,6 +127,9 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
         "date_created": F.when(k % 4 != 0, day(k * 41 % 900, "2019-06-01")),
         "width": F.when(k % 5 != 0, (k * 13 % 4000).cast("int")),
         "height": F.when(k % 7 != 0, (k * 7 % 3000).cast("int")),
+        "camera_make": pick(4, "Canon", "NIKON", None, ""),
+        "camera_model": F.when(k % 3 == 1, F.concat(F.lit("EOS "), (k % 7).cast("string"))),
+        "quick_fingerprint": fingerprint(F.col("n_chars"), F.col("text")),
         "favorite": k % 10 == 0,
         "lat": coordinate(180, "0.37", 30),
         "lon": coordinate(360, "0.53", 90),
