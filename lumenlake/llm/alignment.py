@@ -216,6 +216,32 @@ DOCUMENT, SEGMENTS, PAIRS = 2, 0, 1  # in a slice, documents come last
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
 
+def packed(values: np.ndarray | bytes, rising: bool = False) -> bytes:
+    """Values, or the steps of rising ones, compressed, with their size in front: they travel and are written more than once."""
+    if rising:
+        values = np.diff(values, prepend=values.dtype.type(0))
+    raw = values if isinstance(values, bytes) else values.tobytes()
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unpacked(data: bytes, dtype: type | None = None, rising: bool = False) -> np.ndarray | bytes:
+    raw = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), codec="zstd", asbytes=True) if data[:8] != bytes(8) else b""
+    if dtype is None:
+        return raw
+    values = np.frombuffer(raw, dtype)
+    return np.cumsum(values, dtype=dtype) if rising else values
+
+
+def packed_pairs(pairs: np.ndarray) -> bytes:
+    """Pairs as their A ids, then their B ids."""
+    return packed(np.concatenate([pairs // WIDTH, pairs % WIDTH]).astype(np.uint32))
+
+
+def unpacked_pairs(data: bytes) -> np.ndarray:
+    a, b = unpacked(data, np.uint32).reshape(2, -1).astype(np.int64)
+    return a * WIDTH + b
+
+
 def _pair_bucket(pairs: np.ndarray, buckets: int) -> np.ndarray:
     """By A's id, as the pairs of an id are compared."""
     return (pairs // WIDTH) * 2_654_435_761 % (1 << 32) % buckets
@@ -253,14 +279,13 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
             names = list(number)
             bucket = np.fromiter(map(zlib.crc32, names), np.int64, len(names)) % buckets
             order = np.argsort(bucket, kind="stable")
-            place = np.empty(len(names), np.uint32)
-            place[order] = np.arange(len(names), dtype=np.uint32)
             own, first = np.unique(bucket[order], return_index=True)
-            parts = [[names[i] for i in x.tolist()] for x in np.split(order, first[1:])] if len(order) else []
+            parts = np.split(order.astype(np.uint32), first[1:]) if len(order) else []
             if parts:
-                columns = {"__segments": [b"".join(x) for x in parts], "__sizes": [np.array([len(s) for s in x], np.uint32).tobytes() for x in parts]}
+                own_names = [[names[i] for i in x.tolist()] for x in parts]
+                columns = {"__codes": [packed(x, rising=True) for x in parts], "__segments": [packed(b"".join(x)) for x in own_names], "__sizes": [packed(np.array([len(s) for s in x], np.uint32)) for x in own_names]}
                 yield filled(len(own), coded_arrow, __slice=np.full(len(own), at), __kind=np.full(len(own), SEGMENTS), __bucket=own, **columns)
-            codes = iter([place[c].tobytes() for c in coded])
+            codes = iter([packed(c) for c in coded])
             row = at
             for batch in rows:
                 n = batch.num_rows
@@ -273,7 +298,7 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
             for lo, hi in pieces(column):
                 for text in column.slice(lo, hi - lo).to_pylist():
                     found = split(b" " + text) if text else []
-                    coded.append(np.fromiter((number.setdefault(s, len(number)) for s in found), np.int64, len(found)))
+                    coded.append(np.fromiter((number.setdefault(s, len(number)) for s in found), np.uint32, len(found)))
                     held += len(text)
                 rows.append(batch.slice(lo, hi - lo).select(list(range(len(keep)))))
                 if held >= SLICE_BYTES:
@@ -289,11 +314,11 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
         whole: Aligned | None = None
         kept_bytes, last = 0, None
         for batch in batches:
-            for r in batch.select(["__slice", "__bucket", "__segments", "__sizes"]).to_pylist():
+            for r in batch.select(["__slice", "__bucket", "__codes", "__segments", "__sizes"]).to_pylist():
                 if r["__bucket"] != last or kept_bytes >= KEPT_BYTES:
                     number, whole, kept_bytes, last = {}, None, 0, r["__bucket"]
-                ends = np.cumsum(np.frombuffer(r["__sizes"], np.uint32), dtype=np.int64).tolist()
-                names = [r["__segments"][lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
+                ends, text = np.cumsum(unpacked(r["__sizes"], np.uint32), dtype=np.int64).tolist(), unpacked(r["__segments"])
+                names = [text[lo:hi] for lo, hi in zip([0, *ends], ends, strict=False)]
                 new = [s for s in names if s not in number]
                 if new:
                     number |= {s: i for i, s in enumerate(new, len(number))}
@@ -301,11 +326,10 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
                     parts = [align(new[i:j], a, b) for i, j in pieces(pa.array(new, pa.binary()), SEGMENT_BYTES)]
                     whole = joined([*([whole] if whole else []), *parts])
                 own = whole.taken(np.fromiter(map(number.__getitem__, names), np.int64, len(names)))
-                columns = {"__counts": own.counts.astype(np.int32), "__sizes": own.sizes.astype(np.uint32), "__pairs": own.pairs, "__times": own.times.astype(np.uint32)}
-                texts = bytes([SEPARATOR]).join(own.texts)
-                yield filled(1, answer_arrow, __slice=[r["__slice"]], __kind=[SEGMENTS], __bucket=[last], __segments=[texts], **{k: [v.tobytes()] for k, v in columns.items()})
+                columns = {"__counts": packed(own.counts.T.astype(np.int32)), "__segments": packed(bytes([SEPARATOR]).join(own.texts)), "__sizes": packed(own.sizes.astype(np.uint32)), "__pairs": packed_pairs(own.pairs), "__times": packed(own.times.astype(np.uint32))}
+                yield filled(1, answer_arrow, __slice=[r["__slice"]], __kind=[SEGMENTS], __bucket=[last], __codes=[r["__codes"]], **{k: [v] for k, v in columns.items()})
 
-    answer_type = T.StructType([f for f in fields if f.name not in ("__row", "__codes")])
+    answer_type = T.StructType([f for f in fields if f.name != "__row"])
     answer_arrow = to_arrow_schema(answer_type)
     added = [T.StructField(n, T.LongType()) for n in RESULTS[:4]] + [T.StructField("groups_sha256", T.StringType())]
     composed_type = T.StructType([*kept, *added, *fields])
@@ -320,7 +344,7 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
             if known is not None and len(known[3]):
                 bucket = _pair_bucket(known[3], buckets)
                 own, first = np.unique(bucket, return_index=True)
-                columns = {"__pairs": [x.tobytes() for x in np.split(known[3], first[1:])], "__counts": [x.astype(np.uint32).tobytes() for x in np.split(documents, first[1:])]}
+                columns = {"__pairs": [packed_pairs(x) for x in np.split(known[3], first[1:])], "__counts": [packed(x.astype(np.uint32)) for x in np.split(documents, first[1:])]}
                 yield filled(len(own), composed_arrow, __slice=np.full(len(own), slice_), __kind=np.full(len(own), PAIRS), __bucket=own, **columns)
 
         for batch in batches:
@@ -333,7 +357,7 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
                     yield from told()
                     slice_, answers, known = of_slice[lo], [], None
                 if kinds[lo] == SEGMENTS:
-                    answers += part.select(["__counts", "__segments", "__sizes", "__pairs", "__times"]).to_pylist()
+                    answers += part.select(["__codes", "__counts", "__segments", "__sizes", "__pairs", "__times"]).to_pylist()
                     continue
                 if known is None:
                     known, answers = _known(answers, buckets), []
@@ -343,7 +367,7 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
                     columns, local, seen = _composed(some.column("__codes").to_pylist(), known)
                     documents += seen
                     lead = dict(zip(keep, some.columns[: len(keep)], strict=True))
-                    yield filled(some.num_rows, composed_arrow, **lead, **columns, __slice=some.column("__slice"), __kind=some.column("__kind"), __pairs=[x.tobytes() for x, _ in local], __times=[x.tobytes() for _, x in local])
+                    yield filled(some.num_rows, composed_arrow, **lead, **columns, __slice=some.column("__slice"), __kind=some.column("__kind"), __pairs=[packed(x, rising=True) for x, _ in local], __times=[packed(x) for _, x in local])
         yield from told()
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -353,14 +377,14 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
         def told() -> Iterator[pa.RecordBatch]:
             if not rows:
                 return
-            keys = [np.frombuffer(r["__pairs"], np.int64) for r in rows]
+            keys = [unpacked_pairs(r["__pairs"]) for r in rows]
             own, back = np.unique(np.concatenate(keys), return_inverse=True)
-            total = np.bincount(back, np.concatenate([np.frombuffer(r["__counts"], np.uint32) for r in rows]), len(own)).astype(np.int64)
+            total = np.bincount(back, np.concatenate([unpacked(r["__counts"], np.uint32) for r in rows]), len(own)).astype(np.int64)
             ids, first = np.unique(own // WIDTH, return_index=True)
             highest = np.repeat(np.maximum.reduceat(total, first), np.diff(np.append(first, len(own))))
             told_ = np.where(total == highest, total, -total)
             for r, key in zip(rows, keys, strict=True):
-                yield filled(1, answer_arrow, __slice=[r["__slice"]], __kind=[PAIRS], __bucket=[last], __counts=[told_[np.searchsorted(own, key)].tobytes()])
+                yield filled(1, answer_arrow, __slice=[r["__slice"]], __kind=[PAIRS], __bucket=[last], __counts=[packed(told_[np.searchsorted(own, key)])])
 
         for batch in batches:
             for r in batch.select(["__slice", "__bucket", "__pairs", "__counts"]).to_pylist():
@@ -385,13 +409,13 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
                 if of_slice[lo] != slice_:
                     slice_, answers, counts = of_slice[lo], [], None
                 if kinds[lo] == PAIRS:
-                    answers += [np.frombuffer(x, np.int64) for x in part.column("__counts").to_pylist()]
+                    answers += [unpacked(x, np.int64) for x in part.column("__counts").to_pylist()]
                     continue
                 if counts is None:
                     counts, answers = np.concatenate([np.zeros(0, np.int64), *answers]), []
                 best, sums = [], []
                 for p, t in zip(part.column("__pairs").to_pylist(), part.column("__times").to_pylist(), strict=True):
-                    found, times = counts[np.frombuffer(p, np.uint32)], np.frombuffer(t, np.uint32).astype(np.int64)
+                    found, times = counts[unpacked(p, np.uint32, rising=True)], unpacked(t, np.uint32).astype(np.int64)
                     best.append(int(times[found > 0].sum()))
                     sums.append(int((np.abs(found) * times).sum()))
                 columns = {n: part.column(n) for n in (*keep, *RESULTS[:4], "groups_sha256")}
@@ -401,7 +425,7 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
         return df.repartition(keys[0]).sortWithinPartitions(*keys)
 
     coded = cut(picked.mapInArrow(tidied(code), coded_type), "coded")
-    named = coded.where(F.col("__kind") == SEGMENTS).select("__slice", "__bucket", "__segments", "__sizes")
+    named = coded.where(F.col("__kind") == SEGMENTS).select("__slice", "__bucket", "__codes", "__segments", "__sizes")
     answers = by(named, "__bucket").mapInArrow(tidied(solve), answer_type)
     both = coded.where(F.col("__kind") == DOCUMENT).unionByName(answers, allowMissingColumns=True)
     composed = cut(by(both, "__slice", "__kind", "__bucket").mapInArrow(tidied(compose), composed_type), "composed")
@@ -413,22 +437,25 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
 
 def _known(answers: list[dict], buckets: int) -> tuple[np.ndarray, list[bytes], Aligned, np.ndarray]:
     """Of a slice's segments, in the order of their numbers: counts, groups' texts, pairs as numbers; and the slice's pairs, by bucket."""
-    counts = np.concatenate([np.zeros((0, 4), np.int32), *[np.frombuffer(r["__counts"], np.int32).reshape(-1, 4) for r in answers]]).astype(np.int64)
-    texts = [t for r in answers for t in r["__segments"].split(bytes([SEPARATOR]))]
-    sizes, times = (np.concatenate([np.zeros(0, np.uint32), *[np.frombuffer(r[k], np.uint32) for r in answers]]).astype(np.int64) for k in ("__sizes", "__times"))
-    pairs = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r["__pairs"], np.int64) for r in answers]])
+    none = [np.zeros((4, 0), np.int32)]
+    counts = np.concatenate([*none, *[unpacked(r["__counts"], np.int32).reshape(4, -1) for r in answers]], axis=1).T.astype(np.int64)
+    texts = [t for r in answers for t in unpacked(r["__segments"]).split(bytes([SEPARATOR]))]
+    numbers, sizes, times = (np.concatenate([np.zeros(0, np.uint32), *[unpacked(r[k], np.uint32, rising=k == "__codes") for r in answers]]).astype(np.int64) for k in ("__codes", "__sizes", "__times"))
+    pairs = np.concatenate([np.zeros(0, np.int64), *[unpacked_pairs(r["__pairs"]) for r in answers]])
+    ordered = Aligned(counts, texts, sizes, pairs, times).taken(np.argsort(numbers))
+    counts, texts, pairs = ordered.counts, ordered.texts, ordered.pairs
     own, back = np.unique(pairs, return_inverse=True)
     order = np.lexsort((own, _pair_bucket(own, buckets)))
     place = np.empty(len(own), np.int64)
     place[order] = np.arange(len(own))
-    return counts, texts, Aligned(counts, texts, sizes, place[back], times), own[order]
+    return counts, texts, Aligned(counts, texts, ordered.sizes, place[back], ordered.times), own[order]
 
 
 def _composed(codes: list[bytes], known: tuple) -> tuple[dict[str, list], list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Of documents: their numbers and digests; their pairs and how often they are linked; of each pair of the slice, how many of them link it."""
     counts, texts, segments, pairs = known
     begin = np.cumsum(segments.sizes) - segments.sizes
-    found = [np.frombuffer(c, np.uint32) for c in codes]
+    found = [unpacked(c, np.uint32) for c in codes]
     numbers, digests = np.zeros((len(found), 4), np.int64), []
     keys, many = [], []
     for i, own in enumerate(found):
