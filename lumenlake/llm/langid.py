@@ -10,7 +10,12 @@ Texts are lower-cased, runs of non-letters count as one blank, marks stay with t
 what remains, so that all scripts count alike. Whole texts are parsed: pieces of BLOCK symbols advance together, a symbol at
 a time, each after WARM symbols of the one before it; a piece that doesn't begin as the one before it ended is parsed again from there.
 
-The sample is the only thing learned and is bounded: SAMPLE_CHARS characters of each language (SAMPLE_BYTES symbols;
+Whether a text is in its best language at all is judged by its own cost a symbol, against that of pieces of labelled rows that were kept out of
+the sample (HELD_CHARS of each language): it may lie OVER of their median and FIXED_SPREAD of their upper spreads above the median, and PIECE_SPREAD
+more for a text as short as a piece; that part falls with the root of the length. A language without such rows takes the largest limit of the others. The
+score is how far the best language is ahead of the others, less for short texts, times how well its cost fits.
+
+The sample and what is held back are the only things learned and are bounded: SAMPLE_CHARS characters of each language (SAMPLE_BYTES symbols;
 MODEL_BYTES shared evenly where the languages are many), in the order of a hash of the rows' ids; a row over ROW_CHARS characters lends
 a stretch of that length, at a place given by the hash. Predictions see the text alone.
 Null texts and texts without a letter are "und" with score 0, and so is every text if nothing could be
@@ -22,7 +27,7 @@ from __future__ import annotations
 import functools
 import unicodedata
 from array import array
-from collections.abc import Callable
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -37,15 +42,32 @@ LEAST_SAMPLE, UNSEEN_BITS = 1_024, 24.0
 BLOCK, WARM, COLUMNS = 1_024, 128, 1_024
 #: How fast the score falls with the distance, in bits a symbol, to other languages.
 SHARPNESS = 8.0
-#: Below this score a text counts as in none of the languages.
-REJECT_BELOW = 0.35
+#: A text of so many symbols tells half as much as a long one.
+SHORT_TEXT = 16
+#: Characters of a language that judge its costs; symbols of a piece; how far a text may lie above the median cost of pieces, in parts of it and in spreads.
+HELD_CHARS, PIECE, OVER, FIXED_SPREAD, PIECE_SPREAD = 16_000, 128, 0.45, 3.0, 5.0
+#: The spread is the distance from the median to the 90th percentile in standard deviations; copies of the sample, which cost nothing, don't widen it.
+UPPER = 1.2816
+#: How fast the score falls where a cost, in bits a symbol, reaches its limit.
+FIT = 4.0
 SPACE = 32
 
 
-def learn_sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
-    """The bounded sample of each language: SAMPLE_ROWS rows and SAMPLE_CHARS characters at most."""
+@dataclass(frozen=True)
+class Known:
+    """By language: a bounded sample of labelled text, and pieces of rows that were held back from it."""
+
+    sample: dict[str, str]
+    held: dict[str, list[str]]
+
+
+def learn(docs: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Known:
+    """The sample of each language, SAMPLE_ROWS rows and SAMPLE_CHARS characters at most, and what comes after it, HELD_CHARS characters at most.
+
+    Where a language has no more than its sample, every fifth row is held back.
+    """
     text, lang = docs[text_col], docs[lang_col]
-    rows = docs.where(learn & docs[id_col].isNotNull() & text.isNotNull() & lang.isNotNull() & (F.length(text) > 0))
+    rows = docs.where(rows & docs[id_col].isNotNull() & text.isNotNull() & lang.isNotNull() & (F.length(text) > 0))
     place = 1 + F.pmod(F.xxhash64(id_col), F.greatest(F.length(text) - ROW_CHARS, F.lit(0)) + 1).cast("int")
     rows = rows.select(lang.alias("lang"), F.substring(text, place, F.lit(ROW_CHARS)).alias("text"), F.xxhash64(id_col).alias("h"))
     by = Window.partitionBy("lang").orderBy("h", "text")
@@ -54,11 +76,22 @@ def learn_sample(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_co
     rows = rows.withColumn("n", F.row_number().over(salted)).where(F.col("n") <= -(-2 * SAMPLE_ROWS // SALTS))
     rows = rows.withColumn("n", F.row_number().over(by)).where(F.col("n") <= SAMPLE_ROWS)
     rows = rows.withColumn("upto", F.sum(F.length("text")).over(by.rowsBetween(Window.unboundedPreceding, 0)))
-    picked = rows.where(F.col("upto") <= SAMPLE_CHARS).select("lang", "n", "text").collect()
-    sample: dict[str, list[tuple[int, str]]] = {}
-    for r in picked:
-        sample.setdefault(r["lang"], []).append((r["n"], r["text"]))
-    return {k: "\n".join(t for _, t in sorted(v)) for k, v in sorted(sample.items())}
+    picked = rows.where(F.col("upto") <= SAMPLE_CHARS + HELD_CHARS).select("lang", "n", "upto", "text").collect()
+    found: dict[str, list] = {}
+    for r in sorted(picked, key=lambda r: (r["lang"], r["n"])):
+        found.setdefault(r["lang"], []).append(r)
+    sample, held = {}, {}
+    for name, own in found.items():
+        known = {r["text"] for r in own if r["upto"] <= SAMPLE_CHARS}
+        back = [r["text"] for r in own if r["upto"] > SAMPLE_CHARS and r["text"] not in known]
+        sample[name] = "\n".join(r["text"] for r in own if r["upto"] <= SAMPLE_CHARS and (back or r["n"] % 5))
+        held[name] = back or [r["text"] for r in own if r["n"] % 5 == 0]
+    return Known({k: v for k, v in sample.items() if v}, held)
+
+
+def learn_sample(docs: DataFrame, rows: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict[str, str]:
+    """The sample of learn() alone."""
+    return learn(docs, rows, id_col, text_col, lang_col).sample
 
 
 @functools.cache
@@ -190,24 +223,33 @@ class Language:
 
 
 class Parser:
-    """The languages of a sample."""
+    """The languages of a sample, with the limits of their costs where held-back rows set them."""
 
-    def __init__(self, sample: dict[str, str]) -> None:
-        most = min(SAMPLE_BYTES, MODEL_BYTES // max(1, len(sample)))
-        coded = [(name, encode(text)[:most]) for name, text in sorted(sample.items())]
+    def __init__(self, known: dict[str, str] | Known) -> None:
+        known = known if isinstance(known, Known) else Known(known, {})
+        most = min(SAMPLE_BYTES, MODEL_BYTES // max(1, len(known.sample)))
+        coded = [(name, encode(text)[:most]) for name, text in sorted(known.sample.items())]
         self.languages = [Language(name, c) for name, c in coded if len(c)]
-
-    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The language and the score, from 0 to 1, of each text."""
-        languages = self.languages
-        coded = [encode(t) for t in texts]
-        real = [i for i, c in enumerate(coded) if len(c)]
-        langs, scores = ["und"] * len(texts), [0.0] * len(texts)
-        if not real or not languages:
-            return langs, scores
-        sizes = np.array([len(coded[i]) for i in real])
+        self.limits = self._limits(known.held)
+
+    def _limits(self, held: dict[str, list[str]]) -> np.ndarray:
+        """Median and upper spread of the cost of pieces of each language's held-back rows; where it has none, the largest there are."""
+        out = np.full((2, len(self.languages)), np.nan)
+        for at, language in enumerate(self.languages):
+            joined = encode(" ".join(held.get(language.name, [])))
+            parts = [joined[i : i + PIECE] for i in range(0, len(joined) - PIECE + 1, PIECE)]
+            if len(parts) > 1:
+                costs = self._rates(parts, [language])[0]
+                middle, high = np.percentile(costs, (50, 90))
+                out[:, at] = middle, (high - middle) / UPPER
+        return np.where(np.isnan(out), np.nanmax(out, 1, keepdims=True) if np.isfinite(out).any() else np.inf, out) if len(self.languages) else out
+
+    @staticmethod
+    def _rates(coded: list[np.ndarray], languages: list[Language]) -> np.ndarray:
+        """Costs in bits a symbol of texts that are not empty, by language."""
+        sizes = np.array([len(c) for c in coded])
         starts = np.cumsum([0, *sizes[:-1]])
-        joined = np.concatenate([coded[i] for i in real])
+        joined = np.concatenate(coded)
         # Pieces of like length advance together; those that need warming up, apart.
         parts = -(-sizes // BLOCK)
         lengths = np.full(int(parts.sum()), BLOCK)
@@ -215,25 +257,39 @@ class Parser:
         first = np.zeros(len(lengths), bool)
         first[np.cumsum([0, *parts[:-1]])] = True
         order = [some for kind in (np.flatnonzero(first), np.flatnonzero(~first)) if len(kind) for some in np.array_split(kind[np.argsort(lengths[kind], kind="stable")], -(-len(kind) // COLUMNS))]
-        rates = np.array([x.rates(joined, starts, sizes, order) for x in languages])
+        return np.array([x.rates(joined, starts, sizes, order) for x in languages])
+
+    def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
+        """The language and the score, from 0 to 1, of each text; whether its cost is within that language's limit."""
+        languages = self.languages
+        coded = [encode(t) for t in texts]
+        real = [i for i, c in enumerate(coded) if len(c)]
+        langs, scores, fits = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
+        if not real or not languages:
+            return langs, scores, fits
+        rates = self._rates([coded[i] for i in real], languages)
+        sizes = np.array([len(coded[i]) for i in real])
         best = rates.argmin(0)
-        score = 1 / np.exp(-SHARPNESS * (rates - rates.min(0))).sum(0)
-        for i, b, s in zip(real, best.tolist(), score.tolist(), strict=True):
-            langs[i], scores[i] = languages[b].name, s
-        return langs, scores
+        weight = SHARPNESS * sizes / (sizes + SHORT_TEXT)
+        ahead = 1 / np.exp(-weight * (rates - rates.min(0))).sum(0)
+        middle, spread = self.limits[:, best]
+        over = rates.min(0) - (middle * (1 + OVER) + spread * (FIXED_SPREAD + PIECE_SPREAD * np.sqrt(PIECE / sizes)))
+        score = ahead / (1 + np.exp(np.clip(FIT * over, -50, 50)))
+        for i, b, s, o in zip(real, best.tolist(), score.tolist(), over.tolist(), strict=True):
+            langs[i], scores[i], fits[i] = languages[b].name, s, o <= 0
+        return langs, scores, fits
+
+    def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
+        """The language and the score of each text."""
+        return self.judge(texts)[:2]
 
 
-def identify(docs: DataFrame, sample: dict[str, str], keys: list[str], text_col: str = "text") -> DataFrame:
+def identify(docs: DataFrame, known: dict[str, str] | Known, keys: list[str], text_col: str = "text") -> DataFrame:
     """keys, lang_pred and score of every row."""
     fields = [T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return map_texts(docs, keys, text_col, fields, lambda: Parser(sample).predict)
-
-
-def keep_identified(docs: DataFrame, sample: dict[str, str], text_col: str = "text") -> DataFrame:
-    """The rows, unchanged, whose text is in one of the sample's languages with at least REJECT_BELOW as score."""
+    return map_texts(docs, keys, text_col, fields, lambda: Parser(known).predict)
 
-    def begin() -> Callable[[list[str | None]], list[bool]]:
-        parser = Parser(sample)
-        return lambda texts: [a != "und" and s >= REJECT_BELOW for a, s in zip(*parser.predict(texts), strict=True)]
 
-    return filter_texts(docs, text_col, begin)
+def keep_identified(docs: DataFrame, known: dict[str, str] | Known, text_col: str = "text") -> DataFrame:
+    """The rows, unchanged, whose text has letters and is, by its cost, in one of the languages known; without held-back rows any text with letters is."""
+    return filter_texts(docs, text_col, lambda: lambda texts, parser=Parser(known): parser.judge(texts)[2])

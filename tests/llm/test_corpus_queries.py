@@ -25,8 +25,11 @@ COLUMNS = {
     "op8_neardup": ["doc_id", "class_id", "n_links"],
     "op9_knn": ["query_id", "rank", "vec_id", "score"],
     "op10_mixing": ["doc_id", "size", "source_size", "target", "taken"],
+    "op11_packing": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
+    "op12_spelling": ["word", "form", "root", "n", "n_near", "form_n"],
+    "op13_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
 }
-PER_DOCUMENT = ["op1_pii", "op2_langid", "op3_secrets", "op4_ppm", "op7_licenses", "op8_neardup", "op10_mixing"]
+PER_DOCUMENT = ["op1_pii", "op2_langid", "op3_secrets", "op4_ppm", "op7_licenses", "op8_neardup", "op10_mixing", "op13_alignment"]
 
 
 @pytest.fixture(scope="module")

@@ -46,8 +46,8 @@ def predict_by_definition(text: str | None, sample: dict[str, str]) -> tuple[str
         unseen = symbols.count(255)
         bits = np.log2(max(len(own), langid.LEAST_SAMPLE))
         rates.append((((phrases_by_definition(symbols, own) - unseen) * bits + unseen * langid.UNSEEN_BITS) / len(raw), name))
-    best = min(rates)
-    return best[1], 1 / sum(np.exp(-langid.SHARPNESS * (r - best[0])) for r, _ in rates)
+    best, n = min(rates), len(norm(text))
+    return best[1], 1 / sum(np.exp(-langid.SHARPNESS * n / (n + langid.SHORT_TEXT) * (r - best[0])) for r, _ in rates)
 
 
 def test_predictions_equal_the_definition(monkeypatch):
@@ -102,6 +102,34 @@ def test_the_sample_is_bounded_and_takes_no_null_rows(spark):
     assert langid.learn_sample(docs.limit(0), F.lit(True)) == {}
 
 
+GREEK = "Η γλώσσα είναι ένα σύστημα επικοινωνίας που χρησιμοποιούν οι άνθρωποι για να μιλούν μεταξύ τους. " * 4
+
+
+def test_languages_that_are_not_learned_go(spark):
+    """Two of four languages, or one, are learned: long texts of the others go, texts of these stay, and the score says so."""
+    docs = spark.read.parquet(f"{MIDDLE}/documents.parquet").select("doc_id", "text", "lang")
+    texts = {k: [r["text"] for r in docs.where((F.col("lang") == k) & (F.length("text") > 600)).collect()] for k in ("en", "de", "es", "fr")}
+    for learned in (("en", "de"), ("de",)):
+        known = langid.learn(docs, F.col("lang").isin(*learned))
+        parser = langid.Parser(known)
+        for name, some in texts.items():
+            langs, scores, fits = parser.judge(some)
+            share = sum(fits) / len(fits)
+            assert share > 0.98 if name in learned else share < 0.1, (learned, name, share)
+            assert all(a in learned for a in langs)
+            assert np.median(scores) > 0.9 if name in learned else np.median(scores) < 0.5
+        assert parser.judge([GREEK, "日本語の文章です" * 30])[2] == [False, False]
+        greek = spark.createDataFrame([(1, GREEK), (2, texts["de"][0]), (3, None), (4, "..")], "doc_id long, text string")
+        assert [r["doc_id"] for r in langid.keep_identified(greek, known).collect()] == [2]
+
+
+def test_scores_of_short_texts_and_ties():
+    known = langid.Known({"aa": SAMPLE["aa"], "bb": SAMPLE["bb"], "cc": SAMPLE["bb"]}, {})
+    langs, scores = langid.Parser(known).predict(["x", "th", "the cat sat on the mat", "der hund lief zum haus"])
+    assert scores[0] < 0.5 and scores[0] < scores[2] and scores[1] < scores[2] > 0.9
+    assert langs[3] == "bb" and scores[3] <= 0.5  # as likely another name
+
+
 def test_held_out_accuracy(spark):
     found = queries.op2_langid(spark, MIDDLE)
     assert found.count() == spark.read.parquet(f"{MIDDLE}/documents.parquet").count()

@@ -19,10 +19,9 @@ def documents(spark):
 def by_hand(spark, docs, sf_dir: str) -> tuple[dict, dict]:
     """Texts that reach the mix, by id; and how many rows each stage left."""
     rows = {r["doc_id"]: r for r in docs.collect()}
-    parser = langid.Parser(langid.learn_sample(docs, F.lit(True)))
+    parser = langid.Parser(langid.learn(docs, F.lit(True)))
     ids = sorted(rows)
-    pred = parser.predict([rows[i]["text"] for i in ids])
-    left = [i for i, a, s in zip(ids, *pred) if a != "und" and s >= langid.REJECT_BELOW]
+    left = [i for i, fits in zip(ids, parser.judge([rows[i]["text"] for i in ids])[2]) if fits]
     steps = {"language": len(left)}
     classes = {}
     for doc, cls, links in brute([(i, rows[i]["text"]) for i in left]):
