@@ -12,27 +12,31 @@ from lumenlake.llm.common import Scratch, cut
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in one of the languages that the labels name; those without letters or in no such language go."""
-    return langid.keep_identified(docs, langid.learn_sample(docs, F.lit(True)))
+    """Documents in one of the languages that the labels name.
+
+    Those without letters go (null and empty texts among them), and those whose cost a symbol is beyond what held-back rows of their best language
+    have. Very long texts are judged whole; repeated rows and ties alike. An empty table gives an empty one.
+    """
+    return langid.keep_identified(docs, langid.learn(docs, F.lit(True)))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the smallest id, of each class of near duplicates."""
+    """One document, that of the smallest id, of each class of near duplicates; null ids and texts without words are classes of their own, unless rows are equal."""
     return neardup.keep_one(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item; null and empty texts hold none, very long ones are searched whole, and null or empty items are in none."""
     return decontaminate.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data replaced by its kind."""
+    """All documents, with personal data replaced by its kind; null texts stay null, and n_chars follows what changed."""
     return pii.redact_pii(docs)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents of the mix, with taken, the words it takes of each."""
+    """The documents of the mix, with taken, the words it takes of each; null and empty texts have no words, and so no part."""
     quality = mixing.quality_weights(spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return mixing.mix(docs, docs.columns, quality=quality).where("taken > 0")
 
