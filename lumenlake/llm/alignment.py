@@ -50,7 +50,6 @@ SLICE_BYTES, SEGMENT_BYTES, BUCKETS = 8_000_000, 1_000_000, 4
 KEPT_BYTES = 16_000_000
 #: Ids of B are below this.
 WIDTH = 1 << 20
-SEPARATOR = 0  # no byte of a segment's groups
 
 
 def _byte_alphabet() -> dict[str, int]:
@@ -134,19 +133,24 @@ def splitter(spaces: str) -> Callable[[bytes], list[bytes]]:
 
 
 class Aligned:
-    """What is known of some segments, in their order: numbers of tokens, groups and links, the groups' text, and the pairs of ids, with how often each is linked."""
+    """Some segments' tokens, in their order: for A and for B how many a segment has, their ids, and which of them end a group. Lossy segments have none."""
 
-    def __init__(self, counts: np.ndarray, texts: list[bytes], sizes: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> None:
-        self.counts, self.texts, self.sizes, self.pairs, self.times = counts, texts, sizes, pairs, times
+    def __init__(self, sizes: list[np.ndarray], ids: list[np.ndarray], ends: list[np.ndarray]) -> None:
+        self.sizes, self.ids, self.ends = sizes, ids, ends
 
     def taken(self, order: np.ndarray) -> Aligned:
         """The segments at these places."""
-        at = spread((np.cumsum(self.sizes) - self.sizes)[order], self.sizes[order])
-        return Aligned(self.counts[order], [self.texts[i] for i in order.tolist()], self.sizes[order], self.pairs[at], self.times[at])
+        at = [spread((np.cumsum(n) - n)[order], n[order]) for n in self.sizes]
+        return Aligned([n[order] for n in self.sizes], [x[i] for x, i in zip(self.ids, at, strict=True)], [x[i] for x, i in zip(self.ends, at, strict=True)])
+
+
+def joined(parts: list[Aligned]) -> Aligned:
+    """The segments of all parts, one after another."""
+    return Aligned(*([np.concatenate([getattr(x, k)[side] for x in parts]) for side in (0, 1)] for k in ("sizes", "ids", "ends")))
 
 
 def align(segments: list[bytes], a: Vocabulary, b: Vocabulary) -> Aligned:
-    """The alignment of each segment. All are encoded as one text; segments that one of the vocabularies does not give back have 0 A tokens and -1 groups."""
+    """The tokens of each segment and where groups end. All are encoded as one text; a segment that one of the vocabularies does not give back is lossy."""
     alone = np.array([SOLID_END.search(s) is None for s in segments], bool)
     if alone.any() and len(segments) > 1:  # what ends a text may end otherwise, and is encoded on its own
         order = np.argsort(alone, kind="stable").tolist()
@@ -155,45 +159,53 @@ def align(segments: list[bytes], a: Vocabulary, b: Vocabulary) -> Aligned:
     lossy = np.array(["▁".encode() in s for s in segments], bool)
     good = [s for s, bad in zip(segments, lossy.tolist(), strict=True) if not bad]
     text = b"".join(good)
-    encoded = [v.ids(text.decode()) for v in (a, b)] if text else [np.zeros(0, np.int64)] * 2
-    if any(b"".join([v.tokens[i] for i in ids.tolist()]) != text for v, ids in zip((a, b), encoded, strict=True)):
+    ids = [v.ids(text.decode()) for v in (a, b)] if text else [np.zeros(0, np.int64)] * 2
+    if any(b"".join([v.tokens[i] for i in x.tolist()]) != text for v, x in zip((a, b), ids, strict=True)):
         if len(segments) == 1:
-            return Aligned(np.array([[0, 0, -1, 0]]), [b""], np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+            return Aligned([np.zeros(1, np.int64)] * 2, [np.zeros(0, np.int64)] * 2, [np.zeros(0, bool)] * 2)
         half = len(segments) // 2
         return joined([align(segments[:half], a, b), align(segments[half:], a, b)])
-    ends = [np.cumsum(v.sizes[ids]) for v, ids in zip((a, b), encoded, strict=True)]
-    groups = np.intersect1d(*ends)
-    of = [np.searchsorted(groups, e) for e in ends]  # the group of each token
-    n = [np.bincount(x, minlength=len(groups)) for x in of]
+    stops = [np.cumsum(v.sizes[x]) for v, x in zip((a, b), ids, strict=True)]
     bounds = np.cumsum([len(s) for s in good])
-    segment = np.searchsorted(bounds, groups)  # the segment of each group
-    counts = np.zeros((len(segments), 4), np.int64)
-    counts[lossy, 2] = -1
-    for i, x in enumerate((n[0], n[1], np.ones(len(groups), np.int64), n[0] * n[1])):
-        counts[~lossy, i] = np.bincount(segment, x, len(good)).astype(np.int64)
-    # Distinct ids of each group with their numbers; the pairs of a group are those of its distinct ids.
-    distinct, own = [], []
-    for ids, x in zip(encoded, of, strict=True):
-        key, many = np.unique(x * WIDTH + ids, return_counts=True)
-        distinct.append((key // WIDTH, key % WIDTH, many))
-        own.append(np.bincount(key // WIDTH, minlength=len(groups)))
-    pairs_of = own[0] * own[1]
-    group = np.repeat(np.arange(len(groups)), pairs_of)
-    nth = np.arange(len(group)) - np.repeat(np.cumsum(pairs_of) - pairs_of, pairs_of)
-    first = [np.cumsum(x) - x for x in own]
-    at_a, at_b = first[0][group] + nth // np.maximum(own[1][group], 1), first[1][group] + nth % np.maximum(own[1][group], 1)
-    pairs, times = distinct[0][1][at_a] * WIDTH + distinct[1][1][at_b], distinct[0][2][at_a] * distinct[1][2][at_b]
-    # A pair may be linked in several groups of a segment.
-    where = np.repeat(segment, pairs_of)
-    order = np.lexsort((pairs, where))
-    where, pairs, times = where[order], pairs[order], times[order]
-    begin = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (pairs[1:] != pairs[:-1]))[: len(pairs)])
-    sizes = np.zeros(len(segments), np.int64)
-    sizes[~lossy] = np.bincount(where[begin], minlength=len(good))
-    return Aligned(counts, _group_texts(encoded, of, segment, lossy), sizes, pairs[begin], np.add.reduceat(times, begin) if len(begin) else times)
-
-
-def _group_texts(encoded: list[np.ndarray], of: list[np.ndarray], segment: np.ndarray, lossy: np.ndarray) -> list[bytes]:
+    sizes = [np.zeros(len(segments), np.int64) for _ in stops]
+    for n, stop in zip(sizes, stops, strict=True):
+        n[~lossy] = np.bincount(np.searchsorted(bounds, stop), minlength=len(good))
+    return Aligned(sizes, ids, [np.isin(stop, other) for stop, other in zip(stops, stops[::-1], strict=True)])
+
+
+class Linked:
+    """What follows for some segments: numbers of tokens, groups (-1 if lossy) and links; the groups' texts; pairs of ids, and how often each is linked."""
+
+    def __init__(self, found: Aligned) -> None:
+        of = [np.cumsum(x) - x for x in found.ends]  # the group of each token
+        groups = int(found.ends[0].sum())
+        n = [np.bincount(x, minlength=groups) for x in of]
+        segment = np.repeat(np.arange(len(found.sizes[0])), found.sizes[0])[found.ends[0]]  # the segment of each group
+        self.counts = np.stack([np.bincount(segment, x, len(found.sizes[0])).astype(np.int64) for x in (n[0], n[1], np.ones(groups, np.int64), n[0] * n[1])], axis=1)
+        self.counts[found.sizes[0] == 0, 2] = -1
+        self.texts = _group_texts(found.ids, of, segment, len(found.sizes[0]))
+        # Distinct ids of each group with their numbers; the pairs of a group are those of its distinct ids.
+        distinct, own = [], []
+        for ids, x in zip(found.ids, of, strict=True):
+            key, many = np.unique(x * WIDTH + ids, return_counts=True)
+            distinct.append((key % WIDTH, many))
+            own.append(np.bincount(key // WIDTH, minlength=groups))
+        pairs_of = own[0] * own[1]
+        group = np.repeat(np.arange(groups), pairs_of)
+        nth = np.arange(len(group)) - np.repeat(np.cumsum(pairs_of) - pairs_of, pairs_of)
+        first = [np.cumsum(x) - x for x in own]
+        at_a, at_b = first[0][group] + nth // np.maximum(own[1][group], 1), first[1][group] + nth % np.maximum(own[1][group], 1)
+        pairs, times = distinct[0][0][at_a] * WIDTH + distinct[1][0][at_b], distinct[0][1][at_a] * distinct[1][1][at_b]
+        # A pair may be linked in several groups of a segment.
+        where = np.repeat(segment, pairs_of)
+        order = np.lexsort((pairs, where))
+        where, pairs, times = where[order], pairs[order], times[order]
+        begin = np.flatnonzero(np.append(True, (where[1:] != where[:-1]) | (pairs[1:] != pairs[:-1]))[: len(pairs)])
+        self.sizes = np.bincount(where[begin], minlength=len(found.sizes[0]))
+        self.pairs, self.times = pairs[begin], np.add.reduceat(times, begin) if len(begin) else times
+
+
+def _group_texts(encoded: list[np.ndarray], of: list[np.ndarray], segment: np.ndarray, segments: int) -> list[bytes]:
     """a1,a2|b1;a3|b2,b3 of each segment."""
     sides = []
     for ids, x in zip(encoded, of, strict=True):
@@ -201,17 +213,12 @@ def _group_texts(encoded: list[np.ndarray], of: list[np.ndarray], segment: np.nd
         cuts = np.searchsorted(x, np.arange(len(segment) + 1)).tolist()
         sides.append([",".join(names[lo:hi]) for lo, hi in zip(cuts, cuts[1:], strict=False)])
     groups = [f"{p}|{q}" for p, q in zip(*sides, strict=True)]
-    cuts = np.searchsorted(segment, np.arange(int((~lossy).sum()) + 1)).tolist()
-    texts = iter([";".join(groups[lo:hi]).encode() for lo, hi in zip(cuts, cuts[1:], strict=False)])
-    return [b"" if bad else next(texts) for bad in lossy.tolist()]
-
-
-def joined(parts: list[Aligned]) -> Aligned:
-    """The segments of all parts, one after another."""
-    return Aligned(np.concatenate([x.counts for x in parts]), [t for x in parts for t in x.texts], *(np.concatenate([getattr(x, k) for x in parts]) for k in ("sizes", "pairs", "times")))
+    cuts = np.searchsorted(segment, np.arange(segments + 1)).tolist()
+    return [";".join(groups[lo:hi]).encode() for lo, hi in zip(cuts, cuts[1:], strict=False)]
 
 
-FIELDS = "slice long, kind int, bucket long, row long, codes binary, segments binary, sizes binary, counts binary, pairs binary, times binary"
+FIELDS = "slice long, kind int, bucket long, row long, codes binary, segments binary, sizes binary, counts binary, pairs binary, times binary, a_sizes binary, a_ids binary, a_ends binary, b_sizes binary, b_ids binary, b_ends binary"
+SIDES = tuple(f"__{side}_{k}" for k in ("sizes", "ids", "ends") for side in "ab")
 DOCUMENT, SEGMENTS, PAIRS = 2, 0, 1  # in a slice, documents come last
 RESULTS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
 
@@ -326,8 +333,8 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
                     parts = [align(new[i:j], a, b) for i, j in pieces(pa.array(new, pa.binary()), SEGMENT_BYTES)]
                     whole = joined([*([whole] if whole else []), *parts])
                 own = whole.taken(np.fromiter(map(number.__getitem__, names), np.int64, len(names)))
-                columns = {"__counts": packed(own.counts.T.astype(np.int32)), "__segments": packed(bytes([SEPARATOR]).join(own.texts)), "__sizes": packed(own.sizes.astype(np.uint32)), "__pairs": packed_pairs(own.pairs), "__times": packed(own.times.astype(np.uint32))}
-                yield filled(1, answer_arrow, __slice=[r["__slice"]], __kind=[SEGMENTS], __bucket=[last], __codes=[r["__codes"]], **{k: [v] for k, v in columns.items()})
+                sent = dict(zip(SIDES, (packed(x.astype(np.uint32 if x.dtype != bool else np.uint8)) for x in (*own.sizes, *own.ids, *own.ends)), strict=True))
+                yield filled(1, answer_arrow, __slice=[r["__slice"]], __kind=[SEGMENTS], __bucket=[last], __codes=[r["__codes"]], **{k: [v] for k, v in sent.items()})
 
     answer_type = T.StructType([f for f in fields if f.name != "__row"])
     answer_arrow = to_arrow_schema(answer_type)
@@ -341,10 +348,10 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
         documents = np.zeros(0, np.int64)
 
         def told() -> Iterator[pa.RecordBatch]:
-            if known is not None and len(known[3]):
-                bucket = _pair_bucket(known[3], buckets)
+            if known is not None and len(known[1]):
+                bucket = _pair_bucket(known[1], buckets)
                 own, first = np.unique(bucket, return_index=True)
-                columns = {"__pairs": [packed_pairs(x) for x in np.split(known[3], first[1:])], "__counts": [packed(x.astype(np.uint32)) for x in np.split(documents, first[1:])]}
+                columns = {"__pairs": [packed_pairs(x) for x in np.split(known[1], first[1:])], "__counts": [packed(x.astype(np.uint32)) for x in np.split(documents, first[1:])]}
                 yield filled(len(own), composed_arrow, __slice=np.full(len(own), slice_), __kind=np.full(len(own), PAIRS), __bucket=own, **columns)
 
         for batch in batches:
@@ -357,11 +364,11 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
                     yield from told()
                     slice_, answers, known = of_slice[lo], [], None
                 if kinds[lo] == SEGMENTS:
-                    answers += part.select(["__codes", "__counts", "__segments", "__sizes", "__pairs", "__times"]).to_pylist()
+                    answers += part.select(["__codes", *SIDES]).to_pylist()
                     continue
                 if known is None:
                     known, answers = _known(answers, buckets), []
-                    documents = np.zeros(len(known[3]), np.int64)
+                    documents = np.zeros(len(known[1]), np.int64)
                 for i, j in pieces(part.column("__codes")):
                     some = part.slice(i, j - i)
                     columns, local, seen = _composed(some.column("__codes").to_pylist(), known)
@@ -435,25 +442,22 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
     return by(all_, "__slice", "__kind", "__bucket").mapInArrow(tidied(finish), result_type)
 
 
-def _known(answers: list[dict], buckets: int) -> tuple[np.ndarray, list[bytes], Aligned, np.ndarray]:
-    """Of a slice's segments, in the order of their numbers: counts, groups' texts, pairs as numbers; and the slice's pairs, by bucket."""
-    none = [np.zeros((4, 0), np.int32)]
-    counts = np.concatenate([*none, *[unpacked(r["__counts"], np.int32).reshape(4, -1) for r in answers]], axis=1).T.astype(np.int64)
-    texts = [t for r in answers for t in unpacked(r["__segments"]).split(bytes([SEPARATOR]))]
-    numbers, sizes, times = (np.concatenate([np.zeros(0, np.uint32), *[unpacked(r[k], np.uint32, rising=k == "__codes") for r in answers]]).astype(np.int64) for k in ("__codes", "__sizes", "__times"))
-    pairs = np.concatenate([np.zeros(0, np.int64), *[unpacked_pairs(r["__pairs"]) for r in answers]])
-    ordered = Aligned(counts, texts, sizes, pairs, times).taken(np.argsort(numbers))
-    counts, texts, pairs = ordered.counts, ordered.texts, ordered.pairs
-    own, back = np.unique(pairs, return_inverse=True)
+def _known(answers: list[dict], buckets: int) -> tuple[Linked, np.ndarray]:
+    """A slice's segments, in the order of their numbers, with pairs as numbers of the slice's pairs; and these, by bucket."""
+    numbers, *sides = (np.concatenate([np.zeros(0, np.uint8), *[unpacked(r[k], np.uint8 if k.endswith("ends") else np.uint32, rising=k == "__codes") for r in answers]]).astype(np.int64) for k in ("__codes", *SIDES))
+    found = Linked(Aligned(sides[:2], sides[2:4], [x.astype(bool) for x in sides[4:]]).taken(np.argsort(numbers)))
+    own, back = np.unique(found.pairs, return_inverse=True)
     order = np.lexsort((own, _pair_bucket(own, buckets)))
     place = np.empty(len(own), np.int64)
     place[order] = np.arange(len(own))
-    return counts, texts, Aligned(counts, texts, ordered.sizes, place[back], ordered.times), own[order]
+    found.pairs = place[back]
+    return found, own[order]
 
 
 def _composed(codes: list[bytes], known: tuple) -> tuple[dict[str, list], list[tuple[np.ndarray, np.ndarray]], np.ndarray]:
     """Of documents: their numbers and digests; their pairs and how often they are linked; of each pair of the slice, how many of them link it."""
-    counts, texts, segments, pairs = known
+    segments, pairs = known
+    counts, texts = segments.counts, segments.texts
     begin = np.cumsum(segments.sizes) - segments.sizes
     found = [unpacked(c, np.uint32) for c in codes]
     numbers, digests = np.zeros((len(found), 4), np.int64), []

@@ -105,6 +105,6 @@ def test_segments_that_are_not_given_back(tokens):
     """Single lossy segments are found among good ones, whatever the reason."""
     a, b = alignment.ByteLevel(A), alignment.Pieces(B)
     b.tokens[b.ids(" cat")[0]] = b"?"
-    found = alignment.align([b" dog", b" cat", b" the", b" \xe2\x96\x81", b" cat"], a, b)
+    found = alignment.Linked(alignment.align([b" dog", b" cat", b" the", b" \xe2\x96\x81", b" cat"], a, b))
     assert (found.counts[:, 2] < 0).tolist() == [False, True, False, True, True]
     assert found.texts[1] == b"" and found.texts[0]
