@@ -31,8 +31,8 @@ def queue_score(extension: Column, size: Column) -> Column:
 
 
 def folders_first(is_folder: Column, name: Column) -> list[Column]:
-    """Folders before files, each by name, by code point."""
-    return [is_folder.desc(), name]
+    """Folders before files, each by name as people sort: letters with their accents together, then lower before upper case (root locale)."""
+    return [is_folder.desc(), F.collate(name, "UNICODE"), name]
 
 
 def people_order(name: Column, faces: Column, id_col: Column) -> list[Column]:

@@ -158,6 +158,56 @@ def changed_folders(now: DataFrame, before: DataFrame) -> DataFrame:
     return a.join(b, "folder", "full_outer").where(~F.col("now").eqNullSafe(F.col("before")))
 
 
+def folder_of(path: str = KEY) -> Column:
+    """The folder that a path stands in; "" for the root."""
+    return F.when(F.col(path).contains("/"), F.regexp_replace(path, r"/[^/]*$", "")).otherwise("")
+
+
+def folder_digests(files: DataFrame, marks: tuple[str, ...] = ("size_bytes", "modified_at"), path: str = KEY) -> DataFrame:
+    """folder, files and digest: a sum of hashes of the folder's own files, by path and marks. Sums are combined before the shuffle, in any order."""
+    own = F.xxhash64(path, *marks).cast("decimal(38,0)")
+    return files.groupBy(folder_of(path).alias("folder")).agg(F.count(F.lit(1)).alias("files"), F.sum(own).alias("digest"))
+
+
+def tree_digests(folders: DataFrame) -> DataFrame:
+    """The same of whole trees, for each folder and all above it, with the tree's depth, from the folders' own digests: equal trees need no walk."""
+    parts = F.when(F.col("folder") == "", F.array().cast("array<string>")).otherwise(F.split("folder", "/"))
+    above = F.transform(F.sequence(F.lit(0), F.size(parts)), lambda n: F.struct(F.array_join(F.slice(parts, F.lit(1), n), "/").alias("folder"), n.alias("depth")))
+    rows = folders.select("files", "digest", F.explode(above).alias("a"))
+    return rows.groupBy(F.col("a.folder").alias("folder"), F.col("a.depth").alias("depth")).agg(F.sum("files").alias("files"), F.sum("digest").alias("digest"))
+
+
+def differing(now: DataFrame, before: DataFrame) -> DataFrame:
+    """folder of the digests that are new, gone or different."""
+    a = now.select("folder", F.struct("files", "digest").alias("a"))
+    return a.join(before.select("folder", F.struct("files", "digest").alias("b")), "folder", "full_outer").where(~F.col("a").eqNullSafe(F.col("b"))).select("folder")
+
+
+def equal_trees(now: DataFrame, before: DataFrame) -> DataFrame:
+    """The highest folders whose trees are equal, from tree digests: what a walk may pass over. "" if nothing changed at all."""
+    same = now.join(before, ["folder", "depth", "files", "digest"], "left_semi").select("folder")
+    parent = F.when(F.col("folder") == "", F.lit(None).cast("string")).otherwise(folder_of("folder"))
+    return same.withColumn("__parent", parent).join(same.select(F.col("folder").alias("__parent")), "__parent", "left_anti").select("folder")
+
+
+def reconcile_changed(listed: DataFrame, stored: DataFrame, before: DataFrame | None = None, **options: object) -> DataFrame:
+    """reconcile() of the files in folders whose digests differ; all other listed files are unchanged, and meet nothing.
+
+    before: the digests kept with the stored snapshot, else worked out. Both snapshots have modified_at. A move joins two folders that both
+    differ, so moves are found as ever; a full run and all_stored look at every folder and are not for this.
+    """
+    if options.get("full") or options.get("all_stored"):
+        raise ValueError("a full run has no folder to pass over")
+    root = options.get("root")
+    if root is not None:
+        stored = stored.where(under(F.col(KEY), root))
+    changed = differing(folder_digests(listed), folder_digests(stored) if before is None else before)
+    place = lambda df: df.withColumn("folder", folder_of())
+    some = reconcile(place(listed).join(changed, "folder", "left_semi").drop("folder"), place(stored).join(changed, "folder", "left_semi").drop("folder"), **options)
+    rest = place(listed).join(changed, "folder", "left_anti")
+    return some.unionByName(rest.select(KEY, F.lit(None).cast("string").alias("from_path"), F.lit("UNCHANGED").alias("action")))
+
+
 MOST_CHECKED = 20_000
 
 

@@ -49,6 +49,23 @@ def near_place(places: DataFrame, lat: float, lon: float, degrees: float = 0.05)
     return places.where(within("lat", lat) & within("lon", lon))
 
 
+def near_counts(places: DataFrame, degrees: str = "0.05") -> DataFrame:
+    """Per place, how many other places stand in the box around it: less than degrees away in latitude and in longitude.
+
+    Places of one point are counted together. Points lie in cells of a box's size, so that what is near lies in the cell or one of the eight
+    around it: an equi-join of cells, then the exact test; unlike a comparison of all with all, it costs what is near. Places without a point have none.
+    """
+    step = F.lit(degrees).cast("decimal(12,6)")
+    known = places.where(F.col("lat").isNotNull() & F.col("lon").isNotNull())
+    points = known.groupBy("lat", "lon").agg(F.count(F.lit(1)).alias("n")).withColumns({"x": F.floor(F.col("lat") / step), "y": F.floor(F.col("lon") / step)})
+    shifts = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    around = points.select("lat", "lon", "x", "y", shifts.alias("s")).select("lat", "lon", (F.col("x") + F.col("s.i")).alias("x"), (F.col("y") + F.col("s.j")).alias("y"))
+    other = points.select(F.col("lat").alias("lat2"), F.col("lon").alias("lon2"), "n", "x", "y")
+    near = around.join(other, ["x", "y"]).where((F.abs(F.col("lat") - F.col("lat2")) < step) & (F.abs(F.col("lon") - F.col("lon2")) < step))
+    sums = near.groupBy("lat", "lon").agg((F.sum("n") - 1).alias("near"))
+    return places.join(sums, ["lat", "lon"], "left").withColumn("near", F.coalesce("near", F.lit(0)).cast("long"))
+
+
 def pending(files: DataFrame, done: DataFrame, key: str, version: str, least: int) -> DataFrame:
     """Files without a result of the version or a later one."""
     return files.join(done.where(F.col(version) >= least).select(key), key, "left_anti")
