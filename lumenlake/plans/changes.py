@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenlake.operators import jobs, props, reconcile, related
+from lumenlake.operators import grams, jobs, props, ranked, reconcile, related
 from lumenlake.plans.registry import query
 from lumenlake.sources.adapters import PLACES_SQL, SNAPSHOT_SQL, day, listed, places, stored, table
 from lumenlake.sources.deltas import UpsertTable
@@ -102,3 +102,39 @@ def names_in_order(spark, d):
     rows = table(spark, d, "documents").select(named.alias("name"), (k % 4 == 0).alias("is_folder")).distinct()  # as many as there are names here
     ordered = rows.orderBy(*jobs.folders_first(F.col("is_folder"), F.col("name"))).agg(F.collect_list(F.struct("name", "is_folder")).alias("l"))
     return ordered.select(F.posexplode("l").alias("at", "x")).select((F.col("at") + 1).cast("long").alias("place"), "x.name", "x.is_folder")
+
+
+PATTERNS = ("the ", "Licen", "%", "a", "@exam", "ion. ", "éa", "zzzzz")
+
+
+@query(" UNION ALL ".join(f"SELECT {p!r} AS pattern, doc_id FROM documents WHERE contains(lower(text), lower({p!r}))" for p in PATTERNS))
+def substrings(spark, d):
+    """Documents by what their texts contain, through one index of trigrams."""
+    docs, out = table(spark, d, "documents").select("doc_id", "text"), None
+    index = grams.write_index(docs, "doc_id", "text", working_folder(spark, "grams"))
+    for p in PATTERNS:
+        found = grams.search(docs, index, p, "doc_id", "text").select(F.lit(p).alias("pattern"), "doc_id")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+LINES = "l_shipdate DESC NULLS LAST, l_orderkey, l_linenumber"
+
+
+def _lines(spark, d):
+    lines = table(spark, d, "lineitem").withColumn("id", F.concat_ws("-", F.col("l_orderkey").cast("string"), F.col("l_linenumber").cast("string")))
+    order = [F.desc_nulls_last("l_shipdate"), F.col("l_orderkey"), F.col("l_linenumber")]
+    return ranked.Ranked(lines.select("id", "l_orderkey", "l_linenumber", "l_shipdate"), order, working_folder(spark, "ranked"))
+
+
+@query(f"SELECT l_orderkey, l_linenumber, row_number() OVER (ORDER BY {LINES}) AS place FROM lineitem QUALIFY place BETWEEN 2951 AND 3000 OR place BETWEEN 51 AND 100")
+def deep_pages(spark, d):
+    """Two pages of fifty over all lines by date, one of them deep."""
+    found = _lines(spark, d)
+    return found.page(60, 50).unionByName(found.page(2, 50)).select("l_orderkey", "l_linenumber", "place")
+
+
+@query(f"WITH i AS (SELECT *, l_orderkey || '-' || l_linenumber AS id FROM lineitem) SELECT id, lag(id) OVER (ORDER BY {LINES}) AS prev_id, lead(id) OVER (ORDER BY {LINES}) AS next_id FROM i")
+def all_neighbours(spark, d):
+    """The line before and after each line, by date, over the whole table as one sequence."""
+    return _lines(spark, d).neighbours("id")
