@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from lumenlake.operators import grams, jobs, props, ranked, reconcile, related
+from lumenlake.operators import grams, jobs, observed, props, ranked, reconcile, related
 from lumenlake.plans.registry import query
 from lumenlake.sources.adapters import PLACES_SQL, SNAPSHOT_SQL, day, listed, places, stored, table
 from lumenlake.sources.deltas import UpsertTable
@@ -54,6 +54,18 @@ def reconcile_by_folders(spark, d):
     return reconcile.reconcile_changed(*_snapshots(spark, d))
 
 
+@query(f"""WITH {FOLDERS_SQL}, c AS (SELECT (SELECT count(*) FROM s) AS live_before, (SELECT count(*) FROM l) AS disk_files, (SELECT count(*) FROM l JOIN s USING (relative_path) WHERE l.size_bytes = s.size_bytes AND l.modified_at = s.modified_at) AS unchanged,
+    (SELECT count(*) FROM l JOIN s USING (relative_path) WHERE l.size_bytes IS DISTINCT FROM s.size_bytes OR l.modified_at IS DISTINCT FROM s.modified_at) AS modified)
+SELECT disk_files, live_before, disk_files AS live_after, unchanged, modified FROM c""")
+def job_numbers(spark, d):
+    """What a reconcile's write tells of its rows, with its invariants held."""
+    now, before = _snapshots(spark, d)
+    folder = working_folder(spark, "actions")
+    told = observed.write_actions(reconcile.reconcile_changed(now, before), lambda df: df.write.parquet(folder), before.count())
+    columns = ("disk_files", "live_before", "live_after", "unchanged", "modified")
+    return spark.range(1).select(*[F.lit(told[c]).cast("long").alias(c) for c in columns])
+
+
 @query(f"""WITH {FOLDERS_SQL}, f AS (SELECT regexp_replace(relative_path, '/[^/]*$', '') AS folder, sum(hash(relative_path, size_bytes, modified_at)) AS h, count(*) AS n FROM s GROUP BY 1),
 g AS (SELECT regexp_replace(relative_path, '/[^/]*$', '') AS folder, sum(hash(relative_path, size_bytes, modified_at)) AS h, count(*) AS n FROM l GROUP BY 1),
 changed AS (SELECT coalesce(f.folder, g.folder) AS folder FROM f FULL JOIN g USING (folder) WHERE f.h IS DISTINCT FROM g.h OR f.n IS DISTINCT FROM g.n),

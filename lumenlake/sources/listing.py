@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import io
 import json
-import tarfile
 import time
 import uuid
-import zipfile
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlake.functions.exprs import extension_of, media_type, slashed, under
+from lumenlake.sources.archives import LISTED_ARCHIVES, OTHER_ARCHIVES, ArchiveSource
 
 TEXT_CHARS = 6_000
 TEXT_EXTENSIONS = ("txt", "md", "csv", "log", "json")
@@ -80,51 +76,10 @@ def skip_reason(settings: ScanSettings = ScanSettings(), name: str = "name", pat
     return out.otherwise(other)
 
 
-# Archives whose entries are listed, and those that need a program that is not at hand.
-LISTED_ARCHIVES = ("zip", "tar", "tgz", "gz", "bz2", "tbz2", "xz", "txz", "jar", "cbz")
-OTHER_ARCHIVES = ("7z", "rar", "iso", "cab")
-ENTRY = "archive string, name string, path string, size_bytes long, is_directory boolean, status string"
-
-
-def _entries(path: str, content: bytes) -> Iterator[tuple]:
-    try:
-        if zipfile.is_zipfile(io.BytesIO(content)):
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for e in z.infolist():
-                    status = "encrypted" if e.flag_bits & 1 else "ok"
-                    yield path, e.filename.rstrip("/").rpartition("/")[2], e.filename, e.file_size, e.is_dir(), status
-        else:
-            with tarfile.open(fileobj=io.BytesIO(content)) as t:
-                for e in t:
-                    yield path, e.name.rpartition("/")[2], e.name, e.size, e.isdir(), "ok"
-    except (tarfile.TarError, zipfile.BadZipFile, EOFError, OSError):
-        yield path, None, None, None, None, "unreadable"
-
-
-def _glob(extensions: tuple[str, ...]) -> str:
-    """A path filter for extensions in either case."""
-    either = lambda e: "".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in e)
-    return f"*.{{{','.join(map(either, extensions))}}}"
-
-
 def archive_entries(spark: SparkSession, root: str) -> DataFrame:
-    """A row for each entry of the ZIP and TAR files below root; one with a status for a file that cannot be read, or is of another kind of archive.
-
-    Only archives are opened: the scan lists files by extension, and leaves the contents of other kinds unread. An archive is one row of the
-    scan, so it has to fit into a task's memory, as Spark's binary files do.
-    """
-
-    def found(extensions: tuple[str, ...]) -> DataFrame:
-        return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", _glob(extensions)).load(root)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for p, c in zip(pdf["path"], pdf["content"], strict=True):
-                yield pd.DataFrame(_entries(p, c), columns=["archive", "name", "path", "size_bytes", "is_directory", "status"])
-
-    none = [F.lit(None).cast(t).alias(n) for n, t in (("name", "string"), ("path", "string"), ("size_bytes", "long"), ("is_directory", "boolean"))]
-    others = found(OTHER_ARCHIVES).select(F.col("path").alias("archive"), *none, F.lit("unsupported").alias("status"))
-    return found(LISTED_ARCHIVES).select("path", "content").mapInPandas(run, ENTRY).unionByName(others)
+    """A row for each entry of the ZIP and TAR files and packed files below root; one with a status for a file that cannot be read, or is of another kind of archive."""
+    spark.dataSource.register(ArchiveSource)
+    return spark.read.format(ArchiveSource.name()).load(root)
 
 
 def read_texts(spark: SparkSession, root: str, chars: int = TEXT_CHARS) -> DataFrame:

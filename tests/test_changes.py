@@ -6,7 +6,7 @@ import random
 import re
 
 import pytest
-from lumenlake.operators import grams, jobs, planning, props, ranked, reconcile, related
+from lumenlake.operators import grams, jobs, observed, planning, props, ranked, reconcile, related
 from pyspark.sql import functions as F
 
 FILES = "relative_path string, size_bytes long, quick_fingerprint string, modified_at long"
@@ -131,3 +131,24 @@ def test_names_made_unique(spark, seed):
     routes = spark.createDataFrame(list(enumerate(paths)), "id long, dest_path string")
     found = planning.renamed(routes, spark.createDataFrame([(e,) for e in existing], "dest_path string"), ["id"]).orderBy("id").collect()
     assert [r["dest_path"] for r in found] == free_names(paths, existing)
+
+
+def test_a_write_tells_its_numbers(spark, tmp_path):
+    now, before = snapshots(spark, 2)
+    actions, path = reconcile.reconcile(now, before), f"{tmp_path}/actions"
+    told = observed.write_actions(actions, lambda df: df.write.parquet(path), before.count())
+    want = {r["action"].lower(): r["count"] for r in spark.read.parquet(path).groupBy("action").count().collect()}
+    assert {k: v for k, v in told.items() if k in want} == want and told["live_after"] == told["disk_files"] == now.count()
+    with pytest.raises(observed.BrokenInvariant):
+        observed.write_actions(actions.where("action <> 'NEW'").limit(50), lambda df: df.write.parquet(f"{tmp_path}/lost"), before.count())
+    with pytest.raises(observed.BrokenInvariant):
+        observed.write_actions(actions.withColumn("action", F.lit("ODD")), lambda df: df.write.format("noop").mode("overwrite").save(), 0)
+    empty = actions.limit(0)
+    assert observed.write_actions(empty, lambda df: df.write.format("noop").mode("overwrite").save(), 0)["rows"] == 0
+
+
+def test_a_listing_tells_what_it_skips(spark, tmp_path):
+    df = spark.createDataFrame([("a", None), ("b", "hidden_file"), ("c", "system_file"), ("d", "hidden_file")], "path string, reason string")
+    told = observed.write_listing(df, lambda x: x.write.parquet(f"{tmp_path}/l"), "reason", ("hidden_file", "system_file", "other"))
+    assert told == {"kept": 1, "hidden_file": 2, "system_file": 1, "other": 0}
+    assert [tuple(r) for r in spark.read.parquet(f"{tmp_path}/l").collect()] == [("a",)]

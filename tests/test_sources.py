@@ -117,3 +117,42 @@ def test_rolling_files_keep_the_newest(spark, tmp_path):
     for n in range(5):
         listing.roll(spark.createDataFrame([(n, f"scan {n}")], "at int, what string"), folder, "at", 3)
     assert sorted(r["at"] for r in listing.read_snapshot(spark, folder).collect()) == [2, 3, 4]
+
+
+def test_packed_and_large_archives(spark, tmp_path, monkeypatch):
+    """Single packed files, packed TARs, broken ones, and a TAR larger than what a reader may hold: read by headers, in groups."""
+    import gzip
+    import io
+    import lzma
+    import tarfile
+    import tracemalloc
+
+    from lumenlake.sources import archives
+
+    (tmp_path / "one.txt.gz").write_bytes(gzip.compress(b"x" * 3_000_000))
+    (tmp_path / "two.csv.XZ").write_bytes(lzma.compress(b"y" * 70))
+    (tmp_path / "cut.gz").write_bytes(gzip.compress(b"z" * 100_000)[:60])
+    (tmp_path / "empty.gz").write_bytes(gzip.compress(b""))
+    (tmp_path / "bad.zip").write_bytes(b"no")
+    (tmp_path / "old.rar").write_bytes(b"Rar!")
+    with tarfile.open(tmp_path / "deep.tgz", "w:gz") as t:
+        for name in ("a/b.txt", "c.jpg"):
+            info = tarfile.TarInfo(name)
+            info.size = 5
+            t.addfile(info, io.BytesIO(b"12345"))
+    with tarfile.open(tmp_path / "big.tar", "w") as t:
+        for i in range(3):
+            info = tarfile.TarInfo(f"{i}.bin")
+            info.size = 30_000_000
+            t.addfile(info, io.BytesIO(bytes(info.size)))
+    found = {(r["archive"].rpartition("/")[2], r["path"]): (r["size_bytes"], r["status"]) for r in listing.archive_entries(spark, str(tmp_path)).collect()}
+    big = {("big.tar", f"{i}.bin"): (30_000_000, "ok") for i in range(3)}
+    assert found == big | {("one.txt.gz", "one.txt"): (3_000_000, "ok"), ("two.csv.XZ", "two.csv"): (70, "ok"), ("cut.gz", None): (None, "unreadable"), ("empty.gz", "empty"): (0, "ok"), ("bad.zip", None): (None, "unreadable"), ("old.rar", None): (None, "unsupported"), ("deep.tgz", "a/b.txt"): (5, "ok"), ("deep.tgz", "c.jpg"): (5, "ok")}
+    monkeypatch.setattr(archives, "PART_FILES", 3)
+    reader = archives.ArchiveReader(str(tmp_path))
+    parts = reader.partitions()
+    assert [len(p.paths) for p in parts] == [3, 3, 2]
+    tracemalloc.start()
+    assert sum(1 for p in parts for _ in reader.read(p)) == len(found)
+    assert tracemalloc.get_traced_memory()[1] < 20_000_000
+    tracemalloc.stop()
