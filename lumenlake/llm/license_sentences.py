@@ -12,8 +12,8 @@ SENTENCES: dict[str, tuple[str, ...]] = {
     "apache-as-is": ('Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied',),
     "apache-limits": ("See the License for the specific language governing permissions and limitations under the License",),
     "apache-title": ("Apache License Version {v}, January {v}",),
-    "mit-release": ("Released under the MIT License",),
-    "mit-licensed": ("Licensed under the MIT License", "This project is licensed under the MIT License"),
+    "mit-release": ("...Released under the MIT License",),
+    "mit-licensed": ("...Licensed under the MIT License", "This project is licensed under the MIT License"),
     "mit-grant": (
         'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions',
     ),
@@ -71,6 +71,49 @@ for _kind in CC_KINDS:
         *(f"This work is licensed under {a}Creative Commons {_full} {{v}} {b} License" for a in ("a ", "the ") for b in ("International", "Unported", "")),
     )
 
+# How a licence is named in running text, and what leads to the name.
+NAMED: dict[str, tuple[str, ...]] = {
+    "MIT": ("MIT License", "MIT/Expat License", "Expat License"),
+    "Apache": ("Apache License, Version {v}", "Apache License {v}", "Apache {v} License", "Apache Software License, Version {v}", "Apache Software License {v}"),
+    "BSD-{v}-Clause": ("BSD {v}-Clause License", "{v}-Clause BSD License"),
+    "BSD-3-Clause": ("New BSD License", "Modified BSD License"),
+    "BSD-2-Clause": ("Simplified BSD License", "FreeBSD License"),
+    "ISC": ("ISC License",),
+    "Zlib": ("zlib License", "zlib/libpng License"),
+    "BSL": ("Boost Software License {v}", "Boost Software License, Version {v}"),
+    "MPL": ("Mozilla Public License {v}", "Mozilla Public License, version {v}", "Mozilla Public License v. {v}"),
+    "EPL": ("Eclipse Public License {v}", "Eclipse Public License, version {v}"),
+    "GPL": ("GNU General Public License {v}", "GNU General Public License, version {v}", "GNU GPL License {v}"),
+    "LGPL": ("GNU Lesser General Public License {v}", "GNU Lesser General Public License, version {v}"),
+    "AGPL": ("GNU Affero General Public License {v}", "GNU Affero General Public License, version {v}"),
+}
+LEADS = tuple(f"{verb} {terms}{article}" for verb in ("licensed under", "distributed under", "released under", "available under", "provided under", "published under") for terms in ("", "the terms of ") for article in ("the ", "a ", "an ", ""))
+SPDX = "spdx:"
+
+
+def _plain(wording: str) -> str:
+    return " ".join("".join(c if c.isalnum() or c in "{}" else " " for c in wording.lower()).split())
+
+
+def _fresh(wordings: list[str], known: set[str]) -> tuple[str, ...]:
+    """The wordings whose words no sentence has yet."""
+    out = []
+    for w in wordings:
+        if _plain(w) not in known:
+            known.add(_plain(w))
+            out.append(w)
+    return tuple(out)
+
+
+_known = {_plain(w.removeprefix("...")) for wordings in SENTENCES.values() for w in wordings}
+for _name, _forms in NAMED.items():
+    SENTENCES[f"named-{_name}"] = _fresh([f"...{lead}{form}" for lead in LEADS for form in _forms], _known)
+# Two licences to choose from, in either order.
+EITHER = (("Apache", "MIT"), ("MIT", "Apache"))
+for _a, _b in EITHER:
+    _first, _second = ([*NAMED[x], *(["MIT"] if x == "MIT" else ["Apache {v}", "Apache-{v}"])] for x in (_a, _b))
+    SENTENCES[f"either-{_a}-{_b}"] = _fresh([f"...licensed under {e}{x} {o}{y}{z}" for e in ("", "the ", "either ", "either of ", "either the ") for x in _first for o in ("or ", "or the ") for y in _second for z in ("", " at your option")], _known)
+
 _GNU_END = ("gnu-hope?", "gnu-fitness?")
 # Licences and the sequences of sentences that show them; earlier rules win, "?" marks what may be missing.
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
@@ -93,5 +136,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("MIT", ("mit-licensed",)),
     *((f"CC-{kind.upper()}", (f"cc-{kind}",)) for kind in CC_KINDS),
     ("CC0", ("cc-zero",)),
+    *((name, (f"named-{name}",)) for name in NAMED),
+    *((" OR ".join(x if x == "MIT" else f"{x}-{{v}}" for x in pair), (f"either-{pair[0]}-{pair[1]}",)) for pair in EITHER),
     ("proprietary", ("all-rights",)),
 )

@@ -5,6 +5,9 @@ line ends within a paragraph vanish, so that sentences may be wrapped as they ar
 alike, have identifiers. One is recognised where its words stand within a paragraph (blank lines end it), beginning and ending at a line's
 edge or a sign of punctuation; of several the longest counts, from left to right.
 
+A tag SPDX-License-Identifier is a sentence of its own, spdx: and its expression, which names the licence as it stands: identifiers joined by AND, OR
+and WITH, in parentheses or not.
+
 The identifiers of a text, in order and without what stands between them, are matched against ordered rules from left to right: the first
 rule whose sequence stands at a place is reported and its sentences are used up; a sentence that begins no rule reports
 "unmatched:<identifier>".
@@ -22,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from lumenlake.llm.common import map_texts
-from lumenlake.llm.license_sentences import RULES, SENTENCES
+from lumenlake.llm.license_sentences import RULES, SENTENCES, SPDX
 
 #: One of these occurs in each known sentence, whatever blanks and signs part its words; other texts need no reading.
 HINT = re.compile(r"licen[sc]e|permission|copyright|warrant|redistribut|merchantab|rights[\W_]+reserved|public[\W_]+domain|mozilla|liable|CC[\W_]*BY|CC0", re.I)
@@ -30,6 +33,9 @@ WORD = re.compile(r"v?([0-9]+(?:\.[0-9]+)*)(?![^\W_])|[^\W_]+")
 # Spellings that count as one.
 SPELLINGS = {"licence": "license", "licences": "licenses", "licenced": "licensed"}
 ANYWHERE = "..."
+#: An expression: no more of the line than its grammar takes.
+_ONE = r"(?:\([ \t]*)*[A-Za-z0-9][A-Za-z0-9.+-]*(?:[ \t]*\))*"
+SPDX_TAG = re.compile(rf"SPDX-License-Identifier:[ \t]*({_ONE}(?:[ \t]+(?:AND|OR|WITH)[ \t]+{_ONE})*)")
 
 
 def _word(m: re.Match) -> str:
@@ -81,7 +87,14 @@ def sentences(text: str | None) -> list[tuple[str, str, int]]:
                 break
         else:
             at += 1
-    return out
+    tags = [(SPDX + _expression(m[1]), "", m.start()) for m in SPDX_TAG.finditer(text)]
+    return sorted([*out, *tags], key=lambda x: x[2]) if tags else out
+
+
+def _expression(text: str) -> str:
+    """With single blanks, and without parentheses that nothing closes."""
+    text = re.sub(r"\(\s+", "(", re.sub(r"\s+\)", ")", " ".join(text.split())))
+    return text if text.count("(") == text.count(")") else text.replace("(", "").replace(")", "")
 
 
 def _fits(names: tuple[str, ...], wanted: tuple[str, ...]) -> int:
@@ -102,11 +115,16 @@ def match_rules(found: list[tuple[str, str, int]]) -> list[tuple[str, int]]:
     """(licence, start) of what the rules report, from left to right."""
     out, at, names = [], 0, tuple(x[0] for x in found)
     while at < len(found):
+        if names[at].startswith(SPDX):
+            out.append((names[at][len(SPDX) :], found[at][2]))
+            at += 1
+            continue
         here = names[at : at + MOST_WANTED]
         for licence, wanted in RULES:
             if n := _fits(here, wanted):
                 version = next((v for _, v, _ in found[at : at + n] if v), "")
-                out.append((f"{licence}-{version}" if version else licence, found[at][2]))
+                named = licence.replace("{v}", version) if "{v}" in licence else f"{licence}-{version}" if version else licence
+                out.append((named, found[at][2]))
                 at += n
                 break
         else:

@@ -197,7 +197,8 @@ def by_definition(found):
         if fits and len(left) < len(names):
             n = len(names) - len(left)
             version = next((x[1] for x in found[:n] if x[1]), "")
-            return [(f"{name}-{version}" if version else name, found[0][2]), *by_definition(found[n:])]
+            shown = name.replace("{v}", version) if "{v}" in name else f"{name}-{version}" if version else name
+            return [(shown, found[0][2]), *by_definition(found[n:])]
     return [(f"unmatched:{names[0]}", found[0][2]), *by_definition(found[1:])]
 
 
@@ -218,3 +219,26 @@ def test_rows_of_any_kind(spark):
     found = sorted(((r["doc_id"] or 0, r["licenses"], r["n_licenses"], r["places"]) for r in licenses.scan_licenses(docs, ["doc_id"]).collect()))
     assert found == [(0, "", 0, ""), (1, "MIT", 1, "0"), (1, "MIT", 1, "0"), (2, "", 0, ""), (3, "MIT", 1, "1300000"), (4, "MIT", 1, "10")]
     assert licenses.scan_licenses(docs.limit(0), ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "licence"),
+    [
+        ("// SPDX-License-Identifier: MIT", "MIT"),
+        ("/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */", "(GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause"),
+        ("# SPDX-License-Identifier: Apache-2.0 AND MIT and more", "Apache-2.0 AND MIT"),
+        ("Distributed under the MIT License. See LICENSE.", "MIT"),
+        ("This code is licensed under the terms of the MIT license", "MIT"),
+        ("Code released under the BSD 3-Clause License", "BSD-3-Clause"),
+        ("It is licensed under the MIT License.", "MIT"),
+        ("Licensed under either of Apache License, Version 2.0 or MIT", "Apache-2.0 OR MIT"),
+        ("dual-licensed under the MIT License or the Apache License 2.0 at your option.", "MIT OR Apache-2.0"),
+        ("made available under the terms of the\n * Mozilla Public License 2.0.", "MPL-2.0"),
+        ("docs are distributed under the GNU Lesser General Public License, version 3", "LGPL-3"),
+        ("licensed under the MIT License agreement of nobody", None),
+        ("see SPDX-License-Identifier for what it means", None),
+    ],
+)
+def test_tags_and_names_in_running_text(text, licence):
+    found = licenses.match_rules(licenses.sentences(text))
+    assert [x[0] for x in found] == ([licence] if licence else [])
