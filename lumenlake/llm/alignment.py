@@ -45,7 +45,9 @@ SOLID_END = re.compile(rb"(?:%b)\Z" % b"|".join(SOLID))
 #: Bytes that a text without other white space, control signs or the like lacks.
 ODD = re.compile(rb"[\x00-\x08\x0d-\x1f\x7f\xc2\xe1-\xe3]")
 #: Bytes of texts in a slice; distinct segments encoded at a time; buckets of segments for each partition of the shuffle.
-SLICE_BYTES, SEGMENT_BYTES, BUCKETS = 8_000_000, 1_000_000, 4
+SLICE_BYTES, SEGMENT_BYTES, BUCKETS = 6_000_000, 250_000, 4
+#: Segments that are linked at a time.
+LINKED = 30_000
 #: Distinct segments that a bucket keeps, in bytes, before it forgets them.
 KEPT_BYTES = 16_000_000
 #: Ids of B are below this.
@@ -205,6 +207,17 @@ class Linked:
         self.pairs, self.times = pairs[begin], np.add.reduceat(times, begin) if len(begin) else times
 
 
+def linked(found: Aligned) -> Linked:
+    """The same for any number of segments, LINKED at a time, as what is built on the way is many times what stays."""
+    n = len(found.sizes[0])
+    parts = [Linked(found.taken(np.arange(lo, min(n, lo + LINKED)))) for lo in range(0, max(n, 1), LINKED)]
+    whole = parts[0]
+    for k in ("counts", "sizes", "pairs", "times"):
+        setattr(whole, k, np.concatenate([getattr(x, k) for x in parts]))
+    whole.texts = [t for x in parts for t in x.texts]
+    return whole
+
+
 def _group_texts(encoded: list[np.ndarray], of: list[np.ndarray], segment: np.ndarray, segments: int) -> list[bytes]:
     """a1,a2|b1;a3|b2,b3 of each segment."""
     sides = []
@@ -445,7 +458,7 @@ def align_texts(docs: DataFrame, keep: list[str], a_path: str, b_path: str, text
 def _known(answers: list[dict], buckets: int) -> tuple[Linked, np.ndarray]:
     """A slice's segments, in the order of their numbers, with pairs as numbers of the slice's pairs; and these, by bucket."""
     numbers, *sides = (np.concatenate([np.zeros(0, np.uint8), *[unpacked(r[k], np.uint8 if k.endswith("ends") else np.uint32, rising=k == "__codes") for r in answers]]).astype(np.int64) for k in ("__codes", *SIDES))
-    found = Linked(Aligned(sides[:2], sides[2:4], [x.astype(bool) for x in sides[4:]]).taken(np.argsort(numbers)))
+    found = linked(Aligned(sides[:2], sides[2:4], [x.astype(bool) for x in sides[4:]]).taken(np.argsort(numbers)))
     own, back = np.unique(found.pairs, return_inverse=True)
     order = np.lexsort((own, _pair_bucket(own, buckets)))
     place = np.empty(len(own), np.int64)

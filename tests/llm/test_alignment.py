@@ -95,6 +95,7 @@ def test_edges_in_small_slices(spark, tokens, monkeypatch):
         "The cat sat.\nOn  the\t mat;\r\n end \n\n",
     ]
     monkeypatch.setattr(alignment, "SLICE_BYTES", 200)
+    monkeypatch.setattr(alignment, "LINKED", 7)
     docs = [(i % 12 if i % 5 else None, t) for i, t in enumerate(texts)]
     df = spark.createDataFrame([(i, t, 1, "g") for i, t in docs], "doc_id long, text string, n_a int, __groups string").repartition(3)
     assert rows(alignment.align_texts(df, ["doc_id", "n_a"], A, B)) == plain(docs, tokens)
