@@ -10,7 +10,7 @@ shingles lacks too few to miss the whole sketch, so a document that shares a ske
 pair is lost. Candidates, and they alone, are then verified: their items' shingles, as words, meet those of their documents.
 
 Sketches and candidates are broadcast only while they are small in bytes; beyond that the same joins are shuffled. Null and empty texts
-match nothing. Repeated documents or items of one id count once. Other columns play no part.
+match nothing, empty tables give no rows, and very long texts are searched whole. Repeated documents or items of one id count once. Other columns play no part.
 """
 
 from __future__ import annotations

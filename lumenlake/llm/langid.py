@@ -19,7 +19,8 @@ The sample and what is held back are the only things learned and are bounded: SA
 MODEL_BYTES shared evenly where the languages are many), in the order of a hash of the rows' ids; a row over ROW_CHARS characters lends
 a stretch of that length, at a place given by the hash. Predictions see the text alone.
 Null texts and texts without a letter are "und" with score 0, and so is every text if nothing could be
-learned. Null ids are not learned from and not held out. Repeated rows and extra columns are harmless.
+learned. Null ids are not learned from and not held out. Languages of equal samples tie, and the smaller name gets
+all of their texts, with a score of a half at most. An empty table gives no rows. Repeated rows and extra columns are harmless.
 """
 
 from __future__ import annotations

@@ -12,7 +12,7 @@ The identifiers of a text, in order and without what stands between them, are ma
 rule whose sequence stands at a place is reported and its sentences are used up; a sentence that begins no rule reports
 "unmatched:<identifier>".
 
-Null and empty texts have no sentences. Very long texts are read whole, in time that grows with their length. Equal lengths can't tie: two
+Null and empty texts have no sentences; an empty table gives no rows. Very long texts are read whole, in time that grows with their length. Equal lengths can't tie: two
 known sentences never have the same words. Repeated rows give one result row each. Extra columns are harmless.
 """
 

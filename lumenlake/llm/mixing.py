@@ -14,7 +14,8 @@ bins, whose sizes are summed up in order, and the bin that holds the cut gives t
 are sorted. Every row's share then follows from its own key, so texts move only where the weights are too many to be broadcast.
 
 Rows of one key, that is of one id and text, share what is left at the cut by size, rounded down. Null ids and texts are
-hashed as such. A source without words has the target 0. Extra columns are harmless. The same data gives the same result.
+hashed as such. A source without words has the target 0, very long texts count whole, and an empty table
+gives no rows. Extra columns are harmless. The same data gives the same result.
 """
 
 from __future__ import annotations

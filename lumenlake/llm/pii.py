@@ -3,7 +3,7 @@
 Base kinds (always reported): email, ip, card (Luhn), phone. Kinds that the method adds, reported at
 MIN_SCORE or more: iban (length by country, mod-97), and national_phone and national_id (number ranges), which need a context word.
 
-Null and empty texts have no spans. Repeated rows and ids give one result row each. Other columns of the
+Null and empty texts have no spans; an empty table gives no rows. Repeated rows and ids give one result row each. Other columns of the
 input play no part, whatever their names. Every text is read whole in one pass; patterns take linear time,
 since each run of characters is entered once (possessive quantifiers, or a scan back from the at sign).
 """

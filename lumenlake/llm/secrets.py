@@ -13,7 +13,7 @@ One pass over the texts writes their spans; from then on only spans move. Those
 weak part become rows, interval joins by text and block of SCOPE_CHARS characters clear and link them, and the links return to their
 texts' rows. A text's work grows with the number of its spans, however dense they are.
 
-Null and empty texts have no spans; rows with a null id are kept. Repeated rows give one result row each.
+Null and empty texts have no spans; an empty table gives no rows; rows with a null id are kept. Repeated rows give one result row each.
 Other columns of the input play no part.
 """
 
