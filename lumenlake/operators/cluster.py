@@ -81,27 +81,36 @@ def covers(vectors: DataFrame, cluster: str, id_col: str, score: str) -> DataFra
 def sequential(vectors: DataFrame, key: str, id_col: str, vector: str, threshold: float = THRESHOLD) -> DataFrame:
     """Incremental clustering in the order of ids within each key: a vector joins the most similar centroid or begins a cluster.
 
-    A row's cluster depends on all rows before it, so a key's rows are one sequence; keys (libraries) run side by side.
+    A row's cluster depends on all rows before it, so a key's rows are one sequence, and keys (libraries) run side by side. A sequence streams
+    through its task in sorted batches: what is held is the sum of each cluster, not the rows. Of equally similar clusters the first counts;
+    rows without a vector are left out.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(id_col)
-        sums: list[np.ndarray] = []
-        labels = []
-        for v in pdf[vector]:
-            x = np.asarray(v, float)
-            sims = [float(s @ x / (np.linalg.norm(s) * np.linalg.norm(x) or 1)) for s in sums]
-            best = int(np.argmax(sims)) if sims else -1
-            if best >= 0 and sims[best] >= threshold:
-                sums[best] = sums[best] + x
-            else:
-                best = len(sums)
-                sums.append(x)
-            labels.append(best)
-        return pdf[[key, id_col]].assign(cluster=labels)
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, sums, norms, n = object(), np.zeros((0, 0)), np.zeros(0), 0
+        for pdf in batches:
+            labels = []
+            for k, v in zip(pdf[key], pdf[vector], strict=True):
+                k = None if pd.isna(k) else k
+                x = np.asarray(v, float)
+                if k != current:
+                    current, sums, norms, n = k, np.zeros((16, len(x))), np.zeros(16), 0
+                length = np.linalg.norm(x)
+                scale = norms[:n] * length
+                sims = sums[:n] @ x / np.where(scale > 0, scale, 1)
+                best = int(sims.argmax()) if n else -1
+                if best < 0 or sims[best] < threshold:
+                    if n == len(norms):
+                        sums, norms = np.concatenate([sums, np.zeros_like(sums)]), np.concatenate([norms, np.zeros_like(norms)])
+                    best, n = n, n + 1
+                sums[best] += x
+                norms[best] = np.linalg.norm(sums[best])
+                labels.append(best)
+            yield pdf[[key, id_col]].assign(cluster=labels)
 
     kinds = dict(vectors.dtypes)
-    return vectors.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, cluster long")
+    dealt = vectors.where(F.col(vector).isNotNull()).select(key, id_col, vector).repartition(key).sortWithinPartitions(key, id_col)
+    return dealt.mapInPandas(run, f"{key} {kinds[key]}, {id_col} {kinds[id_col]}, cluster long")
 
 
 def nearest(vectors: DataFrame, query: list[float], id_col: str, vector: str, k: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from lumenlake.functions import exprs
 from lumenlake.operators import analytics, cluster, collections, dedupe, jobs, planning, reconcile, related, search
@@ -257,6 +258,30 @@ def test_sequential_clusters(spark):
     assert found == {1: 0, 2: 0, 3: 1, 4: 1, 5: 0}
 
 
+def test_one_long_sequence_streams_through_batches(spark):
+    """Thousands of vectors of one library, and some of others, in batches of a hundred: the same as one by one."""
+    rng = np.random.default_rng(3)
+    middles = rng.normal(size=(40, 8))
+    rows = [("one" if i % 9 else None, i, (middles[rng.integers(40)] + rng.normal(size=8) * 0.5).tolist()) for i in range(3_000)] + [("one", 9_000, None), ("z", 1, [0.0] * 8)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    try:
+        table = spark.createDataFrame(rows, "lib string, id long, v array<double>").repartition(6)
+        found = {(r["lib"], r["id"]): r["cluster"] for r in cluster.sequential(table, "lib", "id", "v", 0.8).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want, sums = {}, {}
+    for lib, i, v in sorted((r for r in rows if r[2] is not None), key=lambda r: r[1]):
+        known, x = sums.setdefault(lib, []), np.array(v)
+        sims = [s @ x / ((np.linalg.norm(s) * np.linalg.norm(x)) or 1) for s in known]
+        best = int(np.argmax(sims)) if sims else -1
+        if best < 0 or sims[best] < 0.8:
+            best = len(known)
+            known.append(np.zeros(8))
+        known[best] = known[best] + x
+        want[lib, i] = best
+    assert found == want and max(want.values()) > 20
+
+
 def test_batch_assignment_at_the_threshold(spark):
     centers = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [0.0, 0.0])], "label int, centroid array<double>")
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [-1.0, -1.0])], "id int, v array<double>")
