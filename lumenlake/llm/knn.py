@@ -75,6 +75,10 @@ def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
     return rows.mapInPandas(tidied(run), "vec_id long, v array<long>, cell int, dist double")
 
 
+#: Distances of summaries that are held for a batch of queries at a time.
+NEAR_BLOCK = 8_192
+
+
 class Summaries:
     """What the queries have to know of the blocks: arrays of a bounded number of rows each."""
 
@@ -94,9 +98,13 @@ class Summaries:
         to_pivot = q @ self.pivots.T.astype(np.float64)
         norm = np.sqrt((q**2).sum(1))[:, None]
         slack = 1e-9 * (1 + np.abs(to_pivot).max(initial=0) + norm.max(initial=0) * self.far.max(initial=0))
-        sure = to_pivot[:, self.near_cell] - norm * self.near
-        # One of the k + 1 surest ids may be the query's own.
-        bound = np.partition(sure, -(self.k + 1), axis=1)[:, -(self.k + 1)] if sure.shape[1] > self.k else np.full(len(q), -np.inf)
+        # One of the k + 1 surest ids may be the query's own. They are found a block at a time, as there are up to k + 1 for each ring.
+        top = np.full((len(q), self.k + 1), -np.inf)
+        for lo in range(0, len(self.near), NEAR_BLOCK):
+            some = slice(lo, lo + NEAR_BLOCK)
+            both = np.concatenate([top, to_pivot[:, self.near_cell[some]] - norm * self.near[some]], axis=1)
+            top = np.partition(both, -(self.k + 1), axis=1)[:, -(self.k + 1) :]
+        bound = top.min(1)
         best = to_pivot[:, self.cell] + norm * self.far
         return np.nonzero(np.clip(best, -LARGEST, LARGEST) >= np.clip(bound[:, None] - slack, -LARGEST, LARGEST))
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 import pytest
 from lumenlake.llm import knn
 from pyspark.sql import functions as F
@@ -42,6 +43,22 @@ def test_equals_brute_force(spark, monkeypatch, block, group):
     assert found == brute(rows, 20, lambda i: i % 20 == 0)
 
 
+@pytest.mark.parametrize("block", [1, 5, 1_000])
+def test_bounds_in_blocks_equal_bounds_at_once(monkeypatch, block):
+    """Summaries of many rings: the needed ones, whatever number of distances is looked at together."""
+    rng = np.random.default_rng(2)
+    pivots = rng.integers(-50, 50, (9, 4))
+    cells = [{"cell": c, "ring": r, "far": float(rng.uniform(0, 90)), "near": sorted(rng.uniform(0, 60, rng.integers(0, 5)).tolist()) or None} for c in range(9) for r in range(3)]
+    queries = rng.integers(-50, 50, (30, 4))
+    monkeypatch.setattr(knn, "NEAR_BLOCK", block)
+    found = knn.Summaries(pivots, cells, 3)
+    norm, to_pivot = np.sqrt((queries**2).sum(1)), queries @ pivots.T
+    for i in range(30):
+        sure = sorted((to_pivot[i, c] - norm[i] * d for c, d in zip(found.near_cell, found.near)), reverse=True)[3]
+        want = {j for j in range(len(found.cell)) if to_pivot[i, found.cell[j]] + norm[i] * found.far[j] >= sure - 1e-6}
+        assert {int(b) for a, b in zip(*found.needed(queries[i : i + 1]))} == want
+
+
 def test_fewer_rows_than_k_and_large_components(spark):
     rows = [(0, [1e9, -3.0]), (1, [2e9, 5.5]), (2, [-1e9, 0.25])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
