@@ -10,7 +10,8 @@ Texts are lower-cased, runs of non-letters count as one blank, marks stay with t
 what remains, so that all scripts count alike. Whole texts are parsed: pieces of BLOCK symbols advance together, a symbol at
 a time, each after WARM symbols of the one before it; a piece that doesn't begin as the one before it ended is parsed again from there.
 
-Whether a text is in its best language at all is judged by its own cost a symbol, against that of pieces of labelled rows that were kept out of
+Whether a text is in the languages learned at all is judged by its own cost a symbol, each piece of BLOCK symbols in the language that suits it best (a
+text may hold passages of several), against that of pieces of labelled rows that were kept out of
 the sample (HELD_CHARS of each language): it may lie OVER of their median and FIXED_SPREAD of their upper spreads above the median, and PIECE_SPREAD
 more for a text as short as a piece; that part falls with the root of the length. A language without such rows takes the largest limit of the others. The
 score is how far the best language is ahead of the others, less for short texts, times how well its cost fits.
@@ -46,9 +47,10 @@ SHARPNESS = 8.0
 #: A text of so many symbols tells half as much as a long one.
 SHORT_TEXT = 16
 #: Characters of a language that judge its costs; symbols of a piece; how far a text may lie above the median cost of pieces, in parts of it and in spreads.
-HELD_CHARS, PIECE, OVER, FIXED_SPREAD, PIECE_SPREAD = 16_000, 128, 0.45, 3.0, 5.0
-#: The spread is the distance from the median to the 90th percentile in standard deviations; copies of the sample, which cost nothing, don't widen it.
-UPPER = 1.2816
+HELD_CHARS, PIECE, OVER, FIXED_SPREAD, PIECE_SPREAD = 16_000, 128, 0.4, 3.0, 6.0
+#: The spread is the distance from the median to the 75th percentile in standard deviations; copies of the sample, which cost nothing, and pieces in other
+#: languages don't widen it.
+UPPER = 0.6745
 #: How fast the score falls where a cost, in bits a symbol, reaches its limit.
 FIT = 4.0
 SPACE = 32
@@ -181,8 +183,8 @@ class Language:
         self.steps = automaton(self.symbol[symbols], len(seen) + 2)
         self.bits = float(np.log2(max(len(symbols), LEAST_SAMPLE)))
 
-    def rates(self, joined: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: list[np.ndarray]) -> np.ndarray:
-        """Cost in bits per symbol of each text; texts stand one after another in joined."""
+    def rates(self, joined: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Cost in bits per symbol of each text, and in bits of each of their pieces; texts stand one after another in joined."""
         own = self.symbol[joined]
         parts = -(-sizes // BLOCK)
         first = np.cumsum([0, *parts[:-1]])
@@ -206,9 +208,10 @@ class Language:
         # A piece that was entered in another state than the one before it ended in is parsed from there.
         for b in np.flatnonzero(inner & (entered != np.append(0, state[:-1]))).tolist():
             self._again(own, b, begin, end, count, state, entered, inner)
-        unseen = np.add.reduceat(own == self.unseen, starts, dtype=np.int64)
-        begun = np.add.reduceat(count, first, dtype=np.int64) + 1
-        return ((begun - unseen) * self.bits + unseen * UNSEEN_BITS) / sizes
+        unseen = np.add.reduceat(own == self.unseen, begin, dtype=np.int64)
+        count[first] += 1  # the first phrase of a text
+        bits = (count - unseen) * self.bits + unseen * UNSEEN_BITS
+        return np.add.reduceat(bits, first) / sizes, bits
 
     def _again(self, own: np.ndarray, b: int, begin: np.ndarray, end: np.ndarray, count: np.ndarray, state: np.ndarray, entered: np.ndarray, inner: np.ndarray) -> None:
         steps = self.steps
@@ -240,14 +243,14 @@ class Parser:
             joined = encode(" ".join(held.get(language.name, [])))
             parts = [joined[i : i + PIECE] for i in range(0, len(joined) - PIECE + 1, PIECE)]
             if len(parts) > 1:
-                costs = self._rates(parts, [language])[0]
-                middle, high = np.percentile(costs, (50, 90))
+                costs = self._rates(parts, [language])[0][0]
+                middle, high = np.percentile(costs, (50, 75))
                 out[:, at] = middle, (high - middle) / UPPER
         return np.where(np.isnan(out), np.nanmax(out, 1, keepdims=True) if np.isfinite(out).any() else np.inf, out) if len(self.languages) else out
 
     @staticmethod
-    def _rates(coded: list[np.ndarray], languages: list[Language]) -> np.ndarray:
-        """Costs in bits a symbol of texts that are not empty, by language."""
+    def _rates(coded: list[np.ndarray], languages: list[Language]) -> tuple[np.ndarray, np.ndarray]:
+        """Costs in bits a symbol of texts that are not empty, by language; and where each of their pieces is in the language that suits it best."""
         sizes = np.array([len(c) for c in coded])
         starts = np.cumsum([0, *sizes[:-1]])
         joined = np.concatenate(coded)
@@ -258,7 +261,8 @@ class Parser:
         first = np.zeros(len(lengths), bool)
         first[np.cumsum([0, *parts[:-1]])] = True
         order = [some for kind in (np.flatnonzero(first), np.flatnonzero(~first)) if len(kind) for some in np.array_split(kind[np.argsort(lengths[kind], kind="stable")], -(-len(kind) // COLUMNS))]
-        return np.array([x.rates(joined, starts, sizes, order) for x in languages])
+        rates, bits = zip(*[x.rates(joined, starts, sizes, order) for x in languages], strict=True)
+        return np.array(rates), np.add.reduceat(np.array(bits).min(0), np.cumsum([0, *parts[:-1]])) / sizes
 
     def judge(self, texts: list[str | None]) -> tuple[list[str], list[float], list[bool]]:
         """The language and the score, from 0 to 1, of each text; whether its cost is within that language's limit."""
@@ -268,13 +272,13 @@ class Parser:
         langs, scores, fits = ["und"] * len(texts), [0.0] * len(texts), [False] * len(texts)
         if not real or not languages:
             return langs, scores, fits
-        rates = self._rates([coded[i] for i in real], languages)
+        rates, mixed = self._rates([coded[i] for i in real], languages)
         sizes = np.array([len(coded[i]) for i in real])
         best = rates.argmin(0)
         weight = SHARPNESS * sizes / (sizes + SHORT_TEXT)
         ahead = 1 / np.exp(-weight * (rates - rates.min(0))).sum(0)
         middle, spread = self.limits[:, best]
-        over = rates.min(0) - (middle * (1 + OVER) + spread * (FIXED_SPREAD + PIECE_SPREAD * np.sqrt(PIECE / sizes)))
+        over = mixed - (middle * (1 + OVER) + spread * (FIXED_SPREAD + PIECE_SPREAD * np.sqrt(PIECE / sizes)))
         score = ahead / (1 + np.exp(np.clip(FIT * over, -50, 50)))
         for i, b, s, o in zip(real, best.tolist(), score.tolist(), over.tolist(), strict=True):
             langs[i], scores[i], fits[i] = languages[b].name, s, o <= 0
