@@ -8,8 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -39,28 +38,28 @@ class Debounce(StatefulProcessor):
         quiet, cap = last + self.gap, first + self.longest
         return (quiet, "quiet") if quiet <= cap else (cap, "wait")
 
-    def _flush(self, key: tuple, first: float, last: float, n: int) -> pd.DataFrame:
+    def _flush(self, key: tuple, first: float, last: float, n: int) -> Row:
         at, reason = self._due(first, last)
-        return pd.DataFrame({"key": [str(key[0])], "first_at": [first], "fired_at": [at], "n": [n], "reason": [reason]})
+        return Row(key=key[0], first_at=first, fired_at=at, n=n, reason=reason)
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        first, last, n, timer = self.waiting.get() if self.waiting.exists() else (0.0, 0.0, 0, -1)
-        for at in sorted(t for pdf in rows for t in pdf["at"].tolist()):
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        first, last, n, timer = self.waiting.get() or (0.0, 0.0, 0, -1)
+        for at in sorted(r["at"] for r in rows):
             if n and at >= self._due(first, last)[0]:
                 yield self._flush(key, first, last, n)
                 n = 0
             first, last, n = (at, at, 1) if not n else (first, max(last, at), n + 1)
-        if timer >= 0:
-            self.handle.deleteTimer(timer)
-        timer = max(int(self._due(first, last)[0] * 1_000), timerValues.getCurrentWatermarkInMs() + 1)
-        self.handle.registerTimer(timer)
-        self.waiting.update((first, last, n, timer))
-
-    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        if self.waiting.exists():
-            first, last, n, _ = self.waiting.get()
+        due = max(int(self._due(first, last)[0] * 1_000), timerValues.getCurrentWatermarkInMs() + 1)
+        if due != timer:
+            if timer >= 0:
+                self.handle.deleteTimer(timer)
+            self.handle.registerTimer(due)
+        self.waiting.update((first, last, n, due))
+
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        if waiting := self.waiting.get():
             self.waiting.clear()
-            yield self._flush(key, first, last, n)
+            yield self._flush(key, *waiting[:3])
 
     def close(self) -> None:
         pass
@@ -69,11 +68,12 @@ class Debounce(StatefulProcessor):
 def debounced(events: DataFrame, key: str, ts: str = "ts", gap: float = GAP_SECONDS, longest: float = WAIT_SECONDS) -> DataFrame:
     """key, first_at, fired_at, n and reason (quiet or wait) of each flush; events need a watermark on ts.
 
-    Only a micro-batch's times of a key are held at once. Events behind the watermark are dropped; ties wait together.
+    Only a micro-batch's times of a key are held at once. Events behind the watermark are dropped, and those without a key or time; ties wait together.
+    Rows reach Python as rows: a data frame for each key and each flush costs more than the debounce.
     """
     use_rocksdb(events.sparkSession)
-    timed = events.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("double").alias("at"), F.col(ts))
-    return timed.groupBy("key").transformWithStateInPandas(Debounce(gap, longest), FLUSH, "Append", "EventTime")
+    timed = events.where(F.col(key).isNotNull() & F.col(ts).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(ts).cast("double").alias("at"), F.col(ts))
+    return timed.groupBy("key").transformWithState(Debounce(gap, longest), FLUSH, "Append", "EventTime")
 
 
 def pauses(previous: Column, failures: Column, job: Column, least: int = FAILURES) -> Column:
@@ -93,24 +93,21 @@ class Monitor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "status string, failures int")
 
-    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: ANN001, N802, N803
-        status, failures = self.state.get() if self.state.exists() else ("unconfigured", 0)
-        told = []
-        for row in pd.concat(list(rows)).sort_values(["at", "nth"]).itertuples():
-            job = None if pd.isna(row.job) else int(row.job)
-            if row.online:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:  # noqa: ANN001, N802, N803
+        status, failures = self.state.get() or ("unconfigured", 0)
+        for row in sorted(rows, key=lambda r: (r["at"] is None, r["at"] or 0.0, r["nth"] is None, r["nth"] or 0)):  # nulls last
+            if row["online"]:
                 if status == "offline":
-                    told.append((str(key[0]), row.at, "online", "scan", None))
+                    yield Row(key=key[0], at=row["at"], status="online", action="scan", job=None)
                 status, failures = "online", 0
                 continue
             failures += 1
             if status != "offline" and failures >= self.least:
-                action = None if job is None else "cancel" if row.job_type in CANCELLED else "pause"
-                told.append((str(key[0]), row.at, "offline", action, job))
+                job = row["job"]
+                action = None if job is None else "cancel" if row["job_type"] in CANCELLED else "pause"
+                yield Row(key=key[0], at=row["at"], status="offline", action=action, job=job)
                 status = "offline"
         self.state.update((status, failures))
-        if told:
-            yield pd.DataFrame(told, columns=["key", "at", "status", "action", "job"]).astype({"job": "Int64"})
 
     def close(self) -> None:
         pass
@@ -125,4 +122,4 @@ def monitored(checks: DataFrame, key: str, online: str, job: str, job_type: str,
     use_rocksdb(checks.sparkSession)
     order = F.lit(0).cast("long") if nth is None else F.col(nth).cast("long")
     known = checks.select(F.col(key).cast("string").alias("key"), F.col(ts).cast("double").alias("at"), order.alias("nth"), F.col(online).alias("online"), F.col(job).cast("long").alias("job"), F.col(job_type).alias("job_type"))
-    return known.groupBy("key").transformWithStateInPandas(Monitor(failures), CHANGE, "Append", "None")
+    return known.groupBy("key").transformWithState(Monitor(failures), CHANGE, "Append", "None")
