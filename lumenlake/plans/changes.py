@@ -122,12 +122,9 @@ PATTERNS = ("the ", "Licen", "%", "a", "@exam", "ion. ", "éa", "zzzzz")
 @query(" UNION ALL ".join(f"SELECT {p!r} AS pattern, doc_id FROM documents WHERE contains(lower(text), lower({p!r}))" for p in PATTERNS))
 def substrings(spark, d):
     """Documents by what their texts contain, through one index of trigrams."""
-    docs, out = table(spark, d, "documents").select("doc_id", "text"), None
+    docs = table(spark, d, "documents").select("doc_id", "text")
     index = grams.write_index(docs, "doc_id", "text", working_folder(spark, "grams"))
-    for p in PATTERNS:
-        found = grams.search(docs, index, p, "doc_id", "text").select(F.lit(p).alias("pattern"), "doc_id")
-        out = found if out is None else out.unionByName(found)
-    return out
+    return grams.search_all(docs, index, list(PATTERNS), "doc_id", "text")
 
 
 LINES = "l_shipdate DESC NULLS LAST, l_orderkey, l_linenumber"

@@ -5,6 +5,7 @@ from __future__ import annotations
 import random
 import re
 
+import pyarrow as pa
 import pytest
 from lumenlake.operators import grams, jobs, observed, planning, props, ranked, reconcile, related
 from pyspark.sql import functions as F
@@ -99,6 +100,38 @@ def test_trigrams_find_what_a_scan_finds(spark, tmp_path):
     assert "PushedFilters: [In(gram" in grams.candidates(index, "licence")._jdf.queryExecution().executedPlan().toString()
 
 
+def test_posting_lists_in_chunks(monkeypatch):
+    monkeypatch.setattr(grams, "CHUNK", 5)
+    texts = ["abcabc", "", "ab", "\U0001f600b\U0010ffff", "abcdefghijk", "bca", None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(10, 10 + len(texts)), pa.int64()), pa.array(texts, pa.string())], ["id", "text"])
+    parts = [r for b in grams._posted(iter([batch])) for r in b.to_pylist()]
+    want = {(t[i : i + 3], at) for at, t in enumerate(texts, 10) if t for i in range(len(t) - 2)}
+    assert sorted((r["gram"], i) for r in parts for i in r["ids"]) == sorted(want)
+
+
+def test_many_patterns_with_one_index(spark, tmp_path):
+    """Ids that repeat or are null, characters beyond the first plane; each text is read once for the index."""
+    texts = [(1, "abc the Abc"), (1, "ABC"), (1, "bcd"), (None, "xabcx"), (None, None), (2, ""), (3, "ab"), (4, "a\U0001f600b\U0010ffffc%_é"), (5, "ÉTÉ abcd"), (6, "ab bc abd")]
+    df, seen = spark.createDataFrame(texts, "id long, text string"), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    index = grams.write_index(df.mapInArrow(counted, df.schema), "id", "text", f"{tmp_path}/i", 3)
+    assert seen.value == len(texts)
+    patterns = ["abc", "AB", "a\U0001f600b", "\U0010ffffc%", "été", "abcd", "bcd", "zzz", "", "abc"]
+    want = sorted(((p, i) for p in patterns for i, t in texts if t is not None and p.lower() in t.lower()), key=repr)
+    assert sorted(((r["pattern"], r["id"]) for r in grams.search_all(df, index, patterns, "id", "text").collect()), key=repr) == want
+    some = [p for p in patterns if len(p) > 2]
+    assert sorted((tuple(r) for r in grams.search_all(df, index, some, "id", "text").collect()), key=repr) == [w for w in want if len(w[0]) > 2]
+    for p in patterns:
+        assert sorted((r["id"] for r in grams.search(df, index, p, "id", "text").collect()), key=repr) == sorted((i for i, t in texts if t is not None and p.lower() in t.lower()), key=repr), p
+    plan = grams.search_all(df, index, some, "id", "text")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [In(gram" in plan and plan.count("FileScan") == 1
+
+
 def test_names_as_people_sort_them(spark):
     names = ["b", "a", "B", "Ä", "ä", "A", "z", "é", "E", "a1"]
     df = spark.createDataFrame([(n, n == "z") for n in names], "name string, folder boolean")
